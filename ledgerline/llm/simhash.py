@@ -30,6 +30,8 @@ SEED = 42
 BLOCK = 4096
 #: Share of fingerprints (1 in so many) from which large keys are told; it shapes the layout only, never the result.
 HOT_SAMPLE = 64
+#: Most large keys that are broadcast; more are joined by a shuffle.
+HOT_BROADCAST = 100_000
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -86,7 +88,11 @@ def _dealt(probes: DataFrame) -> DataFrame:
     member = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30))
     hot = probes.filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
     hot = hot.filter(F.col("count") >= BLOCK // HOT_SAMPLE).select("key", F.ceil(F.col("count") * HOT_SAMPLE / BLOCK).cast("int").alias("blocks"))
-    rows = probes.join(hot, "key", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(member, F.col("blocks"))).cast("int"))
+    hot = materialize(hot, "simhash-hot")
+    n = hot.count()
+    if not n:
+        return probes.select("key", F.lit(0).alias("block"), "fp", F.lit(True).alias("own"))
+    rows = probes.join(F.broadcast(hot) if n <= HOT_BROADCAST else hot, "key", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(member, F.col("blocks"))).cast("int"))
     spread = F.when(F.col("stored") & F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
     return rows.select("key", "fp", "mine", F.explode(spread).alias("block")).select("key", "block", "fp", (F.col("mine") == F.col("block")).alias("own"))
 
