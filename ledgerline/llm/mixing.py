@@ -12,7 +12,8 @@ Size and source tables: blocks (sources x BLOCKS rows) stay distributed; one row
 drawn, as sources and their weights are configuration.
 
 Cases: a null text has no words; the null source is a source of its own; sources of no words and an empty table get
-target 0; rows with equal ids are different rows. Extra columns ride along in ``mix``.
+target 0; rows with equal ids are different rows, and where the last words of a target fall on equal ones each takes as
+many; a null id is an id like any other. Extra columns ride along in ``mix``, in which rows of no words have no copy.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import BLANKS, WORD, materialize, word_count
 
 BLOCKS = 512
+#: Most (source, block) rows that are broadcast; more are joined by a shuffle.
+BLOCKS_BROADCAST = 200_000
 SHARDS = 16
 #: Most sources; their totals and weights are held by the driver.
 MAX_SOURCES = 100_000
@@ -66,68 +69,87 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, size, rank, block): a line for each row, rank being its keyed place."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    rank = F.xxhash64(F.lit(seed), "doc_id", "size")
-    return rows.withColumn("rank", rank).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.lit(BLOCKS)).cast("int"))
+def with_places(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with _source, _size (words), _rank (keyed place in the source) and _block."""
+    size = word_count(F.col(text_col).cast("string"))
+    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": size, "_id": F.col(id_col).cast("long")})
+    hashed = lambda k: F.xxhash64(F.lit(seed + k), F.coalesce("_id", F.lit(-1)), "_size")
+    return rows.withColumns({"_rank": hashed(0), "_block": F.pmod(hashed(1), F.lit(BLOCKS)).cast("int")}).drop("_id")
 
 
-def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies): copies are (shard, place, words), one for each time the document is drawn.
+def _last_lines(rows: DataFrame, placed: DataFrame) -> dict[int, tuple[int, int]]:
+    """Of each source whose rest ends inside a block: the rank where it ends, and the words that each row of that rank gives."""
+    ends = placed.filter("partial").select("source_id", "s", "block", (F.col("rest") - F.col("before")).alias("room"))
+    lines = rows.join(ends, rows["_source"].eqNullSafe(ends["s"]) & (rows["_block"] == ends["block"]))
+    ranks = lines.groupBy("source_id", "room", F.col("_rank").alias("rank")).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("source_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("room") - F.coalesce(F.sum("words").over(inside), F.lit(0))
+    found = ranks.withColumn("left", left).filter("left >= 0 AND left < words")
+    return {x.source_id: (x["rank"], x["left"] // x["n"]) for x in found.collect()}
 
-    weights repeat over the sources in code-point order, null last.
+
+def draw(rows: DataFrame, weights: list[float], share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks, sources): the draw over rows(_source, _size, _rank, _block).
+
+    blocks(s, block, shards, drawn, partial) tells the shard of each pass over a block; sources(s, source_size, target, passes, cut, each)
+    has what holds for a source, where a partial block's rows below rank cut are taken whole, and those at it as far as each.
     """
-    spark = docs.sparkSession
-    rows = materialize(sized(docs, seed, id_col, text_col, source_col), "mixing-sizes")
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    blocks = materialize(blocks, "mixing-blocks")
-    sums = blocks.groupBy("source").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("blocks"))
-    found = sums.limit(MAX_SOURCES + 1).collect()
+    spark = rows.sparkSession
+    blocks = materialize(rows.groupBy(F.col("_source").alias("s"), F.col("_block").alias("block")).agg(F.sum("_size").alias("words")), "mixing-blocks")
+    found = blocks.groupBy("s").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("blocks")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-    sources = sorted(found, key=lambda x: (x.source is None, x.source or ""))
-    targets = fill_targets([x["size"] for x in sources], [weights[i % len(weights)] for i in range(len(sources))], share, most)
-
-    table = [(i, x.source, int(x["size"]), t, min(int(t // x["size"]), int(most)) if x["size"] else 0) for i, (x, t) in enumerate(zip(sources, targets))]
-    table = [(*r, max(0, int(r[3]) - r[4] * r[2])) for r in table]
-    config = F.broadcast(spark.createDataFrame(table, "source_id int, source string, source_size long, target double, passes int, rest long"))
-
+    found = sorted(found, key=lambda x: (x.s is None, x.s or ""))
+    sizes = [int(x["size"]) for x in found]
+    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
+    passes = [min(int(t // z), int(most)) if z else 0 for t, z in zip(targets, sizes)]
+    rests = [max(0, int(t) - p * z) for t, p, z in zip(targets, passes, sizes)]
+
+    sources = spark.createDataFrame([(i, x.s, r) for i, (x, r) in enumerate(zip(found, rests))], "source_id int, name string, rest long")
+    placed = blocks.join(F.broadcast(sources), blocks["s"].eqNullSafe(F.col("name"))).drop("name")
     order = Window.partitionBy("source_id").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block")
-    placed = blocks.join(config, blocks["source"].eqNullSafe(config["source"])).select("source_id", "block", "words", "rest", "passes")
-    before = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("turn", F.row_number().over(order) - 1).withColumn("before", F.coalesce(before, F.lit(0)))
-    placed = placed.withColumn("drawn", (F.col("before") < F.col("rest")).cast("int")).withColumn("partial", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    placed = materialize(placed, "mixing-turns")
-
-    # the tree's quotas: every drawn block counts once for each pass that takes it
-    drawn = placed.groupBy("source_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("drawn").alias("drawn")).collect()
-    quotas = {x.source_id: (x.blocks, x.drawn) for x in drawn}
-    passes = {r[0]: r[4] for r in table}
-    counts = np.array([quotas.get(i, (0, 0))[0] * passes[i] + quotas.get(i, (0, 0))[1] for i in range(len(table))], dtype=np.int64)
-    dealt = split_quotas(counts, shards, seed)
-    ends = np.cumsum(dealt, axis=0)
-    runs = [(i, quotas.get(i, (0, 0))[0], [int(x) for x in ends[:, i]]) for i in range(len(table))]
-    shares = F.broadcast(spark.createDataFrame(runs, "source_id int, blocks long, ends array<long>"))
-
-    # draw number of a block in its k-th pass: k * blocks + turn; its shard is the first whose end lies above
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("turn", F.row_number().over(order) - 1).withColumn("before", before).withColumn("drawn", F.col("before") < F.col("rest"))
+    placed = materialize(placed.withColumn("partial", F.col("drawn") & (F.col("before") + F.col("words") > F.col("rest"))), "mixing-turns")
+    extra = {x.source_id: x.n for x in placed.filter("drawn").groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = _last_lines(rows, placed)
+
+    quotas = [x.blocks * p + extra.get(i, 0) for i, (x, p) in enumerate(zip(found, passes))]
+    ends = np.cumsum(split_quotas(np.array(quotas, dtype=np.int64), shards, seed), axis=0)
+    table = [(i, x.s, z, t, p, *cuts.get(i, (None, None)), x.blocks, [int(e) for e in ends[:, i]]) for i, (x, z, t, p) in enumerate(zip(found, sizes, targets, passes))]
+    sources = spark.createDataFrame(table, "source_id int, name string, source_size long, target double, passes int, cut long, each long, blocks long, ends array<long>")
+
+    # a block's k-th draw has number k * blocks + turn of its source's; its shard is the first whose run ends above that
     shard = lambda k: F.size(F.filter("ends", lambda e: e <= k.cast("long") * F.col("blocks") + F.col("turn")))
-    chosen = placed.join(shares, "source_id").select("source_id", "block", "before", "rest", "passes", "drawn", "partial", F.when(F.col("passes") + F.col("drawn") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") + F.col("drawn") - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards"))
+    times = F.col("passes") + F.col("drawn").cast("int")
+    turns = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), shard)).otherwise(F.array().cast("array<int>"))
+    dealt = placed.join(F.broadcast(sources.select("source_id", "blocks", "ends", "passes")), "source_id")
+    return materialize(dealt.select("s", "block", "drawn", "partial", turns.alias("shards")), "mixing-dealt"), sources.drop("blocks", "ends")
+
+
+def with_copies(rows: DataFrame, blocks: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """rows with source_size, target, _taken and _copies, an array of (shard, place, words)."""
+    few = blocks.count() <= BLOCKS_BROADCAST
+    keyed = rows.join(F.broadcast(blocks) if few else blocks, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("block")), "left")
+    keyed = keyed.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name")), "left")
+    last = F.when(~F.col("drawn"), F.lit(0)).when(~F.col("partial") | (F.col("_rank") < F.col("cut")), F.col("_size")).when(F.col("_rank") == F.col("cut"), F.least("_size", "each")).otherwise(F.lit(0)).cast("long")
+    keyed = keyed.withColumn("_last", last)
+    words = lambda k: F.when(k < F.col("passes"), F.col("_size")).otherwise(F.col("_last"))
+    copy = lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 3), "_rank", k).alias("place"), words(k).alias("words"))
+    copies = F.filter(F.transform("shards", copy), lambda c: c["words"] > 0)
+    taken = (F.col("_size") * F.col("passes") + F.col("_last")).cast("long")
+    return keyed.withColumns({"_taken": taken, "_copies": copies}).drop("s", "block", "drawn", "partial", "shards", "source_id", "name", "passes", "cut", "each", "_last")
+
 
-    # the block where a source's rest ends: its documents in order of rank
-    of_source = rows.join(config.select("source_id", F.col("source").alias("s"), "source_size", "target"), rows["source"].eqNullSafe(F.col("s"))).drop("s")
-    lines = of_source.join(chosen, ["source_id", "block"])
-    inside = Window.partitionBy("source_id").orderBy("rank", "doc_id")
-    edge = lines.filter("partial").withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = edge.withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("done")))).drop("done")
-    whole = lines.filter(~F.col("partial")).withColumn("last", F.col("size") * F.col("drawn"))
-    every = whole.unionByName(edge)
+def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies) for each row; copies are (shard, place, words).
 
-    words = lambda k: F.when(k < F.col("passes"), F.col("size")).otherwise(F.col("last"))
-    copy = lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 3), "doc_id", "rank", k).alias("place"), words(k).cast("long").alias("words"))
-    copies = F.filter(F.transform("shards", copy), lambda c: (c["words"] > 0))
-    taken = F.col("size") * F.col("passes") + F.col("last")
-    return every.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"))
+    weights repeat over the sources in code-point order, null last.
+    """
+    rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
+    rows = materialize(rows.select(F.col(id_col).cast("long").alias("doc_id"), "_source", "_size", "_rank", "_block"), "mixing-sizes")
+    found = with_copies(rows, *draw(rows, weights, share, most, shards, seed), seed)
+    return found.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"), F.col("_copies").alias("copies"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -138,12 +160,13 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each copy, in its shard's order, with the columns of docs.
 
-    A document of which only leading words are taken is cut after them. Rows with a null id can't be told
-    apart from others and are left out. Rows of no words are left out too, as a mix counts words.
+    A document of which only leading words are taken is cut after them.
     """
-    drawn = plan(docs, weights, share, most, shards, seed, id_col, text_col, source_col).filter(F.col("doc_id").isNotNull())
-    drawn = drawn.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(id_col), F.explode("copies").alias("_copy"))
-    copies = docs.join(drawn, id_col)
+    rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
+    rows = materialize(rows.select("_source", "_size", "_rank", "_block"), "mixing-sizes")
+    taken = with_copies(with_places(docs, seed, id_col, text_col, source_col), *draw(rows, weights, share, most, shards, seed), seed)
+    copies = taken.select(*docs.columns, "_size", F.explode("_copies").alias("_copy"))
     n = F.col("_copy.words")
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
-    return copies.withColumn("_size", word_count(F.col(text_col))).withColumn(text_col, F.when(n < F.col("_size"), lead).otherwise(F.col(text_col))).repartition(shards, F.col("_copy.shard")).sortWithinPartitions("_copy.shard", "_copy.place").select(*docs.columns)
+    copies = copies.withColumn(text_col, F.when(n < F.col("_size"), lead).otherwise(F.col(text_col)))
+    return copies.repartition(shards, F.col("_copy.shard")).sortWithinPartitions("_copy.shard", "_copy.place").select(*docs.columns)
