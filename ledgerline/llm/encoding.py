@@ -13,11 +13,12 @@ from pathlib import Path
 
 import numpy as np
 
-#: Most stretches that one Python worker remembers, and the longest of them in characters.
-MEMO_ENTRIES = 300_000
-MEMO_CHARS = 64
+#: Most stretches that one Python worker remembers.
+MEMO_ENTRIES = 1_000_000
+#: Stretches that are encoded in one call, and what parts them where blanks are dropped.
+JOINED = 1024
+MARK = "~"
 
-_TWO_BLANKS = re.compile(r"\s\s|^\s|\s\Z")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _known: dict[int, Encoder] = {}
 
@@ -62,40 +63,80 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.layout = layout(json.loads(spec))
         self.memo_entries = memo_entries
+        self.edge = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        if self.layout == "spaced":
+            self.edge[[i for x, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if x.startswith("Ġ")]] = True
+        elif self.layout == "dropped":
+            mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+            if len(mark) == 1:
+                self.edge[mark] = True
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _stretches(self, text: str) -> list[str]:
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch. Stretches are encoded many at a time, and told apart again by the ids that
+        open one ('spaced') or that a mark between them has ('dropped')."""
         if self.layout == "dropped":
-            return text.split(" ")
-        return text.split(" ") if not _TWO_BLANKS.search(text) else _LONE_SPACE.split(text)
+            alone = [x for x in stretches if MARK in x]
+            if alone:
+                found = dict(zip(alone, self._whole(alone)))
+                rest = [x for x in stretches if MARK not in x]
+                found.update(zip(rest, self._ids(rest)))
+                return [found[x] for x in stretches]
+        out: list[bytes] = []
+        for at in range(0, len(stretches), JOINED):
+            part = stretches[at : at + JOINED]
+            joint = "".join([" " + x for x in part]) if self.layout == "spaced" else "".join([f"{x} {MARK} " for x in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                out += self._whole([" " + x for x in part] if self.layout == "spaced" else part)
+                continue
+            starts, ends = (edges, np.append(edges[1:], len(ids))) if self.layout == "spaced" else (np.append(0, edges[:-1] + 1), edges)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            out += [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         if self.layout == "whole":
-            return [np.frombuffer(x, self.dtype) for x in self._ids(texts)]
-        split = [self._stretches(x) for x in texts]
-        opening = "" if self.layout == "dropped" else " "
-        heads = [x[0] for x in split] if opening else []
-        memo = self.memo
-        missing = list(set().union(*(x[1:] if opening else x for x in split)) - memo.keys())
-        fresh = dict(zip(missing, self._ids([opening + x for x in missing])))
-        if len(memo) < self.memo_entries:
-            memo.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_CHARS)
-        firsts = self._ids(heads) if heads else [b""] * len(split)
+            return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
+        memo, spaced = self.memo, self.layout == "spaced"
+        split = [x.split(" ") for x in texts]
+        heads = [b""] * len(split)
+        if spaced:  # the first stretch has no space before it
+            first = [x.pop(0) for x in split]
+            heads = self._whole(first)
+        missing = list(set().union(*split) - memo.keys())
+        sound = [x for x in missing if _parts_well(x)] if spaced else missing
+        memo.update(zip(sound, self._ids(sound)))
+        if len(sound) < len(missing):
+            memo.update((x, None) for x in missing if not _parts_well(x))
         out = []
-        for head, parts in zip(firsts, split):
-            if opening:
-                parts = parts[1:]
+        for i, (head, parts) in enumerate(zip(heads, split)):
+            if spaced and not _parts_well(first[i]):
+                out.append(self._by_lone_spaces(texts[i]))
+                continue
             try:
-                body = b"".join([memo[x] for x in parts])
-            except KeyError:
-                body = b"".join([fresh[x] if x in fresh else memo[x] for x in parts])
-            out.append(np.frombuffer(head + body, self.dtype))
-        return out
+                out.append(head + b"".join(map(memo.__getitem__, parts)))
+            except TypeError:  # a stretch beside other blanks
+                out.append(self._by_lone_spaces(texts[i]))
+        if len(memo) > self.memo_entries:
+            for x in missing:
+                del memo[x]
+        return [np.frombuffer(x, self.dtype) for x in out]
+
+    def _by_lone_spaces(self, text: str) -> bytes:
+        head, *rest = _LONE_SPACE.split(text)
+        return b"".join(self._whole([head, *[" " + x for x in rest]]))
+
+
+def _parts_well(stretch: str) -> bool:
+    """Whether spaces beside the stretch are lone ones: it is not empty and has no blanks at its ends."""
+    return stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
 
 
 def crc32_of(ids: np.ndarray) -> int:
