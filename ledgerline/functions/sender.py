@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import company_key
+from ledgerline.functions.text import company_key, let
 
 #: Applicant-tracking vendors and the hosts that their mail comes from.
 VENDORS: dict[str, list[str]] = {
@@ -51,7 +51,7 @@ def hosts(value: Column) -> Column:
 def vendor_of_host(host: Column, vendors: dict[str, list[str]] | None = None) -> Column:
     """The vendor whose longest domain the host equals or lies under; null for none."""
     ordered = sorted(((d, v) for v, ds in (vendors or VENDORS).items() for d in ds), key=lambda x: (-len(x[0]), x[0]))
-    return F.coalesce(*[F.when((host == d) | F.endswith(host, F.lit(f".{d}")), v) for d, v in ordered])
+    return let(host, lambda h: F.coalesce(*[F.when((h == d) | F.endswith(h, F.lit(f".{d}")), v) for d, v in ordered]))
 
 
 def vendor_hits(from_email: Column, headers: Column) -> Column:
@@ -67,16 +67,18 @@ def vendor_hits(from_email: Column, headers: Column) -> Column:
 
 def detect_vendor(from_email: Column, headers: Column) -> Column:
     """struct(vendor, evidence): the first vendor told, and the rule ids of all that agree with it."""
-    found = vendor_hits(from_email, headers)
-    first = F.get(found, 0)["vendor"]
-    agreeing = F.array_distinct(F.transform(F.filter(found, lambda x: x["vendor"] == first), lambda x: F.concat(F.lit("ats."), x["rule"], F.lit("."), x["vendor"])))
-    return F.struct(first.alias("vendor"), F.coalesce(agreeing, F.array().cast("array<string>")).alias("evidence"))
+    def told(found: Column) -> Column:
+        first = F.get(found, 0)["vendor"]
+        agreeing = F.array_distinct(F.transform(F.filter(found, lambda x: x["vendor"] == first), lambda x: F.concat(F.lit("ats."), x["rule"], F.lit("."), x["vendor"])))
+        return F.struct(first.alias("vendor"), F.coalesce(agreeing, F.array().cast("array<string>")).alias("evidence"))
+
+    return let(vendor_hits(from_email, headers), told)
 
 
 def clean_capture(text: Column) -> Column:
     """Blanks collapsed, edges stripped; null unless 2 to 80 characters are left."""
     x = F.btrim(F.regexp_replace(text, "(?U)\\s+", " "), F.lit(EDGES))
-    return F.when(F.length(x).between(2, 80), x)
+    return let(x, lambda v: F.when(F.length(v).between(2, 80), v))
 
 
 _DEPARTMENT = r"(?:\((?:via|through)\s[^)]*\)|\bvia\s+\w+|\b(?:recruiting|recruitment|talent\s+acquisition|talent|careers?|hiring(?:\s+team)?|jobs|people(?:\s+team)?|hr)(?:\s+team)?)"
@@ -85,25 +87,30 @@ _DEPARTMENT = r"(?:\((?:via|through)\s[^)]*\)|\bvia\s+\w+|\b(?:recruiting|recrui
 def clean_sender_name(name: Column) -> Column:
     """The company in a display name: what follows "at" or "from", without departments at its end; null for generic names and vendors."""
     x = F.btrim(F.regexp_replace(name, "(?U)\\s+", " "), F.lit(EDGES))
-    after = F.regexp_extract(x, r"(?i)^.{1,40}?\s+(?:at|from|@)\s+(.{2,60})$", 1)
-    x = F.trim(F.when(after != "", after).otherwise(x))
-    x = F.trim(F.regexp_replace(x, rf"(?i)(?:\s*{_DEPARTMENT})+\s*$", ""))
-    return F.when(~F.lower(x).isin([*GENERIC_SENDERS, *VENDORS, ""]), clean_capture(x))
+    after = lambda v: F.trim(F.coalesce(F.nullif(F.regexp_extract(v, r"(?i)^.{1,40}?\s+(?:at|from|@)\s+(.{2,60})$", 1), F.lit("")), v))
+    x = F.trim(F.regexp_replace(let(x, after), rf"(?i)(?:\s*{_DEPARTMENT})+\s*$", ""))
+    return let(x, lambda v: F.when(~F.lower(v).isin([*GENERIC_SENDERS, *VENDORS, ""]), clean_capture(v)))
 
 
 def sender_domain_label(from_email: Column) -> Column:
     """The label of the sender's host that names a company; null for consumer mail, vendors and bare names."""
     host = F.regexp_replace(F.trim(F.lower(F.regexp_extract(from_email, "@(.*)$", 1))), "[.]+$", "")
-    labels = F.split(host, "[.]")
-    named = F.get(F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: ~x.isin(FUNCTION_LABELS) & (F.length(x) >= 2)), 0)
-    return F.when((host != "") & ~host.isin(FREE_MAIL) & vendor_of_host(host).isNull() & (F.size(labels) >= 2), named)
+    def label(h: Column) -> Column:
+        labels = F.split(h, "[.]")
+        named = F.get(F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: ~x.isin(FUNCTION_LABELS) & (F.length(x) >= 2)), 0)
+        return F.when((h != "") & ~h.isin(FREE_MAIL) & vendor_of_host(h).isNull() & (F.size(labels) >= 2), named)
+
+    return let(host, label)
 
 
 def looks_like_person(name: Column, from_email: Column) -> Column:
     """Two or three alphabetic words, none corporate, that share nothing with the sender's domain."""
-    words = F.split(name, " ")
-    alphabetic = F.forall(words, lambda x: x.rlike("^\\p{L}+$"))
-    corporate = F.exists(words, lambda x: F.lower(x).isin(CORPORATE_WORDS))
-    label, key = sender_domain_label(from_email), F.replace(F.coalesce(company_key(name), F.lit("")), F.lit(" "), F.lit(""))
-    related = F.coalesce(F.contains(key, label) | F.contains(label, key), F.lit(False))
-    return F.size(words).between(2, 3) & alphabetic & ~corporate & ~related
+    def human(p: Column) -> Column:
+        words, label, key = p["words"], p["label"], p["key"]
+        alphabetic = F.forall(words, lambda x: x.rlike("^\\p{L}+$"))
+        corporate = F.exists(words, lambda x: F.lower(x).isin(CORPORATE_WORDS))
+        related = F.coalesce(F.contains(key, label) | F.contains(label, key), F.lit(False))
+        return F.size(words).between(2, 3) & alphabetic & ~corporate & ~related
+
+    key = F.replace(F.coalesce(company_key(name), F.lit("")), F.lit(" "), F.lit(""))
+    return let(F.struct(F.split(name, " ").alias("words"), sender_domain_label(from_email).alias("label"), key.alias("key")), human)

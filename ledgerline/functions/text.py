@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Typographic characters and what they are folded to (the zero-width space goes).
 FOLD_FROM = "‘’“”–— ​"
@@ -42,6 +43,11 @@ REQUISITION = re.compile(
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: expressions that repeat their argument grow without bounds when nested."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_text(text: Column) -> Column:
     """Typographic characters folded, lower case, blanks collapsed, ends trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), "(?U)\\s+", " "))
@@ -61,7 +67,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, and full case folding."""
 
@@ -71,14 +77,16 @@ def strip_accents(texts: pd.Series) -> pd.Series:
     return texts.map(plain)
 
 
+def _without_the(words: Column) -> Column:
+    return F.when((F.size(words) > 1) & (F.get(words, 0) == "the"), F.slice(words, 2, F.size(words))).otherwise(words)
+
+
 def company_key(text: Column) -> Column:
     """Matching key of a company name: no leading article, no trailing legal forms, at least one token; null for none.
 
     Expects a text free of accents (see strip_accents).
     """
-    words = tokens(text)
-    words = F.when((F.size(words) > 1) & (F.get(words, 0) == "the"), F.slice(words, 2, F.size(words))).otherwise(words)
-    spaced = F.array_join(words, " ")
+    spaced = F.array_join(let(tokens(text), _without_the), " ")
     return F.nullif(F.regexp_replace(spaced, f"(?<=[0-9a-z])(?: (?:{'|'.join(LEGAL_SUFFIXES)}))+$", ""), F.lit(""))
 
 
@@ -96,10 +104,8 @@ def _lookup(table: dict[str, str], x: Column) -> Column:
 def role_tokens(text: Column) -> Column:
     """Tokens of a role without requisition ids and seniority (unless nothing else is left), abbreviations written out."""
     bare = F.regexp_replace(text, f"(?i){REQUISITION.pattern}", " ")
-    words = _expanded(tokens(bare), ROLE_WORDS)
-    kept = F.filter(words, lambda x: ~x.isin(SENIORITY))
-    words = F.when(F.size(kept) > 0, kept).otherwise(words)
-    return F.when((F.size(words) > 1) & (F.get(words, 0) == "the"), F.slice(words, 2, F.size(words))).otherwise(words)
+    graded = lambda words: let(F.filter(words, lambda x: ~x.isin(SENIORITY)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words))
+    return let(let(_expanded(tokens(bare), ROLE_WORDS), graded), _without_the)
 
 
 def role_key(text: Column) -> Column:
@@ -115,15 +121,16 @@ def link_tokens(title: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of two arrays of distinct words; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+    share = lambda p: F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(p["a"], p["b"])), F.size(p["a"]) + F.size(p["b"])), F.lit(0.0))
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0)).cast("double")
+    share = lambda p: F.coalesce(F.try_divide(F.size(F.array_intersect(p["a"], p["b"])), F.size(F.array_union(p["a"], p["b"]))), F.lit(0.0)).cast("double")
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters in the longest matching blocks; 0 if either is null."""
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
@@ -142,7 +149,7 @@ NULLISH = ["", "null", "none", "n/a", "na", "unknown", "not specified", "not pro
 def clean_value(text: Column) -> Column:
     """Blanks collapsed and edge punctuation stripped; null for words that mean no value."""
     x = F.btrim(F.regexp_replace(text, "(?U)\\s+", " "), F.lit(" ,;:-"))
-    return F.when(~F.lower(x).isin(NULLISH), x)
+    return let(x, lambda v: F.when(~F.lower(v).isin(NULLISH), v))
 
 
 #: Elements without prose, elements that end a line, and cells, which add a space.
@@ -192,7 +199,7 @@ def prose(html: str | None) -> str | None:
     return "".join(parser.out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _prose_udf(pages: pd.Series) -> pd.Series:
     return pages.map(prose)
 

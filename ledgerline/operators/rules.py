@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sender import clean_capture, clean_sender_name, detect_vendor, looks_like_person, sender_domain_label
-from ledgerline.functions.text import company_key, normalize_text, strip_accents
+from ledgerline.functions.text import company_key, let, normalize_text, strip_accents
 from ledgerline.schemas import EVENT_TYPES
 
 VERSION = "1"
@@ -162,8 +162,7 @@ def ranks_of(ids: Column, rules: list[Rule] | None = None) -> Column:
 
 def winner(ranks: Column) -> Column:
     """The type of highest precedence; unknown if no rule fired."""
-    names = F.lit(EVENT_TYPES)
-    return F.coalesce(F.element_at(names, F.array_min(ranks) + 1), F.lit("unknown"))
+    return F.coalesce(F.element_at(F.lit(EVENT_TYPES), F.array_min(ranks) + 1), F.lit("unknown"))
 
 
 def confidence(event_type: Column, ids: Column, ranks: Column, vendor: Column, precise_company: Column, rules: list[Rule] | None = None) -> Column:
@@ -182,35 +181,37 @@ def confidence(event_type: Column, ids: Column, ranks: Column, vendor: Column, p
     return F.when(event_type == "unknown", 0.0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total)) / 100.0)
 
 
+def _named(value: Column, rule_id: str) -> Column:
+    """struct(value, rule), or null for no value."""
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(rule_id).alias("rule"))))
+
+
 def _chain(subject: Column, body: Column, rows: list[tuple[str, str, str]], clean) -> list[Column]:
     """struct(value, rule) for each row of a chain; null where it doesn't match or nothing usable is left."""
     out = []
     for rule_id, scope, pattern in rows:
         found = clean(F.nullif(F.regexp_extract(subject if scope == "subject" else body, f"(?i){pattern}", 1), F.lit("")))
-        out.append(F.when(found.isNotNull(), F.struct(found.alias("value"), F.lit(rule_id).alias("rule"))))
+        out.append(_named(found, rule_id))
     return out
 
 
 def clean_company(raw: Column) -> Column:
-    x = clean_capture(F.regexp_replace(raw, _COMPANY_CLAUSE, ""))
-    return F.when(~F.lower(x).isin(GENERIC_COMPANY), x)
+    return let(clean_capture(F.regexp_replace(raw, _COMPANY_CLAUSE, "")), lambda x: F.when(~F.lower(x).isin(GENERIC_COMPANY), x))
 
 
 def clean_role(raw: Column) -> Column:
-    x = clean_capture(F.regexp_replace(raw, _ROLE_CLAUSE, ""))
-    return F.when(~F.lower(x).isin(GENERIC_ROLE), x)
+    return let(clean_capture(F.regexp_replace(raw, _ROLE_CLAUSE, "")), lambda x: F.when(~F.lower(x).isin(GENERIC_ROLE), x))
 
 
 def extract_company(subject: Column, body: Column, from_name: Column, from_email: Column, vendor: Column) -> Column:
     """struct(value, rule) of the first usable source: vendor relay's display name, text, display name, domain."""
-    named = lambda value, rule: F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(rule).alias("rule")))
     shown = clean_sender_name(from_name)
     title = F.initcap(F.replace(sender_domain_label(from_email), F.lit("-"), F.lit(" ")))
     return F.coalesce(
-        F.when(vendor.isNotNull(), named(shown, "co.ats.sender_name")),
+        F.when(vendor.isNotNull(), _named(shown, "co.ats.sender_name")),
         *_chain(subject, body, COMPANY_CHAIN, clean_company),
-        F.when(~looks_like_person(shown, from_email), named(shown, "co.sender.display_name")),
-        named(title, "co.sender.domain"),
+        let(shown, lambda x: F.when(~looks_like_person(x, from_email), _named(x, "co.sender.display_name"))),
+        _named(title, "co.sender.domain"),
     )
 
 
@@ -219,7 +220,9 @@ def extract_role(subject: Column, body: Column, vendor: Column) -> Column:
     rows = _chain(subject, body, ROLE_CHAIN, clean_role)
     of_body = [x for x, r in zip(rows, ROLE_CHAIN) if r[1] == "body"]
     of_subject = [x for x, r in zip(rows, ROLE_CHAIN) if r[1] == "subject"]
-    return F.when(vendor.isNotNull(), F.coalesce(*of_body, *of_subject)).otherwise(F.coalesce(*rows))
+    # one coalesce of all rows, each once: a vendor's mail puts the body's before the subject's
+    ordered = F.when(vendor.isNotNull(), F.array(*of_body, *of_subject)).otherwise(F.array(*rows))
+    return F.get(F.array_compact(ordered), 0)
 
 
 def extract_location(subject: Column, body: Column) -> Column:

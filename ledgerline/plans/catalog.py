@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from ledgerline.operators import evaluate as evaluation
 from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
+from ledgerline.operators.components import shared_dir
+from ledgerline.operators.linking import link
 from ledgerline.operators.rules import Rule, confidence, fired, ranks_of, winner
-from ledgerline.plans.standins import GHOST_DAYS, SQL, SQL_BY_SEVENTH, log, now, table
+from ledgerline.plans.standins import GHOST_DAYS, NOW, SQL, SQL_BY_SEVENTH, log, now, table
 from ledgerline.schemas import EVENT_TYPES
+from ledgerline.streaming.incremental import stored, sync
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -397,3 +402,43 @@ def export_projection(spark, sf_dir):
 @query("event_projection", "SELECT application_id, message_id, event_type, epoch_us(occurred_at) AS occurred_at, confidence, needs_review, subject FROM eff")
 def event_projection(spark, sf_dir):
     return ev.event_frame(_model(spark, sf_dir)[1]).withColumn("occurred_at", F.unix_micros("occurred_at"))
+
+
+# Beyond SQL: rows only; the tests compare these with plain Python.
+
+
+@query("html_text")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query("role_sequence_ratio")
+def role_sequence_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("p_partkey", text.role_similarity(F.col("p_type"), F.col("other")).alias("similarity"))
+
+
+@query("link_fold")
+def link_fold(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    word = F.element_at(F.array(*map(F.lit, ("software engineer", "data analyst", "designer", "product manager"))), (F.col("n") % 4 + 1).cast("int"))
+    role = F.when(F.col("n") % 3 != 0, word)
+    message = F.concat(F.lit("m"), F.col("n").cast("string"))
+    messages = raw.select(message.alias("message_id"), F.concat_ws("-", F.col("user_id").cast("string"), (F.col("n") % 11).cast("string")).alias("thread_id"), F.col("ts").cast("timestamp").alias("received_at"))
+    key = F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string"))
+    none = F.lit(None).cast("string")
+    classes = raw.select(message.alias("message_id"), F.when(F.col("n") % 10 == 0, "unknown").otherwise("interview").alias("event_type"), key.alias("company"), F.when(F.col("n") % 29 != 0, key).alias("company_key"), role.alias("role"), none.alias("location"), none.alias("ats"))
+    return link(messages, classes, NOW).select("message_id", "application_id", "created")
+
+
+@query("incremental_sync")
+def incremental_sync(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/ledgerline/sync-{uuid.uuid4().hex}"
+    talk = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    none, labels = F.lit(None).cast("string"), F.array(F.lit("INBOX"))
+    mail = talk.select(F.col("id").alias("message_id"), F.col("conv_id").cast("string").alias("thread_id"), at.alias("received_at"), F.concat("role", F.lit("@example.org")).alias("from_email"), none.alias("from_name"), none.alias("to_email"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("subject"), F.col("text").alias("body_text"), F.lit("").alias("snippet"), labels.alias("labels"))
+    mail.filter("hash(message_id) % 2 = 0").write.mode("append").json(f"{folder}/inbox")
+    sync(spark, f"{folder}/inbox", f"{folder}/store", multi_line=False)
+    mail.write.mode("append").json(f"{folder}/inbox")  # overlaps what has been read
+    sync(spark, f"{folder}/inbox", f"{folder}/store", multi_line=False)
+    return stored(spark, f"{folder}/store").select("message_id", "thread_id", F.unix_micros("received_at").alias("received_at"), "batch")

@@ -10,6 +10,7 @@ from email.utils import parseaddr
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.text import collapse_whitespace, prose
 from ledgerline.schemas import MESSAGE
@@ -54,7 +55,7 @@ def fetch(messages: DataFrame, since=None, limit: int | None = None) -> tuple[Da
     return rows.limit(limit), rows.limit(limit + 1).count() > limit
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_header(values: pd.Series) -> pd.Series:
     """Encoded words of a header, decoded; what can't be decoded stays."""
 
@@ -69,7 +70,7 @@ def decode_header(values: pd.Series) -> pd.Series:
     return values.map(plain)
 
 
-@F.pandas_udf("name string, address string")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("address", T.StringType())]))
 def split_address(values: pd.Series) -> pd.DataFrame:
     """Display name (null for none) and lower-case address of a header value."""
     pairs = [parseaddr(x or "") for x in values]
@@ -121,7 +122,7 @@ def body_of(payload: dict) -> str:
     return found["text/plain"] if "text/plain" in found else prose(found.get("text/html", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def body_text(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda x: body_of((json.loads(x) or {}).get("payload") or {}) if x else "")
 
