@@ -70,18 +70,18 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def with_places(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with _source, _size (words), _rank (keyed place in the source) and _block."""
+    """docs with _mix_source, _mix_size (words), _mix_rank (keyed place in the source) and _mix_block."""
     size = word_count(F.col(text_col).cast("string"))
-    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": size, "_id": F.col(id_col).cast("long")})
-    hashed = lambda k: F.xxhash64(F.lit(seed + k), F.coalesce("_id", F.lit(-1)), "_size")
-    return rows.withColumns({"_rank": hashed(0), "_block": F.pmod(hashed(1), F.lit(BLOCKS)).cast("int")}).drop("_id")
+    rows = docs.withColumns({"_mix_source": F.col(source_col).cast("string"), "_mix_size": size, "_mix_id": F.col(id_col).cast("long")})
+    hashed = lambda k: F.xxhash64(F.lit(seed + k), F.coalesce("_mix_id", F.lit(-1)), "_mix_size")
+    return rows.withColumns({"_mix_rank": hashed(0), "_mix_block": F.pmod(hashed(1), F.lit(BLOCKS)).cast("int")}).drop("_mix_id")
 
 
 def _last_lines(rows: DataFrame, placed: DataFrame) -> dict[int, tuple[int, int]]:
     """Of each source whose rest ends inside a block: the rank where it ends, and the words that each row of that rank gives."""
     ends = placed.filter("partial").select("source_id", "s", "block", (F.col("rest") - F.col("before")).alias("room"))
-    lines = rows.join(ends, rows["_source"].eqNullSafe(ends["s"]) & (rows["_block"] == ends["block"]))
-    ranks = lines.groupBy("source_id", "room", F.col("_rank").alias("rank")).agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n"))
+    lines = rows.join(ends, rows["_mix_source"].eqNullSafe(ends["s"]) & (rows["_mix_block"] == ends["block"]))
+    ranks = lines.groupBy("source_id", "room", F.col("_mix_rank").alias("rank")).agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
     inside = Window.partitionBy("source_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("room") - F.coalesce(F.sum("words").over(inside), F.lit(0))
     found = ranks.withColumn("left", left).filter("left >= 0 AND left < words")
@@ -89,13 +89,13 @@ def _last_lines(rows: DataFrame, placed: DataFrame) -> dict[int, tuple[int, int]
 
 
 def draw(rows: DataFrame, weights: list[float], share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks, sources): the draw over rows(_source, _size, _rank, _block).
+    """(blocks, sources): the draw over rows(_mix_source, _mix_size, _mix_rank, _mix_block).
 
     blocks(s, block, shards, drawn, partial) tells the shard of each pass over a block; sources(s, source_size, target, passes, cut, each)
     has what holds for a source, where a partial block's rows below rank cut are taken whole, and those at it as far as each.
     """
     spark = rows.sparkSession
-    blocks = materialize(rows.groupBy(F.col("_source").alias("s"), F.col("_block").alias("block")).agg(F.sum("_size").alias("words")), "mixing-blocks")
+    blocks = materialize(rows.groupBy(F.col("_mix_source").alias("s"), F.col("_mix_block").alias("block")).agg(F.sum("_mix_size").alias("words")), "mixing-blocks")
     found = blocks.groupBy("s").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("blocks")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
@@ -128,17 +128,19 @@ def draw(rows: DataFrame, weights: list[float], share: float, most: float, shard
 
 
 def with_copies(rows: DataFrame, blocks: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """rows with source_size, target, _taken and _copies, an array of (shard, place, words)."""
+    """rows with _mix_source_size, _mix_target, _mix_taken and _mix_copies, an array of (shard, place, words)."""
     few = blocks.count() <= BLOCKS_BROADCAST
-    keyed = rows.join(F.broadcast(blocks) if few else blocks, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("block")), "left")
-    keyed = keyed.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("name")), "left")
-    last = F.when(~F.col("drawn"), F.lit(0)).when(~F.col("partial") | (F.col("_rank") < F.col("cut")), F.col("_size")).when(F.col("_rank") == F.col("cut"), F.least("_size", "each")).otherwise(F.lit(0)).cast("long")
-    keyed = keyed.withColumn("_last", last)
-    words = lambda k: F.when(k < F.col("passes"), F.col("_size")).otherwise(F.col("_last"))
-    copy = lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 3), "_rank", k).alias("place"), words(k).alias("words"))
-    copies = F.filter(F.transform("shards", copy), lambda c: c["words"] > 0)
-    taken = (F.col("_size") * F.col("passes") + F.col("_last")).cast("long")
-    return keyed.withColumns({"_taken": taken, "_copies": copies}).drop("s", "block", "drawn", "partial", "shards", "source_id", "name", "passes", "cut", "each", "_last")
+    mine = lambda df: df.select(*[F.col(c).alias(f"_mix_{'at_' if c == 'block' else ''}{c}") for c in df.columns])
+    c = lambda name: F.col(f"_mix_{name}")
+    blocks, sources = mine(blocks), mine(sources)
+    keyed = rows.join(F.broadcast(blocks) if few else blocks, c("source").eqNullSafe(c("s")) & (c("block") == c("at_block")), "left")
+    keyed = keyed.join(F.broadcast(sources), c("source").eqNullSafe(c("name")), "left")
+    last = F.when(~c("drawn"), F.lit(0)).when(~c("partial") | (c("rank") < c("cut")), c("size")).when(c("rank") == c("cut"), F.least(c("size"), c("each"))).otherwise(F.lit(0)).cast("long")
+    keyed = keyed.withColumn("_mix_last", last)
+    words = lambda k: F.when(k < c("passes"), c("size")).otherwise(c("last"))
+    copy = lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 3), c("rank"), k).alias("place"), words(k).alias("words"))
+    copies = F.filter(F.transform(c("shards"), copy), lambda x: x["words"] > 0)
+    return keyed.withColumns({"_mix_taken": (c("size") * c("passes") + c("last")).cast("long"), "_mix_copies": copies})
 
 
 def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -147,9 +149,9 @@ def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float
     weights repeat over the sources in code-point order, null last.
     """
     rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
-    rows = materialize(rows.select(F.col(id_col).cast("long").alias("doc_id"), "_source", "_size", "_rank", "_block"), "mixing-sizes")
+    rows = materialize(rows.select(F.col(id_col).cast("long").alias("doc_id"), "_mix_source", "_mix_size", "_mix_rank", "_mix_block"), "mixing-sizes")
     found = with_copies(rows, *draw(rows, weights, share, most, shards, seed), seed)
-    return found.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"), F.col("_copies").alias("copies"))
+    return found.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.col("_mix_copies").alias("copies"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -163,10 +165,10 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     A document of which only leading words are taken is cut after them.
     """
     rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
-    rows = materialize(rows.select("_source", "_size", "_rank", "_block"), "mixing-sizes")
+    rows = materialize(rows.select("_mix_source", "_mix_size", "_mix_rank", "_mix_block"), "mixing-sizes")
     taken = with_copies(with_places(docs, seed, id_col, text_col, source_col), *draw(rows, weights, share, most, shards, seed), seed)
-    copies = taken.select(*docs.columns, "_size", F.explode("_copies").alias("_copy"))
-    n = F.col("_copy.words")
+    copies = taken.select(*docs.columns, "_mix_size", F.explode("_mix_copies").alias("_mix_copy"))
+    n = F.col("_mix_copy.words")
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
-    copies = copies.withColumn(text_col, F.when(n < F.col("_size"), lead).otherwise(F.col(text_col)))
-    return copies.repartition(shards, F.col("_copy.shard")).sortWithinPartitions("_copy.shard", "_copy.place").select(*docs.columns)
+    copies = copies.withColumn(text_col, F.when(n < F.col("_mix_size"), lead).otherwise(F.col(text_col)))
+    return copies.repartition(shards, F.col("_mix_copy.shard")).sortWithinPartitions("_mix_copy.shard", "_mix_copy.place").select(*docs.columns)

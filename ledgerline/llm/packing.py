@@ -4,8 +4,8 @@ A document longer than a sequence fills whole sequences with its first tokens; w
 is packed with others. A sequence takes the oldest waiting remainder and, from the window of those that
 wait, the multiset of lengths whose sum comes closest to the space left: a subset-sum over a bitset, with the
 number of pieces of each length traced back. Each task packs its own rows as they come, so no text is
-shuffled; the few remainders that its last windows can't fill exactly go to a second packing over groups of
-tasks, whose last sequences are the only padded ones.
+shuffled; the few remainders that its last windows can't fill exactly go, with their ids, to a second packing over groups
+of tasks. What fills no sequence there either is cut to fit, so that a group pads one sequence at most.
 
 Cases: null and empty texts are one piece of the end id alone; equal rows are packed one by one; an empty
 table gives no rows; null ids are carried along. Other columns are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import materialize, text_slices
 from ledgerline.llm.encoding import crc32_of, encoder, read_tokenizer
 
-import numpy as np
-
 CAPACITY = 2048
 #: Remainders that one choice looks at.
 WINDOW = 64
@@ -110,16 +109,35 @@ class Packer:
                 self._close(chosen)
         return left
 
+    def cut_to_fit(self, pieces: list[tuple]) -> None:
+        """Fills sequences with pieces (ids at index 5) in turn, cutting the last of each where it is full."""
+        room, part = self.capacity, []
+        for doc_id, start, length, crc, tokens, ids in pieces:
+            while length:
+                n = min(room, length)
+                part.append((doc_id, start, n, crc if n == len(ids) else crc32_of(ids[:n]), tokens, ids[:n]))
+                start, length, ids, room = start + n, length - n, ids[n:], room - n
+                crc = crc32_of(ids)
+                if not room:
+                    self._close(part)
+                    room, part = self.capacity, []
+        if part:
+            self._close(part)
+
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start (its document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
+
     def batch(rows: list[tuple], task: int | None) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 7
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task"]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*columns, [task] * len(rows))], names=names)
+        columns = [*zip(*rows)] or [()] * 8
+        ids = columns.pop(5)
+        numbers = [pa.array(x, pa.int64()) for x in (*columns, [task] * len(rows))]
+        packed = [None if task is None else x.astype("<u4").tobytes() for x in ids]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(packed, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(spec.value), TaskContext.get().partitionId()
@@ -130,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
                 ids = np.append(ids, np.array(end_id, "<u4"))
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]
-                    packer.add((doc_id, at, len(piece), crc32_of(piece), len(ids)))
+                    packer.add((doc_id, at, len(piece), crc32_of(piece), len(ids), piece))
             if packer.rows:
                 yield batch(packer.rows, None)
                 packer.rows = []
@@ -141,16 +159,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
     def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(1 << 62 | int(key[0]) << 32, capacity, window)
         ordered = rows.sort_values(["task", "doc_id", "start", "ids_crc32"])
-        ids = ordered["doc_id"].astype("object").where(ordered["doc_id"].notna(), None)
-        for doc_id, *rest in zip(ids, *(ordered[c].astype("int64") for c in ("start", "length", "ids_crc32", "doc_tokens"))):
-            packer.add((doc_id, *map(int, rest)))
-        packer.finish(keep_open=False)
-        frame = pd.DataFrame(packer.rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        docs = ordered["doc_id"].astype("object").where(ordered["doc_id"].notna(), None)
+        for doc_id, ids, *rest in zip(docs, ordered["ids"], *(ordered[c].astype("int64") for c in ("start", "length", "ids_crc32", "doc_tokens"))):
+            packer.add((doc_id, *map(int, rest), np.frombuffer(ids, "<u4")))
+        packer.cut_to_fit(packer.finish(keep_open=True))
+        frame = pd.DataFrame([(*x[:5], *x[6:]) for x in packer.rows], columns=[c for c in names if c not in ("task", "ids")])
         return frame.astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(texts.mapInArrow(run, f"{PIECE}, task long"), "packing-pieces")
-    placed, left = pieces.filter("task IS NULL").drop("task"), pieces.filter("task IS NOT NULL")
+    pieces = materialize(texts.mapInArrow(run, f"{PIECE}, task long, ids binary"), "packing-pieces")
+    placed, left = pieces.filter("task IS NULL").drop("task", "ids"), pieces.filter("task IS NOT NULL")
     repacked = left.groupBy((F.col("task") / GROUP).cast("long").alias("group")).applyInPandas(again, PIECE)
     return placed.unionByName(repacked)
 
