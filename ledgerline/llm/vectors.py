@@ -177,10 +177,10 @@ def _blocks(vectors: DataFrame, dim: int, axes: np.ndarray, eps: float) -> DataF
     return materialize(ordered.mapInArrow(cut, "block long, cell array<int>, lo array<double>, hi array<double>, ids binary, counts binary, vecs binary"), "vectors-blocks")
 
 
-def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
+def _near_blocks(blocks: DataFrame, dim: int, eps: float) -> DataFrame:
     """(l, r): blocks, l <= r, of the same or neighbouring cells whose boxes are within eps."""
     boxes = blocks.select("block", "cell", "lo", "hi")
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=GRID_AXES)])
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=min(GRID_AXES, dim))])
     around = boxes.select("block", "lo", "hi", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, d: c + d))).alias("cell"))
     left = around.select(F.col("block").alias("l"), "cell", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     right = boxes.select(F.col("block").alias("r"), "cell", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -233,7 +233,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id
         vectors = distinct.filter(F.col("dim") == dim)
         axes = principal_axes(vectors, dim)
         blocks = _blocks(vectors, dim, axes, eps)
-        part = _links(blocks, _near_blocks(blocks, eps), dim, axes, threshold, eps)
+        part = _links(blocks, _near_blocks(blocks, dim, eps), dim, axes, threshold, eps)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, other long")
