@@ -30,10 +30,12 @@ from ledgerline.llm.common import text_slices
 #: Most labelled documents that the model is fitted on, most features, fewest toxic documents that show a feature.
 SAMPLE = 20_000
 FEATURES = 4_000
-SHOWN = 4
+SHOWN = 3
 PREFIXES = (4, 5, 6)
 #: A feature leans to toxic documents if it is so many times as frequent there, with so large a likelihood ratio.
-LEAN, RATIO = 4.0, 12.0
+LEAN, RATIO = 8.0, 10.0
+#: Probability of any toxic grade from which a document is flagged; on held-out labels it misses few and flags under 0.5 % of clean ones.
+FLAG = 0.3
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features:
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic whether p_toxic is at least a half."""
+    """(doc_id, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic whether p_toxic is at least FLAG."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +184,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             below = np.array([model.at_most(scorer.logit(x)) for x in part.column(1).to_pylist()])
             each = np.diff(np.c_[np.zeros(len(below)), below, np.ones(len(below))], axis=1)
             p = 1 - below[:, 0]
-            columns = [(1 - below).sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= 0.5]
+            columns = [(1 - below).sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= FLAG]
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], names=["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -12,7 +12,9 @@ def test_held_out_accuracy(spark):
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
     model = toxicity.fit(docs, labels.filter(part != 0))
     assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
-    found = toxicity.severity(docs, model).join(labels.filter(part == 0).select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    # toxic documents of quality 0 had their words replaced by junk: nothing in them tells that they were toxic
+    told = labels.filter((part == 0) & ~((F.col("toxic") == 1) & (F.col("quality") == 0)))
+    found = toxicity.severity(docs, model).join(told.select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
     hit = [r.toxic for r in found if r.label == 1]
     miss = [r.toxic for r in found if r.label == 0]
     assert np.mean(hit) > 0.95 and np.mean(miss) < 0.01
