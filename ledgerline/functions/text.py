@@ -67,14 +67,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
+def _plain(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn")
+
+
+_ACCENTED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(_plain(c)) == 1 and _plain(c) != c]
+_MARKS = [c for c in map(chr, range(0x300, 0x370)) if unicodedata.category(c) == "Mn"]
+
+
+def fold_accents(text: Column) -> Column:
+    """Lower case without accents, for Latin letters and combining marks; strip_accents does so for every script."""
+    plain = F.translate(text, "".join(_ACCENTED + _MARKS), "".join(map(_plain, _ACCENTED)))
+    return F.lower(F.replace(plain, F.lit("ß"), F.lit("ss")))
+
+
 @F.pandas_udf(T.StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, and full case folding."""
 
-    def plain(x):
-        return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn").casefold()
-
-    return texts.map(plain)
+    return texts.map(lambda x: None if x is None else _plain(x).casefold())
 
 
 def _without_the(words: Column) -> Column:
@@ -84,7 +95,7 @@ def _without_the(words: Column) -> Column:
 def company_key(text: Column) -> Column:
     """Matching key of a company name: no leading article, no trailing legal forms, at least one token; null for none.
 
-    Expects a text free of accents (see strip_accents).
+    Expects a text free of accents (see fold_accents).
     """
     spaced = F.array_join(let(tokens(text), _without_the), " ")
     return F.nullif(F.regexp_replace(spaced, f"(?<=[0-9a-z])(?: (?:{'|'.join(LEGAL_SUFFIXES)}))+$", ""), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sender import clean_capture, clean_sender_name, detect_vendor, looks_like_person, sender_domain_label
-from ledgerline.functions.text import company_key, let, normalize_text, strip_accents
+from ledgerline.functions.text import company_key, fold_accents, let, normalize_text
 from ledgerline.schemas import EVENT_TYPES
 
 VERSION = "1"
@@ -248,7 +248,7 @@ def classify(messages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "message_id",
         "event_type",
         F.col("_company.value").alias("company"),
-        company_key(strip_accents("_company.value")).alias("company_key"),
+        company_key(fold_accents(F.col("_company.value"))).alias("company_key"),
         F.col("_role.value").alias("role"),
         F.col("_location.value").alias("location"),
         vendor.alias("ats"),

@@ -29,7 +29,7 @@ COMPANIES = {"The Acme Robotics, Inc.": "acme robotics", "Zürich Data GmbH": "z
 
 
 def test_company_key(spark):
-    key = text.company_key(text.strip_accents(F.col("x")))
+    key = text.company_key(text.fold_accents(F.col("x")))
     got = values(spark, list(COMPANIES), key)
     assert got == list(COMPANIES.values())
     assert values(spark, [x for x in got if x], key) == [x for x in got if x]
@@ -58,6 +58,11 @@ def test_strip_accents_matches_the_standard_library(spark):
     assert values(spark, xs, text.strip_accents(F.col("x"))) == ["".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c) != "Mn").casefold() for x in xs]
 
 
+def test_fold_accents_agrees_on_latin_text(spark):
+    xs = ["Ünïcödé Żółw", "Straße", "é", "Ệ", None]
+    assert values(spark, xs, text.fold_accents(F.col("x"))) == values(spark, xs, text.strip_accents(F.col("x")))
+
+
 def test_vendor_needs_a_label_boundary_and_takes_the_longest(spark):
     hosts = {"mail.greenhouse.io": "greenhouse", "greenhouse.io": "greenhouse", "notgreenhouse.io": None, "hire.lever.co": "lever", "x.angel.co": "wellfound"}
     assert values(spark, list(hosts), sender.vendor_of_host(F.col("x"))) == list(hosts.values())
