@@ -15,9 +15,9 @@ import numpy as np
 
 #: Most stretches that one Python worker remembers.
 MEMO_ENTRIES = 1_000_000
-#: Stretches that are encoded in one call, and what parts them where blanks are dropped.
+#: Stretches that are encoded in one call, and punctuation that is told apart from the letters before it.
 JOINED = 1024
-MARK = "~"
+TAILS = ".,"
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _known: dict[int, Encoder] = {}
@@ -63,70 +63,75 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.layout = layout(json.loads(spec))
         self.memo_entries = memo_entries
-        self.edge = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
         if self.layout == "spaced":
-            self.edge[[i for x, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if x.startswith("Ġ")]] = True
+            self.edge[[i for x, i in vocab.items() if x.startswith("Ġ")]] = True
         elif self.layout == "dropped":
-            mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-            if len(mark) == 1:
-                self.edge[mark] = True
+            self.edge[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.tails = dict(zip(TAILS, self._whole(list(TAILS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def _ids(self, stretches: list[str]) -> list[bytes]:
-        """The ids of each stretch. Stretches are encoded many at a time, and told apart again by the ids that
-        open one ('spaced') or that a mark between them has ('dropped')."""
-        if self.layout == "dropped":
-            alone = [x for x in stretches if MARK in x]
-            if alone:
-                found = dict(zip(alone, self._whole(alone)))
-                rest = [x for x in stretches if MARK not in x]
-                found.update(zip(rest, self._ids(rest)))
-                return [found[x] for x in stretches]
+        """The ids of each stretch. Where it is told which ids open or end a stretch, many are encoded in one call."""
+        if self.layout == "spaced":
+            return self._jointly([" " + x for x in stretches], "", opens=True)
+        # letters alone are one word; a full stop or comma behind them is another
+        cores = {x: x[:-1] if x[-1:] in TAILS else x for x in stretches if x and x not in TAILS}
+        cores = {x: c for x, c in cores.items() if c.isalpha() and "\u0130" not in c}
+        known = {c: self.memo.get(c) for c in cores.values()}
+        new = [c for c, ids in known.items() if ids is None]
+        known.update(zip(new, self._jointly(new, " ", opens=False)))
+        odd = [x for x in stretches if x not in cores]
+        found = dict(zip(odd, self._whole(odd)))
+        for x, c in cores.items():
+            found[x] = known[c] if x is c or x == c else known[c] + self.tails[x[-1]]
+        return [found[x] for x in stretches]
+
+    def _jointly(self, stretches: list[str], space: str, opens: bool) -> list[bytes]:
+        """The ids of stretches that each open (or end) with the one edge id in them."""
         out: list[bytes] = []
         for at in range(0, len(stretches), JOINED):
             part = stretches[at : at + JOINED]
-            joint = "".join([" " + x for x in part]) if self.layout == "spaced" else "".join([f"{x} {MARK} " for x in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([space.join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(part):
-                out += self._whole([" " + x for x in part] if self.layout == "spaced" else part)
+                out += self._whole(part)
                 continue
-            starts, ends = (edges, np.append(edges[1:], len(ids))) if self.layout == "spaced" else (np.append(0, edges[:-1] + 1), edges)
+            cuts = np.append(edges, len(ids)) if opens else np.append(0, edges + 1)
             raw, size = ids.tobytes(), self.dtype.itemsize
-            out += [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+            out += [raw[a:b] for a, b in zip((cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist())]
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens."""
         if self.layout == "whole":
             return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
-        memo, spaced = self.memo, self.layout == "spaced"
-        split = [x.split(" ") for x in texts]
+        spaced = self.layout == "spaced"
+        split = [x.split(" ") for x in (texts if spaced else [x.replace("\n", " ") for x in texts])]
         heads = [b""] * len(split)
         if spaced:  # the first stretch has no space before it
             first = [x.pop(0) for x in split]
             heads = self._whole(first)
-        missing = list(set().union(*split) - memo.keys())
+        found = [list(map(self.memo.get, parts)) for parts in split]
+        missing = list({x for parts, ids in zip(split, found) if not all(ids) for x, i in zip(parts, ids) if i is None})
         sound = [x for x in missing if _parts_well(x)] if spaced else missing
-        memo.update(zip(sound, self._ids(sound)))
-        if len(sound) < len(missing):
-            memo.update((x, None) for x in missing if not _parts_well(x))
+        fresh: dict[str, bytes | None] = dict.fromkeys(missing)
+        fresh.update(zip(sound, self._ids(sound)))
         out = []
-        for i, (head, parts) in enumerate(zip(heads, split)):
-            if spaced and not _parts_well(first[i]):
-                out.append(self._by_lone_spaces(texts[i]))
-                continue
-            try:
-                out.append(head + b"".join(map(memo.__getitem__, parts)))
-            except TypeError:  # a stretch beside other blanks
+        for i, (head, parts, ids) in enumerate(zip(heads, split, found)):
+            if not all(ids):
+                ids = [fresh[x] if y is None else y for x, y in zip(parts, ids)]
+            if spaced and (not _parts_well(first[i]) or None in ids):  # spaces beside other blanks
                 out.append(self._by_lone_spaces(texts[i]))
-        if len(memo) > self.memo_entries:
-            for x in missing:
-                del memo[x]
+            else:
+                out.append(head + b"".join(ids))
+        if len(self.memo) < self.memo_entries:
+            self.memo.update((x, fresh[x]) for x in sound)
         return [np.frombuffer(x, self.dtype) for x in out]
 
     def _by_lone_spaces(self, text: str) -> bytes:
