@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,13 @@ def hosts(value: Column) -> Column:
 
 def vendor_of_host(host: Column, vendors: dict[str, list[str]] | None = None) -> Column:
     """The vendor whose longest domain the host equals or lies under; null for none."""
-    ordered = sorted(((d, v) for v, ds in (vendors or VENDORS).items() for d in ds), key=lambda x: (-len(x[0]), x[0]))
-    return let(host, lambda h: F.coalesce(*[F.when((h == d) | F.endswith(h, F.lit(f".{d}")), v) for d, v in ordered]))
+    domains = F.from_json(F.lit(json.dumps({d: v for v, ds in (vendors or VENDORS).items() for d in ds})), "map<string,string>")
+
+    def longest(labels: Column) -> Column:
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        return F.get(F.array_compact(F.transform(suffixes, lambda x: F.try_element_at(domains, x))), 0)
+
+    return let(F.split(host, "[.]"), longest)
 
 
 def vendor_hits(from_email: Column, headers: Column) -> Column:

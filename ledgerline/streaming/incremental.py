@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.operators.components import written
 from ledgerline.operators.linking import events_of, link
 from ledgerline.operators.rules import classify
 from ledgerline.schemas import MESSAGE
@@ -56,10 +57,10 @@ def dry_run(spark: SparkSession, inbox: str, store: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, store: str, now) -> dict[str, DataFrame]:
-    """messages, classifications, links and events over everything synced."""
-    messages = stored(spark, store)
-    classifications = classify(messages)
-    links = link(messages, classifications, now)
+    """messages, classifications, links and events over everything synced, each computed once and kept in the shared folder."""
+    messages = written(stored(spark, store), "messages")
+    classifications = written(classify(messages), "classifications")
+    links = written(link(messages, classifications, now), "links")
     return {"messages": messages, "classifications": classifications, "links": links, "events": events_of(messages, classifications, links)}
 
 
