@@ -8,7 +8,7 @@ a binary tree over the output shards: each node deals its blocks to its two halv
 so that each shard's quotas add up to the blocks there are. Shards then take disjoint runs of each source's
 permuted blocks and order their documents by a keyed hash. All draws come from seeds, so reruns agree.
 
-Size and source tables: blocks (sources x BLOCKS rows) stay distributed; one row for each source goes to the driver, where the tree is
+Blocks and shards grow in number with the input, not in size. Blocks stay in distributed tables; one row for each source goes to the driver, where the tree is
 drawn, as sources and their weights are configuration.
 
 Cases: a null text has no words; the null source is a source of its own; sources of no words and an empty table get
@@ -18,15 +18,21 @@ many; a null id is an id like any other. Extra columns ride along in ``mix``, in
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import BLANKS, WORD, materialize, word_count
 
+#: Fewest blocks of a source; a larger source has blocks of BLOCK_WORDS words. Shards hold about SHARD_WORDS words.
 BLOCKS = 512
+BLOCK_WORDS = 4_000_000
+SHARD_WORDS = 8_000_000
 #: Most (source, block) rows that are broadcast; more are joined by a shuffle.
 BLOCKS_BROADCAST = 200_000
+#: Fewest output shards.
 SHARDS = 16
 #: Most sources; their totals and weights are held by the driver.
 MAX_SOURCES = 100_000
@@ -70,11 +76,15 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def with_places(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with _mix_source, _mix_size (words), _mix_rank (keyed place in the source) and _mix_block."""
+    """docs with _mix_source, _mix_size (words), _mix_rank (keyed place in the source) and _mix_draw (what its block is told by)."""
     size = word_count(F.col(text_col).cast("string"))
     rows = docs.withColumns({"_mix_source": F.col(source_col).cast("string"), "_mix_size": size, "_mix_id": F.col(id_col).cast("long")})
     hashed = lambda k: F.xxhash64(F.lit(seed + k), F.coalesce("_mix_id", F.lit(-1)), "_mix_size")
-    return rows.withColumns({"_mix_rank": hashed(0), "_mix_block": F.pmod(hashed(1), F.lit(BLOCKS)).cast("int")}).drop("_mix_id")
+    return rows.withColumns({"_mix_rank": hashed(0), "_mix_draw": hashed(1)}).drop("_mix_id")
+
+
+def block_of(per_source: int):
+    return F.pmod("_mix_draw", F.lit(per_source)).cast("int")
 
 
 def _last_lines(rows: DataFrame, placed: DataFrame) -> dict[int, tuple[int, int]]:
@@ -88,17 +98,20 @@ def _last_lines(rows: DataFrame, placed: DataFrame) -> dict[int, tuple[int, int]
     return {x.source_id: (x["rank"], x["left"] // x["n"]) for x in found.collect()}
 
 
-def draw(rows: DataFrame, weights: list[float], share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks, sources): the draw over rows(_mix_source, _mix_size, _mix_rank, _mix_block).
+def draw(rows: DataFrame, weights: list[float], share: float, most: float, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(blocks, sources, blocks of a source, shards): the draw over rows(_mix_source, _mix_size, _mix_rank, _mix_draw).
 
     blocks(s, block, shards, drawn, partial) tells the shard of each pass over a block; sources(s, source_size, target, passes, cut, each)
     has what holds for a source, where a partial block's rows below rank cut are taken whole, and those at it as far as each.
     """
     spark = rows.sparkSession
-    blocks = materialize(rows.groupBy(F.col("_mix_source").alias("s"), F.col("_mix_block").alias("block")).agg(F.sum("_mix_size").alias("words")), "mixing-blocks")
-    found = blocks.groupBy("s").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("blocks")).limit(MAX_SOURCES + 1).collect()
+    found = rows.groupBy(F.col("_mix_source").alias("s")).agg(F.sum("_mix_size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
+    per_source = max([BLOCKS, *(-(-x["size"] // BLOCK_WORDS) for x in found)])
+    shards = shards or max(SHARDS, math.ceil(share * sum(x["size"] for x in found) / SHARD_WORDS))
+    rows = rows.withColumn("_mix_block", block_of(per_source))
+    blocks = materialize(rows.groupBy(F.col("_mix_source").alias("s"), F.col("_mix_block").alias("block")).agg(F.sum("_mix_size").alias("words")), "mixing-blocks")
     found = sorted(found, key=lambda x: (x.s is None, x.s or ""))
     sizes = [int(x["size"]) for x in found]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
@@ -111,12 +124,13 @@ def draw(rows: DataFrame, weights: list[float], share: float, most: float, shard
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("turn", F.row_number().over(order) - 1).withColumn("before", before).withColumn("drawn", F.col("before") < F.col("rest"))
     placed = materialize(placed.withColumn("partial", F.col("drawn") & (F.col("before") + F.col("words") > F.col("rest"))), "mixing-turns")
-    extra = {x.source_id: x.n for x in placed.filter("drawn").groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {x.source_id: x for x in placed.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("drawn").alias("drawn")).collect()}
+    n_blocks, extra = [counts[i].n if i in counts else 0 for i in range(len(found))], {i: x.drawn for i, x in counts.items()}
     cuts = _last_lines(rows, placed)
 
-    quotas = [x.blocks * p + extra.get(i, 0) for i, (x, p) in enumerate(zip(found, passes))]
+    quotas = [n * p + extra.get(i, 0) for i, (n, p) in enumerate(zip(n_blocks, passes))]
     ends = np.cumsum(split_quotas(np.array(quotas, dtype=np.int64), shards, seed), axis=0)
-    table = [(i, x.s, z, t, p, *cuts.get(i, (None, None)), x.blocks, [int(e) for e in ends[:, i]]) for i, (x, z, t, p) in enumerate(zip(found, sizes, targets, passes))]
+    table = [(i, x.s, z, t, p, *cuts.get(i, (None, None)), n_blocks[i], [int(e) for e in ends[:, i]]) for i, (x, z, t, p) in enumerate(zip(found, sizes, targets, passes))]
     sources = spark.createDataFrame(table, "source_id int, name string, source_size long, target double, passes int, cut long, each long, blocks long, ends array<long>")
 
     # a block's k-th draw has number k * blocks + turn of its source's; its shard is the first whose run ends above that
@@ -124,12 +138,13 @@ def draw(rows: DataFrame, weights: list[float], share: float, most: float, shard
     times = F.col("passes") + F.col("drawn").cast("int")
     turns = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), shard)).otherwise(F.array().cast("array<int>"))
     dealt = placed.join(F.broadcast(sources.select("source_id", "blocks", "ends", "passes")), "source_id")
-    return materialize(dealt.select("s", "block", "drawn", "partial", turns.alias("shards")), "mixing-dealt"), sources.drop("blocks", "ends")
+    return materialize(dealt.select("s", "block", "drawn", "partial", turns.alias("shards")), "mixing-dealt"), sources.drop("blocks", "ends"), per_source, shards
 
 
-def with_copies(rows: DataFrame, blocks: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def with_copies(rows: DataFrame, blocks: DataFrame, sources: DataFrame, per_source: int, seed: int) -> DataFrame:
     """rows with _mix_source_size, _mix_target, _mix_taken and _mix_copies, an array of (shard, place, words)."""
     few = blocks.count() <= BLOCKS_BROADCAST
+    rows = rows.withColumn("_mix_block", block_of(per_source))
     mine = lambda df: df.select(*[F.col(c).alias(f"_mix_{'at_' if c == 'block' else ''}{c}") for c in df.columns])
     c = lambda name: F.col(f"_mix_{name}")
     blocks, sources = mine(blocks), mine(sources)
@@ -143,14 +158,15 @@ def with_copies(rows: DataFrame, blocks: DataFrame, sources: DataFrame, seed: in
     return keyed.withColumns({"_mix_taken": (c("size") * c("passes") + c("last")).cast("long"), "_mix_copies": copies})
 
 
-def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies) for each row; copies are (shard, place, words).
 
-    weights repeat over the sources in code-point order, null last.
+    weights repeat over the sources in code-point order, null last; shards follow the input's words unless given.
     """
     rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
-    rows = materialize(rows.select(F.col(id_col).cast("long").alias("doc_id"), "_mix_source", "_mix_size", "_mix_rank", "_mix_block"), "mixing-sizes")
-    found = with_copies(rows, *draw(rows, weights, share, most, shards, seed), seed)
+    rows = materialize(rows.select(F.col(id_col).cast("long").alias("doc_id"), "_mix_source", "_mix_size", "_mix_rank", "_mix_draw"), "mixing-sizes")
+    blocks, sources, per_source, _ = draw(rows, weights, share, most, shards, seed)
+    found = with_copies(rows, blocks, sources, per_source, seed)
     return found.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.col("_mix_copies").alias("copies"))
 
 
@@ -159,14 +175,15 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return plan(docs, [3, 1, 2]).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", F.transform("copies", lambda c: c["shard"].cast("string"))).alias("shards"))
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each copy, in its shard's order, with the columns of docs.
 
     A document of which only leading words are taken is cut after them.
     """
     rows = with_places(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
-    rows = materialize(rows.select("_mix_source", "_mix_size", "_mix_rank", "_mix_block"), "mixing-sizes")
-    taken = with_copies(with_places(docs, seed, id_col, text_col, source_col), *draw(rows, weights, share, most, shards, seed), seed)
+    rows = materialize(rows.select("_mix_source", "_mix_size", "_mix_rank", "_mix_draw"), "mixing-sizes")
+    blocks, sources, per_source, shards = draw(rows, weights, share, most, shards, seed)
+    taken = with_copies(with_places(docs, seed, id_col, text_col, source_col), blocks, sources, per_source, seed)
     copies = taken.select(*docs.columns, "_mix_size", F.explode("_mix_copies").alias("_mix_copy"))
     n = F.col("_mix_copy.words")
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
