@@ -32,6 +32,13 @@ BLOCK = 4096
 HOT_SAMPLE = 64
 #: Most large keys that are broadcast; more are joined by a shuffle.
 HOT_BROADCAST = 100_000
+#: Bits of the wide fingerprint, which tells candidates of the similarity 0.8 (38.7 bits apart on average, deviation 5.7).
+WIDE = 256
+#: Bits within which candidates are verified, and within which a first round looks for sure ones.
+RADIUS, SURE = 60, 30
+#: Bands and least hashes in each: texts of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, 0.9999 at 0.8.
+BANDS, BAND_ROWS = 30, 6
+_WORDS, _ROWS = (np.random.default_rng(n).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (WIDE // 64, BANDS * BAND_ROWS))
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -175,13 +182,153 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle_words: int = 5, max_distance: int = 5, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the smallest id stays, once; rows with a null id stay.
+def sketch(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
+    """(node, wide, keys) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its band keys."""
+    parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
+    counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        part = hashes[at : at + (1 << 10), None]
+        words = part * _WORDS
+        words = (words ^ (words >> np.uint64(32))) * _WORDS
+        words ^= words >> np.uint64(29)
+        counts += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        least = np.minimum(least, (part * _ROWS).min(axis=0))
+    wide = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), wide.tolist(), keys
 
-    The defaults link five-word fingerprints that differ in at most 5 of 64 bits (an estimated similarity well above 0.8).
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, hash, node, wide, keys): one row for each row of docs, hash telling its text."""
+    names, schema = ["doc_id", "hash", "node", "wide", "keys"], "doc_id long, hash long, node long, wide array<long>, keys array<long>"
+    signed = lambda x, shape: np.array(x, np.uint64).reshape(shape).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            found = [sketch(x, shingle_words) for x in part.column(2).to_pylist()]
+            node, wide, keys = (signed([x[i] for x in found], shape) for i, shape in enumerate([-1, (-1, WIDE // 64), (-1, BANDS)]))
+            lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (wide, keys)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *lists], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _group_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, own: np.ndarray, radius: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs within radius of differing labels with an own member: every one, or the closest that join what all join."""
+    label, pairs = label.copy(), []
+    for i in np.flatnonzero(own):
+        distance = np.bitwise_count(wide ^ wide[i]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((distance <= radius) & (label != label[i]))
+        if not every:
+            near = near[np.argsort(distance[near], kind="stable")]
+            near = near[np.unique(label[near], return_index=True)[1]]
+            label[np.isin(label, label[near])] = label[i]
+        pairs += [(int(node[i]), int(node[j])) for j in near]
+    return pairs
+
+
+def _candidates(members: DataFrame, radius: int, every: bool) -> DataFrame:
+    """(a, b), a < b: candidate pairs of members(key, size, node, wide, root); keys of many members are dealt out in blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
+    dealt = dealt.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "mine", "node", "root", *[F.col("wide")[i].alias(f"w{i}") for i in range(WIDE // 64)])
+    dealt = dealt.select("key", "block", "node", "root", (F.col("mine") == F.col("block")).cast("long").alias("own"), *[f"w{i}" for i in range(WIDE // 64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            sizes = np.diff(np.r_[starts, len(rows)])
+            wide = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            two = starts[sizes == 2]
+            close = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int64) <= radius) & (rows[two, 3] != rows[two + 1, 3])]
+            pairs = [rows[np.stack([close, close + 1], axis=1), 2]]
+            for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                part = rows[at : at + n]
+                if (part[:, 3] != part[0, 3]).any():
+                    found = _group_pairs(part[:, 2], wide[at : at + n], part[:, 3], part[:, 4] != 0, radius, every)
+                    pairs.append(np.array(found, np.int64).reshape(-1, 2))
+            both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
+            whole = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if not cut and (not waiting or (waiting[-1][-1, :2] == rows[0, :2]).all()):
+                waiting.append(rows)  # still one key; join the parts once it ends
+                continue
+            yield out(np.concatenate([*waiting, rows[:cut]]))
+            waiting = [rows[cut:]]
+        if waiting:
+            yield out(np.concatenate(waiting))
+
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets of shingles have a Jaccard similarity of at least similarity; texts: (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: set(shingles((x or "").encode("utf-8", "surrogatepass"), shingle_words))
+        last, left = None, set()
+        for batch in batches:
+            for part in text_slices([batch]):
+                kept = []
+                for a, x, y in zip(part.column(0).to_pylist(), part.column(2), part.column(3)):
+                    if a != last:
+                        last, left = a, of(x.as_py())
+                    right = of(y.as_py())
+                    both = len(left & right)
+                    kept.append(both >= similarity * (len(left) + len(right) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hash, root): rows of docs of one root are joined by links of a Jaccard similarity of at least similarity."""
+    rows = materialize(sketches(docs, shingle_words, id_col, text_col), "near-sketches")
+    nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "near-nodes")
+    shared = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialize(nodes.select("node", "wide", F.explode("keys").alias("key")).join(shared, "key").select("key", "size", "node", "wide"), "near-members")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    links = None
+    for radius, every in ((SURE, False), (RADIUS, False), (RADIUS, True)):
+        pairs = materialize(_candidates(members.join(roots, "node"), radius, every), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.join(ends, "node").select("node", "hash")
+        texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).join(wanted, "hash")
+        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+        found = materialize(_verified(pairs, texts, shingle_words, similarity), "near-links")
+        links = found if links is None else links.union(found)
+        joined = connected_components(links).toDF("node", "up")
+        roots = materialize(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("up", "node").alias("root")), "near-roots")
+    return rows.select("doc_id", "hash", "node").join(roots, "node").select("doc_id", "hash", "root")
+
+
+def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group the row with the smallest id stays, once; rows with a null id stay.
+
+    Links are of an exact Jaccard similarity of the sets of shingles of at least similarity. Candidates share a band of
+    least hashes and have wide fingerprints within RADIUS bits, so a link is missed only by chance (see the README).
     """
-    found = materialize(near_duplicates(docs, shingle_words, max_distance, segments, id_col, text_col), "simhash-found")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    repeated = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col)
-    known = docs.join(gone, id_col, "left_anti")
-    return known.join(repeated, id_col, "left_anti").unionByName(known.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+    found = materialize(similar_groups(docs, shingle_words, similarity, id_col, text_col), "near-found").filter("doc_id IS NOT NULL")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("best"))
+    marked = found.join(best, "root").select("doc_id", "hash", (F.struct("doc_id", "hash") == F.col("best")).alias("stays"))
+    marked = materialize(marked.groupBy(F.col("doc_id").alias(id_col), F.col("hash").alias("_hash")).agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "near-marked")
+    gone, repeated = marked.filter("NOT stays").select(id_col, "_hash"), marked.filter("stays AND n > 1").select(id_col, "_hash")
+    key = [id_col, "_hash"]
+    known = docs.withColumn("_hash", text_hash(text_col)).join(gone, key, "left_anti")
+    kept = known.join(repeated, key, "left_anti").unionByName(known.join(repeated, key, "left_semi").dropDuplicates(key))
+    return kept.select(*docs.columns)

@@ -94,3 +94,58 @@ def test_hot_keys_are_dealt_out_and_lose_nothing(spark, monkeypatch):
 def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "something else entirely this is"), (None, "a b c d e f g"), (2, "something else entirely this is")], "doc_id long, text string")
     assert sorted((r.doc_id or 0 for r in simhash.keep_one_each(docs).collect())) == [0, 1, 2]
+
+
+def slow_similar(texts, size, similarity):
+    """Smallest index reachable over links of an exact Jaccard similarity of the sets of shingles."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+    label, changed = list(range(len(sets))), True
+    linked = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= similarity * len(x | y)]
+    while changed:
+        changed = False
+        for i, j in linked:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def near_copies(rng):
+    """Chains of edited copies with similarities on both sides of 0.8, and documents that share a long passage only."""
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            words = edited(rng, words, max(1, round(len(words) * rng.choice([0.01, 0.015, 0.02, 0.025, 0.03, 0.04]))))
+            texts.append(" ".join(words))
+    passage = [f"p{i}" for i in range(70)]
+    return texts + [" ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(12)]
+
+
+def test_near_copies_of_the_contract_go_and_others_stay(spark, monkeypatch):
+    texts = near_copies(random.Random(5))
+    want = slow_similar(texts, 5, 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (4096, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted(r.doc_id for r in simhash.keep_one_each(docs).collect()) == sorted(set(want))
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    docs = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two + " end"), (3, "other " * 9)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one_each(docs).collect()) == sorted([(1, one), (2, two), (3, "other " * 9)])
+
+
+def test_keeps_empty_tables_and_awkward_rows(spark):
+    assert simhash.keep_one_each(empty(spark)).columns == empty(spark).columns and simhash.keep_one_each(empty(spark)).count() == 0
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one_each(awkward(spark)).collect()) == [0, 1, 4, 5, 7, 8, 9]
