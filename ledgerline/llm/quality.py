@@ -6,7 +6,9 @@ the exact binomial test rejects "it drops at least ALPHA of good documents", i.e
 k good documents of n dropped. The tests of a rule and stratum stop at the first failure (fixed sequence), and
 the level is DELTA divided by the number of rules and strata (Bonferroni), so with probability 1 - DELTA no rule drops
 ALPHA of a stratum's good documents. Among valid cutoffs the one that drops most bad documents is taken, the most
-lenient of equals; a rule that drops none, and any rule in a stratum with too few labels, stays off.
+lenient of equals; a rule that drops none stays off. Strata with too few labels for any cutoff are tested together
+(all_cutoffs), at the levels they leave unused; the bound then holds for the pool's good documents and not for each stratum's.
+Rules stay off where the pool has too few labels too, and in strata without labels.
 
 Cases: a null text has no words and fails the base rule; a null stratum is one of its own; labels that are null, for
 unknown documents or repeated alike count once for each equal (doc_id, quality); an empty table gives no rows.
@@ -127,16 +129,19 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["total"])
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the valid cutoff of each rule and stratum that has one worth using.
+def _holdout(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each stratum: n good labelled documents, and the bad and good ones above each cutoff.
 
     labels: (doc_id, quality). Documents that the base rule drops are no part of the holdout, as no cutoff decides on them.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
     held = stats.filter(~base_failed()).join(marks, "doc_id")
     counts = [F.sum(F.when((F.col("quality") == q) & (F.col(rule) > cut), 1).otherwise(0)).alias(f"{rule}_{i}_{q}") for rule, grid in RULES.items() for i, cut in enumerate(grid) for q in (0, 1)]
-    totals = materialize(held.groupBy("stratum").agg(F.sum("quality").alias("n"), *counts), "quality-holdout")
-    level = math.log(delta / (max(1, totals.count()) * len(RULES)))
+    return materialize(held.groupBy("stratum").agg(F.sum("quality").alias("n"), *counts), "quality-holdout")
+
+
+def _best(totals: DataFrame, alpha: float, level: float) -> DataFrame:
+    """(stratum, rule, cutoff): the valid cutoff of each rule and row of totals that has one worth using; level is a logarithm."""
     tried = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{i}_0").alias("bad"), F.col(f"{rule}_{i}_1").alias("good")) for rule, grid in RULES.items() for i, cut in enumerate(grid)])
     rows = totals.select("stratum", "n", F.explode(tried).alias("t")).select("stratum", "n", "t.*")
     rows = rows.withColumn("ok", log_binomial_tail(F.col("n"), F.col("good"), alpha) <= level)
@@ -146,10 +151,34 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return rules.select("stratum", "rule", best["cutoff"].alias("cutoff")).filter("cutoff IS NOT NULL")
 
 
+def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff): the valid cutoff of each rule and stratum that has one worth using, by its own labels alone."""
+    totals = _holdout(stats, labels)
+    return _best(totals, alpha, math.log(delta / (max(1, totals.count()) * len(RULES))))
+
+
+def all_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """cutoffs, and for the strata whose labels are too few for any cutoff those of a pool: these strata together, or all
+    strata where these are too few together. Whether labels are too few depends on their number only, so the
+    pool's tests may have the levels that these strata can't use."""
+    totals = _holdout(stats, labels)
+    each = max(1, totals.count())
+    level = math.log(delta / (each * len(RULES)))
+    small = totals.filter(F.col("n") * math.log(1 - alpha) > level)
+    strata, n = small.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = _best(totals, alpha, level)
+    if not strata:
+        return own
+    level = math.log(delta * strata / (each * len(RULES)))
+    pool = small if n * math.log(1 - alpha) <= level else totals
+    pool = pool.agg(*[F.sum(c).alias(c) for c in totals.columns if c != "stratum"]).withColumn("stratum", F.lit(None).cast("string"))
+    return own.unionByName(small.select("stratum").crossJoin(_best(pool, alpha, level).select("rule", "cutoff")))
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row for each row of docs: its counts, base_failed and kept."""
     stats = materialize(statistics(docs, id_col, text_col, stratum_col), "quality-stats")
-    chosen = materialize(cutoffs(stats, labels, alpha, delta), "quality-cutoffs")
+    chosen = materialize(all_cutoffs(stats, labels, alpha, delta), "quality-cutoffs")
     wide = chosen.groupBy(F.col("stratum").alias("s")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
     above = [F.coalesce(stats[rule] > wide[rule], F.lit(False)) for rule in RULES]
     found = stats.join(wide, stats["stratum"].eqNullSafe(wide["s"]), "left")

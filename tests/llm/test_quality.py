@@ -78,3 +78,13 @@ def test_awkward_rows(spark):
     assert len(rows) == 11 and all(r.base_failed for r in rows if (r.doc_id or 0) in (1, 2, 3, 4, 5, 6, 9))
     assert quality.verdicts(empty(spark), labels.limit(0)).count() == 0
     assert quality.keep_good(awkward(spark), labels).columns == awkward(spark).columns
+
+
+def test_strata_with_few_labels_are_pooled(spark):
+    good, bad = ([" ".join(f"{w}{i}" for i in range(60)) for w in ws] for ws in ("abcdefgh", "ABCDEFGH"))
+    rows = [(i, t, lang, q) for i, (t, lang, q) in enumerate([(t, lang, q) for lang in ("x", "y") for q, ts in ((1, good * 10), (0, bad)) for t in ts] + [(good[0], "z", 1)] * 400 + [(bad[0], "z", 0), (bad[0], "u", None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    docs = docs.withColumn("text", F.when(F.col("quality").isNull() | (F.col("quality") == 0), F.concat("text", F.repeat(F.lit(" |!"), F.lit(40)))).otherwise(F.col("text")))
+    rejected = lambda alpha: {(r.lang, r.quality) for r in quality.verdicts(docs, docs.select("doc_id", "quality"), alpha=alpha).filter("not kept and not base_failed").join(docs, "doc_id").collect()}
+    # z certifies alone; x and y (80 good each) do together at 0.04, with z's at 0.02, and nothing does at 0.001
+    assert rejected(0.04) == rejected(0.02) == {("x", 0), ("y", 0), ("z", 0)} and rejected(0.001) == set()
