@@ -181,6 +181,11 @@ def status_counts_zero_fill(spark, sf_dir):
     return reports.status_counts(_model(spark, sf_dir)[2].filter("company_key = 'company 3'"))
 
 
+@query("status_counts_all", f"SELECT d.rank, d.status, count(m.application_id) AS n FROM {_STATUS_DIM} LEFT JOIN model m USING (status) GROUP BY 1, 2")
+def status_counts_all(spark, sf_dir):
+    return reports.status_counts(_model(spark, sf_dir)[2])
+
+
 @query(
     "weekly_counts",
     """plain WITH c AS (SELECT date_trunc('week', o_orderdate) + INTERVAL 6 DAY AS period, count(*) AS n FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1),
@@ -192,6 +197,16 @@ def weekly_counts(spark, sf_dir):
     return reports.calendar_counts(orders, "o_orderdate", "W").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
 
 
+@query(
+    "weekly_counts_all",
+    """plain WITH c AS (SELECT date_trunc('week', o_orderdate) + INTERVAL 6 DAY AS period, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+    s AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS period FROM c)
+    SELECT strftime(s.period, '%Y-%m-%d') AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.period = s.period""",
+)
+def weekly_counts_all(spark, sf_dir):
+    return reports.calendar_counts(table(spark, sf_dir, "orders"), "o_orderdate", "W").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
+
+
 @query(
     "top_n_crosstab",
     """SELECT t.place::INTEGER AS place, t.company, t.total, m.status, count(*) AS n FROM (SELECT company, count(*) AS total, row_number() OVER (ORDER BY count(*) DESC, min(application_id)) AS place FROM model GROUP BY company QUALIFY place <= 10) t
