@@ -167,6 +167,20 @@ def candidate_search(spark, sf_dir):
     return ov.candidates(t["applications"], t["events"], t["messages"], probes).select("probe_id", "application_id", micros("last_event_at"))
 
 
+@query(
+    "candidate_search_all",
+    """SELECT p.probe_id, c.application_id, epoch_us(l.last_event_at) AS last_event_at FROM (SELECT min(event_id) AS probe_id, concat('company ', user_id % 40) AS company_key, concat('t', event_id % 97) AS thread_id FROM ev GROUP BY 2, 3) p
+    JOIN (SELECT DISTINCT a.application_id, a.company_key, m.thread_id FROM app a JOIN ev e USING (application_id) JOIN msg m USING (message_id)) c ON c.company_key = p.company_key OR c.thread_id = p.thread_id
+    JOIN (SELECT application_id, max(occurred_at) AS last_event_at FROM ev GROUP BY 1) l ON l.application_id = c.application_id GROUP BY ALL""",
+)
+def candidate_search_all(spark, sf_dir):
+    """Every distinct company key and thread asks once, under its first event's id: messages of equal ones have equal candidates."""
+    t = log(spark, sf_dir)
+    keys = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string")).alias("company_key"), F.concat(F.lit("t"), (F.col("event_id") % 97).cast("string")).alias("thread_id"))
+    probes = keys.groupBy("company_key", "thread_id").agg(F.min("event_id").alias("probe_id"))
+    return ov.candidates(t["applications"], t["events"], t["messages"], probes).select("probe_id", "application_id", micros("last_event_at"))
+
+
 @query("application_threads", "SELECT DISTINCT application_id, thread_id FROM ev JOIN msg USING (message_id)")
 def application_threads(spark, sf_dir):
     t = log(spark, sf_dir)

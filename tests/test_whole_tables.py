@@ -22,3 +22,12 @@ def test_weekly_counts_fill_gaps(spark, tmp_path):
     df.write.parquet(str(tmp_path / "orders.parquet"))
     got = [(r.period, r.n) for r in QUERIES["weekly_counts_all"](spark, str(tmp_path)).collect()]
     assert got == [("2024-01-07", 1), ("2024-01-14", 0), ("2024-01-21", 0), ("2024-01-28", 1)]
+
+
+def test_every_key_and_thread_is_searched(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id").collect()
+    first = {}
+    for r in sorted(events):
+        first.setdefault((r.user_id % 40, r.event_id % 97), r.event_id)
+    found = {r.probe_id for r in QUERIES["candidate_search_all"](spark, DATA).select("probe_id").distinct().collect()}
+    assert found == set(first.values())
