@@ -2,6 +2,9 @@
 
 The two layouts below never join characters across a space, so a text's ids are the ids of its stretches
 in turn. Tokenizers of any other layout encode each text as it is.
+
+Strings of special tokens in a text are ordinary text (encode_special_tokens), as the tokenizers' own README has it: a document
+that holds "<|endoftext|>" gets the ids of its characters and no end id inside.
 """
 
 from __future__ import annotations
@@ -9,12 +12,18 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-
-#: Most stretches that one Python worker remembers.
-MEMO_ENTRIES = 1_000_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of stretches, their ids and their entries that one Python worker remembers, about.
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 160
+#: Bytes of text that are encoded at a time; a longer text is encoded alone.
+SLICE_BYTES = 8 << 20
 #: Stretches that are encoded in one call, and punctuation that is told apart from the letters before it.
 JOINED = 1024
 TAILS = ".,"
@@ -29,7 +38,7 @@ def read_tokenizer(path: str) -> str:
 
 
 def encoder(spec: str) -> Encoder:
-    """The worker's encoder for a tokenizer file's text; its memo lives as long as the worker."""
+    """The worker's encoder for a tokenizer file's text; its memo lives as long as the worker, within MEMO_BYTES."""
     key = zlib.crc32(spec.encode())
     if key not in _known:
         _known.clear()
@@ -52,7 +61,7 @@ def layout(spec: dict) -> str:
 
 
 class Encoder:
-    def __init__(self, spec: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, spec: str, memo_bytes: int = MEMO_BYTES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,7 +71,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.layout = layout(json.loads(spec))
-        self.memo_entries = memo_entries
+        self.memo_bytes, self.memo_held = memo_bytes, 0
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         if self.layout == "spaced":
@@ -107,32 +116,50 @@ class Encoder:
             out += [raw[a:b] for a, b in zip((cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist())]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
+    def _remembered(self, stretches: list[str], sound: list[bool]) -> list[bytes]:
+        """The ids of each stretch, those that aren't sound left empty; new ones are remembered while there is room."""
+        found = list(map(self.memo.get, stretches))
+        new = [x for x, ids, ok in zip(stretches, found, sound) if ids is None and ok]
+        fresh = dict(zip(new, self._ids(new)))
+        if self.memo_held < self.memo_bytes:
+            self.memo.update(fresh)
+            self.memo_held += sum(len(x) + len(ids) + ENTRY_BYTES for x, ids in fresh.items())
+        return [fresh.get(x, b"") if ids is None else ids for x, ids in zip(stretches, found)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (none null), without special tokens.
+
+        Stretches are numbered column-wise, each distinct one is looked up once, and the ids are gathered by number.
+        """
+        if not len(texts):
+            return []
         if self.layout == "whole":
-            return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
+            return [np.frombuffer(x, self.dtype) for x in self._whole(texts.to_pylist())]
         spaced = self.layout == "spaced"
-        split = [x.split(" ") for x in (texts if spaced else [x.replace("\n", " ") for x in texts])]
-        heads = [b""] * len(split)
-        if spaced:  # the first stretch has no space before it
-            first = [x.pop(0) for x in split]
-            heads = self._whole(first)
-        found = [list(map(self.memo.get, parts)) for parts in split]
-        missing = list({x for parts, ids in zip(split, found) if not all(ids) for x, i in zip(parts, ids) if i is None})
-        sound = [x for x in missing if _parts_well(x)] if spaced else missing
-        fresh: dict[str, bytes | None] = dict.fromkeys(missing)
-        fresh.update(zip(sound, self._ids(sound)))
-        out = []
-        for i, (head, parts, ids) in enumerate(zip(heads, split, found)):
-            if not all(ids):
-                ids = [fresh[x] if y is None else y for x, y in zip(parts, ids)]
-            if spaced and (not _parts_well(first[i]) or None in ids):  # spaces beside other blanks
-                out.append(self._by_lone_spaces(texts[i]))
-            else:
-                out.append(head + b"".join(ids))
-        if len(self.memo) < self.memo_entries:
-            self.memo.update((x, fresh[x]) for x in sound)
-        return [np.frombuffer(x, self.dtype) for x in out]
+        parts = pc.split_pattern(texts if spaced else pc.replace_substring(texts, "\n", " "), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        words = parts.flatten()
+        coded = words.dictionary_encode()
+        number, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        sound = list(map(_parts_well, known)) if spaced else [True] * len(known)
+        ids = self._remembered(known, sound)
+        alone: dict[int, bytes] = {}
+        if spaced:  # the first stretch has no space before it; spaces beside other blanks open no stretch
+            heads = words.take(pa.array(bounds[:-1])).to_pylist()
+            odd = ~np.array(sound)[number]
+            odd[bounds[:-1]] = [not _parts_well(x) for x in heads]
+            alone = {int(i): self._by_lone_spaces(texts[int(i)].as_py()) for i in np.flatnonzero(np.logical_or.reduceat(odd, bounds[:-1]))}
+            number[bounds[:-1]] = len(known) + np.arange(len(heads))
+            ids += self._whole(heads)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        flat, begins = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(sizes) - sizes
+        each = sizes[number]
+        ends = np.cumsum(each)
+        small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        out = flat[np.repeat((begins[number] - (ends - each)).astype(small), each) + np.arange(ends[-1], dtype=small)]
+        cuts = np.append(0, ends[bounds[1:] - 1])
+        return [np.frombuffer(alone[i], self.dtype) if i in alone else out[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
     def _by_lone_spaces(self, text: str) -> bytes:
         head, *rest = _LONE_SPACE.split(text)
@@ -144,6 +171,18 @@ def _parts_well(stretch: str) -> bool:
     return stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(column 0, texts of column 1 with null as empty) in slices of about most_bytes of text, one text at least."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        grown = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(grown, (grown[at - 1] if at else 0) + most_bytes, "right")))
+            yield batch.column(0).slice(at, end - at), texts.slice(at, end - at)
+            at = end
+
+
 def crc32_of(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, text_slices
-from ledgerline.llm.encoding import crc32_of, encoder, read_tokenizer
+from ledgerline.llm.common import materialize
+from ledgerline.llm.encoding import crc32_of, encoder, read_tokenizer, text_batches
 
 CAPACITY = 2048
 #: Remainders that one choice looks at.
@@ -142,9 +142,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(spec.value), TaskContext.get().partitionId()
         packer = Packer(task << 32, capacity, window)
-        for part in text_slices(batches):
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
+        for doc_ids, texts in text_batches(batches):
+            for doc_id, ids in zip(doc_ids.to_pylist(), enc.encode(texts)):
                 ids = np.append(ids, np.array(end_id, "<u4"))
                 for at in range(0, len(ids), capacity):
                     piece = ids[at : at + capacity]

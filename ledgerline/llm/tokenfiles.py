@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import new_path, text_slices
-from ledgerline.llm.encoding import crc32_of, encoder, read_tokenizer
+from ledgerline.llm.common import new_path
+from ledgerline.llm.encoding import crc32_of, encoder, read_tokenizer, text_batches
 
 LENGTH = 2048
 BATCH = 64
@@ -131,10 +131,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         enc, shard, writer = encoder(spec.value), TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
         end = np.array([end_id], enc.dtype)
-        for part in text_slices(batches):
+        for doc_ids, texts in text_batches(batches):
             writer = writer or ShardWriter(path, enc.dtype, length, batch)
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts)):
+            for doc_id, ids in zip(doc_ids.to_pylist(), enc.encode(texts)):
                 writer.add(doc_id, np.concatenate([ids, end]))
         if writer:
             writer.close()
