@@ -4,7 +4,11 @@ A fingerprint of 64 bits is cut into segments. Two fingerprints within ``max_dis
 least one segment up to ``max_distance // segments`` bits, so each fingerprint enumerates the small
 Hamming balls of its segments, ball members meet in a keyed table, and complete distances are verified
 there. Every key's members are joined into a forest, so a group of n near copies yields n - 1 links
-and not all pairs.
+and not all pairs. A key of many members is split by the bits outside its segment, of which one part in max_distance + 1 agrees, and
+what is large even then is dealt out as pairs of blocks.
+
+``keep_one_each``, the stage of a corpus pipeline, links texts by the exact similarity of their sets of shingles. At 0.8 fingerprints
+are too far apart for segments as keys, so candidates share a band of least hashes there, and wide fingerprints tell which to verify.
 
 Cases: a null or empty text (or one of blanks) has fingerprint zero and is linked like any other; texts of fewer words than a
 shingle give one shingle; rows with equal texts share a fingerprint; a row with a null id keeps its place in a
@@ -19,14 +23,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import connected_components, materialize, text_slices
 
 BITS = 64
 SEED = 42
-#: Members of one key that one task compares with the key's table; larger keys are dealt out in blocks of this size.
+#: Members of one key that are compared at a time; larger keys are split and dealt out in blocks of this size.
 BLOCK = 4096
 #: Share of fingerprints (1 in so many) from which large keys are told; it shapes the layout only, never the result.
 HOT_SAMPLE = 64
@@ -37,7 +41,7 @@ WIDE = 256
 #: Bits within which candidates are verified, and within which a first round looks for sure ones.
 RADIUS, SURE = 60, 30
 #: Bands and least hashes in each: texts of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, 0.9999 at 0.8.
-BANDS, BAND_ROWS = 30, 6
+BANDS, BAND_ROWS = 24, 5
 _WORDS, _ROWS = (np.random.default_rng(n).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (WIDE // 64, BANDS * BAND_ROWS))
 
 
@@ -76,38 +80,58 @@ def ball(width: int, radius: int) -> list[int]:
 
 
 def _probes(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """(key, fp, stored): the ball members of each segment of each fingerprint. The radius is shared between the
-    stored balls and the asking ones: centres within r meet at a point within the halves of r of both."""
+    """(key, segment, fp): the ball members of each segment of each fingerprint. The radius is shared between the
+    two that meet: centres within r meet at a point within half of r of one and the rest of r of the other."""
     radius = max_distance // segments
-    stored_radius = radius // 2
     edges = [BITS * i // segments for i in range(segments + 1)]
     entries = [
-        F.struct(F.lit(low).alias("low"), F.lit((1 << (high - low)) - 1).cast("long").alias("full"), F.lit(mask).cast("long").alias("mask"), F.lit(s << (high - low)).cast("long").alias("tag"), F.lit(mask.bit_count() <= stored_radius).alias("stored"))
+        F.struct(F.lit(low).alias("low"), F.lit((1 << (high - low)) - 1).cast("long").alias("full"), F.lit(mask).cast("long").alias("mask"), F.lit(s << (high - low)).cast("long").alias("tag"), F.lit(s).alias("segment"))
         for s, (low, high) in enumerate(zip(edges, edges[1:]))
-        for mask in ball(high - low, radius - stored_radius)
+        for mask in ball(high - low, radius - radius // 2)
     ]
     key = F.expr("(shiftrightunsigned(fp, p.low) & p.full ^ p.mask) + p.tag")
-    return fps.select("fp", F.explode(F.array(*entries)).alias("p")).select(key.alias("key"), "fp", F.col("p.stored").alias("stored"))
+    return fps.select("fp", F.explode(F.array(*entries)).alias("p")).select(key.alias("key"), F.col("p.segment").alias("segment"), "fp")
+
+
+def _parts_of_rest(segment: int, max_distance: int, segments: int):
+    """Array of the parts of the bits outside a segment; fingerprints within max_distance agree in at least one of them."""
+    low, high = BITS * segment // segments, BITS * (segment + 1) // segments
+    width = BITS - (high - low)
+    below = f"(fp & {(1 << low) - 1}L)"
+    rest = below if high == BITS else f"({below} | shiftleft(shiftrightunsigned(fp, {high}), {low}))"
+    cuts = [width * i // (max_distance + 1) for i in range(max_distance + 2)]
+    return F.array(*[F.expr(f"((shiftrightunsigned({rest}, {a}) & {(1 << (b - a)) - 1}L) * {max_distance + 1}L + {i}L) + 1L") for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def _dealt(probes: DataFrame) -> DataFrame:
-    """(key, block, fp, own): members of large keys are dealt to blocks, and stored members go to all blocks of their key."""
-    member = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30))
-    hot = probes.filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
-    hot = hot.filter(F.col("count") >= BLOCK // HOT_SAMPLE).select("key", F.ceil(F.col("count") * HOT_SAMPLE / BLOCK).cast("int").alias("blocks"))
+def _hot(rows: DataFrame, key: list[str], member: str) -> DataFrame:
+    """(key, n): keys of about BLOCK members or more, told from a share of the members; it shapes the layout and never the result."""
+    share = rows.filter(F.pmod(F.xxhash64(member, F.lit(11)), F.lit(HOT_SAMPLE)) == 0).groupBy(*key).count()
+    hot = share.filter(F.col("count") >= max(1, BLOCK // HOT_SAMPLE)).select(*key, (F.col("count") * HOT_SAMPLE).alias("n"))
     hot = materialize(hot, "simhash-hot")
-    n = hot.count()
-    if not n:
-        return probes.select("key", F.lit(0).alias("block"), "fp", F.lit(True).alias("own"))
-    rows = probes.join(F.broadcast(hot) if n <= HOT_BROADCAST else hot, "key", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(member, F.col("blocks"))).cast("int"))
-    spread = F.when(F.col("stored") & F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
-    return rows.select("key", "fp", "mine", F.explode(spread).alias("block")).select("key", "block", "fp", (F.col("mine") == F.col("block")).alias("own"))
+    return F.broadcast(hot) if hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST else hot
+
+
+def _block_pairs(member: str):
+    """(i, j), i <= j: the pairs of blocks to which a member of a key of about n members goes; (0, 0) where n is null."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64(member, F.lit(7)), blocks).cast("int")
+    pair = lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))
+    return F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
+
 
+def _dealt(probes: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(key, part, i, j, fp): members of large keys go by the parts of their other bits, and in pairs of blocks where these are large too."""
+    hot = _hot(probes, ["key"], "fp")
+    parts = F.coalesce(*[F.when(F.col("segment") == k, _parts_of_rest(k, max_distance, segments)) for k in range(segments)])
+    split = probes.join(hot, "key", "left").select("key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part"))
+    hot = _hot(split.filter("part > 0"), ["key", "part"], "fp")
+    return split.join(hot, ["key", "part"], "left").select("key", "part", "fp", F.explode(_block_pairs("fp")).alias("p")).select("key", "part", "p.i", "p.j", "fp")
 
-def forest(fp: np.ndarray, own: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
-    """Links within max_distance between an own member and any member, as few as join what those links join."""
+
+def forest(fp: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
+    """Links within max_distance, as few as join what all links join."""
     label, links = np.arange(len(fp)), []
-    for i in np.flatnonzero(own):
+    for i in range(len(fp)):
         near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= max_distance)
         others, first = np.unique(label[near], return_index=True)
         for comp, j in zip(others, near[first]):
@@ -119,52 +143,54 @@ def forest(fp: np.ndarray, own: np.ndarray, max_distance: int) -> list[tuple[int
     return links
 
 
-def _linker(max_distance: int):
-    def links(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> tuple[list[int], list[int]]:
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(key)])
-        pairs = starts[sizes == 2]
-        close = pairs[(np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= max_distance) & (fp[pairs] != fp[pairs + 1])]
-        a, b = fp[close].tolist(), fp[close + 1].tolist()
-        for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            for x, y in forest(fp[at : at + n], own[at : at + n], max_distance):
-                a.append(x)
-                b.append(y)
-        return a, b
+def whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Rows of 64-bit integers in which every group (equal in the first width columns, sorted) is whole; memory is one group or a batch."""
+    waiting: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
+        if waiting and (waiting[-1][-1, :width] != rows[0, :width]).any():
+            yield np.concatenate(waiting)
+            waiting = []
+        others = np.flatnonzero((rows[:, :width] != rows[-1, :width]).any(axis=1))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield np.concatenate([*waiting, rows[:cut]])
+            waiting = []
+        waiting.append(rows[cut:])
+    if waiting:
+        yield np.concatenate(waiting)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty((0, 2), np.int64), np.empty(0, np.uint64), np.empty(0, bool)]
 
-        def out(arrays):
-            a, b = links(*arrays)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+def _groups(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the groups of rows."""
+    starts = np.flatnonzero(np.r_[True, (rows[1:, :width] != rows[:-1, :width]).any(axis=1)])
+    return starts, np.diff(np.r_[starts, len(rows)])
 
-        waiting: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)], axis=1)
-            waiting.append([key, batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False)])
-            if (key[0] == key[-1]).all() and (not len(held[0]) or (held[0][0] == key[0]).all()):
-                continue  # still one key; join the parts once it ends
-            held = [np.concatenate(x) for x in zip(held, *waiting)]
-            waiting = []
-            cut = len(held[0]) - 1
-            cut = int(np.flatnonzero((held[0] != held[0][cut]).any(axis=1))[-1]) + 1 if (held[0][0] != held[0][cut]).any() else 0
-            if cut:
-                yield out([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        held = [np.concatenate(x) for x in zip(held, *waiting)]
-        if len(held[0]):
-            yield out(held)
+
+def _linker(max_distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, 4):
+            starts, sizes = _groups(rows, 4)
+            fp = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+            pairs = starts[sizes == 2]
+            close = pairs[(np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= max_distance) & (fp[pairs] != fp[pairs + 1])]
+            a, b = fp[close].tolist(), fp[close + 1].tolist()
+            for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                for x, y in forest(fp[at : at + n], max_distance):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
 def near_links(fps: DataFrame, max_distance: int = 3, segments: int = 2) -> DataFrame:
     """(a, b): links that join all distinct fingerprints of fps(fp) within max_distance of each other."""
-    dealt = _dealt(_probes(fps, max_distance, segments))
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_linker(max_distance), "a long, b long")
+    dealt = _dealt(_probes(fps, max_distance, segments), max_distance, segments)
+    place = ["key", "part", "i", "j"]
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_linker(max_distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,59 +244,84 @@ def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _group_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, own: np.ndarray, radius: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs within radius of differing labels with an own member: every one, or the closest that join what all join."""
+def _near_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int, every: bool) -> list[tuple[int, int]]:
+    """Pairs within radius of differing labels: every one, or as few as join what all join, the sure ones first and then the closest."""
     label, pairs = label.copy(), []
-    for i in np.flatnonzero(own):
-        distance = np.bitwise_count(wide ^ wide[i]).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero((distance <= radius) & (label != label[i]))
-        if not every:
-            near = near[np.argsort(distance[near], kind="stable")]
-            near = near[np.unique(label[near], return_index=True)[1]]
-            label[np.isin(label, label[near])] = label[i]
-        pairs += [(int(node[i]), int(node[j])) for j in near]
+    for most in [radius] if every else [SURE, radius]:
+        for i in range(len(node)):
+            if not every and (label == label[0]).all():
+                return pairs
+            distance = np.bitwise_count(wide ^ wide[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero((distance <= most) & (label != label[i]))
+            if every:
+                near = near[near > i]
+            elif len(near):
+                near = near[np.argsort(distance[near], kind="stable")]
+                near = near[np.unique(label[near], return_index=True)[1]]
+                label[np.isin(label, label[near])] = label[i]
+            pairs += [(int(node[i]), int(node[j])) for j in near]
     return pairs
 
 
 def _candidates(members: DataFrame, radius: int, every: bool) -> DataFrame:
-    """(a, b), a < b: candidate pairs of members(key, size, node, wide, root); keys of many members are dealt out in blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
-    dealt = dealt.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "mine", "node", "root", *[F.col("wide")[i].alias(f"w{i}") for i in range(WIDE // 64)])
-    dealt = dealt.select("key", "block", "node", "root", (F.col("mine") == F.col("block")).cast("long").alias("own"), *[f"w{i}" for i in range(WIDE // 64)])
+    """(a, b), a < b: candidate pairs of differing roots of members(key, i, j, node, root, wide), group by group of (key, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-            sizes = np.diff(np.r_[starts, len(rows)])
+        for rows in whole_groups(batches, 3):
+            starts, sizes = _groups(rows, 3)
             wide = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
             two = starts[sizes == 2]
-            close = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int64) <= radius) & (rows[two, 3] != rows[two + 1, 3])]
-            pairs = [rows[np.stack([close, close + 1], axis=1), 2]]
+            close = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int64) <= radius) & (rows[two, 4] != rows[two + 1, 4])]
+            pairs = [rows[np.stack([close, close + 1], axis=1), 3]]
             for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
                 part = rows[at : at + n]
-                if (part[:, 3] != part[0, 3]).any():
-                    found = _group_pairs(part[:, 2], wide[at : at + n], part[:, 3], part[:, 4] != 0, radius, every)
+                if (part[:, 4] != part[0, 4]).any():
+                    found = _near_pairs(part[:, 3], wide[at : at + n], part[:, 4], radius, every)
                     pairs.append(np.array(found, np.int64).reshape(-1, 2))
             both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        waiting: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
-            whole = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            if not cut and (not waiting or (waiting[-1][-1, :2] == rows[0, :2]).all()):
-                waiting.append(rows)  # still one key; join the parts once it ends
-                continue
-            yield out(np.concatenate([*waiting, rows[:cut]]))
-            waiting = [rows[cut:]]
-        if waiting:
-            yield out(np.concatenate(waiting))
-
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    rows = members.select("key", "i", "j", "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)])
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _first_round(nodes: DataFrame) -> DataFrame:
+    """(key, i, j, node, root, wide): members by key. Those of a large key are dealt to blocks with one member in common, so
+    that a group of copies of any size is joined by about as many candidates as it has members."""
+    members = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"), "wide")
+    hot = _hot(members, ["key"], "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(hot, "key", "left")
+    dealt = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), blocks), F.lit(0)).cast("int").alias("i"), F.lit(0).alias("j"), "node", "root", "wide")
+    leaders = members.join(hot, "key").groupBy("key").agg(F.min(F.struct("node", "wide")).alias("lead"), F.first("n").alias("n"))
+    leaders = leaders.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(0).alias("j"), F.col("lead.node").alias("node"), F.col("lead.node").alias("root"), F.col("lead.wide").alias("wide"))
+    return dealt.unionByName(leaders)
+
+
+def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, i, j, node, root, wide): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
+    members has blocks of its own, which do not meet each other."""
+    members = nodes.join(roots, "node").select(F.explode("keys").alias("key"), "node", "root", "wide")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
+    mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
+    members = members.join(mixed, "key")
+    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide")
+    large = mixed.filter(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return plain
+    whole = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = materialize(sizes.filter(F.col("size") > BLOCK).join(large, "key").select("key", "root", whole(F.col("size")).alias("mine"), whole(F.col("small")).alias("first")), "near-large")
+    order = Window.partitionBy("key").orderBy("root")  # as many rows as the key has roots of over BLOCK members
+    own = own.withColumn("low", F.col("first") + F.sum("mine").over(order) - F.col("mine"))
+    total = own.groupBy("key").agg(F.sum("mine").alias("owned"))
+    dealt = members.filter(F.col("n") > BLOCK).join(own.select("key", "root", "mine", "low"), ["key", "root"], "left").join(total, "key", "left")
+    blocks = whole(F.col("small")) + F.coalesce("owned", F.lit(0))
+    block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
+    dealt = dealt.withColumns({"block": block, "blocks": blocks})
+    partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
+    dealt = dealt.select("key", "node", "root", "wide", "block", F.explode(partners).alias("other"))
+    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -295,15 +346,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hash, root): rows of docs of one root are joined by links of a Jaccard similarity of at least similarity."""
+    """(doc_id, hash, root): rows of docs of one root are joined by links of a Jaccard similarity of at least similarity.
+
+    A first round joins each key's members by as few candidates as can join them; a second takes every candidate pair that
+    verification has left in different groups, so a group costs pairs in proportion to its members.
+    """
     rows = materialize(sketches(docs, shingle_words, id_col, text_col), "near-sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "near-nodes")
-    shared = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(nodes.select("node", "wide", F.explode("keys").alias("key")).join(shared, "key").select("key", "size", "node", "wide"), "near-members")
-    roots = nodes.select("node", F.col("node").alias("root"))
-    links = None
-    for radius, every in ((SURE, False), (RADIUS, False), (RADIUS, True)):
-        pairs = materialize(_candidates(members.join(roots, "node"), radius, every), "near-pairs")
+    roots, links = nodes.select("node", F.col("node").alias("root")), None
+    for every in (False, True):
+        members = _second_round(nodes, roots) if every else _first_round(nodes)
+        pairs = materialize(_candidates(members, RADIUS, every), "near-pairs")
         if pairs.isEmpty():
             continue
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -318,17 +371,21 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
 
 def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each group the row with the smallest id stays, once; rows with a null id stay.
+    """docs without near copies: of each group the row with the smallest id stays, once; a null id comes after all others.
 
     Links are of an exact Jaccard similarity of the sets of shingles of at least similarity. Candidates share a band of
-    least hashes and have wide fingerprints within RADIUS bits, so a link is missed only by chance (see the README).
+    least hashes and have wide fingerprints within RADIUS bits, so a link is missed only by chance (see the README). Rows are told apart by
+    id and text: of one id, rows of other texts stay or go by their own groups.
     """
-    found = materialize(similar_groups(docs, shingle_words, similarity, id_col, text_col), "near-found").filter("doc_id IS NOT NULL")
-    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("best"))
-    marked = found.join(best, "root").select("doc_id", "hash", (F.struct("doc_id", "hash") == F.col("best")).alias("stays"))
-    marked = materialize(marked.groupBy(F.col("doc_id").alias(id_col), F.col("hash").alias("_hash")).agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "near-marked")
-    gone, repeated = marked.filter("NOT stays").select(id_col, "_hash"), marked.filter("stays AND n > 1").select(id_col, "_hash")
-    key = [id_col, "_hash"]
-    known = docs.withColumn("_hash", text_hash(text_col)).join(gone, key, "left_anti")
-    kept = known.join(repeated, key, "left_anti").unionByName(known.join(repeated, key, "left_semi").dropDuplicates(key))
-    return kept.select(*docs.columns)
+    found = materialize(similar_groups(docs, shingle_words, similarity, id_col, text_col), "near-found")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = found.groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    marked = found.join(best, "root").groupBy(F.col("doc_id").alias("_near_id"), F.col("hash").alias("_near_hash")).agg(F.first(rank == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = materialize(marked.filter("NOT stays OR n > 1"), "near-marked")
+    key = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (text_hash(text_col) == F.col("_near_hash"))
+    kept = docs.join(marked, key, "left_anti")
+    repeated = marked.filter("stays")
+    if not repeated.isEmpty():  # rows that stand there several times, alike in id and text: one of them
+        again = docs.join(repeated, key, "left_semi").withColumns({"_near_id": F.col(id_col).cast("long"), "_near_hash": text_hash(text_col)})
+        kept = kept.unionByName(again.dropDuplicates(["_near_id", "_near_hash"]).select(*docs.columns))
+    return kept
