@@ -1,4 +1,4 @@
-"""Thin command line over a store folder: sync, list, stats, review, export, dashboard."""
+"""Thin command line over a store folder: sync, list, stats, review, correct, export, dashboard."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
 from ledgerline.operators.linking import applications_of
-from ledgerline.schemas import OVERRIDE, STATUSES, empty
+from ledgerline.schemas import EVENT_TYPES, STATUSES
 from ledgerline.sources import sinks
 from ledgerline.streaming import incremental
 
@@ -29,13 +29,7 @@ def since(value: str, now: datetime) -> datetime:
 def frames(spark: SparkSession, store: str, now: datetime):
     """The store's tables, their effective events, and the read model."""
     t = incremental.tables(spark, store, now.replace(tzinfo=None))
-    try:
-        overrides = spark.read.schema(OVERRIDE).parquet(f"{store}/overrides")
-    except Exception as error:  # no correction yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        overrides = empty(spark, OVERRIDE)
-    latest = ov.latest_by(overrides, ["message_id"], F.col("corrected_at"))
+    latest = incremental.overrides_of(spark, store)
     effective = ev.effective_events(t["events"], t["messages"], t["classifications"], latest)
     return t, latest, effective, ev.read_model(applications_of(t["links"]), effective, F.lit(now))
 
@@ -52,6 +46,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     listing.add_argument("--since", help="days, or an ISO date: only applications with an event from then on")
     verbs.add_parser("stats")
     verbs.add_parser("review").add_argument("--limit", type=int, default=20)
+    correcting = verbs.add_parser("correct")
+    correcting.add_argument("message_id")
+    correcting.add_argument("--type", choices=EVENT_TYPES)
+    correcting.add_argument("--company")
+    correcting.add_argument("--role")
+    correcting.add_argument("--note")
     for verb in ("export", "dashboard"):
         verbs.add_parser(verb).add_argument("path")
     args = parser.parse_args(argv)
@@ -61,12 +61,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         incremental.sync(spark, args.inbox, args.store)
         incremental.report(incremental.tables(spark, args.store, now.replace(tzinfo=None))).show(truncate=False)
         return 0
+    if args.verb == "correct":
+        incremental.set_override(spark, args.store, args.message_id, now, args.type, args.company, args.role, args.note)
+        return 0
     t, overrides, effective, model = frames(spark, args.store, now)
     if args.verb == "list":
         found = ev.list_applications(model, status=args.status, company=args.company)
         if args.since:
             found = found.filter(F.col("last_event_at") >= F.lit(since(args.since, now)))
-        ev.export_frame(found).show(1000, truncate=False)
+        frame = ev.export_frame(found.orderBy("application_id"))
+        print("\t".join(frame.columns))
+        for row in frame.toLocalIterator():  # every application, a partition at a time
+            print("\t".join("" if x is None else str(x) for x in row))
     elif args.verb == "stats":
         reports.summary(model).show(truncate=False)
         reports.stats_by_status(model).show()

@@ -44,6 +44,16 @@ def effective_events(events: DataFrame, messages: DataFrame, classifications: Da
     )
 
 
+def newest(events: DataFrame) -> DataFrame:
+    """The latest event of all, by time and then number; no row for none."""
+    return events.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(1)
+
+
+def short_date(at: Column) -> Column:
+    """A timestamp as listings show it, in UTC (the session's zone)."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
 def status_of(last_terminal: Column, best_rank: Column, last_at: Column, now: Column, ghost_days: int) -> Column:
     """The latest terminal event decides; else silence of more than ghost_days; else the furthest stage."""
     furthest = lookup(STATUS_OF, F.element_at(F.array(*[F.lit(x) for x in EVENT_TYPES]), best_rank + 1))

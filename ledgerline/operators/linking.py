@@ -1,13 +1,14 @@
-"""Linking messages to applications: an ordered fold, run separately for each connected component of threads and companies.
+"""Linking messages to applications: an ordered fold, run separately for each company.
 
 Rules, for each message from the oldest on: unknown type or no company key, no link; an application on the same
 thread, the latest active; else one of the same company within the window whose role is similar (the best,
 then the latest); else one of the same company where either role is missing (the latest); else a new application.
 A match fills in missing fields of its application, which can change later matches.
 
-No rule reaches across components of the graph between threads and company keys, so a component is folded in one
-task. Its size is the one bound here: a thread or company with very many messages is one task's work, as every link
-depends on the links before it.
+A thread's first linkable message finds or makes an application of its own company, and every later one follows it there by
+the thread, whatever company it names. So a thread belongs to the company of its first linkable message, no rule
+reaches across companies, and each company is folded by itself; threads of several companies don't tie these together. The
+messages of one company are one task's work, in narrow rows, as each link depends on the links before it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import link_tokens
-from ledgerline.operators.components import components
+from ledgerline.functions.text import company_key, link_tokens, strip_accents
 
 WINDOW_DAYS = 180
 SIMILAR = 0.75
@@ -80,21 +80,41 @@ def fold(rows: list[dict[str, Any]], now, window_days: int = WINDOW_DAYS) -> lis
     return out
 
 
-def link(messages: DataFrame, classifications: DataFrame, now, window_days: int = WINDOW_DAYS) -> DataFrame:
+def corrected(classifications: DataFrame, overrides: DataFrame, reapply: bool = False) -> DataFrame:
+    """What linking goes by: classifications with the corrections of overrides, one row at most for each message.
+
+    A type of unknown unlinks. A message that links by its own classification keeps its application, so its company and role stay;
+    one that doesn't links by the corrected type, company and role. With reapply, as after new rules, corrections always count.
+    """
+    o = overrides.select("message_id", F.col("event_type").alias("o_type"), F.nullif("company", F.lit("")).alias("o_company"), F.nullif("role", F.lit("")).alias("o_role"))
+    rows = classifications.join(o, "message_id", "left")
+    own = F.coalesce((F.col("event_type") != "unknown") & F.col("company_key").isNotNull(), F.lit(False))
+    use = F.lit(reapply) | ~own
+    key = company_key(strip_accents(F.col("o_company")))
+    fields = {
+        "company_key": F.when(use & F.col("o_company").isNotNull(), key).otherwise(F.col("company_key")),
+        "company": F.when(use, F.coalesce("o_company", "company")).otherwise(F.col("company")),
+        "role": F.when(use, F.coalesce("o_role", "role")).otherwise(F.col("role")),
+        "event_type": F.coalesce("o_type", "event_type"),
+    }
+    return rows.withColumns(fields).drop("o_type", "o_company", "o_role")
+
+
+def link(messages: DataFrame, classifications: DataFrame, now, window_days: int = WINDOW_DAYS, overrides: DataFrame | None = None, reapply: bool = False) -> DataFrame:
     """(message_id, application_id, created, and the application's fields) for each message; now bounds the window."""
-    rows = messages.select("message_id", "thread_id", "received_at").join(classifications.select("message_id", "event_type", "company", "company_key", "role", "location", "ats"), "message_id")
+    found = classifications if overrides is None else corrected(classifications, overrides, reapply)
+    rows = messages.select("message_id", "thread_id", "received_at").join(found.select("message_id", "event_type", "company", "company_key", "role", "location", "ats"), "message_id")
     rows = rows.withColumn("words", link_tokens(F.col("role")))
     linkable = rows.filter("event_type <> 'unknown' AND company_key IS NOT NULL")
-    ends = linkable.select(F.concat(F.lit("t:"), "thread_id").alias("a"), F.concat(F.lit("c:"), "company_key").alias("b")).distinct()
-    roots = components(ends)
-    keyed = linkable.withColumn("node", F.concat(F.lit("c:"), "company_key")).join(roots, "node").drop("node")
+    homes = linkable.groupBy("thread_id").agg(F.min_by("company_key", F.struct("received_at", "message_id")).alias("home"))
+    keyed = linkable.join(homes, linkable["thread_id"].eqNullSafe(homes["thread_id"])).drop(homes["thread_id"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["received_at", "message_id"])
         records = [{k: None if not isinstance(v, (list,)) and not hasattr(v, "__len__") and pd.isna(v) else v for k, v in r.items()} for r in group.to_dict("records")]
         return pd.DataFrame(fold(records, pd.Timestamp(now), window_days), columns=["message_id", "application_id", "created", "company", "company_key", "role", "location", "ats"])
 
-    linked = keyed.groupBy("root").applyInPandas(run, LINK)
+    linked = keyed.groupBy("home").applyInPandas(run, LINK)
     rest = rows.filter("NOT coalesce(event_type <> 'unknown' AND company_key IS NOT NULL, false)")
     none = [F.lit(None).cast("string").alias(c) for c in ("company", "company_key", "role", "location", "ats")]
     return linked.unionByName(rest.select("message_id", F.lit(None).cast("string").alias("application_id"), F.lit(False).alias("created"), *none))

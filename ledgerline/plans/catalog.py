@@ -14,7 +14,8 @@ from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
 from ledgerline.operators.components import shared_dir
 from ledgerline.operators.linking import link
-from ledgerline.operators.rules import Rule, confidence, fired, ranks_of, winner
+from ledgerline.operators.rules import Rule, classify, confidence, fired, ranks_of, winner
+from ledgerline.plans import mails
 from ledgerline.plans.standins import GHOST_DAYS, NOW, SQL, SQL_BY_SEVENTH, log, now, table
 from ledgerline.schemas import EVENT_TYPES
 from ledgerline.streaming.incremental import stored, sync
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None, by: str = "day"):
     def register(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = (SQL if by == "day" else SQL_BY_SEVENTH) + sql if sql.lstrip().startswith("SELECT") else sql.lstrip().removeprefix("plain ")
+            ORACLES[name] = (SQL if by == "day" else SQL_BY_SEVENTH) + sql if sql.lstrip().startswith(("SELECT", ",")) else sql.lstrip().removeprefix("plain ")
         return f
 
     return register
@@ -156,24 +157,11 @@ def upsert_latest(spark, sf_dir):
 
 @query(
     "candidate_search",
-    """SELECT p.probe_id, c.application_id, epoch_us(l.last_event_at) AS last_event_at FROM (SELECT event_id AS probe_id, concat('company ', user_id % 40) AS company_key, concat('t', event_id % 97) AS thread_id FROM ev WHERE event_id % 500 = 0) p
-    JOIN (SELECT DISTINCT a.application_id, a.company_key, m.thread_id FROM app a JOIN ev e USING (application_id) JOIN msg m USING (message_id)) c ON c.company_key = p.company_key OR c.thread_id = p.thread_id
-    JOIN (SELECT application_id, max(occurred_at) AS last_event_at FROM ev GROUP BY 1) l ON l.application_id = c.application_id GROUP BY ALL""",
-)
-def candidate_search(spark, sf_dir):
-    t = log(spark, sf_dir)
-    raw = table(spark, sf_dir, "events").filter("event_id % 500 = 0")
-    probes = raw.select(F.col("event_id").alias("probe_id"), F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string")).alias("company_key"), F.concat(F.lit("t"), (F.col("event_id") % 97).cast("string")).alias("thread_id"))
-    return ov.candidates(t["applications"], t["events"], t["messages"], probes).select("probe_id", "application_id", micros("last_event_at"))
-
-
-@query(
-    "candidate_search_all",
     """SELECT p.probe_id, c.application_id, epoch_us(l.last_event_at) AS last_event_at FROM (SELECT min(event_id) AS probe_id, concat('company ', user_id % 40) AS company_key, concat('t', event_id % 97) AS thread_id FROM ev GROUP BY 2, 3) p
     JOIN (SELECT DISTINCT a.application_id, a.company_key, m.thread_id FROM app a JOIN ev e USING (application_id) JOIN msg m USING (message_id)) c ON c.company_key = p.company_key OR c.thread_id = p.thread_id
     JOIN (SELECT application_id, max(occurred_at) AS last_event_at FROM ev GROUP BY 1) l ON l.application_id = c.application_id GROUP BY ALL""",
 )
-def candidate_search_all(spark, sf_dir):
+def candidate_search(spark, sf_dir):
     """Every distinct company key and thread asks once, under its first event's id: messages of equal ones have equal candidates."""
     t = log(spark, sf_dir)
     keys = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string")).alias("company_key"), F.concat(F.lit("t"), (F.col("event_id") % 97).cast("string")).alias("thread_id"))
@@ -190,34 +178,18 @@ def application_threads(spark, sf_dir):
 _STATUS_DIM = "(VALUES (0,'applied'),(1,'assessment'),(2,'interviewing'),(3,'offer'),(4,'rejected'),(5,'withdrawn'),(6,'ghosted')) d(rank, status)"
 
 
-@query("status_counts_zero_fill", f"SELECT d.rank, d.status, count(m.application_id) AS n FROM {_STATUS_DIM} LEFT JOIN (SELECT * FROM model WHERE company_key = 'company 3') m USING (status) GROUP BY 1, 2")
+@query("status_counts_zero_fill", f"SELECT d.rank, d.status, count(m.application_id) AS n FROM {_STATUS_DIM} LEFT JOIN model m USING (status) GROUP BY 1, 2")
 def status_counts_zero_fill(spark, sf_dir):
-    return reports.status_counts(_model(spark, sf_dir)[2].filter("company_key = 'company 3'"))
-
-
-@query("status_counts_all", f"SELECT d.rank, d.status, count(m.application_id) AS n FROM {_STATUS_DIM} LEFT JOIN model m USING (status) GROUP BY 1, 2")
-def status_counts_all(spark, sf_dir):
     return reports.status_counts(_model(spark, sf_dir)[2])
 
 
 @query(
     "weekly_counts",
-    """plain WITH c AS (SELECT date_trunc('week', o_orderdate) + INTERVAL 6 DAY AS period, count(*) AS n FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1),
-    s AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS period FROM c)
-    SELECT strftime(s.period, '%Y-%m-%d') AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.period = s.period""",
-)
-def weekly_counts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0")
-    return reports.calendar_counts(orders, "o_orderdate", "W").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
-
-
-@query(
-    "weekly_counts_all",
     """plain WITH c AS (SELECT date_trunc('week', o_orderdate) + INTERVAL 6 DAY AS period, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
     s AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS period FROM c)
     SELECT strftime(s.period, '%Y-%m-%d') AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.period = s.period""",
 )
-def weekly_counts_all(spark, sf_dir):
+def weekly_counts(spark, sf_dir):
     return reports.calendar_counts(table(spark, sf_dir, "orders"), "o_orderdate", "W").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
 
 
@@ -433,6 +405,82 @@ def event_projection(spark, sf_dir):
     return ev.event_frame(_model(spark, sf_dir)[1]).withColumn("occurred_at", F.unix_micros("occurred_at"))
 
 
+_NEWEST = "SELECT event_id, epoch_us(occurred_at) AS occurred_at FROM ev ORDER BY ev.occurred_at DESC, event_id DESC LIMIT 1"
+
+
+@query("newest_event", _NEWEST)
+def newest_event(spark, sf_dir):
+    return ev.newest(log(spark, sf_dir)["events"]).select("event_id", micros("occurred_at"))
+
+
+@query("calendar_daily", """plain WITH c AS (SELECT o_orderdate::DATE AS period, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+    s AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 DAY))::DATE AS period FROM c)
+    SELECT strftime(s.period, '%Y-%m-%d') AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.period = s.period""")
+def calendar_daily(spark, sf_dir):
+    return reports.calendar_counts(table(spark, sf_dir, "orders"), "o_orderdate", "D").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
+
+
+@query("calendar_monthly", """plain WITH c AS (SELECT date_trunc('month', o_orderdate) AS period, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+    s AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS period FROM c)
+    SELECT strftime(s.period, '%Y-%m-%d') AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.period = s.period""")
+def calendar_monthly(spark, sf_dir):
+    return reports.calendar_counts(table(spark, sf_dir, "orders"), "o_orderdate", "MS").select(F.date_format("period", "yyyy-MM-dd").alias("period"), "n")
+
+
+@query("short_dates", "plain SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS shown FROM orders")
+def short_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", ev.short_date(F.col("o_orderdate")).alias("shown"))
+
+
+# Mail of known meaning, made of the customer table: what is expected is written down beside each text, not computed.
+
+
+@query("classify_mail", mails.expected_sql())
+def classify_mail(spark, sf_dir):
+    found = classify(mails.messages(table(spark, sf_dir, "customer")))
+    return found.select("message_id", "event_type", "company", "company_key", "role", "location", "ats", "confidence", "needs_review")
+
+
+@query("rule_table", mails.rules_sql())
+def rule_table(spark, sf_dir):
+    texts = mails.rule_texts(table(spark, sf_dir, "customer"))
+    return texts.select("c_custkey", F.array_join(fired(F.col("subject"), F.col("body")), ",").alias("rule_ids"))
+
+
+@query("vendor_detection", mails.vendors_sql())
+def vendor_detection(spark, sf_dir):
+    mail = mails.vendor_mails(table(spark, sf_dir, "customer"))
+    found = sender.detect_vendor(F.col("from_email"), F.col("headers"))
+    return mail.select("c_custkey", found["vendor"].alias("ats"), F.array_join(found["evidence"], ",").alias("evidence"), sender.sender_domain_label(F.col("from_email")).alias("label"))
+
+
+def _link_input(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+    message = F.concat(F.lit("m"), F.col("n").cast("string"))
+    messages = raw.select(message.alias("message_id"), F.concat_ws("-", F.col("user_id").cast("string"), (F.col("n") % 11).cast("string")).alias("thread_id"), F.col("ts").cast("timestamp").alias("received_at"))
+    key, none = F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string")), F.lit(None).cast("string")
+    classes = raw.select(message.alias("message_id"), F.when(F.col("n") % 10 == 0, "unknown").otherwise("interview").alias("event_type"), key.alias("company"), F.when(F.col("n") % 29 != 0, key).alias("company_key"), none.alias("role"), none.alias("location"), none.alias("ats"))
+    return messages, classes
+
+
+_RELINKED = """, seen AS (
+    SELECT e.message_id, concat(e.user_id, '-', e.event_id % 11) AS thread_id, e.occurred_at, coalesce(o.event_type, CASE WHEN e.event_id % 10 = 0 THEN 'unknown' ELSE 'interview' END) AS type,
+        CASE WHEN (e.event_id % 10 = 0 OR e.event_id % 29 = 0) AND o.company <> '' THEN lower(o.company) WHEN e.event_id % 29 <> 0 THEN concat('company ', e.user_id % 40) END AS key
+    FROM ev e LEFT JOIN ovr o USING (message_id)),
+linkable AS (SELECT * FROM seen WHERE type <> 'unknown' AND key IS NOT NULL),
+homes AS (SELECT thread_id, arg_min(key, (occurred_at, message_id)) AS home FROM linkable GROUP BY 1),
+apps AS (SELECT home, arg_min(message_id, (occurred_at, message_id)) AS seed FROM linkable JOIN homes USING (thread_id) GROUP BY 1)
+SELECT s.message_id, 'app_' || substr(sha256(a.home || chr(31) || chr(31) || a.seed), 1, 16) AS application_id, coalesce(s.message_id = a.seed, false) AS created
+FROM seen s LEFT JOIN (SELECT message_id, home FROM linkable JOIN homes USING (thread_id)) h USING (message_id) LEFT JOIN apps a USING (home)"""
+
+
+@query("relink_after_override", _RELINKED)
+def relink_after_override(spark, sf_dir):
+    """Links with corrections folded in. Without roles, all threads that a company opens share one application, which SQL can say."""
+    messages, classes = _link_input(spark, sf_dir)
+    return link(messages, classes, NOW, overrides=log(spark, sf_dir)["overrides"]).select("message_id", "application_id", "created")
+
+
 # Beyond SQL: rows only; the tests compare these with plain Python.
 
 

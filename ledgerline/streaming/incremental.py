@@ -7,27 +7,33 @@ gives the same result whatever the batches were, and a correction needs no rewri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.components import written
 from ledgerline.operators.linking import events_of, link
+from ledgerline.operators.overrides import insert_new, latest_by
 from ledgerline.operators.rules import classify
-from ledgerline.schemas import MESSAGE
+from ledgerline.schemas import EVENT_TYPES, MESSAGE, OVERRIDE, SYNC_STATE, empty
 from ledgerline.sources.mail import without_excluded
 
 
-def stored(spark: SparkSession, store: str) -> DataFrame:
-    """All messages synced so far, each id once (the one that came first)."""
+def _batches(spark: SparkSession, store: str) -> DataFrame:
+    """The messages of all batches as they were written, with their batch's number."""
     try:
-        rows = spark.read.schema(f"{MESSAGE}, batch long").option("recursiveFileLookup", "false").parquet(f"{store}/messages")
+        return spark.read.schema(f"{MESSAGE}, batch long").option("recursiveFileLookup", "false").parquet(f"{store}/messages")
     except Exception as error:  # nothing synced yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        rows = spark.createDataFrame([], f"{MESSAGE}, batch long")
-    w = Window.partitionBy("message_id").orderBy("batch", "received_at", "thread_id")
-    return rows.withColumn("_turn", F.row_number().over(w)).filter("_turn = 1").drop("_turn")
+        return spark.createDataFrame([], f"{MESSAGE}, batch long")
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """All messages synced so far, each id once; a batch writes no id that it or an earlier one has written."""
+    return _batches(spark, store)
 
 
 def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = None, multi_line: bool = True) -> StreamingQuery:
@@ -40,8 +46,8 @@ def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = No
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def write(batch: DataFrame, n: int) -> None:
-        known = stored(spark, store).filter(F.col("batch") < n).select("message_id")
-        fresh = without_excluded(batch).filter("message_id IS NOT NULL").join(known, "message_id", "left_anti")
+        known = _batches(spark, store).filter(F.col("batch") < n).select("message_id")  # one narrow column of the history, no window over it
+        fresh = insert_new(known, without_excluded(batch).filter("message_id IS NOT NULL"), "message_id", F.col("received_at"), F.col("thread_id"))
         fresh.write.mode("overwrite").parquet(f"{store}/messages/batch={n}")
 
     query = reader.json(inbox).writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
@@ -56,15 +62,52 @@ def dry_run(spark: SparkSession, inbox: str, store: str) -> DataFrame:
     return classify(fresh).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tables(spark: SparkSession, store: str, now) -> dict[str, DataFrame]:
-    """messages, classifications, links and events over everything synced, each computed once and kept in the shared folder."""
+def overrides_of(spark: SparkSession, store: str) -> DataFrame:
+    """The corrections in store, the latest of each message; no rows before the first."""
+    try:
+        rows = spark.read.schema(OVERRIDE).parquet(f"{store}/overrides")
+    except Exception as error:  # no correction yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = empty(spark, OVERRIDE)
+    return latest_by(rows, ["message_id"], F.col("corrected_at"))
+
+
+def set_override(spark: SparkSession, store: str, message_id: str, at, event_type: str | None = None, company: str | None = None, role: str | None = None, note: str | None = None) -> None:
+    """Append a correction (of no field: an acceptance). Status and links follow when they are next computed."""
+    if event_type is not None and event_type not in EVENT_TYPES:
+        raise ValueError(f"unknown event type: {event_type}")
+    spark.createDataFrame([(message_id, event_type, company, role, at, note)], OVERRIDE).write.mode("append").parquet(f"{store}/overrides")
+
+
+def get_cursor(spark: SparkSession, store: str, source: str) -> str | None:
+    """The cursor last kept for source; null if there is none or it was cleared."""
+    try:
+        rows = spark.read.schema(f"{SYNC_STATE}, turn long").parquet(f"{store}/cursors")
+    except Exception as error:  # no cursor yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    found = latest_by(rows.filter(F.col("source") == source), ["source"], F.col("turn")).first()
+    return None if found is None else found.cursor
+
+
+def set_cursor(spark: SparkSession, store: str, source: str, cursor: str | None) -> None:
+    """Keep source's cursor; None clears it. Written after a batch is, so a failure reads again and never skips."""
+    spark.createDataFrame([(source, cursor, time.time_ns())], f"{SYNC_STATE}, turn long").write.mode("append").parquet(f"{store}/cursors")
+
+
+def tables(spark: SparkSession, store: str, now, reapply: bool = False) -> dict[str, DataFrame]:
+    """messages, classifications, links and events over everything synced, corrections folded into the links; each is computed once
+    and kept in the shared folder."""
     messages = written(stored(spark, store), "messages")
     classifications = written(classify(messages), "classifications")
-    links = written(link(messages, classifications, now), "links")
+    links = written(link(messages, classifications, now, overrides=overrides_of(spark, store), reapply=reapply), "links")
     return {"messages": messages, "classifications": classifications, "links": links, "events": events_of(messages, classifications, links)}
 
 
 def report(t: dict[str, DataFrame]) -> DataFrame:
     """The counters of a sync in one row."""
     kept = t["classifications"].join(t["links"].select("message_id", "application_id", "created"), "message_id")
-    return kept.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("event_type") == "unknown").alias("unknown"), F.count_if("needs_review").alias("needs_review"), F.count_if(F.col("application_id").isNotNull()).alias("linked"), F.count_if("created").alias("applications_created"))
+    flagged = F.count_distinct(F.when(F.col("needs_review"), F.col("application_id")))
+    return kept.agg(F.count(F.lit(1)).alias("messages"), flagged.alias("flagged_applications"), F.count_if(F.col("event_type") == "unknown").alias("unknown"), F.count_if("needs_review").alias("needs_review"), F.count_if(F.col("application_id").isNotNull()).alias("linked"), F.count_if("created").alias("applications_created"))

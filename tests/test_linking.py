@@ -71,3 +71,36 @@ def test_different_roles_part_and_a_missing_role_joins():
 def test_enrichment_fills_a_role_that_later_matches_use():
     a, b, c = linked(message(0, 9), message(1, 8, role="cook", words=["cook"]), message(2, 7, role="pilot", words=["pilot"]))
     assert a == b != c
+
+
+def corrected_links(spark, rows, overrides, reapply=False):
+    m = spark.createDataFrame([(r["message_id"], r["thread_id"], r["received_at"]) for r in rows], "message_id string, thread_id string, received_at timestamp")
+    c = spark.createDataFrame([tuple(r[k] for k in ("message_id", "event_type", "company", "company_key", "role", "location", "ats")) for r in rows], "message_id string, event_type string, company string, company_key string, role string, location string, ats string")
+    o = spark.createDataFrame(overrides, "message_id string, event_type string, company string, role string")
+    return {r.message_id: r for r in linking.link(m, c, NOW, overrides=o, reapply=reapply).collect()}
+
+
+def test_corrections_link_and_unlink(spark):
+    rows = [message(0, 9, thread_id="a"), message(1, 8, thread_id="b", event_type="unknown", company=None, company_key=None), message(2, 7, thread_id="c"), message(3, 6, thread_id="d", event_type="unknown")]
+    none = corrected_links(spark, rows, [])
+    assert none["m0"].application_id == none["m2"].application_id and none["m1"].application_id is none["m3"].application_id is None
+    # a company rescues a message, a type alone links by the classifier's company, unknown unlinks, and an acceptance changes nothing
+    got = corrected_links(spark, rows, [("m1", "offer", "The Zürich Works, Inc.", "Cook"), ("m3", "interview", None, None), ("m2", "unknown", None, None), ("m0", None, None, None)])
+    assert (got["m1"].company_key, got["m1"].role, got["m1"].created) == ("zurich works", "Cook", True)
+    assert got["m3"].application_id == got["m0"].application_id == none["m0"].application_id and got["m2"].application_id is None
+
+
+def test_a_correction_of_a_linked_message_keeps_its_application_until_rules_are_reapplied(spark):
+    rows = [message(0, 9, thread_id="a"), message(1, 8, thread_id="b")]
+    wanted = [("m1", "offer", "Other", None)]
+    kept, again = corrected_links(spark, rows, wanted), corrected_links(spark, rows, wanted, reapply=True)
+    assert kept["m0"].application_id == kept["m1"].application_id and again["m0"].application_id != again["m1"].application_id
+    assert again["m1"].company_key == "other"
+
+
+def test_threads_of_several_companies_do_not_tie_them_together(spark):
+    """A thread belongs to the company of its first linkable message; the group that is folded stays one company's."""
+    rows = [message(i, 50 - i, thread_id=f"t{i // 2}", company_key=f"k{(i + 1) // 2}") for i in range(20)]
+    got = corrected_links(spark, rows, [])
+    ordered = sorted(rows, key=lambda r: (r["received_at"], r["message_id"]))
+    assert {i: r.application_id for i, r in got.items()} == {x["message_id"]: x["application_id"] for x in linking.fold(ordered, NOW)}
