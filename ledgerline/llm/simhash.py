@@ -40,6 +40,9 @@ HOT_BROADCAST = 100_000
 WIDE = 256
 #: Bits within which candidates are verified, and within which a first round looks for sure ones.
 RADIUS, SURE = 60, 30
+#: Bins of the fine sketch: a byte of the least hash of each, 0 where a bin is empty. Texts of similarity s agree in about that share of
+#: the bins that either fills, and pairs more than MARGIN deviations below the wanted share aren't verified.
+BINS, MARGIN = 512, 3.9
 #: Bands and least hashes in each: texts of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, 0.9999 at 0.8.
 BANDS, BAND_ROWS = 24, 5
 _WORDS, _ROWS = (np.random.default_rng(n).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (WIDE // 64, BANDS * BAND_ROWS))
@@ -143,13 +146,20 @@ def forest(fp: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
     return links
 
 
+def _integers(column: pa.Array) -> np.ndarray:
+    """A column of integers, or of binaries of equal length, as columns of 64-bit integers."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1)
+    return column.to_numpy().astype(np.int64, copy=False)[:, None]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
     """Rows of 64-bit integers in which every group (equal in the first width columns, sorted) is whole; memory is one group or a batch."""
     waiting: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
+        rows = np.concatenate([_integers(c) for c in batch.columns], axis=1)
         if waiting and (waiting[-1][-1, :width] != rows[0, :width]).any():
             yield np.concatenate(waiting)
             waiting = []
@@ -208,8 +218,8 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
-    """(node, wide, keys) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its band keys."""
+def sketch(text: str | None, size: int) -> tuple[int, list[int], list[int], bytes]:
+    """(node, wide, keys, fine) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its band keys, its fine sketch."""
     parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
     hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
     counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -222,7 +232,11 @@ def sketch(text: str | None, size: int) -> tuple[int, list[int], list[int]]:
         least = np.minimum(least, (part * _ROWS).min(axis=0))
     wide = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), wide.tolist(), keys
+    fine = np.zeros(BINS, np.uint8)
+    bins = hashes >> np.uint64(64 - (BINS - 1).bit_length())
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])[: len(bins)]  # the hashes are sorted
+    fine[bins[first]] = (hashes[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), wide.tolist(), keys, fine.tobytes()
 
 
 def text_hash(text_col: str):
@@ -230,8 +244,8 @@ def text_hash(text_col: str):
 
 
 def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hash, node, wide, keys): one row for each row of docs, hash telling its text."""
-    names, schema = ["doc_id", "hash", "node", "wide", "keys"], "doc_id long, hash long, node long, wide array<long>, keys array<long>"
+    """(doc_id, hash, node, wide, keys, fine): one row for each row of docs, hash telling its text."""
+    names, schema = ["doc_id", "hash", "node", "wide", "keys", "fine"], "doc_id long, hash long, node long, wide array<long>, keys array<long>, fine binary"
     signed = lambda x, shape: np.array(x, np.uint64).reshape(shape).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,23 +253,21 @@ def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) ->
             found = [sketch(x, shingle_words) for x in part.column(2).to_pylist()]
             node, wide, keys = (signed([x[i] for x in found], shape) for i, shape in enumerate([-1, (-1, WIDE // 64), (-1, BANDS)]))
             lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (wide, keys)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *lists], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *lists, pa.array([x[3] for x in found], pa.binary())], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _near_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs within radius of differing labels: every one, or as few as join what all join, the sure ones first and then the closest."""
+def _near_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs within radius, as few as join what all join, the sure ones first and then the closest."""
     label, pairs = label.copy(), []
-    for most in [radius] if every else [SURE, radius]:
+    for most in (SURE, radius):
         for i in range(len(node)):
-            if not every and (label == label[0]).all():
+            if (label == label[0]).all():
                 return pairs
             distance = np.bitwise_count(wide ^ wide[i]).sum(axis=1, dtype=np.int64)
             near = np.flatnonzero((distance <= most) & (label != label[i]))
-            if every:
-                near = near[near > i]
-            elif len(near):
+            if len(near):
                 near = near[np.argsort(distance[near], kind="stable")]
                 near = near[np.unique(label[near], return_index=True)[1]]
                 label[np.isin(label, label[near])] = label[i]
@@ -263,26 +275,61 @@ def _near_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: i
     return pairs
 
 
-def _candidates(members: DataFrame, radius: int, every: bool) -> DataFrame:
-    """(a, b), a < b: candidate pairs of differing roots of members(key, i, j, node, root, wide), group by group of (key, i, j)."""
+def may_be_similar(fine: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Of each row of fine whether its set may have the similarity to other's: bins agree often enough, by MARGIN deviations.
+
+    The bins' least hashes are drawn from the union without replacement, so the deviation falls with the share of the union that is drawn; a
+    tenth is added to what is left, as the union's size is told from the filled bins.
+    """
+    filled = ((fine > 0) | (other > 0)).sum(axis=1)
+    same = ((fine == other) & (other > 0)).sum(axis=1)
+    union = -BINS * np.log(np.maximum(1 - filled / BINS, 0.5 / BINS))
+    undrawn = np.minimum(1, 1.1 - filled / np.maximum(union, 1))
+    return same >= similarity * filled - MARGIN * np.sqrt(similarity * (1 - similarity) * filled * undrawn) - 1
+
+
+def _all_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, fine: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Every pair of differing labels within radius whose fine sketches allow the similarity."""
+    pairs = []
+    for i in range(len(node) - 1):
+        near = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64) <= radius))
+        if len(near):
+            near = near[may_be_similar(fine[near], fine[i], similarity)]
+        pairs += [(int(node[i]), int(node[j])) for j in near]
+    return pairs
+
+
+def _candidates(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b), a < b: candidate pairs of differing roots of members(key, i, j, node, root, wide), group by group of (key, i, j); members
+    with a column fine give every pair that the sketches allow, others as few as join a group."""
+    every = "fine" in members.columns
+
+    def of_group(part: np.ndarray, wide: np.ndarray, fine: np.ndarray | None) -> list[tuple[int, int]]:
+        if (part[:, 4] == part[0, 4]).all():
+            return []
+        if every:
+            return _all_pairs(part[:, 3], wide, part[:, 4], fine, radius, similarity)
+        return _near_pairs(part[:, 3], wide, part[:, 4], radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
             starts, sizes = _groups(rows, 3)
-            wide = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            n = 5 + WIDE // 64
+            wide, fine = np.ascontiguousarray(rows[:, 5:n]).view(np.uint64), np.ascontiguousarray(rows[:, n:]).view(np.uint8) if every else None
             two = starts[sizes == 2]
             close = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int64) <= radius) & (rows[two, 4] != rows[two + 1, 4])]
+            if every and len(close):
+                close = close[may_be_similar(fine[close], fine[close + 1], similarity)]
             pairs = [rows[np.stack([close, close + 1], axis=1), 3]]
-            for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                part = rows[at : at + n]
-                if (part[:, 4] != part[0, 4]).any():
-                    found = _near_pairs(part[:, 3], wide[at : at + n], part[:, 4], radius, every)
-                    pairs.append(np.array(found, np.int64).reshape(-1, 2))
+            for at, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+                part = slice(at, at + size)
+                pairs.append(np.array(of_group(rows[part], wide[part], fine[part] if every else None), np.int64).reshape(-1, 2))
             both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    rows = members.select("key", "i", "j", "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)])
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    place = ["key", "i", "j"]
+    rows = members.select(*place, "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)], *(["fine"] if every else []))
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
 
 
 def _first_round(nodes: DataFrame) -> DataFrame:
@@ -299,14 +346,15 @@ def _first_round(nodes: DataFrame) -> DataFrame:
 
 
 def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, i, j, node, root, wide): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
+    """(key, i, j, node, root, wide, fine): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
     members has blocks of its own, which do not meet each other."""
-    members = nodes.join(roots, "node").select(F.explode("keys").alias("key"), "node", "root", "wide")
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    rooted = nodes.join(roots, "node")
+    members = rooted.select(F.explode("keys").alias("key"), "node", "root", "wide", "fine")
+    sizes = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
     mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
     members = members.join(mixed, "key")
-    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide")
+    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide", "fine")
     large = mixed.filter(F.col("n") > BLOCK)
     if large.isEmpty():
         return plain
@@ -320,8 +368,8 @@ def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
     dealt = dealt.withColumns({"block": block, "blocks": blocks})
     partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-    dealt = dealt.select("key", "node", "root", "wide", "block", F.explode(partners).alias("other"))
-    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide"))
+    dealt = dealt.select("key", "node", "root", "wide", "fine", "block", F.explode(partners).alias("other"))
+    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide", "fine"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -352,11 +400,11 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     verification has left in different groups, so a group costs pairs in proportion to its members.
     """
     rows = materialize(sketches(docs, shingle_words, id_col, text_col), "near-sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first("fine").alias("fine")), "near-nodes")
     roots, links = nodes.select("node", F.col("node").alias("root")), None
     for every in (False, True):
         members = _second_round(nodes, roots) if every else _first_round(nodes)
-        pairs = materialize(_candidates(members, RADIUS, every), "near-pairs")
+        pairs = materialize(_candidates(members, RADIUS, similarity), "near-pairs")
         if pairs.isEmpty():
             continue
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

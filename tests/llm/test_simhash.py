@@ -192,3 +192,14 @@ def test_groups_are_whole_and_few_wait():
         assert np.concatenate(got)[:, 1].tolist() == list(range(len(keys)))
         ends = [(set(a[:, 0]), set(b[:, 0])) for a, b in zip(got, got[1:])]
         assert all(not a & b for a, b in ends) and max(map(len, got)) <= max(5, size + 5)
+
+
+@pytest.mark.parametrize("n", [30, 200, 3000])
+def test_fine_sketches_let_pairs_of_the_contract_through_and_few_others(n):
+    rng, passed = random.Random(n), {0.81: 0, 0.6: 0}
+    for share, k in [(s, k) for s in passed for k in range(200)]:
+        common = [f"c{k}-{i}" for i in range(round(n * share))]
+        texts = [" ".join(common + [f"{x}{k}-{i}" for i in range((n - len(common)) // 2)]) for x in "ab"]
+        fine = [np.frombuffer(simhash.sketch(x, 1)[3], np.uint8) for x in texts]
+        passed[share] += bool(simhash.may_be_similar(fine[0][None], fine[1], 0.8)[0])
+    assert passed[0.81] == 200 and passed[0.6] < (60 if n < 100 else 5)
