@@ -39,6 +39,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with place, its rows' numbers from 0 in order, without gathering them in one task."""
+    rows = materialize(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    parts = sorted(rows.groupBy(F.shiftright("_place", 33).alias("part")).count().collect())  # as many as the sort had partitions
+    starts, at = [], 0
+    for x in parts:
+        starts.append((x["part"], at))
+        at += x["count"]
+    starts = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    found = rows.join(F.broadcast(starts), F.shiftright("_place", 33) == F.col("_part"))
+    return found.withColumn("place", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_start")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BLANKS, WORD, materialize, word_count
+from ledgerline.llm.common import BLANKS, WORD, materialize, numbered, word_count
 
 #: Fewest blocks of a source; a larger source has blocks of about BLOCK_WORDS words. Shards hold about SHARD_WORDS words.
 BLOCKS = 512
@@ -69,19 +69,6 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """df with place, its rows' numbers from 0 in order, without gathering them in one task."""
-    rows = materialize(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "mixing-ordered")
-    parts = sorted(rows.groupBy(F.shiftright("_place", 33).alias("part")).count().collect())  # as many as the sort had partitions
-    starts, at = [], 0
-    for x in parts:
-        starts.append((x["part"], at))
-        at += x["count"]
-    starts = df.sparkSession.createDataFrame(starts, "_part long, _start long")
-    found = rows.join(F.broadcast(starts), F.shiftright("_place", 33) == F.col("_part"))
-    return found.withColumn("place", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_start")
-
-
 def with_places(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """docs with _mix_source, _mix_size (words), _mix_rank (keyed place in the source) and _mix_draw (what its block is told by)."""
     size = word_count(F.col(text_col).cast("string"))

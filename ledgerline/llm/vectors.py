@@ -1,43 +1,55 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Vectors of cosine at least t, scaled to length one, lie within eps = sqrt(2 - 2t). Distinct vectors are turned to their principal
-axes, and sorted by the cells of an eps-grid on the leading ones. The sorted sequence is cut into blocks wherever the cell
-changes or a block is full. Blocks meet only in the same or neighbouring cells and where their bounding boxes are
-within eps; a pair of blocks is joined by halving its intervals recursively, leaving out halves whose boxes
-are further apart, and comparing what remains in double precision.
+axes and sorted by the cells of an eps-grid on the leading ones (lexicographically), then along the first axis. The sorted sequence is
+cut into intervals, which form a tree of FAN children a node. Pairs of intervals are found by going down that tree from the root: a pair
+of nodes whose bounding boxes on BOX_AXES axes are further apart than eps is left out with all below it. The pairs of intervals that
+remain are joined in tasks by halving them recursively in the same way, and comparing what remains in double precision.
 
-No pair is returned: a task gives each vector's number of links and a forest over what it joined, so that rows
-stay proportional to vectors whatever the size of a group. Equal vectors are one vector with a count.
+An interval is shipped once to each interval it may meet; there are INTERVALS of them until they would hold more than INTERVAL vectors, so
+up to then what is shipped grows as the rows do. No pair is returned: a task gives each vector's number of links and a forest over what it
+joined, so that rows stay proportional to vectors whatever the size of a group. Equal vectors are one vector with a count.
 
 Cases: vectors that are null, zero, empty or hold null or non-finite components, and rows with a null id, link with
-nothing; vectors of different lengths link with nothing of another length; equal rows count one by one;
-an empty table gives no rows. Other columns are ignored.
+nothing; vectors of different lengths link with nothing of another length; equal rows count one by one; rows of one id and
+different vectors are different vectors, each with its own links; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import connected_components, materialize
+from ledgerline.llm.common import connected_components, materialize, numbered
 
-#: Leading principal axes with a grid, axes of the bounding boxes, vectors in a block, vectors compared at once.
-GRID_AXES = 3
+#: Leading principal axes with a grid, axes of the bounding boxes, vectors compared at once.
+GRID_AXES = 8
 BOX_AXES = 16
-BLOCK = 1024
 LEAF = 128
-#: Room for rounding where boxes and cells are compared.
+#: Intervals of the sorted sequence, and the most vectors of one (there are more intervals beyond that); vectors in a packed row.
+INTERVALS = 16
+INTERVAL = 32_768
+CHUNK = 1024
+#: Children of a node in the tree of intervals.
+FAN = 8
+#: Room for rounding where boxes are compared.
 SLACK = 1e-6
 
 
+def _unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """n packed vectors of single or double precision, in double."""
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * n * dim else np.float64).astype(np.float64).reshape(n, dim)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column, or of packed binaries, in double precision."""
+    if pa.types.is_binary(column.type):
+        return _unpacked(b"".join(column.to_pylist()), len(column), dim)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -88,7 +100,7 @@ class Joiner:
             self.forest.append((a, b))
 
     def join(self, left: tuple, right: tuple, same: bool) -> None:
-        """left, right: (ids, counts, vectors)."""
+        """left, right: (nodes, counts, vectors) in the sequence's order."""
         turned = [x[2] / np.linalg.norm(x[2], axis=1, keepdims=True) @ self.axes for x in (left, right)]
         norms = [np.linalg.norm(x[2], axis=1) for x in (left, right)]
         found = [np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)]
@@ -138,63 +150,70 @@ class Joiner:
                     self._unite(int(left[0][i0 + i]), int(right[0][j0 + j - (i1 - i0)]))
 
 
-def _blocks(vectors: DataFrame, dim: int, axes: np.ndarray, eps: float) -> DataFrame:
-    """Blocks of the sorted sequence: block, n, cell, lo, hi (its box), and the packed ids, counts and vectors."""
-    lead = axes[:, :GRID_AXES]
+def _intervals(vectors: DataFrame, dim: int, axes: np.ndarray, eps: float) -> tuple[DataFrame, int]:
+    """(interval, box columns lo0.. and hi0.., and the packed nodes, counts and vectors of at most CHUNK vectors), and the number of intervals."""
+    lead, boxes = axes[:, :GRID_AXES], axes[:, :BOX_AXES]
+    n = vectors.count()
+    size = min(INTERVAL, max(1, -(-n // INTERVALS)))
+    kind = np.float32 if dict(vectors.dtypes)["vec"] == "array<float>" else np.float64
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(0), dim)
             place = x / np.linalg.norm(x, axis=1, keepdims=True) @ lead
             cells = np.floor(place / eps).astype(np.int32)
-            packed = pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), packed, pa.array(list(cells), pa.list_(pa.int32())), pa.array(place[:, 0])], names=["id", "n", "vec", "cell", "along"])
-
-    placed = materialize(vectors.select("vec", "id", "n").mapInArrow(project, "id long, n long, vec binary, cell array<int>, along double"), "vectors-placed")
-    ordered = placed.repartitionByRange("cell", "along", "id").sortWithinPartitions("cell", "along", "id")
-    names = ["block", "cell", "lo", "hi", "ids", "counts", "vecs"]
+            packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), packed, pa.array(list(cells), pa.list_(pa.int32())), pa.array(place[:, 0])], names=["node", "n", "vec", "cell", "along"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-
-        def out():
-            x = np.frombuffer(b"".join(h[2] for h in held), "<f8").reshape(-1, dim)
-            box = x / np.linalg.norm(x, axis=1, keepdims=True) @ axes[:, :BOX_AXES]
-            row = [block, held[0][3], box.min(axis=0).tolist(), box.max(axis=0).tolist(), *(np.array([h[k] for h in held], "<i8").tobytes() for k in (0, 1)), x.tobytes()]
-            types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+    placed = vectors.select("vec", "node", "n").mapInArrow(project, "node long, n long, vec binary, cell array<int>, along double")
+    ordered = numbered(materialize(placed, "vectors-placed"), F.col("cell"), F.col("along"), F.col("node"))
+    sides = range(boxes.shape[1])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and (len(held) == BLOCK or held[0][3] != row[3]):
-                    yield out()
-                    block, held = block + 1, []
-                held.append(row)
-        if held:
-            yield out()
-
-    return materialize(ordered.mapInArrow(cut, "block long, cell array<int>, lo array<double>, hi array<double>, ids binary, counts binary, vecs binary"), "vectors-blocks")
-
-
-def _near_blocks(blocks: DataFrame, dim: int, eps: float) -> DataFrame:
-    """(l, r): blocks, l <= r, of the same or neighbouring cells whose boxes are within eps."""
-    boxes = blocks.select("block", "cell", "lo", "hi")
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=min(GRID_AXES, dim))])
-    around = boxes.select("block", "lo", "hi", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, d: c + d))).alias("cell"))
-    left = around.select(F.col("block").alias("l"), "cell", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    right = boxes.select(F.col("block").alias("r"), "cell", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    gap = F.zip_with(F.zip_with("lo1", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi1", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b))
-    square = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    return left.join(right, (left["cell"] == right["cell"]) & (F.col("l") <= F.col("r")) & (square <= (eps + SLACK) ** 2)).select("l", "r")
-
-
-def _links(blocks: DataFrame, pairs: DataFrame, dim: int, axes: np.ndarray, threshold: float, eps: float) -> DataFrame:
+            of = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for at, end in zip(cuts, np.r_[cuts[1:], len(of)]):
+                for low in range(at, end, CHUNK):
+                    part = batch.slice(low, min(CHUNK, end - low))
+                    x = _matrix(part.column(3), dim)
+                    box = x / np.linalg.norm(x, axis=1, keepdims=True) @ boxes
+                    payload = [part.column(k).to_numpy().astype("<i8").tobytes() for k in (1, 2)] + [b"".join(part.column(3).to_pylist())]
+                    row = [int(of[low]), int(low), *box.min(axis=0).tolist(), *box.max(axis=0).tolist(), *payload]
+                    types = [pa.int64(), pa.int64(), *[pa.float64()] * (2 * len(sides)), *[pa.binary()] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
+    names = ["interval", "part", *[f"lo{k}" for k in sides], *[f"hi{k}" for k in sides], "nodes", "counts", "vecs"]
+    schema = "interval long, part long, " + ", ".join(f"{c} double" for c in names[2:-3]) + ", nodes binary, counts binary, vecs binary"
+    rows = ordered.select(F.floor(F.col("place") / size).cast("long").alias("interval"), "place", "node", "n", "vec")
+    rows = rows.repartition("interval").sortWithinPartitions("interval", "place").drop("place")
+    return materialize(rows.mapInArrow(pack, schema), "vectors-intervals"), -(-n // size)
+
+
+def _near_intervals(intervals: DataFrame, count: int, eps: float) -> DataFrame:
+    """(l, r), l <= r: intervals whose boxes are within eps, found from the root of the tree down."""
+    sides = [c[2:] for c in intervals.columns if c.startswith("lo")]
+    box = lambda: [*[F.min(f"lo{k}").alias(f"lo{k}") for k in sides], *[F.max(f"hi{k}").alias(f"hi{k}") for k in sides]]
+    levels = [materialize(intervals.groupBy(F.col("interval").alias("id")).agg(*box()), "vectors-boxes")]
+    while count > 1:
+        count = -(-count // FAN)
+        levels.append(levels[-1].groupBy(F.floor(F.col("id") / FAN).cast("long").alias("id")).agg(*box()))
+    renamed = lambda df, x: df.select(F.col("id").alias(x), F.floor(F.col("id") / FAN).cast("long").alias(f"{x}_up"), *[F.col(c).alias(f"{x}_{c}") for c in df.columns[1:]])
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"l_lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"l_hi{k}"))
+    within = sum((gap(k) * gap(k) for k in sides), F.lit(0.0)) <= (eps + SLACK) ** 2
+    pairs = levels[-1].select(F.col("id").alias("l_up"), F.col("id").alias("r_up"))
+    for level in reversed(levels[:-1]):
+        near = pairs.join(renamed(level, "l"), "l_up").join(renamed(level, "r"), "r_up").filter(F.col("l") <= F.col("r")).filter(within)
+        pairs = materialize(near.select(F.col("l").alias("l_up"), F.col("r").alias("r_up")), "vectors-pairs")
+    return pairs.toDF("l", "r")
+
+
+def _links(intervals: DataFrame, pairs: DataFrame, dim: int, axes: np.ndarray, threshold: float, eps: float) -> DataFrame:
     """(id, n, other): numbers of links (other null), and links of forests (n null)."""
-    payload = ["ids", "counts", "vecs"]
-    one = blocks.select(F.col("block").alias("l"), *[F.col(c).alias(f"{c}1") for c in payload])
-    two = blocks.select(F.col("block").alias("r"), *[F.col(c).alias(f"{c}2") for c in payload])
-    work = pairs.join(one, "l").join(two, "r").select("l", "r", *[f"{c}{k}" for k in (1, 2) for c in payload])
+    payload = ["part", "nodes", "counts", "vecs"]
+    one = pairs.select("l", "r", F.col("l").alias("interval"), F.lit(0).alias("side"))
+    two = pairs.filter("l <> r").select("l", "r", F.col("r").alias("interval"), F.lit(1).alias("side"))
+    work = one.union(two).join(intervals.select("interval", *payload), "interval").select("l", "r", "side", *payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(joiner: Joiner):
@@ -205,18 +224,33 @@ def _links(blocks: DataFrame, pairs: DataFrame, dim: int, axes: np.ndarray, thre
                 others.append(b)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, ns, others)], names=["id", "n", "other"])
 
-        joiner = Joiner(threshold, eps, axes)
+        def joined(chunks: list[tuple]) -> None:
+            sides = []
+            for side in (0, 1):
+                parts = [c for c in chunks if c[0] == side]
+                if parts:
+                    vectors = np.concatenate([_unpacked(c[3], len(c[1]) // 8, dim) for c in parts])
+                    sides.append((np.concatenate([np.frombuffer(c[1], "<i8") for c in parts]), np.concatenate([np.frombuffer(c[2], "<i8") for c in parts]), vectors))
+            joiner.join(sides[0], sides[-1], same=len(sides) == 1)
+
+        joiner, pair, chunks = Joiner(threshold, eps, axes), None, []
         for batch in batches:
             for at in range(batch.num_rows):
-                row = [batch.column(k)[at].as_py() for k in range(8)]
-                sides = [(np.frombuffer(i, "<i8"), np.frombuffer(n, "<i8"), np.frombuffer(v, "<f8").reshape(-1, dim)) for i, n, v in (row[2:5], row[5:8])]
-                joiner.join(*sides, same=row[0] == row[1])
-                if len(joiner.parent) > 1_000_000 or len(joiner.links) > 1_000_000:
-                    yield out(joiner)
-                    joiner = Joiner(threshold, eps, axes)
+                l, r, side, _, *packed = (batch.column(k)[at].as_py() for k in range(7))
+                if (l, r) != pair:
+                    if chunks:
+                        joined(chunks)
+                    pair, chunks = (l, r), []
+                    if len(joiner.parent) > 1_000_000 or len(joiner.links) > 1_000_000:
+                        yield out(joiner)
+                        joiner = Joiner(threshold, eps, axes)
+                chunks.append((side, *packed))
+        if chunks:
+            joined(chunks)
         yield out(joiner)
 
-    return work.mapInArrow(run, "id long, n long, other long")
+    dealt = work.repartition("l", "r").sortWithinPartitions("l", "r", "side", "part")
+    return dealt.mapInArrow(run, "id long, n long, other long")
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -226,23 +260,25 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     good = all_rows.filter(sound)
-    distinct = materialize(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("vec")), "vectors-distinct")
+    distinct = good.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(distinct.select("vec", "least", "n", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("node")), "vectors-distinct")
 
     found = None
     for (dim,) in distinct.select("dim").distinct().collect():
         vectors = distinct.filter(F.col("dim") == dim)
         axes = principal_axes(vectors, dim)
-        blocks = _blocks(vectors, dim, axes, eps)
-        part = _links(blocks, _near_blocks(blocks, dim, eps), dim, axes, threshold, eps)
+        intervals, count = _intervals(vectors, dim, axes, eps)
+        part = _links(intervals, _near_intervals(intervals, count, eps), dim, axes, threshold, eps)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "id long, n long, other long")
     found = materialize(found, "vectors-links")
-    counts = found.filter("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("links"))
-    roots = connected_components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).toDF("id", "root")
-    known = distinct.join(counts, "id", "left").join(roots, "id", "left")
-    known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("component"))
-    linked = good.join(known, "vec").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    counts = found.filter("n IS NOT NULL").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("links"))
+    roots = connected_components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).toDF("node", "root")
+    known = distinct.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known.select("vec", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "vectors-known")
+    component = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = good.join(known.join(component, "root").drop("root", "least"), "vec").select("vec_id", F.col("links").alias("n_links"), "component_id")
     alone = all_rows.filter(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -45,10 +45,10 @@ def near_rows(rng, n, dim, spread):
     return [(i, (centres[rng.integers(5)] + spread * rng.normal(size=dim)).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("spread, block, leaf", [(0.2, 1024, 128), (0.12, 16, 4)])
-def test_links_equal_all_pairs(spark, monkeypatch, spread, block, leaf):
-    monkeypatch.setattr(vectors, "LEAF", leaf)
-    monkeypatch.setattr(vectors, "BLOCK", block)
+@pytest.mark.parametrize("spread, interval, leaf, chunk", [(0.2, 32768, 128, 1024), (0.12, 7, 4, 3)])
+def test_links_equal_all_pairs(spark, monkeypatch, spread, interval, leaf, chunk):
+    for name, value in (("LEAF", leaf), ("INTERVAL", interval), ("CHUNK", chunk), ("FAN", 3)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(1)
     rows = near_rows(rng, 250, 8, spread)
     rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000 + i, (3 * np.array(rows[0][1])).tolist()) for i in range(5)]
@@ -67,3 +67,24 @@ def test_awkward_rows(spark):
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[10] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in range(3, 10)) and got[None] == (0, None, False)
     assert found(spark, []) == {} and found(spark, [(5, [0.0])]) == {5: (0, 5, True)}
+
+
+def test_rows_of_one_id_and_different_vectors_stay_apart(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (4, [1.0, 0.01]), (7, [0.01, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect())
+    assert got == [(4, 1, 4), (5, 1, 4), (5, 1, 5), (7, 1, 5)]
+
+
+def test_far_intervals_are_skipped(spark):
+    """Clusters far apart: intervals pair with their neighbours only, not with all."""
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows = [(i, (centres[i % 16] + 0.01 * rng.normal(size=16)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>").selectExpr("vec", "vec_id node", "1L n")
+    axes, eps = vectors.principal_axes(df, 16), math.sqrt(0.1)
+    intervals, count = vectors._intervals(df, 16, axes, eps)
+    pairs = vectors._near_intervals(intervals, count, eps).collect()
+    assert count == 16 and len(pairs) < 60 and {(r.l, r.r) for r in pairs} >= {(i, i) for i in range(16)}
