@@ -2,7 +2,12 @@
 
 One pass of the automaton over a text finds every keyword; expressions are only ever tried at those hits. The
 hex kind has no keyword: its prefilter is one search for a long enough run. Kinds beyond the base
-ones hold a checksum or a structure of their own, and only spans that pass it are reported.
+ones are reported only if they are valid: the checksum of GitHub and npm tokens must be right; JSON web tokens and private keys hold no
+checksum, so their structure must decode.
+
+Every character is tried a bounded number of times, whatever the text: a kind whose expression runs over a stretch of its own characters
+is not tried again inside a stretch in which it has failed, and a key's body ends at the next five hyphens. So a text takes
+time in proportion to its length.
 
 Cases: null and empty texts have no spans; keywords in either case count where the kind says so; overlapping
 spans of different kinds are all reported; repeated rows are scanned one by one. Other columns are ignored.
@@ -71,6 +76,7 @@ class Kind(NamedTuple):
     valid: Callable[[re.Match], bool]
     base: bool = False
     any_case: bool = False
+    stretch: str = ""  # what a hit that fails runs over; other hits in there fail too
 
 
 #: Kinds in the order in which equal starts are listed.
@@ -80,13 +86,13 @@ KINDS = (
     Kind("hex", (), r"[0-9a-f]{16,}", lambda m: True, base=True),
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc_suffix(m[0], 4)),
     Kind("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: crc_suffix(m[0], 4)),
-    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: web_token(m[0])),
-    Kind("pem", ("-----BEGIN ",), r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\s:,.-]+?-----END \1PRIVATE KEY-----", lambda m: key_block(m[0])),
+    Kind("jwt", ("eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: web_token(m[0]), stretch=r"[A-Za-z0-9_-]+"),
+    Kind("pem", ("-----BEGIN ",), r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----\r?\n(?:[A-Za-z0-9+/=\s:,.]++|-(?!----))++-----END \1PRIVATE KEY-----", lambda m: key_block(m[0])),
 )
 
 
 @cache
-def _scanner() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
+def _scanner() -> tuple[ahocorasick.Automaton, list[re.Pattern], list[re.Pattern | None]]:
     automaton, at = ahocorasick.Automaton(), {}
     for k, kind in enumerate(KINDS):
         for word in kind.keywords:
@@ -94,31 +100,36 @@ def _scanner() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
     for word, kinds in at.items():
         automaton.add_word(word, (len(word), kinds))
     automaton.make_automaton()
-    return automaton, [re.compile(x.pattern, re.ASCII | (re.IGNORECASE if x.any_case else 0)) for x in KINDS]
+    compiled = [re.compile(x.pattern, re.ASCII | (re.IGNORECASE if x.any_case else 0)) for x in KINDS]
+    return automaton, compiled, [re.compile(x.stretch, re.ASCII) if x.stretch else None for x in KINDS]
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, kind's position in KINDS) of all secrets, ordered; code points, end exclusive."""
     if not text:
         return []
-    automaton, patterns = _scanner()
+    automaton, patterns, stretches = _scanner()
     found: list[tuple[int, int, int]] = []
     raw = text.encode("utf-8", "surrogatepass")
     folded = raw.lower().decode("latin-1")  # one character a byte; only A-Z change
-    ascii_only = len(raw) == len(text)
     starts: dict[int, list[int]] = {}
     for last, (size, kinds) in automaton.iter(folded):
-        start = last + 1 - size
         for k in kinds:
-            starts.setdefault(k, []).append(start)
+            starts.setdefault(k, []).append(last + 1 - size)
+    ascii_only = len(raw) == len(text)
     for k, places in starts.items():
-        free = 0
-        for start in sorted(set(places)):
-            start = start if ascii_only else len(raw[:start].decode("utf-8", "surrogatepass"))
-            if start >= free and (m := patterns[k].match(text, start)):
+        free = byte = start = 0
+        for place in sorted(set(places)):
+            start = place if ascii_only else start + len(raw[byte:place].decode("utf-8", "surrogatepass"))
+            byte = place
+            if start < free:
+                continue
+            if m := patterns[k].match(text, start):
                 free = m.end()
                 if KINDS[k].valid(m):
                     found.append((m.start(), m.end(), k))
+            elif stretches[k]:
+                free = stretches[k].match(text, start).end()
     for k, kind in enumerate(KINDS):
         if not kind.keywords:
             found += [(m.start(), m.end(), k) for m in patterns[k].finditer(text) if kind.valid(m)]

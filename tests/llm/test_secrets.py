@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import pytest
@@ -69,3 +70,22 @@ def test_awkward_rows_and_redaction(spark):
     found = spark.createDataFrame([(1, "é token=abcdefabcdefabcdef end", 29), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [(r.text, r.n_chars) for r in secrets.redact(found).orderBy("doc_id").collect()] == [("é <assign> end", 14), (None, None), ("clean", 5)]
     assert secrets.redact(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJa.", "eyJ.eyJ", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE KEY-----\nab-", "é token", "password   ", "token=token=", "AKIA", "ghp_", "-", "a--b----"])
+def test_long_repetitive_texts_take_time_in_proportion(unit):
+    text = unit * (1_000_000 // len(unit))
+    for x in (text, "-----BEGIN PRIVATE KEY-----\n" + text):
+        began = time.process_time()
+        secrets.scan(x)
+        assert time.process_time() - began < 2.5  # about a second alone
+
+
+def test_hits_behind_a_failed_stretch_are_found():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2ln"
+    assert secrets.joined(secrets.scan(f"eyJeyJa {token}")) == f"jwt:8:{8 + len(token)}"
+    key = base64.encodebytes(b"\x30\x82" + bytes(80)).decode()
+    block = f"-----BEGIN PRIVATE KEY-----\n{key}-----END PRIVATE KEY-----"
+    head = "-----BEGIN PRIVATE KEY-----\nAAAA\n"
+    assert secrets.joined(secrets.scan(head + block)) == f"pem:{len(head)}:{len(head) + len(block)}"
