@@ -5,8 +5,11 @@ labelled documents selects those that lean to toxic documents, by the likelihood
 frequencies, and trains P(grade <= k) = logistic(threshold_k - w.x): one weight vector for all grades, ordered thresholds, proximal
 gradient steps. Every document's severity is the expected grade.
 
-Labels say toxic or not. Where they have no grades, toxic documents of the sample are graded 1 to 3 by the terciles of
-how many selected features they show.
+Labels say toxic or not. Where they have no grades, these come from cross-fitting: the sample's documents are split into two halves
+(documents that show the same features fall into the same one), a model of two grades is fitted to each half, and the toxic documents of the
+other half are graded 1 to 3 by the terciles of its logits. So no document's grade comes from a model that has seen it. The model of four grades is
+then fitted to all of them. Labels with grades are taken as they are. A document is flagged from the probability of a toxic grade that
+CLEAN_FLAGGED of the sample's clean documents reach under the model of the other half.
 
 Cases: null and empty texts show no feature and get the severity of an empty text; labels that are null, or whose document
 is unknown, are ignored, and of contrary labels the higher counts; without labels of both kinds nothing is
@@ -16,6 +19,7 @@ flagged; repeated rows are scored one by one. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,8 +38,10 @@ SHOWN = 3
 PREFIXES = (4, 5, 6)
 #: A feature leans to toxic documents if it is so many times as frequent there, with so large a likelihood ratio.
 LEAN, RATIO = 4.0, 10.0
-#: Probability of any toxic grade from which a document is flagged; on held-out labels it misses few and flags under 0.5 % of clean ones.
-FLAG = 0.3
+#: Share of clean labelled documents that may be flagged, which gives the probability of any toxic grade from which a document is, and the
+#: bounds of that probability.
+CLEAN_FLAGGED = 0.005
+FLAG_FROM, FLAG_TO = 0.05, 0.5
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,9 +55,15 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def half_of(shown: list[int]) -> int:
+    """The half of the sample that documents with these features belong to."""
+    return zlib.crc32(np.array(shown, "<i4").tobytes()) & 1
+
+
 class Model(NamedTuple):
     weights: dict[str, float]
     thresholds: list[float]
+    flag: float = FLAG_TO
 
     def at_most(self, logit: float) -> np.ndarray:
         """P(grade <= k) for each threshold."""
@@ -115,6 +127,36 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, n_gr
     return w, np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])])
 
 
+def cross_graded(shown: list[list[int]], toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for documents that aren't toxic, and 1 to 3 by the terciles of the logits that the other half's model gives the toxic ones;
+    grades that nobody has are closed up. All toxic documents have grade 1 if a half lacks a kind."""
+    half = np.array([half_of(x) for x in shown])
+    logits = np.zeros(len(shown))
+    for h in (0, 1):
+        learn = np.flatnonzero(half == h)
+        if len(set(toxic[learn].tolist())) < 2:
+            return toxic.astype(np.int64)
+        weights, _ = fit_ordinal([shown[i] for i in learn], toxic[learn].astype(np.int64), n_features, 2)
+        for i in np.flatnonzero(half != h):
+            logits[i] = weights[shown[i]].sum()
+    low, high = np.quantile(logits[toxic], [1 / 3, 2 / 3])
+    return np.unique(np.where(toxic, 1 + (logits > low) + (logits > high), 0), return_inverse=True)[1]
+
+
+def flag_from(shown: list[list[int]], grades: np.ndarray, n_features: int) -> float:
+    """The probability of a toxic grade that CLEAN_FLAGGED of the clean documents reach under the other half's model."""
+    half, p = np.array([half_of(x) for x in shown]), np.zeros(len(shown))
+    for h in (0, 1):
+        learn, held = np.flatnonzero(half == h), np.flatnonzero(half != h)
+        if len(set((grades[learn] > 0).tolist())) < 2:
+            return FLAG_TO
+        kinds, own = np.unique(grades[learn], return_inverse=True)
+        weights, cuts = fit_ordinal([shown[i] for i in learn], own, n_features, len(kinds))
+        logits = np.array([weights[shown[i]].sum() for i in held])
+        p[held] = 1 - 1 / (1 + np.exp(np.clip(logits - cuts[0], -700, 700)))
+    return float(np.clip(np.quantile(p[grades == 0], 1 - CLEAN_FLAGGED, method="higher"), FLAG_FROM, FLAG_TO))
+
+
 def sample_labels(labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, grade): at most sample labelled documents, chosen by a hash of their ids."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("grade")).filter("doc_id IS NOT NULL AND grade >= 0")
@@ -164,17 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features:
 
     rows = sorted((tuple(x.shown), x.grade) for x in texts.mapInArrow(run, "shown array<int>, grade int").collect())
     shown, grades = [list(x) for x, _ in rows], np.array([g for _, g in rows])
-    if grades.max() == 1:
-        count = np.array([len(x) for x in shown])
-        low, high = np.quantile(count[grades > 0], [1 / 3, 2 / 3])
-        grades = np.where(grades > 0, 1 + (count > low) + (count > high), 0)
-    _, grades = np.unique(grades, return_inverse=True)
+    grades = np.unique(grades, return_inverse=True)[1] if grades.max() > 1 else cross_graded(shown, grades > 0, len(names))
     weights, thresholds = fit_ordinal(shown, grades, len(names), int(grades.max()) + 1)
-    return Model({f: float(w) for f, w in zip(names, weights) if w > 0}, [float(x) for x in thresholds])
+    flag = flag_from(shown, grades, len(names))
+    return Model({f: float(w) for f, w in zip(names, weights) if w > 0}, [float(x) for x in thresholds], flag)
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic whether p_toxic is at least FLAG."""
+    """(doc_id, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic whether p_toxic is at least the model's flag."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +223,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             below = np.array([model.at_most(scorer.logit(x)) for x in part.column(1).to_pylist()])
             each = np.diff(np.c_[np.zeros(len(below)), below, np.ones(len(below))], axis=1)
             p = 1 - below[:, 0]
-            columns = [(1 - below).sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= FLAG]
+            columns = [(1 - below).sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= model.flag]
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], names=["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
