@@ -1,16 +1,20 @@
 """Licence scans: a trained paragraph classifier with a calibrated unknown class, confirmed by template comparison.
 
 Training: multinomial logistic regression over the presence of word n-grams (1 to 3) of the templates below, fitted on
-the driver to their paragraphs, sentences and thinned variants, with everyday sentences and a bounded sample of
-the corpus's own lines as the unknown class. A temperature and a threshold are calibrated on examples held out.
-
-Scan (DataFrame functions only, no shuffle): of every text the lines that hold an anchor word are scored;
-the likeliest family counts if its calibrated probability reaches the threshold and if the line agrees with one of that family's
-templates: most of the template's word pairs are in the line, or most of the line's are in the template.
-
-Cases: null and empty texts have no paragraphs; equal lines are listed one by one, in order; repeated rows are scanned one
-by one; a text without line breaks is one paragraph, in which a short notice still counts; an empty corpus leaves
-the everyday sentences as the only unknown examples. Other columns are ignored.
+the driver to the templates, their sentences and thinned variants. The unknown class has everyday sentences, near misses written by hand
+and, from a bounded sample of the corpus, sentences with and without the words of licences that agree with no template. A
+temperature and a threshold are calibrated on what two models say of the templates (whole ones, with their variants) and unknown examples that were
+held out from them: the threshold is the probability that UNKNOWN_NAMED of the unknown ones reach.
+
+Scan (DataFrame functions only, no shuffle): paragraphs are parted by blank lines and their wrapped lines joined; they are scored sentence by
+sentence, and long sentences by overlapping windows of WINDOW words. The likeliest family counts if its calibrated probability
+reaches the threshold and one of that family's templates confirms it: most of the template's word pairs are there, or most of what is there
+lies inside the template; and a word that licences go by (KEYS) must be there, so that pieces of text without one are unknown by
+definition and need no arithmetic. A paragraph names a family once.
+
+Cases: null and empty texts have no paragraphs; equal paragraphs are listed one by one, in order; repeated rows are scanned one
+by one; a text without line breaks is one paragraph, in which notices of several families count each; an empty corpus leaves
+the written unknown examples. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +27,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents whose lines serve as examples of the unknown class, and the most lines of them.
+#: Documents whose sentences serve as examples of the unknown class, and the most sentences of them of each kind (with a key, without).
 SAMPLE_DOCS = 200
-SAMPLE_LINES = 2000
+SAMPLE_SENTENCES = 1000
+#: Words of a window of a long sentence, and from one window's first word to the next one's.
+WINDOW, STEP = 96, 32
+#: Share of held-out unknown examples that may reach the threshold, and the threshold's bounds.
+UNKNOWN_NAMED = 0.01
+THRESHOLDS = (0.1, 0.9)
 #: Agreement with a template that confirms a prediction, and the fewest word pairs of a line that may lie inside a template.
 AGREEMENT = 0.8
 LEAST_PAIRS = 4
@@ -85,6 +94,23 @@ TEMPLATES: dict[str, list[str]] = {
         "This is free and unencumbered software released into the public domain without license conditions.",
     ],
 }
+#: Short names of the families, as headers, tags and remarks give them.
+NAMES: dict[str, list[str]] = {
+    "mit": ["MIT", "MIT License", "The MIT License"],
+    "apache": ["Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0"],
+    "gpl": ["GPL-3.0", "GPL-2.0-or-later", "GNU GPL v3", "GNU General Public License", "GPL"],
+    "lgpl": ["LGPL-3.0", "LGPL-2.1-or-later", "GNU LGPL v3", "GNU Lesser General Public License", "LGPL"],
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "GNU AGPL v3", "GNU Affero General Public License", "AGPL"],
+    "bsd": ["BSD-3-Clause", "BSD-2-Clause", "BSD License", "3-Clause BSD License"],
+    "isc": ["ISC", "ISC License"],
+    "mpl": ["MPL-2.0", "Mozilla Public License 2.0", "MPL"],
+    "cc-by": ["CC-BY-4.0", "CC BY 4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC BY-SA 4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC BY-NC 4.0"],
+    "public-domain": ["CC0-1.0", "CC0 1.0", "Unlicense"],
+}
+#: How a short name is said to be the licence; {} stands for it.
+SAYINGS = ["SPDX-License-Identifier: {}", "License: {}", "Lizenz: {}", "Licence: {}", "This file is licensed under the {}.", "Licensed under {}", "Released under the {}", "under the terms of the {}"]
 #: Everyday sentences with the words of licences, for the unknown class.
 EVERYDAY = [
     "She lost her driving license on the way to the station.",
@@ -105,9 +131,32 @@ EVERYDAY = [
     "He studied at MIT and was released under bail.",
     "The general public is licensed to visit the park.",
     "The work was licensed to a creative agency under terms of four years.",
+    "The license of the pub is displayed under the sign.",
+    "This software is sold under a commercial license that has to be renewed each year.",
+    "Licensed under a proprietary agreement between both parties.",
+    "All content is licensed to our partners and may not be copied.",
+    "The band released the record under a new label.",
+    "Released under the terms of a settlement, the documents were sealed again.",
+    "The general terms of the public tender are listed below.",
+    "Permission is granted to visitors of the museum to take photographs without a flash.",
+    "Use of this hall is permitted provided that the following rules are observed.",
+    "The foundation published a version of its annual report.",
+    "He works on the Apache server for a firm of lawyers.",
+    "Die Lizenz zum Fischen gilt bis zum Jahresende.",
+    "License: expired", "License number: 4711-A", "SPDX-License-Identifier: LicenseRef-Proprietary", "Licence: see contract",
+    "This file is licensed under the terms of your contract.",
+    "Copyright (c) 2019 The authors. All rights reserved.",
 ]
-#: Fixed value: every template holds one of these, and so does every line that is scored.
-ANCHORS = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission|public domain|creative commons"
+#: Fixed value: what licences go by; every template and every form of a short name holds one.
+KEYS = r"(?i)li[cz]en[cszt]|copyright|warrant|redistribut|permission|public domain|creative commons|released under|under the terms|\bspdx\b"
+#: Ends of paragraphs, and of sentences inside them.
+PARAGRAPH_END = r"\r?\n[\x20\t]*\r?\n\s*"
+SENTENCE_END = r"(?<=[.!?;])\s+"
+
+
+def all_templates() -> dict[str, list[str]]:
+    """The notices of each family and its short names in every saying."""
+    return {family: [*TEMPLATES[family], *[x.format(n) for n in NAMES[family] for x in SAYINGS], *[n for n in NAMES[family] if " License" in n]] for family in TEMPLATES}
 
 
 def tokens(text: str) -> list[str]:
@@ -133,29 +182,37 @@ class Model(NamedTuple):
         return e / e.sum()
 
 
-def examples(negatives: list[str]) -> list[tuple[str, int]]:
-    """(text, class): templates, their sentences and variants without every k-th word; the unknown class comes last."""
-    out = []
-    for k, texts in enumerate(TEMPLATES.values()):
-        for text in texts:
-            words = text.split()
-            parts = [text, *[x for x in re.split(r"(?<=[.;:]) ", text) if len(x.split()) > 4]]
-            parts += [" ".join(w for i, w in enumerate(words) if i % step != at) for step in (5, 7) for at in range(min(step, len(words))) if len(words) > step]
-            parts += [" ".join(words[i : i + 12]) for i in range(0, len(words) - 12, 6)]
-            out += [(x, k) for x in dict.fromkeys(parts)]
-    return out + [(x, len(TEMPLATES)) for x in dict.fromkeys([*EVERYDAY, *negatives])]
-
-
-def fit(negatives: list[str], steps: int = 600, l2: float = 1e-3) -> Model:
-    families = list(TEMPLATES)
-    rows = examples(negatives)
-    vocabulary = sorted(set().union(*(grams(tokens(t)) for texts in TEMPLATES.values() for t in texts)))
+def variants(text: str) -> list[str]:
+    """A template, its sentences, and itself without every k-th word and in parts."""
+    words = text.split()
+    parts = [text, *[x for x in re.split(r"(?<=[.;:]) ", text) if len(x.split()) > 4]]
+    if len(words) > 7:
+        parts += [" ".join(w for i, w in enumerate(words) if i % step != at) for step in (5, 7) for at in range(step)]
+    parts += [" ".join(words[i : i + 12]) for i in range(0, len(words) - 12, 6)]
+    return list(dict.fromkeys(parts))
+
+
+def agreement(text: str, template: str) -> float:
+    """The larger share of the word pairs that text and template have in common: of the template's, and of the text's if it has enough."""
+    own, other = (grams(tokens(x), (2,)) for x in (text, template))
+    both = len(own & other)
+    return max(both / len(other) if other else 0.0, both / len(own) if len(own) >= LEAST_PAIRS else 0.0)
+
+
+def fit(negatives: list[str], steps: int = 300, l2: float = 1e-3) -> Model:
+    """The model, with unknown examples beside the written ones; those that agree with a template are left out."""
+    texts = all_templates()
+    families = list(texts)
+    unknown = [x for x in dict.fromkeys([*EVERYDAY, *negatives]) if not any(agreement(x, t) >= AGREEMENT for ts in texts.values() for t in ts)]
+    # (text, class, fold): a template and its variants share a fold
+    rows = [(v, k, i % 2) for k, ts in enumerate(texts.values()) for i, t in enumerate(ts) for v in variants(t)]
+    rows += [(x, len(families), i % 2) for i, x in enumerate(unknown)]
+    vocabulary = sorted(set().union(*(grams(tokens(t)) for ts in texts.values() for t in ts)))
     place = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for r, (text, _) in enumerate(rows):
+    for r, (text, _, _) in enumerate(rows):
         x[r, [place[g] for g in grams(tokens(text)) if g in place]] = 1
-    y = np.array([k for _, k in rows])
-    held = np.array([i % 4 == 3 for i in range(len(rows))])
+    y, fold = (np.array([r[i] for r in rows]) for i in (1, 2))
 
     def train(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         xs, one = x[part], np.eye(len(families) + 1, dtype=np.float32)[y[part]]
@@ -173,26 +230,28 @@ def fit(negatives: list[str], steps: int = 600, l2: float = 1e-3) -> Model:
                 v -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         return w, b
 
-    w, b = train(~held)
-    z, yh = x[held] @ w + b, y[held]
+    z = np.zeros((len(rows), len(families) + 1))
+    for k in (0, 1):
+        w, b = train(fold != k)
+        z[fold == k] = x[fold == k] @ w + b
 
     def calibrated(t: float) -> np.ndarray:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         return p / p.sum(axis=1, keepdims=True)
 
-    temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=lambda t: -np.log(calibrated(t)[np.arange(len(yh)), yh] + 1e-12).mean())
+    temperature = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=lambda t: -np.log(calibrated(t)[np.arange(len(y)), y] + 1e-12).mean())
     p = calibrated(temperature)[:, :-1].max(axis=1)
-    unknown = p[yh == len(families)]
-    threshold = float(min(0.9, max(0.5, np.quantile(unknown, 0.99) if len(unknown) else 0.5)))
+    threshold = float(np.clip(np.quantile(p[y == len(families)], 1 - UNKNOWN_NAMED), *THRESHOLDS))
     w, b = train(np.ones(len(rows), bool))
     return Model(families, vocabulary, np.round(w.astype(float), 6), np.round(b.astype(float), 6), temperature, threshold)
 
 
-def sample_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = SAMPLE_DOCS, most_lines: int = SAMPLE_LINES) -> list[str]:
-    """Lines without an anchor of at most most_docs documents, chosen by a hash of their ids."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, 4000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    lines = picked.select(F.explode(F.split("text", "\n")).alias("line")).filter(~F.col("line").rlike(ANCHORS) & (F.length(F.trim("line")) > 0))
-    return sorted(x.line for x in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(most_lines).collect())
+def sample_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = SAMPLE_DOCS, most: int = SAMPLE_SENTENCES) -> list[str]:
+    """Sentences of the whole texts of at most most_docs documents, chosen by a hash of their ids: at most most with a key and most without."""
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    found = picked.select(F.explode(F.split("text", f"{SENTENCE_END}|{PARAGRAPH_END}")).alias("x")).filter(F.length(F.trim("x")) > 0).distinct()
+    rows = [found.filter(F.col("x").rlike(KEYS) == keyed).orderBy(F.xxhash64("x"), "x").limit(most) for keyed in (True, False)]
+    return sorted(r.x for r in rows[0].union(rows[1]).collect())
 
 
 def _let(value: Column, body) -> Column:
@@ -211,12 +270,12 @@ def _word_grams(words: Column, n: int) -> Column:
 
 def _pairs_of_templates() -> Column:
     """Of each family, and last of the unknown class, the word pairs of its templates."""
-    sets = [[sorted(grams(tokens(t), (2,))) for t in texts] for texts in TEMPLATES.values()]
+    sets = [[sorted(grams(tokens(t), (2,))) for t in texts] for texts in all_templates().values()]
     return _constant([*sets, [[]]], "array<array<array<string>>>")
 
 
-def classified(line: Column, model: Model) -> Column:
-    """struct(family, probability, agreement) of a line; family is null where it is unknown or unconfirmed."""
+def classified(words: Column, model: Model) -> Column:
+    """struct(family, probability, agreement) of lower-case words; family is null where it is unknown or unconfirmed."""
     unknown = len(model.families)
     weights = _constant({g: w.tolist() for g, w in zip(model.vocabulary, model.weights)}, "map<string,array<double>>")
 
@@ -240,22 +299,42 @@ def classified(line: Column, model: Model) -> Column:
 
         return _let(logits, decide)
 
-    return _let(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0)), verdict)
+    return _let(words, verdict)
+
+
+def _pieces(sentence: Column) -> Column:
+    """The lower-case words of a sentence with a key: all, or in overlapping windows where it is long; windows without a key are left out."""
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - WINDOW + STEP - 1), F.lit(STEP))
+    windows = lambda w: F.filter(F.transform(starts(w), lambda i: F.slice(w, i + 1, F.lit(WINDOW))), lambda x: F.array_join(x, " ").rlike(KEYS))
+    return _let(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.when(F.size(w) <= WINDOW, F.array(w)).otherwise(windows(w)))
 
 
 def licences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_scored, n_licences, families, paragraphs) for each row: families are distinct and ordered, paragraphs are line:family:probability."""
+    """(doc_id, n_paragraphs, n_scored, n_licences, families, paragraphs) for each row.
+
+    n_scored counts the pieces with a key, n_licences the families that paragraphs name; families are distinct and ordered, paragraphs
+    are paragraph:family:probability (its highest), by the paragraph's number from 0 and family.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    picked = F.filter(numbered, lambda x: x["text"].rlike(ANCHORS))
-    scored = F.transform(picked, lambda x: F.struct(x["line"].alias("line"), classified(x["text"], model).alias("v")))
-    none = F.array().cast("array<struct<line:int,v:struct<family:string,probability:double,agreement:double>>>")
-    rows = rows.select("doc_id", F.when(F.col("text").rlike(ANCHORS), scored).otherwise(none).alias("scored"))
-    result = lambda s: _let(F.filter(s, lambda x: x["v"]["family"].isNotNull()), lambda named: F.struct(F.size(s).cast("long").alias("n_scored"), F.size(named).cast("long").alias("n_licences"), F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(named, lambda x: x["v"]["family"])))).alias("families"), F.concat_ws(",", F.transform(named, lambda x: F.concat_ws(":", x["line"].cast("string"), x["v"]["family"], F.format_number(x["v"]["probability"], 4)))).alias("paragraphs")))
+    sentences = lambda x: F.filter(F.split(x, SENTENCE_END), lambda y: y.rlike(KEYS))
+    verdicts = lambda x, i: F.transform(F.flatten(F.transform(sentences(x), _pieces)), lambda w: F.struct(i.alias("paragraph"), classified(w, model).alias("v")))
+    parts = F.filter(F.split("text", PARAGRAPH_END), lambda x: x.rlike("\\S"))
+    none = F.array().cast("array<struct<paragraph:int,v:struct<family:string,probability:double,agreement:double>>>")
+    scored = _let(parts, lambda ps: F.struct(F.size(ps).cast("long").alias("n"), F.flatten(F.transform(ps, lambda x, i: F.when(x.rlike(KEYS), verdicts(x, i)).otherwise(none))).alias("s")))
+    rows = rows.select("doc_id", scored.alias("scored"))
+
+    def named(s: Column) -> Column:
+        """The families of each paragraph, with their highest probability, ordered."""
+        found = F.transform(F.filter(s, lambda x: x["v"]["family"].isNotNull()), lambda x: F.struct(x["paragraph"], x["v"]["family"].alias("family"), x["v"]["probability"].alias("probability")))
+        last = lambda xs: F.filter(xs, lambda x, i: F.coalesce((F.get(xs, i + 1)["paragraph"] != x["paragraph"]) | (F.get(xs, i + 1)["family"] != x["family"]), F.lit(True)))
+        return _let(F.array_sort(found), last)
+
+    shown = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"], F.format_number(x["probability"], 4))))
+    result = lambda s: _let(named(s["s"]), lambda xs: F.struct(s["n"].alias("n_paragraphs"), F.size(s["s"]).cast("long").alias("n_scored"), F.size(xs).cast("long").alias("n_licences"), F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["family"])))).alias("families"), shown(xs).alias("paragraphs")))
     return rows.select("doc_id", _let(F.col("scored"), result).alias("r")).select("doc_id", "r.*")
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return licences(docs, fit(sample_lines(docs)))
+    return licences(docs, fit(sample_sentences(docs)))
