@@ -3,9 +3,10 @@
 A document longer than a sequence fills whole sequences with its first tokens; what remains of each document
 is packed with others. A sequence takes the oldest waiting remainder and, from the window of those that
 wait, the multiset of lengths whose sum comes closest to the space left: a subset-sum over a bitset, with the
-number of pieces of each length traced back. Each task packs its own rows as they come, so no text is
+number of pieces of each length traced back. Where no choice fills the sequence and more pieces wait than the window looks at,
+a waiting piece is cut to fill it. Each task packs its own rows as they come, so no text is
 shuffled; the few remainders that its last windows can't fill exactly go, with their ids, to a second packing over groups
-of tasks. What fills no sequence there either is cut to fit, so that a group pads one sequence at most.
+of tasks. What fills no sequence there either is cut to fit, so that a group of GROUP tasks pads one sequence at most.
 
 Cases: null and empty texts are one piece of the end id alone; equal rows are packed one by one; an empty
 table gives no rows; null ids are carried along. Other columns are ignored.
@@ -58,8 +59,14 @@ def closest_fill(counts: list[tuple[int, int]], space: int) -> dict[int, int]:
     return used
 
 
+def cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first n ids of a piece (doc_id, start, length, ids_crc32, doc_tokens, ids), and the rest."""
+    doc_id, start, length, _, tokens, ids = piece
+    return (doc_id, start, n, crc32_of(ids[:n]), tokens, ids[:n]), (doc_id, start + n, length - n, crc32_of(ids[n:]), tokens, ids[n:])
+
+
 class Packer:
-    """Packs pieces (any tuple, length at index 2) into numbered sequences."""
+    """Packs pieces (doc_id, start, length, ids_crc32, doc_tokens, ids) into numbered sequences."""
 
     def __init__(self, first_id: int, capacity: int = CAPACITY, window: int = WINDOW):
         self.next_id, self.capacity, self.window = first_id, capacity, window
@@ -96,7 +103,17 @@ class Packer:
         self.waiting.append(piece)
         if len(self.waiting) >= 2 * self.window:
             while len(self.waiting) > self.window:
-                self._close(self._choose())
+                self._close(self._filled(self._choose()))
+
+    def _filled(self, chosen: list[tuple]) -> list[tuple]:
+        """chosen, with the beginning of a waiting piece that is longer than the room left, if there is room; its rest waits on."""
+        room = self.capacity - sum(x[2] for x in chosen)
+        if room:
+            at = next((i for i, x in enumerate(self.waiting) if x[2] > room), None)
+            if at is not None:
+                head, self.waiting[at] = cut(self.waiting[at], room)
+                chosen = [*chosen, head]
+        return chosen
 
     def finish(self, keep_open: bool) -> list[tuple]:
         """Packs what waits; with keep_open the pieces of sequences that aren't full are returned instead."""
@@ -110,17 +127,18 @@ class Packer:
         return left
 
     def cut_to_fit(self, pieces: list[tuple]) -> None:
-        """Fills sequences with pieces (ids at index 5) in turn, cutting the last of each where it is full."""
+        """Fills sequences with pieces in turn, cutting the last of each where it is full."""
         room, part = self.capacity, []
-        for doc_id, start, length, crc, tokens, ids in pieces:
-            while length:
-                n = min(room, length)
-                part.append((doc_id, start, n, crc if n == len(ids) else crc32_of(ids[:n]), tokens, ids[:n]))
-                start, length, ids, room = start + n, length - n, ids[n:], room - n
-                crc = crc32_of(ids)
-                if not room:
-                    self._close(part)
-                    room, part = self.capacity, []
+        for piece in pieces:
+            while piece[2] > room:
+                head, piece = cut(piece, room)
+                self._close([*part, head])
+                room, part = self.capacity, []
+            part.append(piece)
+            room -= piece[2]
+            if not room:
+                self._close(part)
+                room, part = self.capacity, []
         if part:
             self._close(part)
 

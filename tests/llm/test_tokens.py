@@ -45,7 +45,10 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted([(k[0] or 0, len(v), crc(v)) for k, v in want.items()] + [(4, len(want[4, "one"]), crc(want[4, "one"]))])
     shard = tokenfiles.ShardReader(next(x.path for x in manifest if x.tokens > 64))
     ids, mask = shard.sequence(0)
-    assert len(ids) == 64 and mask.all() and ids.base is not None  # a view of the mapped file
+    assert len(ids) == 64 and mask.all() and ids.base is not None and mask.base is not None  # views of the mapped file
+    before = pa.total_allocated_bytes()
+    held = [shard.sequence(0) for _ in range(50)]
+    assert pa.total_allocated_bytes() == before and len(held) == 50
     total = sum(x.tokens for x in manifest if x.path.endswith(shard.name[-12:]))
     assert sum(shard.sequence(i)[1].sum() for i in range(-(-total // 64))) == total
 
@@ -87,3 +90,42 @@ def test_closest_fill_against_brute_force():
         best = max(s for take in product(*(range(c + 1) for _, c in counts)) if (s := sum(t * n for t, (n, _) in zip(take, counts))) <= space)
         used = packing.closest_fill(counts, space)
         assert sum(n * k for n, k in used.items()) == best and all(k <= dict(counts)[n] for n, k in used.items())
+
+
+def test_strings_of_special_tokens_are_ordinary_text():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = encoding.Encoder(encoding.read_tokenizer(public_tokenizers.path(name)))
+        special = Tokenizer.from_file(public_tokenizers.path(name)).token_to_id("<|endoftext|>")
+        (ids,) = enc.encode(pa.array(["a <|endoftext|> b"]))
+        assert special is not None and special not in ids.tolist() and len(ids) > 4
+
+
+def test_index_is_written_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "INDEX_BATCH", 3)
+    writer = tokenfiles.ShardWriter(f"file://{tmp_path}/s", np.dtype("<u2"), 8, 2)
+    for i in range(8):
+        writer.add(i, np.arange(i + 1, dtype="<u2"))
+    writer.close()
+    batches = list(tokenfiles.ShardReader(f"file://{tmp_path}/s").index())
+    assert [b.num_rows for b in batches] == [3, 3, 2] and [x for b in batches for x in b.column(0).to_pylist()] == list(range(8))
+
+
+@pytest.mark.parametrize("length", [1400, 1100, 700])
+def test_copies_of_one_length_are_cut_and_pad_little(length):
+    import random
+
+    rng, packer = random.Random(3), packing.Packer(0)
+    for i in range(3000):
+        n = length if i % 3 == 0 else rng.randrange(1, 2048)
+        ids = np.arange(n, dtype="<u4")
+        packer.add((i, 0, n, encoding.crc32_of(ids), n, ids))
+    packer.cut_to_fit(packer.finish(keep_open=True))
+    sums, pieces = {}, {}
+    for doc, start, n, crc, tokens, ids, sequence, offset in packer.rows:
+        assert offset == sums.get(sequence, 0) and n == len(ids) and crc == encoding.crc32_of(ids) and ids[0] == start
+        sums[sequence] = offset + n
+        pieces.setdefault(doc, []).append((start, n, tokens))
+    for parts in pieces.values():
+        parts.sort()
+        assert [s for s, *_ in parts] == [sum(n for _, n, _ in parts[:i]) for i in range(len(parts))] and sum(n for _, n, _ in parts) == parts[0][2]
+    assert len(pieces) == 3000 and sorted(sums.values())[1] == 2048 and max(sums.values()) == 2048
