@@ -1,4 +1,4 @@
-"""Connected components of an edge list, with all state in distributed tables of a shared folder."""
+"""Shared folder, tables written there, and connected components with all state in such tables."""
 
 from __future__ import annotations
 
@@ -10,38 +10,70 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs in one process one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master} it has to name a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="ledgerline-")
     spark.sparkContext.setCheckpointDir(folder)
     return f"file://{folder}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    """df, written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges(a, b), root being the smallest node of its component.
+def _pairs_to_roots(edges: DataFrame) -> DataFrame:
+    """(node, root): each node points to the smallest node among itself and its neighbours, then all
+    pointers are followed to their ends by doubling."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+    hops = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
+    hops = written(hops, "cc-hops")
+    while True:
+        end = hops.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        further = written(hops.join(end, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-jump")
+        moved = further.filter("moved").limit(1).count()
+        hops = further.select("node", "root")
+        if not moved:
+            return hops
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node in edges(a, b), root being the smallest node of its component.
 
-    A round lets each node take the least label around it and then its label's label, until nothing changes; equal
-    labels of a hub's neighbours are combined before the shuffle.
+    Each round contracts every node into a local minimum, at least halving the nodes of a component,
+    so the rounds are logarithmic in the longest component; all state stays in distributed tables.
+    Null ends and loops are ignored.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    result = None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = written(step.join(up, "root", "left").select("node", "old", F.least(F.col("root"), F.col("above")).alias("root")), "labels")
-        if step.filter("root <> old").isEmpty():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
+        roots = _pairs_to_roots(edges)
+        if result is None:
+            result = roots
+        else:
+            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            result = written(result.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-roots")
+        left, right = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+        edges = edges.join(left, "a").join(right, "b").filter("ra <> rb")
+        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        if edges.isEmpty():
+            return result

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ledgerline.operators import evaluate as evaluation
 from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
-from ledgerline.operators.components import shared_dir
+from ledgerline.operators.components import new_path
 from ledgerline.operators.linking import link
 from ledgerline.operators.rules import Rule, classify, confidence, fired, ranks_of, winner
 from ledgerline.plans import mails
@@ -509,7 +507,7 @@ def link_fold(spark, sf_dir):
 
 @query("incremental_sync")
 def incremental_sync(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/ledgerline/sync-{uuid.uuid4().hex}"
+    folder = new_path(spark, "sync")
     talk = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     none, labels = F.lit(None).cast("string"), F.array(F.lit("INBOX"))

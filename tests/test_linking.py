@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import linking
-from ledgerline.operators.components import components
+from ledgerline.operators.components import connected_components, shared_dir
 
 NOW = datetime(2026, 8, 18, 12)
 
@@ -23,8 +23,8 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: root(x) for x in up}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
 
 
 def history(rng, n):
@@ -104,3 +104,32 @@ def test_threads_of_several_companies_do_not_tie_them_together(spark):
     got = corrected_links(spark, rows, [])
     ordered = sorted(rows, key=lambda r: (r["received_at"], r["message_id"]))
     assert {i: r.application_id for i, r in got.items()} == {x["message_id"]: x["application_id"] for x in linking.fold(ordered, NOW)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf, master = Conf(), "spark://host:7077"
+
+        @property
+        def sparkContext(self):  # noqa: N802
+            return self
+
+        @property
+        def _jsc(self):
+            return self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Cluster())
