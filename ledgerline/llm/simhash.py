@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -288,47 +289,68 @@ def may_be_similar(fine: np.ndarray, other: np.ndarray, similarity: float) -> np
     return same >= similarity * filled - MARGIN * np.sqrt(similarity * (1 - similarity) * filled * undrawn) - 1
 
 
-def _all_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, fine: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Every pair of differing labels within radius whose fine sketches allow the similarity."""
-    pairs = []
-    for i in range(len(node) - 1):
-        near = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1, dtype=np.int64) <= radius))
+def _all_pairs(rows: Members, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Every pair of differing roots within radius whose fine sketches allow the similarity, in the first of the keys that both have.
+
+    Of two blocks of a key only pairs across are taken, as those inside one meet where the block is paired with itself.
+    """
+    pairs, across = [], rows.place[0, 1] != rows.place[0, 2]
+    for i in range(len(rows.node) - 1):
+        rest = slice(i + 1, None)
+        meet = (rows.root[rest] != rows.root[i]) & (np.bitwise_count(rows.wide[rest] ^ rows.wide[i]).sum(axis=1, dtype=np.int64) <= radius)
+        near = i + 1 + np.flatnonzero(meet & (rows.block[rest] != rows.block[i]) if across else meet)
+        if len(near):
+            near = near[may_be_similar(rows.fine[near], rows.fine[i], similarity)]
         if len(near):
-            near = near[may_be_similar(fine[near], fine[i], similarity)]
-        pairs += [(int(node[i]), int(node[j])) for j in near]
+            first = (rows.keys[near] == rows.keys[i]).argmax(axis=1)
+            near = near[rows.keys[i][first] == rows.place[0, 0]]
+        pairs += [(int(rows.node[i]), int(rows.node[j])) for j in near]
     return pairs
 
 
+class Members(NamedTuple):
+    """Rows of members, sorted by place (key, i, j): what a task compares."""
+
+    place: np.ndarray
+    node: np.ndarray
+    root: np.ndarray
+    wide: np.ndarray
+    block: np.ndarray
+    fine: np.ndarray
+    keys: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, every: bool) -> Members:
+        n = 5 + WIDE // 64
+        wide = np.ascontiguousarray(rows[:, 5:n]).view(np.uint64)
+        if not every:
+            rows = np.pad(rows, ((0, 0), (0, 1)))
+        fine = np.ascontiguousarray(rows[:, n + 1 : n + 1 + BINS // 8]).view(np.uint8)
+        return cls(rows[:, :3], rows[:, 3], rows[:, 4], wide, rows[:, n], fine, rows[:, n + 1 + BINS // 8 :])
+
+    def part(self, at: int, size: int) -> Members:
+        return Members(*[x[at : at + size] for x in self])
+
+
 def _candidates(members: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b), a < b: candidate pairs of differing roots of members(key, i, j, node, root, wide), group by group of (key, i, j); members
-    with a column fine give every pair that the sketches allow, others as few as join a group."""
+    with block, fine and keys give every pair that the sketches allow, once; others as few as join a group."""
     every = "fine" in members.columns
 
-    def of_group(part: np.ndarray, wide: np.ndarray, fine: np.ndarray | None) -> list[tuple[int, int]]:
-        if (part[:, 4] == part[0, 4]).all():
-            return []
-        if every:
-            return _all_pairs(part[:, 3], wide, part[:, 4], fine, radius, similarity)
-        return _near_pairs(part[:, 3], wide, part[:, 4], radius)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
             starts, sizes = _groups(rows, 3)
-            n = 5 + WIDE // 64
-            wide, fine = np.ascontiguousarray(rows[:, 5:n]).view(np.uint64), np.ascontiguousarray(rows[:, n:]).view(np.uint8) if every else None
-            two = starts[sizes == 2]
-            close = two[(np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1, dtype=np.int64) <= radius) & (rows[two, 4] != rows[two + 1, 4])]
-            if every and len(close):
-                close = close[may_be_similar(fine[close], fine[close + 1], similarity)]
-            pairs = [rows[np.stack([close, close + 1], axis=1), 3]]
-            for at, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-                part = slice(at, at + size)
-                pairs.append(np.array(of_group(rows[part], wide[part], fine[part] if every else None), np.int64).reshape(-1, 2))
-            both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+            found, pairs = Members.of(rows, every), []
+            for at, size in zip(starts[sizes > 1], sizes[sizes > 1]):
+                group = found.part(at, size)
+                if (group.root != group.root[0]).any():
+                    pairs += _all_pairs(group, radius, similarity) if every else _near_pairs(group.node, group.wide, group.root, radius)
+            both = np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     place = ["key", "i", "j"]
-    rows = members.select(*place, "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)], *(["fine"] if every else []))
+    more = ["block", "fine", *[F.col("keys")[k].alias(f"k{k}") for k in range(BANDS)]] if every else []
+    rows = members.select(*place, "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)], *more)
     return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -346,15 +368,15 @@ def _first_round(nodes: DataFrame) -> DataFrame:
 
 
 def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, i, j, node, root, wide, fine): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
+    """(key, i, j, node, root, wide, block, fine, keys): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
     members has blocks of its own, which do not meet each other."""
     rooted = nodes.join(roots, "node")
-    members = rooted.select(F.explode("keys").alias("key"), "node", "root", "wide", "fine")
+    members = rooted.select(F.explode("keys").alias("key"), "node", "root", "wide", "fine", "keys")
     sizes = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
     mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
     members = members.join(mixed, "key")
-    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide", "fine")
+    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide", F.lit(0).alias("block"), "fine", "keys")
     large = mixed.filter(F.col("n") > BLOCK)
     if large.isEmpty():
         return plain
@@ -368,8 +390,8 @@ def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
     dealt = dealt.withColumns({"block": block, "blocks": blocks})
     partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-    dealt = dealt.select("key", "node", "root", "wide", "fine", "block", F.explode(partners).alias("other"))
-    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide", "fine"))
+    dealt = dealt.select("key", "node", "root", "wide", "fine", "keys", "block", F.explode(partners).alias("other"))
+    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide", "block", "fine", "keys"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
