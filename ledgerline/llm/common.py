@@ -1,42 +1,34 @@
-"""Shared folder, materialised steps, connected components and text helpers."""
+"""Materialised steps, connected components, row numbers and text helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.components import connected_components, new_path
+from ledgerline.operators.components import written
+
+__all__ = ["BLANKS", "WORD", "connected_components", "materialize", "new_path", "numbered", "text_slices", "word_count"]
+
 #: Words are runs of anything but space and the controls from tab to carriage return.
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="ledgerline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return f"file://{folder}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+#: Most rows of a batch that goes to a Python worker while a step is materialised: texts may be long, and both sides hold a batch.
+ARROW_ROWS = 2048
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet to the shared folder and read back, with small batches between the JVM and Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        return written(df, label)
+    finally:
+        conf.set(key, before)
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
@@ -62,41 +54,3 @@ def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def _pairs_to_roots(edges: DataFrame) -> DataFrame:
-    """(node, root): each node points to the smallest node among itself and its neighbours, then all
-    pointers are followed to their ends by doubling."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-    hops = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
-    hops = materialize(hops, "cc-hops")
-    while True:
-        end = hops.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        further = materialize(hops.join(end, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-jump")
-        moved = further.filter("moved").limit(1).count()
-        hops = further.select("node", "root")
-        if not moved:
-            return hops
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node in edges(a, b), root being the smallest node of its component.
-
-    Each round contracts every node into a local minimum, at least halving the nodes of a component,
-    so the rounds are logarithmic in the longest component; all state stays in distributed tables.
-    Null ends and loops are ignored.
-    """
-    edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    result = None
-    while True:
-        roots = _pairs_to_roots(edges)
-        if result is None:
-            result = roots
-        else:
-            onward = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            result = materialize(result.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-roots")
-        left, right = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-        edges = edges.join(left, "a").join(right, "b").filter("ra <> rb")
-        edges = materialize(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
-        if edges.isEmpty():
-            return result

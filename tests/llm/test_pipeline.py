@@ -52,3 +52,24 @@ def test_run_gives_the_last_stage(spark, steps):
 
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_awkward_rows_go_through_every_stage(spark, tmp_path):
+    """Nulls, equal ids of other texts, repeated rows, a very long text and clashing columns; then an empty table."""
+    good = [" ".join(f"{x}{i}" for i in range(90)) for x in ("a", "b", "c")]
+    long = " ".join(f"w{i % 6007}x{i % 31}" for i in range(60_000))
+    rows = [(1, good[0], "en", "s"), (1, good[1], "en", "s"), (None, good[2], None, None), (None, good[2], None, None), (2, None, "en", "s"), (3, "", "en", None), (4, long, "de", "t"), (5, good[0] + " end", "en", "t"), (5, good[0] + " end", "en", "t")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, s string, block int, root long, node long, key long, n_words int, _mix string"
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", 1, 2, 3, 4, 5, "y") for r in rows], schema)
+    spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            frame = corpus_pipeline.materialize(stage(spark, frame, str(tmp_path)), f"awkward-{name}")
+            if name != "packing_sequences":
+                assert frame.columns == docs.columns
+            kept.setdefault(name, []).append(frame)
+    texts = lambda name: sorted(((r.doc_id or 0), r.text) for r in kept[name][0].collect())
+    assert texts("quality_rules") == sorted((r[0] or 0, r[1]) for r in rows if r[1])
+    assert texts("simhash_near_dedup") == sorted([(0, good[2]), (1, good[0]), (1, good[1]), (4, long)]) == texts("secret_scans")
+    assert kept["mixing_sources"][0].count() > 0 and all(x[1].count() == 0 for x in kept.values())
