@@ -38,6 +38,8 @@ ROUNDS = 2
 #: Longest words (with their space) that go through the recursion as arrays, and cells of such an array.
 ARRAY_CHARS = 40
 CELLS = 1 << 20
+#: Distinct words that a task scores at a time.
+WORDS = 1 << 16
 LN10 = math.log(10)
 SPACE = "▁"
 
@@ -224,13 +226,25 @@ def word_table(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, trained long, total long").groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many rows, so that there are many words of each length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def expected_counts(words: DataFrame, pieces: dict[str, float], byte_logs: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Expected counts of the pieces and bytes over the training words (a number for each piece of the vocabulary at most)."""
     sent = words.sparkSession.sparkContext.broadcast((pieces, byte_logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, total = Lattice(*sent.value), 0
-        for part in text_slices(batches, 8192):
+        for part in gathered(batches):
             total = total + np.concatenate(lattice.expect(part.column(0).to_pylist(), part.column(1).to_numpy()))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(np.atleast_1d(total)[used].astype(float))], names=["piece", "n"])
@@ -275,7 +289,7 @@ def scored_words(words: DataFrame, pieces: dict[str, float], byte_logs: list[flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
-        for batch in text_slices(batches, 8192):
+        for batch in gathered(batches):
             scores = lattice.log10s(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "trained", "total", "score"])
 
