@@ -44,9 +44,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_CASED = [c for c in map(chr, range(0x80, 0x10000)) if len(c.casefold()) == 1 and c.casefold() != c.lower()]
+
+
+def casefold(text: Column) -> Column:
+    """Lower case with what full case folding adds for single characters, and ss for the sharp s."""
+    return F.replace(F.translate(F.lower(text), "".join(c.lower() for c in _CASED if len(c.lower()) == 1), "".join(c.casefold() for c in _CASED if len(c.lower()) == 1)), F.lit("ß"), F.lit("ss"))
+
+
 def normalize_text(text: Column) -> Column:
-    """Typographic characters folded, lower case, blanks collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), "(?U)\\s+", " "))
+    """Typographic characters folded, case folded, blanks collapsed, ends trimmed."""
+    return F.trim(F.regexp_replace(casefold(F.translate(text, FOLD_FROM, FOLD_TO)), "(?U)\\s+", " "))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -139,8 +147,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters in the longest matching blocks; 0 if either is null."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
+    """Ratio of matching characters in the longest matching blocks (frequent characters of long texts don't count, as the standard
+    library has it); 0 if either is null."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
 def role_similarity(a: Column, b: Column) -> Column:

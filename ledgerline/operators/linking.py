@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import company_key, link_tokens, strip_accents
+from ledgerline.schemas import EVENT_TYPES, checked_enum
 
 WINDOW_DAYS = 180
 SIMILAR = 0.75
@@ -86,7 +87,7 @@ def corrected(classifications: DataFrame, overrides: DataFrame, reapply: bool =
     A type of unknown unlinks. A message that links by its own classification keeps its application, so its company and role stay;
     one that doesn't links by the corrected type, company and role. With reapply, as after new rules, corrections always count.
     """
-    o = overrides.select("message_id", F.col("event_type").alias("o_type"), F.nullif("company", F.lit("")).alias("o_company"), F.nullif("role", F.lit("")).alias("o_role"))
+    o = overrides.select("message_id", checked_enum(F.col("event_type"), EVENT_TYPES, "event type").alias("o_type"), F.nullif("company", F.lit("")).alias("o_company"), F.nullif("role", F.lit("")).alias("o_role"))
     rows = classifications.join(o, "message_id", "left")
     own = F.coalesce((F.col("event_type") != "unknown") & F.col("company_key").isNotNull(), F.lit(False))
     use = F.lit(reapply) | ~own

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.schemas import STAGE_OF, STAGES, STATUSES, TERMINAL_RANK, lookup
+from ledgerline.schemas import STAGE_OF, STAGES, STATUSES, TERMINAL_RANK, lookup, require_columns
 
 
 def _dimension(spark, values: list[str], name: str) -> DataFrame:
@@ -14,6 +14,7 @@ def _dimension(spark, values: list[str], name: str) -> DataFrame:
 
 def status_counts(model: DataFrame) -> DataFrame:
     """(rank, status, n) for every status, zero included, in pipeline order."""
+    require_columns(model, ["status"])
     counts = model.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     every = _dimension(model.sparkSession, STATUSES, "status")
     return every.join(counts, "status", "left").select("rank", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy("rank")
@@ -40,10 +41,13 @@ def calendar_counts(df: DataFrame, column: str, freq: str = "W") -> DataFrame:
 
 def top_companies(model: DataFrame, top_n: int = 20) -> DataFrame:
     """The companies of most applications (the earliest application_id first among equals) by status, zeros omitted."""
-    totals = model.groupBy("company").agg(F.count(F.lit(1)).alias("total"), F.min("application_id").alias("first")).orderBy(F.desc("total"), "first").limit(top_n)
+    require_columns(model, ["company", "status"])
+    # one aggregation of the model, whose shuffle both uses share
+    cells = model.groupBy("company", "status").agg(F.count(F.lit(1)).alias("n"), F.min("application_id").alias("first"))
+    totals = cells.groupBy("company").agg(F.sum("n").alias("total"), F.min("first").alias("first")).orderBy(F.desc("total"), "first").limit(top_n)
     w = Window.orderBy(F.desc("total"), "first")  # at most top_n rows
     ranked = totals.withColumn("place", F.row_number().over(w)).select("company", "total", "place")
-    return model.join(F.broadcast(ranked), "company").groupBy("place", "company", "total", "status").agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(F.broadcast(ranked), "company").select("place", "company", "total", "status", "n")
 
 
 def latency_histogram(model: DataFrame, width: int = 7, bins: int = 8) -> DataFrame:
@@ -74,6 +78,7 @@ def summary(model: DataFrame) -> DataFrame:
 
 
 def stats_by_status(model: DataFrame) -> DataFrame:
+    require_columns(model, ["status"])
     return model.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy("status")
 
 

@@ -1,7 +1,8 @@
 """Classification by a language model: a keyed table of responses, the calls an injected function, and what a response says.
 
 The call itself is any function from texts to JSON answers; it runs in batches on the executors, only for messages whose key
-has no response yet. A failed call or an unreadable answer gives a row of confidence zero.
+has no response yet. A failed call, an unreadable answer or a type outside the list gives a row of confidence zero. An answer may say
+that the mail is none of an application's (the triage gate): then it is unknown, whatever fields the answer fills in.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import clean_value, company_key, fold_accents
+from ledgerline.functions.sender import detect_vendor
+from ledgerline.functions.text import clean_value, company_key, strip_accents
 from ledgerline.schemas import EVENT_TYPES
 
 #: Characters of a body that a prompt holds, and confidence by what an answer has.
 BODY_CHARS = 2500
 TYPED, WITH_COMPANY, WITH_ROLE, UNKNOWN = 0.70, 0.15, 0.10, 0.30
 
-ANSWER = "event_type string, company string, role string, location string"
+ANSWER = "event_type string, company string, role string, location string, is_job_application_email boolean"
 RESPONSE = "key string, answer string"
 
 
@@ -50,25 +52,37 @@ def ask(requests: DataFrame, responses: DataFrame, call: Callable[[list[str]], l
     return new.mapInPandas(run, RESPONSE)
 
 
-def interpret(requests: DataFrame, responses: DataFrame, version: str) -> DataFrame:
-    """One classification for each request, in the layout of the rules' ones."""
+def interpret(requests: DataFrame, responses: DataFrame, version: str, messages: DataFrame | None = None) -> DataFrame:
+    """One classification for each request, in the layout of the rules' ones; the vendor comes from messages' senders and headers, if given."""
     rows = requests.select("message_id", "key").join(responses, "key", "left").withColumn("a", F.from_json("answer", ANSWER))
-    kind = F.when(F.col("a.event_type").isin(EVENT_TYPES), F.col("a.event_type"))
-    rows = rows.select("message_id", kind.alias("said"), *[clean_value(F.col(f"a.{c}")).alias(c) for c in ("company", "role", "location")])
+    named = F.lower(F.trim("a.event_type"))
+    mail = F.coalesce(F.col("a.is_job_application_email"), F.lit(True))
+    kind = F.when(named.isin(EVENT_TYPES), F.when(mail, named).otherwise("unknown"))
+    own = lambda c: F.when(kind.isNotNull() & mail, clean_value(F.col(f"a.{c}"))).alias(c)
+    rows = rows.select("message_id", kind.alias("said"), mail.alias("mail"), own("company"), own("role"), own("location"))
+    none = F.struct(F.lit(None).cast("string").alias("vendor"), F.array().cast("array<string>").alias("evidence"))
+    if messages is None:
+        rows = rows.withColumn("sender", none)
+    else:
+        senders = messages.select("message_id", detect_vendor(F.col("from_email"), F.col("headers")).alias("found"))
+        rows = rows.join(senders, "message_id", "left").withColumn("sender", F.when(F.col("said").isNotNull(), F.coalesce("found", none)).otherwise(none))
     typed = F.coalesce(F.col("said") != "unknown", F.lit(False))
-    score = F.when(F.col("said").isNull(), 0.0).when(~typed, UNKNOWN).otherwise(F.round(TYPED + F.when(F.col("company").isNotNull(), WITH_COMPANY).otherwise(0.0) + F.when(F.col("role").isNotNull(), WITH_ROLE).otherwise(0.0), 4))
-    own = lambda c: F.when(typed, F.col(c)).alias(c)
+    bonus = F.when(F.col("company").isNotNull(), WITH_COMPANY).otherwise(0.0) + F.when(F.col("role").isNotNull(), WITH_ROLE).otherwise(0.0)
+    score = F.when(F.col("said").isNull(), 0.0).when(~typed, UNKNOWN).otherwise(F.round(TYPED + bonus, 4))
+    told = F.when(F.col("said").isNull(), F.lit("model.failed")).otherwise(F.concat(F.lit("model.type."), F.col("said")))
+    fields = [F.when(F.col(c).isNotNull(), f"model.field.{c}") for c in ("company", "role")]
+    evidence = F.concat(F.array_compact(F.array(told, F.when(~F.col("mail"), "model.triage.not_job_mail"), *fields)), F.col("sender.evidence"))
     return rows.select(
         "message_id",
         F.coalesce("said", F.lit("unknown")).alias("event_type"),
-        own("company"),
-        F.when(typed, company_key(fold_accents(F.col("company")))).alias("company_key"),
-        own("role"),
-        own("location"),
-        F.lit(None).cast("string").alias("ats"),
+        "company",
+        company_key(strip_accents(F.col("company"))).alias("company_key"),
+        "role",
+        "location",
+        F.col("sender.vendor").alias("ats"),
         score.alias("confidence"),
         (~typed).alias("needs_review"),
-        F.array(F.lit("model")).alias("evidence"),
+        evidence.alias("evidence"),
         F.lit("model").alias("classifier_name"),
         F.lit(version).alias("classifier_version"),
     )

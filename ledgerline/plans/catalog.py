@@ -259,7 +259,7 @@ def eval_metrics(spark, sf_dir):
     return evaluation.evaluate(pairs)
 
 
-@query("normalize_text", "plain SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text, '‘’“”–— ​', '''''\"\"-- ')), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS digest FROM documents")
+@query("normalize_text", "plain SELECT doc_id, sha256(trim(regexp_replace(replace(lower(translate(text, '‘’“”–— ​', '''''\"\"-- ')), 'ß', 'ss'), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS digest FROM documents")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("digest"))
 
@@ -351,7 +351,7 @@ def _scored(spark, sf_dir):
 
 
 def _scored_sql() -> str:
-    clean = "trim(regexp_replace(lower(translate({0}, '‘’“”–— ​', '''''\"\"-- ')), '\\s+', ' ', 'g'))"
+    clean = "trim(regexp_replace(replace(lower(translate({0}, '‘’“”–— ​', '''''\"\"-- ')), 'ß', 'ss'), '\\s+', ' ', 'g'))"
     hit = ", ".join(f"CASE WHEN regexp_matches({r.scope}, '{r.pattern}') THEN '{r.rule_id}' END" for r in GENERIC_RULES)
     rank = "CASE " + " ".join(f"WHEN x = '{r.rule_id}' THEN {EVENT_TYPES.index(r.event_type)}" for r in GENERIC_RULES) + " END"
     return f"""plain WITH d AS (SELECT doc_id, {clean.format(_FIRST)} AS subject, {clean.format(_REST)} AS body FROM documents),

@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import email.header
 import json
+from datetime import timedelta
 from email.utils import parseaddr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,11 @@ def history_maximum(ids: Column) -> Column:
     return F.max(F.when(ids.rlike("^[0-9]+$"), ids.cast("bigint")))
 
 
+#: Days that a fetch without a cursor looks back, and messages of one sync.
+LOOKBACK_DAYS = 400
+BATCH_MESSAGES = 500
+
+
 def fetch(messages: DataFrame, since=None, limit: int | None = None) -> tuple[DataFrame, bool]:
     """Messages after since, the newest first, at most limit of them; and whether there were more."""
     rows = without_excluded(messages)
@@ -55,6 +61,32 @@ def fetch(messages: DataFrame, since=None, limit: int | None = None) -> tuple[Da
     return rows.limit(limit), rows.limit(limit + 1).count() > limit
 
 
+def fetch_from(mailbox: DataFrame, cursor: str | None, now, since=None, limit: int | None = BATCH_MESSAGES, lookback_days: int = LOOKBACK_DAYS) -> tuple[DataFrame, bool, str | None]:
+    """(messages, whether there were more, the next cursor) of a mailbox with the column history_id, a string of digits.
+
+    With a cursor the messages behind it, each once, in history order. Without one, or where the mailbox no longer reaches back to
+    it (its oldest entry is more than one behind the cursor), a dated query from since, or lookback_days before now. The next cursor is read
+    before the messages are, so what arrives meanwhile is read again and not skipped; it stays where it was if nothing is there, and where
+    the limit cut a history short it is the last one read.
+    """
+    entry = F.when(F.col("history_id").rlike("^[0-9]+$"), F.col("history_id").cast("bigint"))
+    low, high = mailbox.agg(F.min(entry), history_maximum(F.col("history_id"))).first()
+    after = cursor if high is None else str(high)
+    known = cursor is not None and cursor.isdigit() and low is not None and int(low) <= int(cursor) + 1
+    if not known:
+        start = since if since is not None else now - timedelta(days=lookback_days)
+        rows, more = fetch(mailbox.drop("history_id"), start, limit)
+        return rows, more, after
+    first = Window.partitionBy("message_id").orderBy("_entry")
+    rows = without_excluded(mailbox).withColumn("_entry", entry).filter(F.col("_entry") > int(cursor))
+    rows = rows.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn").orderBy("_entry", "message_id")
+    more = limit is not None and rows.limit(limit + 1).count() > limit
+    rows = rows if limit is None else rows.limit(limit)
+    if more:
+        after = str(rows.agg(F.max("_entry")).first()[0])
+    return rows.drop("_entry", "history_id"), more, after
+
+
 @F.pandas_udf(T.StringType())
 def decode_header(values: pd.Series) -> pd.Series:
     """Encoded words of a header, decoded; what can't be decoded stays."""

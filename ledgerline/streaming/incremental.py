@@ -36,7 +36,7 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
     return _batches(spark, store)
 
 
-def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = None, multi_line: bool = True) -> StreamingQuery:
+def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = None, multi_line: bool = True, checkpoint: str = "checkpoint", first_batch: int = 0) -> StreamingQuery:
     """Read the JSON files (of one object each, or with multi_line off of one a line) of inbox that no earlier sync has read, and append their new messages to store; returns when done.
 
     Offsets advance only after a batch is written (the checkpoint in store), so nothing is lost or read twice.
@@ -46,11 +46,12 @@ def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = No
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def write(batch: DataFrame, n: int) -> None:
+        n += first_batch
         known = _batches(spark, store).filter(F.col("batch") < n).select("message_id")  # one narrow column of the history, no window over it
         fresh = insert_new(known, without_excluded(batch).filter("message_id IS NOT NULL"), "message_id", F.col("received_at"), F.col("thread_id"))
         fresh.write.mode("overwrite").parquet(f"{store}/messages/batch={n}")
 
-    query = reader.json(inbox).writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
+    query = reader.json(inbox).writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/{checkpoint}").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -80,6 +81,46 @@ def set_override(spark: SparkSession, store: str, message_id: str, at, event_typ
     spark.createDataFrame([(message_id, event_type, company, role, at, note)], OVERRIDE).write.mode("append").parquet(f"{store}/overrides")
 
 
+#: Layouts of a store in order: a change to it adds a step (version, function of (spark, store)) that brings an older one up.
+STEPS: list = [(1, lambda spark, store: None)]
+
+
+def store_version(spark: SparkSession, store: str) -> int:
+    """The layout that a store has; 0 before the first migration."""
+    try:
+        return spark.read.schema("version int").parquet(f"{store}/versions").agg(F.max("version")).first()[0] or 0
+    except Exception as error:  # no version yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return 0
+
+
+def migrate(spark: SparkSession, store: str, steps: list | None = None) -> int:
+    """Bring store to the newest layout, step by step; a step that fails leaves the version where it was. The version it has then."""
+    steps, at = sorted(steps or STEPS, key=lambda x: x[0]), store_version(spark, store)
+    if len({v for v, _ in steps}) < len(steps):
+        raise ValueError("two steps have one version")
+    for version, step in steps:
+        if version > at:
+            step(spark, store)
+            spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{store}/versions")
+            at = version
+    return at
+
+
+def rescan(spark: SparkSession, inbox: str, store: str, run: str, multi_line: bool = True) -> StreamingQuery:
+    """Read every file of inbox again, under a checkpoint of its own named run; messages that the store has are not added twice."""
+    return sync(spark, inbox, store, multi_line=multi_line, checkpoint=f"checkpoint-{run}", first_batch=1 + (_batches(spark, store).agg(F.max("batch")).first()[0] or 0))
+
+
+def messages_by(spark: SparkSession, store: str, **keys) -> DataFrame:
+    """Stored messages whose columns equal keys, oldest first."""
+    rows = stored(spark, store)
+    for column, value in keys.items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    return rows.orderBy("received_at", "message_id")
+
+
 def get_cursor(spark: SparkSession, store: str, source: str) -> str | None:
     """The cursor last kept for source; null if there is none or it was cleared."""
     try:

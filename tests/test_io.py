@@ -3,6 +3,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.plans import catalog
@@ -85,3 +86,45 @@ def test_dashboard_is_deterministic(spark, tmp_path):
     parts = [reports.summary(model), reports.status_counts(model), reports.calendar_counts(model, "applied_at"), reports.top_companies(model, 5), reports.latency_histogram(model), reports.stage_flows(eff, model)]
     one, two = (open(sinks.write_dashboard(str(tmp_path / f"{k}.html"), "T <1>", *parts)).read() for k in "ab")
     assert one == two and "T &lt;1&gt;" in one and one.count("<svg") == 5
+
+
+def test_fetch_from_a_cursor(spark):
+    from datetime import datetime, timedelta
+
+    now = datetime(2026, 3, 1)
+    rows = [(f"m{i}", now - timedelta(days=d), ["SPAM"] if i == 5 else ["INBOX"], h) for i, d, h in [(1, 900, "10"), (2, 30, "11"), (3, 20, "12"), (3, 20, "13"), (4, 10, "14"), (5, 9, "15"), (6, 8, "x")]]
+    box = spark.createDataFrame(rows, "message_id string, received_at timestamp, labels array<string>, history_id string")
+    ids = lambda found: [r.message_id for r in found[0].collect()]
+    first = mail.fetch_from(box, None, now)
+    assert (ids(first), first[1:]) == (["m6", "m4", "m3", "m3", "m2"], (False, "15"))  # the lookback leaves m1 out
+    delta = mail.fetch_from(box, "11", now)
+    assert (ids(delta), delta[1:]) == (["m3", "m4"], (False, "15"))
+    cut = mail.fetch_from(box, "9", now, limit=2)
+    assert (ids(cut), cut[1:]) == (["m1", "m2"], (True, "11"))
+    expired = mail.fetch_from(box, "3", now, since=now - timedelta(days=10))
+    assert (ids(expired), expired[1:]) == (["m6", "m4"], (False, "15"))
+    assert mail.fetch_from(box.limit(0), "7", now)[2] == "7" and mail.fetch_from(box, "junk", now, limit=1)[1]
+
+
+def test_store_versions_rescans_and_lookups(spark, tmp_path):
+    from ledgerline.streaming import incremental
+
+    store, done = str(tmp_path / "store"), []
+    steps = [(2, lambda *_: done.append(2)), (1, lambda *_: done.append(1)), (3, lambda *_: 1 / 0)]
+    assert incremental.store_version(spark, store) == 0
+    with pytest.raises(ZeroDivisionError):
+        incremental.migrate(spark, store, steps)
+    assert done == [1, 2] and incremental.store_version(spark, store) == 2 and incremental.migrate(spark, store, steps[:2]) == 2 and done == [1, 2]
+    write_mails(tmp_path / "in", rows())
+    incremental.sync(spark, str(tmp_path / "in"), store)
+    n = incremental.stored(spark, store).count()
+    incremental.rescan(spark, str(tmp_path / "in"), store, "again")
+    assert incremental.stored(spark, store).count() == n == len(rows())
+    assert [r.message_id for r in incremental.messages_by(spark, store, thread_id="t1").collect()] == ["a1", "a2"]
+
+
+def test_reports_name_missing_columns(spark):
+    from ledgerline.operators import reports
+
+    with pytest.raises(ValueError, match="status"):
+        reports.status_counts(spark.range(1))

@@ -14,6 +14,12 @@ def test_normalize_text(spark):
     assert values(spark, ["  “Hi” — it’s\n\tme ", None, "", "a​b"], text.normalize_text(F.col("x"))) == ['"hi" - it\'s me', None, "", "ab"]
 
 
+def test_normalize_text_folds_case(spark):
+    xs = ["STRAẞE Straße", "ΣΑΣ ς", "ſoon", "ΐ plain", "İ"]
+    got = values(spark, xs[:3], text.normalize_text(F.col("x")))
+    assert got == [x.casefold() for x in xs[:3]]
+
+
 def test_collapse_whitespace_is_idempotent(spark):
     xs = ["a \r\n\r\n\r\n\r\n b\tc \n", " x­y  z", "", " \n "]
     once = values(spark, xs, text.collapse_whitespace(F.col("x")))
