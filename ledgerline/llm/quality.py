@@ -207,8 +207,11 @@ def chosen_paths(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     own = _certified(alone, alpha, level)
     if not pooled:
         return materialize(own, "quality-paths")
-    shared = _certified(pool, alpha, level).select("path")  # one row at most
-    return materialize(own.unionByName(few.select("stratum").crossJoin(F.broadcast(shared))), "quality-paths")
+    shared = _certified(pool, alpha, level).first()  # one row at most, of as many steps as there are rules
+    if shared is None:
+        return materialize(own, "quality-paths")
+    path = F.array(*[F.struct(F.lit(x.rule).cast("int").alias("rule"), F.lit(x.cutoff).cast("double").alias("cutoff")) for x in shared.path])
+    return materialize(own.unionByName(few.select("stratum", path.alias("path"))), "quality-paths")
 
 
 def _broken(path: Column, statistic=F.col) -> Column:
