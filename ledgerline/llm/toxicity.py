@@ -213,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features:
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic whether p_toxic is at least the model's flag."""
+    """(doc_id, expected_severity, p_toxic, grade, toxic): toxic is whether p_toxic is at least the model's flag; grade is the likeliest
+    toxic grade of those documents, and 0 for others."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +224,8 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             below = np.array([model.at_most(scorer.logit(x)) for x in part.column(1).to_pylist()])
             each = np.diff(np.c_[np.zeros(len(below)), below, np.ones(len(below))], axis=1)
             p = 1 - below[:, 0]
-            columns = [(1 - below).sum(axis=1), p, each.argmax(axis=1).astype(np.int32), p >= model.flag]
+            toxic = p >= model.flag
+            columns = [(1 - below).sum(axis=1), p, np.where(toxic, 1 + each[:, 1:].argmax(axis=1), 0).astype(np.int32), toxic]
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], names=["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

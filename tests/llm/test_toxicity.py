@@ -79,7 +79,7 @@ def test_severity_equals_plain_python(spark):
         below = [1 / (1 + math.exp(sum(model.weights[f] for f in shown) - cut)) for cut in model.thresholds]
         each = [b - a for a, b in zip([0.0, *below], [*below, 1.0])]
         assert r.expected_severity == pytest.approx(sum(1 - x for x in below), abs=1e-9) and r.p_toxic == pytest.approx(1 - below[0], abs=1e-9)
-        assert each[r.grade] == pytest.approx(max(each)) and r.toxic == (r.p_toxic >= model.flag)
+        assert r.toxic == (r.p_toxic >= model.flag) == (r.grade > 0) and (not r.toxic or each[r.grade] == pytest.approx(max(each[1:])))
 
 
 def test_awkward_rows_and_missing_labels(spark):
