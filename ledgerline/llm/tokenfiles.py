@@ -1,9 +1,9 @@
 """Token-id output: Arrow IPC files of equal-length sequences and masks.
 
 Each shard holds the ids of a range of documents, in ascending id order, as one stream cut into sequences of equal
-length. A record batch has ``ids: fixed_size_list<uint16 or uint32>[L]`` and ``mask: fixed_size_list<uint8>[L]``
-(1, and 0 on the padding behind the shard's last id), uncompressed, so that a mapped file gives any sequence and its mask
-without a copy. A second IPC file beside it lists doc_id, start and n_tokens of the shard's documents, in batches.
+length. A record batch has ``ids: fixed_size_list<uint16 or uint32>[L]`` and ``mask: fixed_size_list<bool>[L]``
+(false on the padding behind the shard's last id), uncompressed, so that a mapped file gives any sequence as a numpy array and its mask
+as an Arrow array of bits, both without a copy. A second IPC file beside it lists doc_id, start and n_tokens of the shard's documents, in batches.
 Shards grow in number with the input's characters, and a task's memory is a batch of sequences and a batch of the index.
 Strings of special tokens in a text are ordinary text (see encoding). Files of failed or repeated attempts are never listed: the manifest names those of the attempt that ended.
 
@@ -36,7 +36,7 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def sequence_schema(dtype: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def file_system(path: str):
@@ -63,7 +63,7 @@ class ShardWriter:
         self.docs: list[tuple] = []
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        flat = pa.array((np.arange(len(ids)) < real).astype(np.uint8))
+        flat = pa.array(np.arange(len(ids)) < real)
         lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), flat)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -121,11 +121,11 @@ class ShardReader:
             self._at, self._ids = i, self.file.get_batch(i).column(0).flatten().to_numpy()
         return self._ids
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence i, views of the file."""
         batch, row = self.file.get_batch(i // self.per_batch), i % self.per_batch
         part = slice(row * self.length, (row + 1) * self.length)
-        return batch.column(0).flatten()[part].to_numpy(), batch.column(1).flatten()[part].to_numpy()
+        return batch.column(0).flatten()[part].to_numpy(), batch.column(1).flatten()[part]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids of the shard's stream from start."""
