@@ -1,0 +1,42 @@
+import re
+
+import pytest
+
+from ledgerline.operators.phrases import GROUPS, any_of, compiled
+
+HITS = [
+    ("application {been}? withdrawn", ["application withdrawn", "your application has been withdrawn"], ["application withdrawnness", "reapplication was withdrawn", "application not withdrawn"]),
+    ("you|you've have? now? withdrawn|withdrew", ["you withdrew", "you've now withdrawn", "you have withdrawn"], ["thou withdrew", "you were withdrawn"]),
+    ("unfortunately ... {no}", ["unfortunately we are unable to go on", "unfortunately not"], ["unfortunately it rains. not today", "unfortunately " + "x" * 90 + " not"]),
+    ("reply_with|send your times", ["reply with your times", "send your times"], ["reply your times", "send times"]),
+    ("role : <label>", ["Role: cook", "role :cook"], ["role cook"]),
+    ("^ the? <signed> team $", ["hello\nThe Acme team\n", "Acme Labs team"], ["Acme team leader", "team"]),
+]
+
+
+@pytest.mark.parametrize("phrase, good, bad", HITS, ids=[x[0] for x in HITS])
+def test_phrases(phrase, good, bad):
+    pattern = re.compile(compiled(phrase).replace("(?-i:", "(?:"), re.IGNORECASE)
+    assert all(pattern.search(x) for x in good) and not any(pattern.search(x) for x in bad)
+
+
+SPANS = [
+    ("application at|to <company>", "Your application to Coca-Cola, with thanks", "Coca-Cola"),
+    ("application at|to <company>", "application at Acme Inc. We will", "Acme Inc"),
+    ("^ the? <signed> team $", "Bye\nThe Acme Labs team\n", "Acme Labs"),
+    ("^ <head> @|at <company>", "Data Engineer at Acme", "Data Engineer"),
+    ("application for the? <title> {job}? $", "Your application for the Data Engineer role", "Data Engineer"),
+    ("| <head> $", "News | Data Engineer", "Data Engineer"),
+    ("( <site> )", "Cook (Remote)", "Remote"),
+]
+
+
+@pytest.mark.parametrize("phrase, text, span", SPANS, ids=[x[0] for x in SPANS])
+def test_the_first_span_is_captured(phrase, text, span):
+    pattern = re.compile(compiled(phrase), re.IGNORECASE)
+    assert pattern.groups == 1 and pattern.search(text)[1].strip() == span
+
+
+def test_alternatives_prefer_the_longest():
+    assert compiled("{thanks} x").index("thank") < compiled("{thanks} x").index("thanks")
+    assert any_of("a", "b") == r"\ba\b|\bb\b" and all(g == g.lower() for g in GROUPS.values())
