@@ -1,5 +1,9 @@
 """Queries of this subpackage and their SQL (where SQL can express them)."""
 
+from ledgerline.llm import exactdup, fillmiddle, lexical
+from ledgerline.llm.exactdup import op12_exact_dedup
+from ledgerline.llm.fillmiddle import op11_fill_in_middle
+from ledgerline.llm.lexical import op13_lexical
 from ledgerline.llm.licences import op1_licences
 from ledgerline.llm.lmscore import op3_lm
 from ledgerline.llm.mixing import op5_mixing
@@ -22,5 +26,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_lexical": op13_lexical,
+}
+ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": fillmiddle.SQL,
+    "op12_exact_dedup": exactdup.SQL,
+    "op13_lexical": lexical.SQL,
 }
-ORACLES: dict[str, str] = {}
