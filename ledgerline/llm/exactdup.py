@@ -28,8 +28,8 @@ LEAD = 16
 #: Bytes of text that a range is meant to hold, and the most ranges (they grow beyond).
 RANGE_BYTES = 24 << 20
 MOST_RANGES = 1 << 16
-#: Keys drawn to place the splitters, whatever the table's size.
-SAMPLE = 200_000
+#: Keys drawn to place the splitters: so many for each range, and so many at most.
+RANGE_SAMPLE, SAMPLE = 64, 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -67,9 +67,10 @@ def _sorted_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int
     """Each row's range, its run of equal contents there, what the run keeps; the content itself only at the two ends of a range."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
     ranges = max(1, min(MOST_RANGES, -(-(size + 64 * n) // range_bytes)))
-    sample = docs if n <= SAMPLE else docs.sample(SAMPLE / n, seed=7)
+    drawn = min(SAMPLE, RANGE_SAMPLE * ranges)
+    sample = docs if n <= drawn else docs.sample(drawn / n, seed=7)
     splitters = _splitters(_keyed(sample, id_col, text_col), ranges) if ranges > 1 else []
-    ranged = _keyed(docs, id_col, text_col).withColumn("range", _range_of(F.col("key"), splitters)).drop("key")
+    ranged = _keyed(docs, id_col, text_col).withColumn("range", _range_of(F.col("key"), splitters)).drop("key").repartitionById(ranges, F.col("range"))
     order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
     side = Window.partitionBy("range").orderBy("lead", "digest", "content", *order)
     rows = ranged.withColumns(
