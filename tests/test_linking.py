@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import linking
 from ledgerline.operators.components import connected_components, shared_dir
+from tests.plainfold import fold
 
 NOW = datetime(2026, 8, 18, 12)
 
@@ -40,7 +42,7 @@ def test_folding_by_component_equals_one_fold(spark, seed):
     got = {r.message_id: r.application_id for r in linking.link(m, c, NOW).collect()}
     words = {r.message_id: r.words for r in c.select("message_id", linking.link_tokens(F.col("role")).alias("words")).collect()}
     ordered = sorted(({**r, "words": words[r["message_id"]]} for r in rows), key=lambda r: (r["received_at"], r["message_id"]))
-    assert got == {x["message_id"]: x["application_id"] for x in linking.fold(ordered, NOW)}
+    assert got == {x["message_id"]: x["application_id"] for x in fold(ordered, NOW)}
 
 
 def message(i, days, **more):
@@ -48,7 +50,7 @@ def message(i, days, **more):
 
 
 def linked(*rows):
-    return [x["application_id"] for x in linking.fold(list(rows), NOW)]
+    return [x["application_id"] for x in fold(list(rows), NOW)]
 
 
 def test_window_is_inclusive():
@@ -103,7 +105,49 @@ def test_threads_of_several_companies_do_not_tie_them_together(spark):
     rows = [message(i, 50 - i, thread_id=f"t{i // 2}", company_key=f"k{(i + 1) // 2}") for i in range(20)]
     got = corrected_links(spark, rows, [])
     ordered = sorted(rows, key=lambda r: (r["received_at"], r["message_id"]))
-    assert {i: r.application_id for i, r in got.items()} == {x["message_id"]: x["application_id"] for x in linking.fold(ordered, NOW)}
+    assert {i: r.application_id for i, r in got.items()} == {x["message_id"]: x["application_id"] for x in fold(ordered, NOW)}
+
+
+def busy(rng, n, companies=3):
+    """Messages with and without roles, ties in time, threads that go on for long and threads of several companies."""
+    words = "senior software data platform engineer analyst cook pilot manager lead remote".split()
+    roles = [None, None, "Senior", *{" ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(12)}]
+    return [{"message_id": f"m{i}", "thread_id": None if rng.random() < 0.02 else f"t{rng.randrange(n // 3)}", "event_type": rng.choice(["interview", "offer", "unknown"]), "received_at": NOW - timedelta(hours=rng.randrange(24 * 300)), "company": "X", "company_key": rng.choice([None, *(f"k{c}" for c in range(companies))]), "role": rng.choice(roles), "location": rng.choice([None, "Here"]), "ats": rng.choice([None, "lever"])} for i in range(n)]
+
+
+def frames(spark, rows):
+    m = spark.createDataFrame([(r["message_id"], r["thread_id"], r["received_at"]) for r in rows], "message_id string, thread_id string, received_at timestamp")
+    c = spark.createDataFrame([tuple(r[k] for k in ("message_id", "event_type", "company", "company_key", "role", "location", "ats")) for r in rows], "message_id string, event_type string, company string, company_key string, role string, location string, ats string")
+    return m, c
+
+
+def by_plain_fold(spark, rows, c):
+    words = {r.message_id: r.words for r in c.select("message_id", linking.link_tokens(F.col("role")).alias("words")).collect()}
+    ordered = sorted(({**r, "words": words[r["message_id"]]} for r in rows), key=lambda r: (r["received_at"], r["message_id"]))
+    return {x["message_id"]: tuple(x[k] for k in ("application_id", "created", "company", "company_key", "role", "location", "ats")) for x in fold(ordered, NOW)}
+
+
+@pytest.mark.parametrize("seed,segment", [(11, 7), (12, 40), (13, 10**6), (14, 1)])
+def test_segments_equal_the_plain_fold(spark, seed, segment):
+    rows = busy(random.Random(seed), 30 if segment == 1 else 240)
+    m, c = frames(spark, rows)
+    got = {r[0]: tuple(r)[1:] for r in linking.link(m, c, NOW, segment=segment).collect()}
+    assert got == by_plain_fold(spark, rows, c)
+
+
+def test_a_segment_hands_on_only_what_can_be_reached():
+    rows = [{"message_id": f"m{i}", "thread_id": f"t{i}", "at": i, "company": "X", "company_key": "x", "role": f"role{i}", "words": [f"role{i}"], "location": None, "ats": None, "final": i % 10 > 0} for i in range(1000)]
+    pieces = linking.fold_segment("x", 0, rows, [], floor=900)
+    on = [p for p in pieces if p["kind"] == "thread" or (p["kind"] == "app" and p["near"])]
+    assert sum(p["kind"] == "thread" for p in on) == 100 and sum(p["kind"] == "app" for p in on) == 100 + 90  # live threads' and recent ones
+
+
+def test_a_large_company_takes_time_in_proportion():
+    """20,000 applications whose roles share a word: the plain fold would compare each with all."""
+    rows = [{"message_id": f"m{i}", "thread_id": f"t{i}", "at": i, "company": "X", "company_key": "x", "role": "r", "words": ["engineer", f"a{i}", f"b{i}"], "location": None, "ats": None} for i in range(20_000)]
+    began = time.perf_counter()
+    assert sum(new for *_, new in linking.Ledger(0).run(rows)) == 20_000
+    assert time.perf_counter() - began < 10
 
 
 def test_a_cluster_needs_a_shared_folder():
