@@ -1,8 +1,8 @@
 """Ranked lexical search with block-max pruning over a forward index.
 
 The index holds documents in blocks, ranges of rows as they lie in the table: for each term of a block its postings (which of the block's
-documents, how often), and beside that, for each term and block, the greatest share of a score that one occurrence of the term in an item can
-earn there, and how many documents hold it. A block's bound for an item is the sum of those maxima, each times the term's weight, so no document of
+documents, how often). For the terms that items ask for, each block gives its maxima: the greatest share of a score that one occurrence of the
+term in an item can earn there, and how many documents hold it. A block's bound for an item is the sum of those maxima, each times the term's weight, so no document of
 the block scores more. An item's blocks are scored from the greatest bound on, some more each round; the item is done once the best bound left is
 below its k-th best score. Blocks whose bound equals that score are still scored, as ties go by id. All arithmetic is in 64-bit integers, so
 bounds and scores are exact and the result is that of scoring every document.
@@ -44,21 +44,54 @@ ROWS = 4096
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 TERM_CLASS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-INDEX = "block long, doc_ids array<long>, lengths array<long>, terms array<string>, starts array<int>, docs array<int>, tfs array<long>"
+#: A block: its documents' ids and lengths (64 bits), its terms (each with a line end behind), and by term where its postings start
+#: (32 bits, one more at the end), their documents (16 bits) and occurrences (32 bits); many numbers are columns of bytes, which nothing on the way unpacks.
+INDEX = "block long, n long, total long, doc_ids array<long>, lengths binary, terms binary, starts binary, docs binary, tfs binary"
 
 
 def _block(number: int, ids: list, lengths: list, vocabulary: dict, terms: list, docs: list, tfs: list) -> pa.RecordBatch:
-    order = np.argsort(np.array(terms, np.int64), kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(np.array(terms, np.int64), minlength=len(vocabulary)))])
-    names = pa.array(vocabulary, pa.binary()).cast(pa.string())
-    values = [pa.array([number], pa.int64())]
-    for x in (pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), names, pa.array(starts.astype(np.int32)), pa.array(np.array(docs, np.int32)[order]), pa.array(np.array(tfs, np.int64)[order])):
-        values.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
+    terms = np.array(terms, np.int32)
+    order = np.argsort(terms, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(vocabulary)))])
+    numbers = [np.array(lengths, np.int64), b"".join(x + b"\n" for x in vocabulary), starts.astype(np.int32), np.array(docs, np.uint16)[order], np.array(tfs, np.uint32)[order]]
+    values = [pa.array([x], pa.int64()) for x in (number, len(ids), sum(lengths))] + [pa.array([ids], pa.list_(pa.int64()))]
+    values += [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in numbers]
     return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in INDEX.split(", ")])
 
 
+class Block:
+    """A row of the index, unpacked."""
+
+    def __init__(self, part: pa.RecordBatch, row: int) -> None:
+        raw = lambda name: part.column(name)[row].as_buffer()
+        self.number = part.column("block")[row].as_py()
+        self.lengths = np.frombuffer(raw("lengths"), np.int64)
+        self.starts = np.frombuffer(raw("starts"), np.int32).astype(np.int64)
+        self.docs = np.frombuffer(raw("docs"), np.uint16)
+        self.tfs = np.frombuffer(raw("tfs"), np.uint32).astype(np.int64)
+        names = raw("terms")
+        ends = np.flatnonzero(np.frombuffer(names, np.uint8) == 10).astype(np.int32) + np.int32(1)
+        self.terms = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[np.int32(0)], ends]).astype(np.int32)), names])
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of words (as the block has them) the block holds, and their places among its terms."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(at >= 0)
+        return here, at[here]
+
+    def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of terms one after the other, and how many each has."""
+        many = self.starts[terms + 1] - self.starts[terms]
+        return np.repeat(self.starts[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum()), many
+
+    def shares(self, at: np.ndarray, n: int, total: int) -> np.ndarray:
+        """What one occurrence of its term in an item earns each posting, before the term's weight."""
+        m = 25 + (75 * self.lengths * n) // total
+        return (1_000_000_000 * self.tfs[at]) // (1000 * self.tfs[at] + 8 * m[self.docs[at]])
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Blocks of the documents with a term, by INDEX: terms in any order, postings by term, of one term by document."""
+    """Blocks of the documents with a term, by INDEX; block is at most 65,536."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -84,26 +117,26 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     return rows.mapInArrow(run, INDEX)
 
 
-def _shares(tfs: np.ndarray, docs: np.ndarray, lengths: np.ndarray, n: int, total: int) -> np.ndarray:
-    """What one occurrence of its term in an item earns each posting, before the term's weight."""
-    m = 25 + (75 * lengths * n) // total
-    return (1_000_000_000 * tfs) // (1000 * tfs + 8 * m[docs])
-
+def _sent(words: list[str]) -> pa.Array:
+    return pa.array([f"{x}\n".encode() for x in words], pa.binary())
 
-def _arrays(part: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
-    return [part.column(x)[row].values.to_numpy(zero_copy_only=False) for x in names]
 
-
-def maxima(blocks: DataFrame, n: int, total: int) -> DataFrame:
-    """(block, term, holders, top): documents of the block that hold the term, and the greatest share among them."""
+def maxima(blocks: DataFrame, words: list[str], n: int, total: int) -> DataFrame:
+    """(block, term, holders, top) for those of words that a block has: documents of the block that hold the term, and the greatest share among them."""
+    sent = blocks.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _sent(sent.value)
+        names = pa.array(sent.value, pa.string())
         for part in batches:
             for row in range(part.num_rows):
-                lengths, starts, docs, tfs = _arrays(part, row, "lengths", "starts", "docs", "tfs")
-                tops = np.maximum.reduceat(_shares(tfs, docs, lengths, n, total), starts[:-1])
-                block = np.full(len(tops), part.column("block")[row].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), part.column("terms")[row].values, pa.array(np.diff(starts).astype(np.int64)), pa.array(tops)], names=["block", "term", "holders", "top"])
+                block = Block(part, row)
+                here, terms = block.find(asked)
+                if not len(here):
+                    continue
+                at, many = block.postings(terms)
+                tops = np.maximum.reduceat(block.shares(at, n, total), np.cumsum(many) - many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), block.number)), names.take(pa.array(here)), pa.array(many), pa.array(tops)], names=["block", "term", "holders", "top"])
 
     return blocks.select("block", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(run, "block long, term string, holders long, top long")
 
@@ -113,10 +146,9 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM_CLASS), F.lit(0))
 
 
-def _weights(items: DataFrame, tops: DataFrame, n: int) -> DataFrame:
-    """(item, term, weight): the weight of a term times its occurrences in the item, where it isn't zero."""
-    asked = items.select("item", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count(F.lit(1)).alias("times"))
-    held = tops.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("df"))
+def _weights(asked: DataFrame, tops: DataFrame, n: int) -> DataFrame:
+    """(item, term, weight) of asked(item, term, times): the weight of a term times its occurrences in the item, where it isn't zero."""
+    held = tops.groupBy("term").agg(F.sum("holders").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2 * n + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
     return asked.join(held, "term").select("item", "term", (weight * F.col("times")).alias("weight")).filter("weight > 0")
 
@@ -133,43 +165,42 @@ def _scores(blocks: DataFrame, pairs: DataFrame, weights: list, n: int, total: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, asked = sent.value
-        words = pa.array(words, pa.string())
+        words = _sent(words)
+        line = np.empty(len(words), np.int64)
         for part in batches:
             for row in range(part.num_rows):
-                lengths, starts, docs, tfs = _arrays(part, row, "lengths", "starts", "docs", "tfs")
-                ids = part.column("doc_ids")[row].values
-                here = pc.fill_null(pc.index_in(words, value_set=part.column("terms")[row].values), -1).to_numpy(zero_copy_only=False)
-                named = np.flatnonzero(here >= 0)
-                line = np.full(len(words), -1)
-                line[named] = np.arange(len(named))
-                first, many = starts[here[named]].astype(np.int64), (starts[here[named] + 1] - starts[here[named]]).astype(np.int64)
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                shares = np.zeros((len(named), len(lengths)), np.int64)
-                shares[np.repeat(np.arange(len(named)), many), docs[at]] = _shares(tfs[at], docs[at], lengths, n, total)
+                block, ids = Block(part, row), part.column("doc_ids")[row].values
+                here, terms = block.find(words)
+                line[:] = -1
+                line[here] = np.arange(len(here))
+                at, many = block.postings(terms)
+                shares = np.zeros((len(here), len(block.lengths)), np.int64)
+                shares[np.repeat(np.arange(len(here)), many), block.docs[at]] = block.shares(at, n, total)
                 key = np.array([np.iinfo(np.int64).max if x is None else x for x in ids.to_pylist()], np.int64)
                 out = []
                 for item in part.column("items")[row].values.to_pylist():
-                    terms, weight = asked[item]
-                    lines, held = line[terms], line[terms] >= 0
+                    wanted, weight = asked[item]
+                    lines, held = line[wanted], line[wanted] >= 0
                     lines, weight = lines[held], weight[held]
-                    score = np.zeros(len(lengths), np.int64)
+                    score = np.zeros(len(block.lengths), np.int64)
                     for s in range(0, len(lines), ROWS):
                         score += (weight[s : s + ROWS, None] * shares[lines[s : s + ROWS]]).sum(0)
                     best = np.lexsort([key, -score])[:k]
                     best = best[score[best] > 0]
                     out.append((np.full(len(best), item), best, score[best]))
                 items, best, score = (np.concatenate(x) for x in zip(*out))
-                block = np.full(len(best), part.column("block")[row].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), ids.take(pa.array(best)), pa.array(score), pa.array(block), pa.array(best.astype(np.int64))], names=["item", "doc_id", "score", "block", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), ids.take(pa.array(best)), pa.array(score), pa.array(np.full(len(best), block.number)), pa.array(best.astype(np.int64))], names=["item", "doc_id", "score", "block", "at"])
 
     todo = pairs.groupBy("block").agg(F.collect_list("item").alias("items"))  # as many as the group has items, at most
     todo = F.broadcast(todo) if pairs.count() <= BROADCAST_PAIRS else todo.hint("merge")
     return blocks.join(todo, "block").mapInArrow(run, "item long, doc_id long, score long, block long, at long")
 
 
-def _search(blocks: DataFrame, tops: DataFrame, items: DataFrame, n: int, total: int, k: int) -> DataFrame:
-    """(item, rank, doc_id, score) for a group of items."""
-    weights = materialize(_weights(items, tops, n), "weights")
+def _search(blocks: DataFrame, asked: DataFrame, n: int, total: int, k: int) -> DataFrame:
+    """(item, rank, doc_id, score) for a group of items; asked has their terms."""
+    words = [r.term for r in asked.select("term").distinct().collect()]  # GROUP_TERMS at most
+    tops = materialize(maxima(blocks, words, n, total), "block-maxima")
+    weights = materialize(_weights(asked, tops, n), "weights")
     rows = [tuple(x) for x in weights.collect()]  # GROUP_TERMS at most
     if not rows:
         return weights.select("item", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
@@ -200,22 +231,21 @@ def _search(blocks: DataFrame, tops: DataFrame, items: DataFrame, n: int, total:
 def rank(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK, group_terms: int = GROUP_TERMS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each row of items."""
     blocks = materialize(index(docs, id_col, text_col, block), "forward-index")
-    n, total = blocks.agg(F.coalesce(F.sum(F.size("lengths").cast("long")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
-    asked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("item"))
-    asked = materialize(asked, "items")
-    if not n:
-        return asked.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    tops = materialize(maxima(blocks, n, total), "block-maxima")
-    sizes = asked.select("item", F.size(F.array_distinct(terms_of(F.col("text")))).cast("long").alias("size"))
-    groups = F.floor((F.sum("size").over(Window.orderBy("item")) - F.col("size")) / group_terms)
-    grouped = materialize(asked.join(sizes.select("item", groups.alias("group")), "item"), "grouped-items")
+    n, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("item"))
+    rows = materialize(rows, "items")
+    terms = rows.select("item", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = materialize(terms, "items-terms")
+    sizes = terms.groupBy("item").count()
+    groups = F.floor((F.sum("count").over(Window.orderBy("item")) - F.col("count")) / group_terms)
+    grouped = materialize(terms.join(sizes.select("item", groups.alias("group")), "item"), "grouped-terms") if n else terms.limit(0)
     found = None
-    for number in sorted(x[0] for x in grouped.select("group").distinct().collect()):
-        some = _search(blocks, tops, grouped.filter(F.col("group") == number), n, total, k)
+    for number in sorted(x[0] for x in grouped.select("group").distinct().collect()) if n else []:
+        some = _search(blocks, grouped.filter(F.col("group") == number), n, total, k)
         found = some if found is None else found.unionByName(some)
     if found is None:
-        return asked.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
-    return found.join(asked.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+        return rows.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
+    return found.join(rows.select("item", "item_id"), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 def op13_lexical(spark, sf_dir: str) -> DataFrame:
