@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import company_key, let
+from ledgerline.functions.text import company_key, let, one_of
 
 #: Applicant-tracking vendors and the hosts that their mail comes from.
 VENDORS: dict[str, list[str]] = {
@@ -100,7 +100,7 @@ def _behind_the_person(words: Column) -> Column:
 
 def _without_departments(words: Column) -> Column:
     """words without the departments at their end, in brackets or not."""
-    named = F.transform(words, lambda x, i: F.when(~F.lower(F.btrim(x, F.lit("()"))).isin([*DEPARTMENTS, "team"]), i + 1).otherwise(0))
+    named = F.transform(words, lambda x, i: F.when(~one_of(F.lower(F.btrim(x, F.lit("()"))), [*DEPARTMENTS, "team"]), i + 1).otherwise(0))
     team_alone = lambda n: (n + 1 == F.size(words)) & (F.lower(F.element_at(words, -1)) == "team")
     return let(F.coalesce(F.array_max(named), F.lit(0)), lambda n: F.when(team_alone(n) & (n > 0), words).otherwise(F.slice(words, F.lit(1), n)))
 
@@ -112,7 +112,7 @@ def clean_sender_name(name: Column) -> Column:
     x = F.get(F.split(F.regexp_replace(x, "(?i)\\s*[(]?\\b(?:via|through)\\s", "\n"), "\n"), 0)
     words = let(F.split(F.btrim(x, F.lit(EDGES)), " "), _behind_the_person)
     x = F.array_join(let(words, _without_departments), " ")
-    return let(x, lambda v: F.when(~F.lower(v).isin([*GENERIC_SENDERS, *VENDORS, ""]), clean_capture(v)))
+    return let(x, lambda v: F.when(~one_of(F.lower(v), [*GENERIC_SENDERS, *VENDORS, ""]), clean_capture(v)))
 
 
 def sender_domain_label(from_email: Column) -> Column:
@@ -120,8 +120,8 @@ def sender_domain_label(from_email: Column) -> Column:
     host = F.regexp_replace(F.trim(F.lower(F.regexp_extract(from_email, "@(.*)$", 1))), "[.]+$", "")
     def label(h: Column) -> Column:
         labels = F.split(h, "[.]")
-        named = F.get(F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: ~x.isin(FUNCTION_LABELS) & (F.length(x) >= 2)), 0)
-        return F.when((h != "") & ~h.isin(FREE_MAIL) & vendor_of_host(h).isNull() & (F.size(labels) >= 2), named)
+        named = F.get(F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: ~one_of(x, FUNCTION_LABELS) & (F.length(x) >= 2)), 0)
+        return F.when((h != "") & ~one_of(h, FREE_MAIL) & vendor_of_host(h).isNull() & (F.size(labels) >= 2), named)
 
     return let(host, label)
 
@@ -131,7 +131,7 @@ def looks_like_person(name: Column, from_email: Column) -> Column:
     def human(p: Column) -> Column:
         words, label, key = p["words"], p["label"], p["key"]
         alphabetic = F.forall(words, lambda x: x.rlike("^\\p{L}+$"))
-        corporate = F.exists(words, lambda x: F.lower(x).isin(CORPORATE_WORDS))
+        corporate = F.exists(words, lambda x: one_of(F.lower(x), CORPORATE_WORDS))
         related = F.coalesce(F.contains(key, label) | F.contains(label, key), F.lit(False))
         return F.size(words).between(2, 3) & alphabetic & ~corporate & ~related
 

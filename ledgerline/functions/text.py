@@ -44,6 +44,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def one_of(value: Column, words: list[str]) -> Column:
+    """Whether value is one of a few words; they are one constant, which is much quicker to build into a plan than a list of literals."""
+    return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), value)
+
+
 _CASED = [c for c in map(chr, range(0x80, 0x10000)) if len(c.casefold()) == 1 and c.casefold() != c.lower()]
 
 
@@ -119,7 +124,7 @@ def _lookup(table: dict[str, str], x: Column) -> Column:
 def role_tokens(text: Column) -> Column:
     """Tokens of a role without requisition ids and seniority (unless nothing else is left), abbreviations written out."""
     bare = F.regexp_replace(text, f"(?i){REQUISITION.pattern}", " ")
-    graded = lambda words: let(F.filter(words, lambda x: ~x.isin(SENIORITY)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words))
+    graded = lambda words: let(F.filter(words, lambda x: ~one_of(x, SENIORITY)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words))
     return let(let(_expanded(tokens(bare), ROLE_WORDS), graded), _without_the)
 
 
@@ -131,7 +136,7 @@ def link_tokens(title: Column) -> Column:
     """The bag of words by which linking compares two titles; empty for null."""
     joined = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "), "\\b(full|part) time\\b", "$1time")
     words = _expanded(F.filter(F.split(joined, " "), lambda x: x != ""), LINK_WORDS)
-    return F.array_distinct(F.filter(words, lambda x: ~x.isin(LINK_NOISE) & ~x.rlike("^[0-9]{1,2}$")))
+    return F.array_distinct(F.filter(words, lambda x: ~one_of(x, LINK_NOISE) & ~x.rlike("^[0-9]{1,2}$")))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -165,7 +170,7 @@ NULLISH = ["", "null", "none", "n/a", "na", "unknown", "not specified", "not pro
 def clean_value(text: Column) -> Column:
     """Blanks collapsed and edge punctuation stripped; null for words that mean no value."""
     x = F.btrim(F.regexp_replace(text, "(?U)\\s+", " "), F.lit(" ,;:-"))
-    return let(x, lambda v: F.when(~F.lower(v).isin(NULLISH), v))
+    return let(x, lambda v: F.when(~one_of(F.lower(v), NULLISH), v))
 
 
 #: Elements without prose, elements that end a line, and cells, which add a space.

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.rules import RULES
-
 COMPANIES = ["Northwind Labs", "Quarry Systems", "Fjordworks", "Kestrel Robotics", "Lumen Grid"]
 ROLES = ["Data Engineer", "Product Designer", "Backend Developer", "Site Reliability Engineer"]
 
@@ -42,19 +40,22 @@ VENDOR_MAILS: list[tuple[str | None, str | None, str | None, str, str | None]] =
     (None, "https://x.angel.co/u", "wellfound", "ats.replyto.wellfound", None),
 ]
 
-#: A text for each rule, and one beside it that must not fire it.
-RULE_TEXTS = {
-    "wdr.subject.application_withdrawn": ("application withdrawn", "application received"), "wdr.body.you_withdrew": ("you've withdrew", "they withdrew"), "wdr.body.application_withdrawn": ("application was withdrawn", "application was sent"), "wdr.body.at_your_request": ("at your request", "at his request"),
-    "rej.subject.not_moving_forward": ("not be moving forward", "moving forward"), "rej.subject.unsuccessful": ("unsuccessful", "successful"), "rej.subject.position_filled": ("role has been filled", "role has been opened"), "rej.body.not_moving_forward": ("not proceed with your file", "proceed with your file"),
-    "rej.body.decided_not_to": ("decided not to pursue", "decided to pursue"), "rej.body.other_candidates": ("another candidate", "a candidate"), "rej.body.pursue_other_candidates": ("pursuing other applicants", "pursuing applicants"), "rej.body.unfortunately": ("unfortunately you were not chosen", "unfortunately we cannot answer all. we do not mind"),
-    "rej.body.not_selected": ("were not shortlisted", "were shortlisted"), "rej.body.no_longer_under_consideration": ("no longer being considered", "being considered"), "rej.body.not_a_match": ("not the right fit", "the right fit"), "rej.body.position_filled": ("opening is now closed", "opening is now open"), "rej.body.keep_resume_on_file": ("keep your cv on file", "keep your cat on file"), "rej.body.wish_you_the_best": ("wish you all the very best", "wish you were here"),
-    "off.subject.offer": ("your offer", "our offer"), "off.body.pleased_to_offer": ("thrilled to formally extend", "pleased to meet"), "off.body.extend_an_offer": ("extending you an offer", "extending the lease"), "off.body.offer_letter": ("compensation package", "package"), "off.body.start_date": ("tentative start date", "start date"),
-    "itv.subject.interview_invitation": ("invitation to an interview", "invitation to a party"), "itv.subject.schedule_interview": ("schedule your phone screen", "schedule your flight"), "itv.subject.phone_screen": ("recruiter screen", "touch screen"), "itv.subject.onsite": ("final round", "round"), "itv.subject.next_steps": ("next steps", "steps"), "itv.body.invite_to_interview": ("invite you for a chat", "invite you home"), "itv.body.select_a_time": ("choose some time", "choose sides"),
-    "itv.body.schedule_link": ("use the link below to book", "use the link. then to book"), "itv.body.availability": ("share your availability", "share your joy"), "itv.body.interview_scheduled": ("interview is confirmed", "interview was long"), "itv.body.speak_with": ("meet with our engineers", "meet with friends"),
-    "asm.subject.online_assessment": ("technical test", "taste test"), "asm.subject.take_home": ("take-home", "take away"), "asm.body.complete_the_assessment": ("complete your short exercise", "complete your form"), "asm.body.assessment_vendor": ("codility", "code"), "asm.body.time_limit": ("you have 90 minutes to complete", "you have time"),
-    "ack.subject.thanks_for_applying": ("thanks for applying", "thanks for coming"), "ack.subject.application_received": ("application confirmation", "application"), "ack.subject.we_got_your_application": ("we've got your application", "we've got mail"), "ack.body.thanks_for_applying": ("thank you for your interest", "thank you for the fish"), "ack.body.application_received": ("your application was received", "your application was lost"), "ack.body.reviewing_application": ("team is reviewing your application", "team is reviewing movies"), "ack.body.application_submitted": ("your application was successfully submitted", "your application was lost"),
-    "rec.subject.opportunity": ("great opportunity", "opportunity"), "rec.subject.reaching_out": ("reaching out", "reaching in"), "rec.body.came_across_your_profile": ("stumbled upon your github", "stumbled upon your cat"), "rec.body.i_am_a_recruiter": ("i'm a technical recruiter", "i'm a cook"), "rec.body.would_you_be_interested": ("are you open to", "are you open"), "rec.body.we_are_hiring": ("we're currently hiring a", "we're currently closed"),
-}
+#: For each rule words that fire it if no more than so many words lie between the first and the last of them.
+PROBES = [
+    ("wdr.subject.application_withdrawn", "application", "withdrawn", 2), ("wdr.body.you_withdrew", "you", "withdrew", 2), ("wdr.body.application_withdrawn", "application", "withdrawn", 3), ("wdr.body.at_your_request", "at your", "request", 1),
+    ("rej.subject.not_moving_forward", "not", "moving forward", 2), ("rej.subject.unsuccessful", "not", "successful", 1), ("rej.subject.position_filled", "role", "filled", 3), ("rej.body.not_moving_forward", "not", "proceed with", 2),
+    ("rej.body.decided_not_to", "decided not", "pursue", 1), ("rej.body.other_candidates", "other", "applicants", 2), ("rej.body.pursue_other_candidates", "pursuing other", "candidates", 2), ("rej.body.unfortunately", "unfortunately", "not offer", 8),
+    ("rej.body.not_selected", "not", "shortlisted", 2), ("rej.body.no_longer_under_consideration", "no longer", "considered", 2), ("rej.body.not_a_match", "not", "match", 3), ("rej.body.position_filled", "vacancy", "closed", 3),
+    ("rej.body.keep_resume_on_file", "keep cv", "file", 2), ("rej.body.wish_you_the_best", "wish", "luck", 4), ("off.subject.offer", "letter", "employment", 1), ("off.body.pleased_to_offer", "delighted", "offer", 2),
+    ("off.body.extend_an_offer", "extend", "offer", 2), ("off.body.offer_letter", "offer", "letter", 0), ("off.body.start_date", "your start", "date", 0), ("itv.subject.interview_invitation", "invitation", "interview", 3),
+    ("itv.subject.schedule_interview", "schedule", "interview", 3), ("itv.subject.phone_screen", "phone", "screen", 0), ("itv.subject.onsite", "onsite", "interview", 1), ("itv.subject.next_steps", "next", "steps", 0),
+    ("itv.body.invite_to_interview", "invite", "interview", 4), ("itv.body.select_a_time", "pick", "timeslot", 1), ("itv.body.schedule_link", "link", "book", 4), ("itv.body.availability", "share", "availability", 2),
+    ("itv.body.interview_scheduled", "interview", "confirmed", 1), ("itv.body.speak_with", "speak with", "engineers", 2), ("asm.subject.online_assessment", "coding", "exercise", 1), ("asm.subject.take_home", "take", "home", 0),
+    ("asm.body.complete_the_assessment", "complete", "assessment", 3), ("asm.body.assessment_vendor", "codility", "", 99), ("asm.body.time_limit", "you have 90 minutes", "complete", 2), ("ack.subject.thanks_for_applying", "thanks", "applying", 3),
+    ("ack.subject.application_received", "application", "confirmed", 1), ("ack.subject.we_got_your_application", "got", "application", 1), ("ack.body.thanks_for_applying", "appreciate", "interest", 3), ("ack.body.application_received", "application", "received", 2),
+    ("ack.body.reviewing_application", "reviewing", "application", 1), ("ack.body.application_submitted", "application", "submitted", 3), ("rec.subject.opportunity", "exciting", "opportunity", 0), ("rec.subject.reaching_out", "reaching", "out", 0),
+    ("rec.body.came_across_your_profile", "found", "profile", 2), ("rec.body.i_am_a_recruiter", "i'm", "recruiter", 2), ("rec.body.would_you_be_interested", "would you", "interested", 1), ("rec.body.we_are_hiring", "we're", "hiring", 1),
+]
 
 
 def _pick(values: list, at: Column) -> Column:
@@ -96,21 +97,22 @@ def expected_sql() -> str:
     SELECT message_id, event_type, company, lower(company) AS company_key, role, location, ats, confidence, confidence < 0.6 OR company IS NULL AS needs_review FROM x"""
 
 
-def rule_texts(customer: DataFrame) -> DataFrame:
-    """(c_custkey, subject, body): the text that a rule fires on, or the one beside it, where the rule looks."""
-    texts = [(i.split(".")[1], x) for i, pair in RULE_TEXTS.items() for x in pair]
-    at = F.col("c_custkey") % len(texts)
-    text = lambda scope: F.coalesce(_pick([x if s == scope else None for s, x in texts], at), F.lit(""))
-    return customer.select("c_custkey", text("subject").alias("subject"), text("body").alias("body"))
+def rule_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, subject, body): a rule's words with up to ten long words of the document between them, where the rule looks."""
+    at = F.col("doc_id") % len(PROBES)
+    field = lambda i: _pick([p[i] for p in PROBES], at)
+    between = F.slice(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{10,}$")), F.lit(1), (F.col("doc_id") % 11).cast("int"))
+    said = F.array_join(F.filter(F.concat(F.array(field(1)), between, F.array(field(2))), lambda w: w != ""), " ")
+    rows = documents.filter("text IS NOT NULL").select("doc_id", field(0).alias("rule_id"), said.alias("said"), F.split_part(field(0), F.lit("."), F.lit(2)).alias("scope"))
+    return rows.select("doc_id", "rule_id", *[F.when(F.col("scope") == x, F.col("said")).otherwise("").alias(x) for x in ("subject", "body")])
 
 
 def rules_sql() -> str:
-    """The rule table by DuckDB's own expression engine, over the same texts."""
-    texts = [(i.split(".")[1], x) for i, pair in RULE_TEXTS.items() for x in pair]
-    text = lambda scope: f"coalesce({_sql_pick([x if s == scope else None for s, x in texts], f'c_custkey % {len(texts)}')}, '')"
-    hit = ", ".join(f"CASE WHEN regexp_matches({r.scope}, {_quoted(r.pattern)}) THEN '{r.rule_id}' END" for r in RULES)
-    return f"""plain WITH x AS (SELECT c_custkey, {text('subject')} AS subject, {text('body')} AS body FROM customer)
-    SELECT c_custkey, array_to_string(list_filter([{hit}], lambda i: i IS NOT NULL), ',') AS rule_ids FROM x"""
+    """Whether each document's rule fires: it does if no more words lie between than the probe allows."""
+    at = f"doc_id % {len(PROBES)}"
+    most = f"([{', '.join(str(p[3]) for p in PROBES)}])[({at}) + 1]"
+    return f"""plain SELECT doc_id, {_sql_pick([p[0] for p in PROBES], at)} AS rule_id, least(len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[a-z]{{10,}}'))), doc_id % 11) <= {most} AS fires
+    FROM documents WHERE text IS NOT NULL"""
 
 
 def vendor_mails(customer: DataFrame) -> DataFrame:
