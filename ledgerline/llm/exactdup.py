@@ -45,9 +45,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("lead", lead).withColumn("key", F.concat("lead", "digest", drawn))
 
 
-def _splitters(sample: DataFrame, ranges: int) -> list[str]:
-    """The greatest key of sample in each range but the last, ranges being equal in bytes over the sample."""
-    sized = sample.select("key", (F.octet_length("content") + 64).cast("long").alias("size"))
+def _splitters(docs: DataFrame, id_col: str, text_col: str, ranges: int, size: int) -> list[str]:
+    """The greatest drawn key of each range but the last, ranges being equal in bytes. A row is drawn with a chance in proportion to its bytes, and counts
+    as many as such a draw stands for (or its own, if it is larger), so a few long texts don't bend the ranges."""
+    each = size / min(SAMPLE, RANGE_SAMPLE * ranges)
+    weight = lambda text: F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)
+    sample = _keyed(docs.filter(F.rand(7) * each < weight(F.col(text_col))), id_col, text_col)
+    sized = sample.select("key", F.greatest(F.octet_length("content") + 64, F.lit(each)).alias("size"))
     upto, total = F.sum("size").over(Window.orderBy("key")), F.sum("size").over(Window.partitionBy())
     cut = sized.select("key", F.floor(upto * ranges / (total + 1)).alias("range")).groupBy("range").agg(F.max("key").alias("key"))
     return sorted(r.key for r in cut.collect())[:-1]
@@ -66,10 +70,9 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
 def _sorted_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int) -> DataFrame:
     """Each row's range, its run of equal contents there, what the run keeps; the content itself only at the two ends of a range."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
-    ranges = max(1, min(MOST_RANGES, -(-(size + 64 * n) // range_bytes)))
-    drawn = min(SAMPLE, RANGE_SAMPLE * ranges)
-    sample = docs if n <= drawn else docs.sample(drawn / n, seed=7)
-    splitters = _splitters(_keyed(sample, id_col, text_col), ranges) if ranges > 1 else []
+    size += 64 * n
+    ranges = max(1, min(MOST_RANGES, -(-size // range_bytes)))
+    splitters = _splitters(docs, id_col, text_col, ranges, size) if ranges > 1 else []
     ranged = _keyed(docs, id_col, text_col).withColumn("range", _range_of(F.col("key"), splitters)).drop("key").repartitionById(ranges, F.col("range"))
     order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
     side = Window.partitionBy("range").orderBy("lead", "digest", "content", *order)
