@@ -97,10 +97,73 @@ def folded(effective: DataFrame, now: Column, ghost_days: int = 30) -> DataFrame
     )
 
 
+#: What an application's events add up to, in parts that can be merged: least, greatest by place, sums, sets.
+PARTIAL = (
+    "application_id string, applied_at timestamp, last struct<at: timestamp, id: bigint, kind: string>, event_count bigint, responded_at timestamp, terminal struct<at: timestamp, id: bigint, kind: string>, "
+    "best_rank int, needs_review boolean, threads array<string>, company struct<at: timestamp, id: bigint, value: string>, role struct<at: timestamp, id: bigint, value: string>"
+)
+
+
+def partials(effective: DataFrame) -> DataFrame:
+    """One row of PARTIAL for each application of effective events."""
+    kind, at = F.col("event_type"), F.col("occurred_at")
+    place = F.struct(at.alias("at"), F.col("event_id").alias("id"), kind.alias("kind"))
+    said = lambda c: F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.col("corrected_at").alias("at"), F.col("event_id").alias("id"), F.col(c).alias("value"))))
+    return effective.filter(F.col("application_id").isNotNull()).groupBy("application_id").agg(
+        F.min(at).alias("applied_at"),
+        F.max(place).alias("last"),
+        F.count(F.lit(1)).alias("event_count"),
+        F.min(F.when(kind != "application_received", at)).alias("responded_at"),
+        F.max(F.when(kind.isin(TERMINAL_TYPES), place)).alias("terminal"),
+        F.min(precedence(kind)).alias("best_rank"),
+        F.bool_or(F.col("needs_review") & ~F.col("is_overridden")).alias("needs_review"),
+        F.collect_set("thread_id").alias("threads"),
+        said("o_company").alias("company"),
+        said("o_role").alias("role"),
+    )
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One row of PARTIAL for each application from any number of them."""
+    least, greatest = ("applied_at", "responded_at", "best_rank"), ("last", "terminal", "company", "role")
+    return parts.groupBy("application_id").agg(
+        *[F.min(c).alias(c) for c in least],
+        *[F.max(c).alias(c) for c in greatest],
+        F.sum("event_count").alias("event_count"),
+        F.bool_or("needs_review").alias("needs_review"),
+        F.array_distinct(F.flatten(F.collect_list("threads"))).alias("threads"),
+    )
+
+
+def derived(parts: DataFrame, now: Column, ghost_days: int = 30) -> DataFrame:
+    """What folded gives of all events, from the merged parts of each application."""
+    return parts.select(
+        "application_id",
+        status_of(F.col("terminal.kind"), F.col("best_rank"), F.col("last.at"), now, ghost_days).alias("status"),
+        "applied_at",
+        F.col("last.at").alias("last_event_at"),
+        F.col("last.kind").alias("last_event_type"),
+        "event_count",
+        whole_days(F.col("responded_at"), F.col("applied_at")).alias("days_to_first_response"),
+        whole_days(now, F.col("last.at")).alias("days_since_last_event"),
+        "needs_review",
+        F.array_sort("threads").alias("source_thread_ids"),
+        F.col("company.value").alias("company_correction"),
+        F.col("role.value").alias("role_correction"),
+        F.col("terminal.kind").alias("last_terminal"),
+        "best_rank",
+    )
+
+
+def with_applications(rows: DataFrame, applications: DataFrame) -> DataFrame:
+    """Derived rows with the fields of their applications; corrections of company and role win."""
+    found = rows.join(applications, "application_id")
+    return found.withColumns({"company": F.coalesce("company_correction", "company"), "role": F.coalesce("role_correction", "role")}).drop("company_correction", "role_correction", "last_terminal", "best_rank")
+
+
 def read_model(applications: DataFrame, effective: DataFrame, now: Column, ghost_days: int = 30) -> DataFrame:
     """Applications with derived fields; corrections of company and role win; applications without events are hidden."""
-    rows = folded(effective, now, ghost_days).join(applications, "application_id")
-    return rows.withColumns({"company": F.coalesce("company_correction", "company"), "role": F.coalesce("role_correction", "role")}).drop("company_correction", "role_correction", "last_terminal", "best_rank")
+    return with_applications(folded(effective, now, ghost_days), applications)
 
 
 def company_matches(key: Column, needle: str) -> Column:

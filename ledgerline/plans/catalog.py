@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +11,17 @@ from ledgerline.operators import evaluate as evaluation
 from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
-from ledgerline.operators.components import new_path
+from ledgerline.operators.components import new_path, written
 from ledgerline.operators.concepts import encoded
 from ledgerline.operators.linking import link
 from ledgerline.operators.rules import Rule, classify, confidence, fired, ranks_of, winner
 from ledgerline.plans import mails
 from ledgerline.plans.standins import GHOST_DAYS, NOW, SQL, SQL_BY_SEVENTH, log, now, table
 from ledgerline.schemas import EVENT_TYPES
+from ledgerline.sources.keyed import KeyedTable
 from ledgerline.streaming.incremental import stored, sync
+from ledgerline.streaming.linked import LinkStream, linkable
+from ledgerline.streaming.readmodel import TOLD, ReadModel, follow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +69,41 @@ def app_read_model(spark, sf_dir):
     return model.select(*[micros(c) if c.endswith("_at") else c for c in ev.EXPORT_COLUMNS], "company_key", F.concat_ws(",", "source_thread_ids").alias("threads"))
 
 
+@query("read_model_incremental", f"SELECT {_EXPORT}, company_key, threads FROM model")
+def read_model_incremental(spark, sf_dir):
+    """The same read model from four batches of events, the second of which comes twice, and two of corrections."""
+    t, folder = log(spark, sf_dir), new_path(spark, "read-model")
+    flagged = t["classifications"].withColumnRenamed("needs_review", "flagged")
+    told = t["events"].join(t["messages"].select("message_id", "thread_id", "subject", "from_email"), "message_id").join(flagged, "message_id", "left")
+    told = written(told.select(*[x.split()[0] for x in TOLD.split(", ")]), "told")
+    model, turn = ReadModel(spark, folder, buckets=8), F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for n in range(4):
+        told.filter(turn == n).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    told.filter(turn == 1).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    early = F.pmod(F.xxhash64("message_id"), F.lit(3)) == 0
+    model.correct(t["overrides"].filter(early), 0)  # some before their events
+    follow(model, f"{folder}/inbox", most=1)
+    model.correct(t["overrides"].filter(~early), 1)
+    rows = model.applications(t["applications"], now(), GHOST_DAYS)
+    return rows.select(*[micros(c) if c.endswith("_at") else c for c in ev.EXPORT_COLUMNS], "company_key", F.concat_ws(",", "source_thread_ids").alias("threads"))
+
+
+@query(
+    "keyed_store",
+    """SELECT application_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY event_id % 3 DESC, occurred_at DESC, event_id DESC) AS turn FROM ev)
+    WHERE turn = 1 AND application_id NOT IN (SELECT application_id FROM ev WHERE event_type = 'withdrawn' AND application_id IS NOT NULL)""",
+)
+def keyed_store(spark, sf_dir):
+    """Upserts by application in three changes, the second of them made twice, then a delete; older versions are vacuumed."""
+    e = log(spark, sf_dir)["events"]
+    store = KeyedTable(spark, new_path(spark, "keyed"), "application_id string, event_id long, event_type string, occurred_at timestamp", ["application_id"], buckets=8)
+    for n in (0, 1, 1, 2):
+        store.upsert(e.filter(F.col("event_id") % 3 == n), F.col("occurred_at"), F.col("event_id"), name="events", number=n)
+    store.delete(e.filter("event_type = 'withdrawn'").select("application_id"))
+    store.vacuum()
+    return store.read().select("application_id", "event_id", "event_type")
+
+
 @query("effective_events", "SELECT event_id, application_id, event_type, epoch_us(occurred_at) AS occurred_at, confidence, needs_review, is_overridden, subject FROM eff")
 def effective_events(spark, sf_dir):
     eff = _model(spark, sf_dir)[1]
@@ -463,10 +502,14 @@ def _link_input(spark, sf_dir):
     return messages, classes
 
 
-_RELINKED = """, seen AS (
+_CORRECTED = """, seen AS (
     SELECT e.message_id, concat(e.user_id, '-', e.event_id % 11) AS thread_id, e.occurred_at, coalesce(o.event_type, CASE WHEN e.event_id % 10 = 0 THEN 'unknown' ELSE 'interview' END) AS type,
         CASE WHEN (e.event_id % 10 = 0 OR e.event_id % 29 = 0) AND o.company <> '' THEN lower(o.company) WHEN e.event_id % 29 <> 0 THEN concat('company ', e.user_id % 40) END AS key
-    FROM ev e LEFT JOIN ovr o USING (message_id)),
+    FROM ev e LEFT JOIN ovr o USING (message_id)),"""
+_AS_IT_CAME = """, seen AS (
+    SELECT message_id, concat(user_id, '-', event_id % 11) AS thread_id, occurred_at, CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE 'interview' END AS type, CASE WHEN event_id % 29 <> 0 THEN concat('company ', user_id % 40) END AS key
+    FROM ev),"""
+_LINKED = """
 linkable AS (SELECT * FROM seen WHERE type <> 'unknown' AND key IS NOT NULL),
 homes AS (SELECT thread_id, arg_min(key, (occurred_at, message_id)) AS home FROM linkable GROUP BY 1),
 apps AS (SELECT home, arg_min(message_id, (occurred_at, message_id)) AS seed FROM linkable JOIN homes USING (thread_id) GROUP BY 1)
@@ -474,13 +517,27 @@ SELECT s.message_id, 'app_' || substr(sha256(a.home || chr(31) || chr(31) || a.s
 FROM seen s LEFT JOIN (SELECT message_id, home FROM linkable JOIN homes USING (thread_id)) h USING (message_id) LEFT JOIN apps a USING (home)"""
 
 
-@query("relink_after_override", _RELINKED)
+@query("relink_after_override", _CORRECTED + _LINKED)
 def relink_after_override(spark, sf_dir):
     """Links with corrections folded in. Without roles, all threads that a company opens share one application, which SQL can say."""
     messages, classes = _link_input(spark, sf_dir)
     return link(messages, classes, NOW, overrides=log(spark, sf_dir)["overrides"]).select("message_id", "application_id", "created")
 
 
+@query("linked_stream", _AS_IT_CAME + _LINKED)
+def linked_stream(spark, sf_dir):
+    """Links by the stream with state, from four batches in the order of time, but one message in fifty comes in the last."""
+    messages, classes = _link_input(spark, sf_dir)
+    folder = new_path(spark, "linked-stream")
+    rows = written(linkable(messages, classes), "linkable")
+    turn = F.when(F.pmod(F.xxhash64("message_id"), F.lit(50)) == 0, 3).otherwise(F.least(F.lit(3), F.floor((F.dayofmonth(F.timestamp_micros("at")) - 1) / 8)))
+    for n in range(4):
+        rows.filter(turn == n).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    stream = LinkStream(spark, folder, pd.Timestamp(NOW), buckets=8)
+    stream.follow(f"{folder}/inbox", most=1)
+    return messages.select("message_id").join(stream.links.read(), "message_id", "left").select("message_id", "application_id", F.coalesce("created", F.lit(False)).alias("created"))
+
+
 # Beyond SQL: rows only; the tests compare these with plain Python.
 
 
