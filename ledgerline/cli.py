@@ -1,4 +1,4 @@
-"""Thin command line over a store folder: sync, list, stats, review, correct, export, dashboard."""
+"""Thin command line over a store folder: sync, list, stats, review, accept, correct, reclassify, export, dashboard."""
 
 from __future__ import annotations
 
@@ -39,7 +39,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--store", required=True)
     parser.add_argument("--now", default=None, help="ISO time; the clock's if left out")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    verbs.add_parser("sync").add_argument("inbox")
+    syncing = verbs.add_parser("sync")
+    syncing.add_argument("inbox", help="folder of message files, or of a mailbox")
+    syncing.add_argument("--mailbox", action="store_true", help="read a mailbox behind the store's cursor")
+    verbs.add_parser("accept").add_argument("message_id")
+    verbs.add_parser("reclassify", help="count what links by the rules as they are now, corrections put on top again")
     listing = verbs.add_parser("list")
     listing.add_argument("--status", choices=STATUSES)
     listing.add_argument("--company")
@@ -58,9 +62,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = since(args.now, datetime.now(timezone.utc)) if args.now else datetime.now(timezone.utc)
     if args.verb == "sync":
-        incremental.sync(spark, args.inbox, args.store)
+        if args.mailbox:
+            print("\t".join(f"{k}={v}" for k, v in incremental.sync_mailbox(spark, args.store, now, path=args.inbox).items()))
+        else:
+            incremental.sync(spark, args.inbox, args.store)
         incremental.report(incremental.tables(spark, args.store, now.replace(tzinfo=None))).show(truncate=False)
         return 0
+    if args.verb == "reclassify":
+        incremental.report(incremental.tables(spark, args.store, now.replace(tzinfo=None), reapply=True)).show(truncate=False)
+        return 0
+    if args.verb == "accept":
+        incremental.set_override(spark, args.store, args.message_id, now)
+        return 0
     if args.verb == "correct":
         incremental.set_override(spark, args.store, args.message_id, now, args.type, args.company, args.role, args.note)
         return 0

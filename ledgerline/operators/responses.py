@@ -88,7 +88,11 @@ def interpret(requests: DataFrame, responses: DataFrame, version: str, messages:
     )
 
 
+#: Reasons of a refusal that passes.
+LIMITED = ["rateLimitExceeded", "userRateLimitExceeded", "quotaExceeded", "backendError"]
+
+
 def error_class(status: Column, reason: Column) -> Column:
     """auth, transient or permanent: what a failed call of the mail API comes to."""
-    limited = F.coalesce(reason.isin("rateLimitExceeded", "userRateLimitExceeded", "quotaExceeded", "backendError"), F.lit(False))
+    limited = F.coalesce(reason.isin(LIMITED), F.lit(False))
     return F.when((status == 429) | (status >= 500) | ((status == 403) & limited), "transient").when(status.isin(401, 403), "auth").otherwise("permanent")

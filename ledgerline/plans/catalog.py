@@ -18,8 +18,9 @@ from ledgerline.operators.rules import Rule, classify, confidence, fired, ranks_
 from ledgerline.plans import mails
 from ledgerline.plans.standins import GHOST_DAYS, NOW, SQL, SQL_BY_SEVENTH, log, now, table
 from ledgerline.schemas import EVENT_TYPES
+from ledgerline.sources import mailbox
 from ledgerline.sources.keyed import KeyedTable
-from ledgerline.streaming.incremental import stored, sync
+from ledgerline.streaming.incremental import stored, sync, sync_mailbox
 from ledgerline.streaming.linked import LinkStream, linkable
 from ledgerline.streaming.readmodel import TOLD, ReadModel, follow
 
@@ -524,6 +525,29 @@ def relink_after_override(spark, sf_dir):
     return link(messages, classes, NOW, overrides=log(spark, sf_dir)["overrides"]).select("message_id", "application_id", "created")
 
 
+@query(
+    "mailbox_sync",
+    """plain SELECT conv_id || '-' || turn AS message_id, conv_id::VARCHAR AS thread_id, (1704067200 + conv_id * 3600 + turn * 60) * 1000000 AS received_at, role || '@example.org' AS from_email,
+    upper(role[1:1]) || role[2:] AS from_name, 'Turn ' || turn AS subject, md5(regexp_replace(text, '\\s+', '', 'g')) AS body FROM conversations WHERE (conv_id * 1000 + turn) % 23 <> 0""",
+)
+def mailbox_sync(spark, sf_dir):
+    """Conversations as the payloads of a mailbox, synced twice by the cursor: what came before the cursor was set, and behind it what is new or told again."""
+    folder, number = new_path(spark, "mailbox"), F.col("conv_id") * 1000 + F.col("turn")
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    sender = F.concat(F.initcap("role"), F.lit(" <"), F.col("role"), F.lit("@example.org>"))
+    part = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(F.translate(F.base64(F.encode("text", "utf-8")), "+/", "-_").alias("data")).alias("body"))
+    mail = F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(header("From", sender), header("Subject", F.concat(F.lit("Turn "), F.col("turn").cast("string")))).alias("headers"), F.array(part).alias("parts"))
+    label = F.when(number % 23 == 0, "SPAM").otherwise("INBOX")
+    at = (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60) * 1000
+    entry = lambda history: F.to_json(F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("conv_id").cast("string").alias("threadId"), history.cast("string").alias("historyId"), at.cast("string").alias("internalDate"), F.array(label).alias("labelIds"), mail.alias("payload")))
+    talk = table(spark, sf_dir, "conversations")
+    for some, history in (("(conv_id * 7 + turn) % 3 < 2", number + 1), ("(conv_id * 7 + turn) % 3 > 0", number + 1_000_000_000_000)):
+        mailbox.write_mailbox(talk.filter(some).select(entry(history).alias("value")), f"{folder}/box", page=1000)
+        sync_mailbox(spark, f"{folder}/store", "2024-01-01", path=f"{folder}/box")
+    body = F.md5(F.regexp_replace("body_text", "\\s+", ""))
+    return stored(spark, f"{folder}/store").select("message_id", "thread_id", F.unix_micros("received_at").alias("received_at"), "from_email", "from_name", "subject", body.alias("body"))
+
+
 @query("linked_stream", _AS_IT_CAME + _LINKED)
 def linked_stream(spark, sf_dir):
     """Links by the stream with state, from four batches in the order of time, but one message in fifty comes in the last."""

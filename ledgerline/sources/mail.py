@@ -18,6 +18,7 @@ from ledgerline.schemas import MESSAGE
 
 #: Labels of mail that is never read.
 EXCLUDED_LABELS = ["CHAT", "DRAFT", "SPAM", "TRASH"]
+#: Parts of a message nested deeper aren't read, as in the surveyed behaviour.
 MAX_DEPTH = 20
 
 _HEADERS = "array<struct<name string, value string>>"
@@ -65,26 +66,30 @@ def fetch_from(mailbox: DataFrame, cursor: str | None, now, since=None, limit: i
     """(messages, whether there were more, the next cursor) of a mailbox with the column history_id, a string of digits.
 
     With a cursor the messages behind it, each once, in history order. Without one, or where the mailbox no longer reaches back to
-    it (its oldest entry is more than one behind the cursor), a dated query from since, or lookback_days before now. The next cursor is read
-    before the messages are, so what arrives meanwhile is read again and not skipped; it stays where it was if nothing is there, and where
-    the limit cut a history short it is the last one read.
+    it (its oldest entry is more than one behind the cursor), a dated query from since, or lookback_days before now, the newest first. The next cursor is read
+    before the messages are, so what arrives meanwhile is read again and not skipped; it stays where it was if nothing is there. Where the limit
+    cuts either of them, what is read is the oldest by history and the next cursor the last entry read, so the following call goes on there and nothing is lost;
+    messages without a history number can't be returned to and come with the first such part, beyond the limit.
     """
     entry = F.when(F.col("history_id").rlike("^[0-9]+$"), F.col("history_id").cast("bigint"))
     low, high = mailbox.agg(F.min(entry), history_maximum(F.col("history_id"))).first()
     after = cursor if high is None else str(high)
     known = cursor is not None and cursor.isdigit() and low is not None and int(low) <= int(cursor) + 1
-    if not known:
-        start = since if since is not None else now - timedelta(days=lookback_days)
-        rows, more = fetch(mailbox.drop("history_id"), start, limit)
-        return rows, more, after
-    first = Window.partitionBy("message_id").orderBy("_entry")
-    rows = without_excluded(mailbox).withColumn("_entry", entry).filter(F.col("_entry") > int(cursor))
-    rows = rows.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn").orderBy("_entry", "message_id")
-    more = limit is not None and rows.limit(limit + 1).count() > limit
-    rows = rows if limit is None else rows.limit(limit)
+    rows = without_excluded(mailbox).withColumn("_entry", entry)
+    if known:
+        rows = rows.filter(F.col("_entry") > int(cursor))
+    else:
+        rows = rows.filter(F.col("received_at") >= F.lit(since if since is not None else now - timedelta(days=lookback_days)))
+    first = Window.partitionBy("message_id").orderBy(F.col("_entry").asc_nulls_last())
+    rows = rows.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
+    numbered = rows.filter("_entry IS NOT NULL").orderBy("_entry", "message_id")
+    more = limit is not None and numbered.limit(limit + 1).count() > limit
     if more:
-        after = str(rows.agg(F.max("_entry")).first()[0])
-    return rows.drop("_entry", "history_id"), more, after
+        cut = numbered.limit(limit)
+        after = str(cut.agg(F.max("_entry")).first()[0])
+        rows = cut.unionByName(rows.filter("_entry IS NULL"))
+    order = [F.desc("received_at"), F.col("message_id")] if not known and not more else [F.col("_entry").asc_nulls_last(), F.col("message_id")]
+    return rows.orderBy(*order).drop("_entry", "history_id"), more, after
 
 
 @F.pandas_udf(T.StringType())

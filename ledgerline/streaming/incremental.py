@@ -7,9 +7,11 @@ gives the same result whatever the batches were, and a correction needs no rewri
 
 from __future__ import annotations
 
+import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +20,8 @@ from ledgerline.operators.linking import events_of, link
 from ledgerline.operators.overrides import insert_new, latest_by
 from ledgerline.operators.rules import classify
 from ledgerline.schemas import EVENT_TYPES, MESSAGE, OVERRIDE, SYNC_STATE, empty
-from ledgerline.sources.mail import without_excluded
+from ledgerline.sources.mail import LOOKBACK_DAYS, parse_payloads, without_excluded
+from ledgerline.sources.mailbox import register
 
 
 def _batches(spark: SparkSession, store: str) -> DataFrame:
@@ -36,6 +39,16 @@ def stored(spark: SparkSession, store: str) -> DataFrame:
     return _batches(spark, store)
 
 
+def _append(spark: SparkSession, store: str, batch: DataFrame, n: int) -> tuple[int, int]:
+    """Write the messages of batch n that no earlier batch has, in a folder of its own; how many came and how many were new, as the write itself saw them."""
+    known = _batches(spark, store).filter(F.col("batch") < n).select("message_id")  # one narrow column of the history, no window over it
+    came, new = Observation(), Observation()
+    rows = without_excluded(batch).filter("message_id IS NOT NULL").observe(came, F.count(F.lit(1)).alias("n"))
+    fresh = insert_new(known, rows, "message_id", F.col("received_at"), F.col("thread_id")).observe(new, F.count(F.lit(1)).alias("n"))
+    fresh.write.mode("overwrite").parquet(f"{store}/messages/batch={n}")
+    return came.get["n"], new.get["n"]
+
+
 def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = None, multi_line: bool = True, checkpoint: str = "checkpoint", first_batch: int = 0) -> StreamingQuery:
     """Read the JSON files (of one object each, or with multi_line off of one a line) of inbox that no earlier sync has read, and append their new messages to store; returns when done.
 
@@ -46,16 +59,41 @@ def sync(spark: SparkSession, inbox: str, store: str, max_files: int | None = No
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def write(batch: DataFrame, n: int) -> None:
-        n += first_batch
-        known = _batches(spark, store).filter(F.col("batch") < n).select("message_id")  # one narrow column of the history, no window over it
-        fresh = insert_new(known, without_excluded(batch).filter("message_id IS NOT NULL"), "message_id", F.col("received_at"), F.col("thread_id"))
-        fresh.write.mode("overwrite").parquet(f"{store}/messages/batch={n}")
+        _append(spark, store, batch, n + first_batch)
 
     query = reader.json(inbox).writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/{checkpoint}").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def sync_mailbox(spark: SparkSession, store: str, now, lookback_days: int = LOOKBACK_DAYS, checkpoint: str = "mailbox", source: str = "mailbox", **options: str) -> dict:
+    """Append to store the new messages of a mailbox (sources/mailbox.py, by its options) behind the store's cursor; returns when done.
+
+    The counters of the sync: fetched and stored messages, as the writes counted them, and the cursor, which is kept in store after the messages are. A store that
+    has a cursor but no checkpoint goes on from the cursor; a first sync, and one whose cursor has expired, reads from lookback_days before now.
+    """
+    register(spark)
+    since = (pd.Timestamp(now) - pd.Timedelta(days=lookback_days)).value // 1000
+    reader = spark.readStream.format("mailbox").option("since", str(since)).options(**options)
+    cursor = get_cursor(spark, store, source)
+    if cursor is not None:
+        reader = reader.option("cursor", cursor)
+    counts = {"fetched": 0, "stored": 0}
+
+    def write(batch: DataFrame, n: int) -> None:
+        came, new = _append(spark, store, parse_payloads(batch.select(F.col("payload").alias("value"))), n)
+        counts["fetched"] += came
+        counts["stored"] += new
+
+    query = reader.load().writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/{checkpoint}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = [int(x) for p in query.recentProgress for x in re.findall("-?[0-9]+", str(p["sources"][0]["endOffset"]))]
+    after = str(read[-1]) if read and read[-1] >= 0 else cursor
+    if after != cursor:
+        set_cursor(spark, store, source, after)
+    return counts | {"cursor": after}
+
+
 def dry_run(spark: SparkSession, inbox: str, store: str) -> DataFrame:
     """(event_type, n): what a sync would add, without writing."""
     rows = spark.read.schema(MESSAGE).option("multiLine", True).json(inbox)
