@@ -34,8 +34,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+#: Narrow rows of one file, where their number is known.
+FILE_ROWS = 500_000
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: cuts lineage, survives lost executors. Where it is known that df has no more
+    than so many (narrow) rows, they go to as many files as they fill and not to one for each partition of a shuffle."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,15 +60,15 @@ def in_order(df: DataFrame, *order) -> DataFrame:
     return found.withColumn("place", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
 
 
-def _pairs_to_roots(edges: DataFrame) -> DataFrame:
+def _pairs_to_roots(edges: DataFrame, most: int) -> DataFrame:
     """(node, root): each node points to the smallest node among itself and its neighbours, then all
-    pointers are followed to their ends by doubling."""
+    pointers are followed to their ends by doubling. There are most of them at most."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
     hops = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root"))
-    hops = written(hops, "cc-hops")
+    hops = written(hops, "cc-hops", most)
     while True:
         end = hops.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        further = written(hops.join(end, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-jump")
+        further = written(hops.join(end, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "cc-jump", most)
         moved = further.filter("moved").limit(1).count()
         hops = further.select("node", "root")
         if not moved:
@@ -76,16 +83,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Null ends and loops are ignored.
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    result = None
+    result, nodes = None, 0
     while True:
-        roots = _pairs_to_roots(edges)
+        n = edges.count()
+        nodes = nodes or 2 * n
+        roots = _pairs_to_roots(edges, 2 * n)
         if result is None:
             result = roots
         else:
             onward = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            result = written(result.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-roots")
+            result = written(result.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-roots", nodes)
         left, right = roots.toDF("a", "ra"), roots.toDF("b", "rb")
         edges = edges.join(left, "a").join(right, "b").filter("ra <> rb")
-        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        edges = written(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges", n)
         if edges.isEmpty():
             return result
