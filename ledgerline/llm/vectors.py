@@ -6,7 +6,7 @@ cut into intervals, which form a tree of FAN children a node. Pairs of intervals
 of nodes whose bounding boxes on BOX_AXES axes are further apart than eps is left out with all below it. The pairs of intervals that
 remain are joined in tasks by halving them recursively in the same way, and comparing what remains in double precision.
 
-An interval is shipped once to each interval it may meet; there are INTERVALS of them until they would hold more than INTERVAL vectors, so
+An interval is shipped once to each interval it may meet; there are INTERVALS of them until one would be larger than INTERVAL_BYTES, so
 up to then what is shipped grows as the rows do. No pair is returned: a task gives each vector's number of links and a forest over what it
 joined, so that rows stay proportional to vectors whatever the size of a group. Equal vectors are one vector with a count.
 
@@ -31,9 +31,10 @@ from ledgerline.llm.common import connected_components, materialize, numbered
 GRID_AXES = 8
 BOX_AXES = 16
 LEAF = 128
-#: Intervals of the sorted sequence, and the most vectors of one (there are more intervals beyond that); vectors in a packed row.
+#: Intervals of the sorted sequence, and the most bytes of one in double precision (there are more intervals beyond that): a task that joins two holds them and as
+#: many turned to the axes. Vectors in a packed row.
 INTERVALS = 16
-INTERVAL = 32_768
+INTERVAL_BYTES = 32 << 20
 CHUNK = 1024
 #: Children of a node in the tree of intervals.
 FAN = 8
@@ -154,7 +155,7 @@ def _intervals(vectors: DataFrame, dim: int, axes: np.ndarray, eps: float) -> tu
     """(interval, box columns lo0.. and hi0.., and the packed nodes, counts and vectors of at most CHUNK vectors), and the number of intervals."""
     lead, boxes = axes[:, :GRID_AXES], axes[:, :BOX_AXES]
     n = vectors.count()
-    size = min(INTERVAL, max(1, -(-n // INTERVALS)))
+    size = max(1, min(INTERVAL_BYTES // (8 * dim), -(-n // INTERVALS)))
     kind = np.float32 if dict(vectors.dtypes)["vec"] == "array<float>" else np.float64
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def near_rows(rng, n, dim, spread):
 
 @pytest.mark.parametrize("spread, interval, leaf, chunk", [(0.2, 32768, 128, 1024), (0.12, 7, 4, 3)])
 def test_links_equal_all_pairs(spark, monkeypatch, spread, interval, leaf, chunk):
-    for name, value in (("LEAF", leaf), ("INTERVAL", interval), ("CHUNK", chunk), ("FAN", 3)):
+    for name, value in (("LEAF", leaf), ("INTERVAL_BYTES", interval * 8 * 8), ("CHUNK", chunk), ("FAN", 3)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(1)
     rows = near_rows(rng, 250, 8, spread)
@@ -56,6 +56,17 @@ def test_links_equal_all_pairs(spark, monkeypatch, spread, interval, leaf, chunk
     assert any(n for n, *_ in want.values()) and found(spark, rows) == want
 
 
+def test_wide_vectors_are_cut_by_bytes(spark, monkeypatch):
+    """Vectors of 1,024 dimensions: an interval is bounded in bytes, so it holds few of them."""
+    rng = np.random.default_rng(6)
+    rows = near_rows(rng, 120, 1024, 0.2)
+    monkeypatch.setattr(vectors, "INTERVAL_BYTES", 5 * 8 * 1024)
+    df = spark.createDataFrame([(v, i, 1) for i, v in rows], "vec array<double>, node long, n long")
+    intervals, count = vectors._intervals(df, 1024, vectors.principal_axes(df, 1024), math.sqrt(0.1))
+    assert count == 24 and max(len(r.nodes) // 8 for r in intervals.select("nodes").collect()) <= 5
+    assert found(spark, rows) == plain(rows)
+
+
 def test_driver_table_equals_all_pairs(spark):
     data = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.op7_vectors(spark, "/root/testdata/sf0.01").collect()} == plain(data)
