@@ -7,10 +7,10 @@ temperature and a threshold are calibrated on what two models say of the templat
 held out from them: the threshold is the probability that UNKNOWN_NAMED of the unknown ones reach.
 
 Scan (DataFrame functions only, no shuffle): paragraphs are parted by blank lines and their wrapped lines joined; they are scored sentence by
-sentence, and long sentences by overlapping windows of WINDOW words. The likeliest family counts if its calibrated probability
-reaches the threshold and one of that family's templates confirms it: most of the template's word pairs are there, or most of what is there
-lies inside the template; and a word that licences go by (KEYS) must be there, so that pieces of text without one are unknown by
-definition and need no arithmetic. A paragraph names a family once.
+sentence, and long sentences by overlapping windows of WINDOW words; the alternatives of a sentence ("MIT OR Apache-2.0") are scored one by one beside it. The
+likeliest family counts if its calibrated probability reaches the threshold and one of that family's templates confirms it: most of the template's
+word pairs are there, or most of what is there lies inside the template. A piece that has too few word pairs of any template to be confirmed by one is
+unknown without arithmetic; that is told from its pairs alone and leaves out no piece that could name a family (worth). A paragraph names a family once.
 
 Cases: null and empty texts have no paragraphs; equal paragraphs are listed one by one, in order; repeated rows are scanned one
 by one; a text without line breaks is one paragraph, in which notices of several families count each; an empty corpus leaves
@@ -20,7 +20,10 @@ the written unknown examples. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,11 +35,13 @@ SAMPLE_DOCS = 200
 SAMPLE_SENTENCES = 1000
 #: Words of a window of a long sentence, and from one window's first word to the next one's.
 WINDOW, STEP = 96, 32
+#: Words up to which a sentence's alternatives are scored beside it; in longer ones "or" joins clauses of one notice.
+CHOICE_WORDS = 24
 #: Share of held-out unknown examples that may reach the threshold, and the threshold's bounds.
 UNKNOWN_NAMED = 0.01
 THRESHOLDS = (0.1, 0.9)
 #: Agreement with a template that confirms a prediction, and the fewest word pairs of a line that may lie inside a template.
-AGREEMENT = 0.8
+AGREEMENT = 0.82
 LEAST_PAIRS = 4
 
 #: The family names and wordings of widely used licence notices.
@@ -45,6 +50,8 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -55,6 +62,7 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License.",
@@ -68,10 +76,14 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "isc": [
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
     ],
     "mpl": [
         "Licensed under the Mozilla Public License 2.0.",
@@ -92,6 +104,8 @@ TEMPLATES: dict[str, list[str]] = {
     "public-domain": [
         "This work is dedicated to the public domain under the CC0 1.0 Universal license.",
         "This is free and unencumbered software released into the public domain without license conditions.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
 #: Short names of the families, as headers, tags and remarks give them.
@@ -110,7 +124,9 @@ NAMES: dict[str, list[str]] = {
     "public-domain": ["CC0-1.0", "CC0 1.0", "Unlicense"],
 }
 #: How a short name is said to be the licence; {} stands for it.
-SAYINGS = ["SPDX-License-Identifier: {}", "License: {}", "Lizenz: {}", "Licence: {}", "This file is licensed under the {}.", "Licensed under {}", "Released under the {}", "under the terms of the {}"]
+SAYINGS = ["SPDX-License-Identifier: {}", "License: {}", "Lizenz: {}", "Licence: {}", "This file is licensed under the {}.", "Licensed under {}", "Released under the {}", "under the terms of the {}", "Code: {}", "{}, at your option"]
+#: Licences beside the families, whose sayings are unknown ones.
+OTHERS = ["Eclipse Public License 2.0", "EPL-2.0", "Boost Software License", "BSL-1.0", "EUPL", "European Union Public Licence", "WTFPL", "Artistic License 2.0", "Common Development and Distribution License", "CDDL-1.0", "zlib License", "Python Software Foundation License", "Open Software License 3.0", "SIL Open Font License", "Microsoft Public License", "PostgreSQL License", "PHP License", "Academic Free License", "Server Side Public License", "Business Source License 1.1", "Elastic License 2.0", "CeCILL"]
 #: Everyday sentences with the words of licences, for the unknown class.
 EVERYDAY = [
     "She lost her driving license on the way to the station.",
@@ -147,11 +163,12 @@ EVERYDAY = [
     "This file is licensed under the terms of your contract.",
     "Copyright (c) 2019 The authors. All rights reserved.",
 ]
-#: Fixed value: what licences go by; every template and every form of a short name holds one.
-KEYS = r"(?i)li[cz]en[cszt]|copyright|warrant|redistribut|permission|public domain|creative commons|released under|under the terms|\bspdx\b"
 #: Ends of paragraphs, and of sentences inside them.
 PARAGRAPH_END = r"\r?\n[\x20\t]*\r?\n\s*"
 SENTENCE_END = r"(?<=[.!?;])\s+"
+#: What parts the alternatives of a sentence, and a label that all of them go by.
+ALTERNATIVES = r"(?i)\s+(?:or|and|with)\s+|[/()]"
+LABEL = r"(?i)^.*?((?:spdx-license-identifier|li[cz]en[cs]es?|lizenz|code)\s*:)\s*(.*)$"
 
 
 def all_templates() -> dict[str, list[str]]:
@@ -199,11 +216,34 @@ def agreement(text: str, template: str) -> float:
     return max(both / len(other) if other else 0.0, both / len(own) if len(own) >= LEAST_PAIRS else 0.0)
 
 
+@cache
+def telling_pairs() -> tuple[list[str], list[str]]:
+    """Word pairs of which a piece that a template may confirm has one of the first kind, or LEAST_PAIRS of the second.
+
+    A template of so few pairs that all are needed to agree is told by its rarest one; others need more than LEAST_PAIRS - 1 of theirs, as does a piece
+    that lies inside a template.
+    """
+    each = [grams(tokens(t), (2,)) for texts in all_templates().values() for t in texts]
+    often = Counter(p for pairs in each for p in pairs)
+    short = [x for x in each if math.ceil(AGREEMENT * len(x)) == len(x)]
+    if any(math.ceil(AGREEMENT * len(x)) < LEAST_PAIRS for x in each if x not in short):
+        raise ValueError("a template may be confirmed by fewer pairs than LEAST_PAIRS")
+    return sorted({min(x, key=lambda p: (often[p], p)) for x in short}), sorted(often)
+
+
+def worth(words: list[str]) -> bool:
+    """Whether a piece has pairs enough to be confirmed by a template; false only for pieces that none can confirm."""
+    one, some = telling_pairs()
+    pairs = [" ".join(x) for x in zip(words, words[1:])]
+    return any(p in one for p in pairs) or sum(p in some for p in pairs) >= LEAST_PAIRS
+
+
 def fit(negatives: list[str], steps: int = 300, l2: float = 1e-3) -> Model:
     """The model, with unknown examples beside the written ones; those that agree with a template are left out."""
     texts = all_templates()
     families = list(texts)
-    unknown = [x for x in dict.fromkeys([*EVERYDAY, *negatives]) if not any(agreement(x, t) >= AGREEMENT for ts in texts.values() for t in ts)]
+    others = [x.format(n) for n in OTHERS for x in SAYINGS]
+    unknown = [x for x in dict.fromkeys([*EVERYDAY, *others, *negatives]) if not any(agreement(x, t) >= AGREEMENT for ts in texts.values() for t in ts)]
     # (text, class, fold): a template and its variants share a fold
     rows = [(v, k, i % 2) for k, ts in enumerate(texts.values()) for i, t in enumerate(ts) for v in variants(t)]
     rows += [(x, len(families), i % 2) for i, x in enumerate(unknown)]
@@ -247,10 +287,11 @@ def fit(negatives: list[str], steps: int = 300, l2: float = 1e-3) -> Model:
 
 
 def sample_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = SAMPLE_DOCS, most: int = SAMPLE_SENTENCES) -> list[str]:
-    """Sentences of the whole texts of at most most_docs documents, chosen by a hash of their ids: at most most with a key and most without."""
+    """Sentences of the whole texts of at most most_docs documents, chosen by a hash of their ids: at most most that are worth scoring and most others."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     found = picked.select(F.explode(F.split("text", f"{SENTENCE_END}|{PARAGRAPH_END}")).alias("x")).filter(F.length(F.trim("x")) > 0).distinct()
-    rows = [found.filter(F.col("x").rlike(KEYS) == keyed).orderBy(F.xxhash64("x"), "x").limit(most) for keyed in (True, False)]
+    found = found.withColumn("worth", _worth(_words(F.col("x"))))
+    rows = [found.filter(F.col("worth") == near).select("x").orderBy(F.xxhash64("x"), "x").limit(most) for near in (True, False)]
     return sorted(r.x for r in rows[0].union(rows[1]).collect())
 
 
@@ -302,26 +343,46 @@ def classified(words: Column, model: Model) -> Column:
     return _let(words, verdict)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _worth(words: Column) -> Column:
+    """worth of a piece's words."""
+    one, some = telling_pairs()
+    pairs = F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
+    return F.aggregate(pairs, F.lit(0), lambda n, p: n + F.when(p.isin(one), LEAST_PAIRS).when(p.isin(some), 1).otherwise(0)) >= LEAST_PAIRS
+
+
+def _alternatives(sentence: Column) -> Column:
+    """The alternatives of a sentence, each with the label that all go by; none for a sentence without alternatives."""
+    label, rest = F.regexp_extract(sentence, LABEL, 1), F.regexp_extract(sentence, LABEL, 2)
+    parts = _let(F.struct(label.alias("label"), F.split(F.when(label != "", rest).otherwise(sentence), ALTERNATIVES).alias("parts")), lambda x: F.transform(x["parts"], lambda y: F.concat_ws(" ", x["label"], y)))
+    return _let(parts, lambda x: F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>")))
+
+
 def _pieces(sentence: Column) -> Column:
-    """The lower-case words of a sentence with a key: all, or in overlapping windows where it is long; windows without a key are left out."""
+    """Words of what is scored of a sentence: all, or overlapping windows where it is long, and its alternatives; pieces that aren't worth it are left out."""
     starts = lambda w: F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - WINDOW + STEP - 1), F.lit(STEP))
-    windows = lambda w: F.filter(F.transform(starts(w), lambda i: F.slice(w, i + 1, F.lit(WINDOW))), lambda x: F.array_join(x, " ").rlike(KEYS))
-    return _let(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.when(F.size(w) <= WINDOW, F.array(w)).otherwise(windows(w)))
+    windows = lambda w: F.when(F.size(w) <= WINDOW, F.array(w)).otherwise(F.transform(starts(w), lambda i: F.slice(w, i + 1, F.lit(WINDOW))))
+    cut = lambda x: _let(_words(x), windows)
+    more = F.when(F.size(_words(sentence)) <= CHOICE_WORDS, _alternatives(sentence)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(cut(sentence), F.flatten(F.transform(more, cut))), _worth)
 
 
 def licences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_scored, n_licences, families, paragraphs) for each row.
 
-    n_scored counts the pieces with a key, n_licences the families that paragraphs name; families are distinct and ordered, paragraphs
+    n_scored counts the pieces worth scoring, n_licences the families that paragraphs name; families are distinct and ordered, paragraphs
     are paragraph:family:probability (its highest), by the paragraph's number from 0 and family.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    sentences = lambda x: F.filter(F.split(x, SENTENCE_END), lambda y: y.rlike(KEYS))
+    sentences = lambda x: F.filter(F.split(x, SENTENCE_END), lambda y: _worth(_words(y)))
     verdicts = lambda x, i: F.transform(F.flatten(F.transform(sentences(x), _pieces)), lambda w: F.struct(i.alias("paragraph"), classified(w, model).alias("v")))
     parts = F.filter(F.split("text", PARAGRAPH_END), lambda x: x.rlike("\\S"))
     none = F.array().cast("array<struct<paragraph:int,v:struct<family:string,probability:double,agreement:double>>>")
-    scored = _let(parts, lambda ps: F.struct(F.size(ps).cast("long").alias("n"), F.flatten(F.transform(ps, lambda x, i: F.when(x.rlike(KEYS), verdicts(x, i)).otherwise(none))).alias("s")))
+    scored = _let(parts, lambda ps: F.struct(F.size(ps).cast("long").alias("n"), F.flatten(F.transform(ps, lambda x, i: F.coalesce(verdicts(x, i), none))).alias("s")))
     rows = rows.select("doc_id", scored.alias("scored"))
 
     def named(s: Column) -> Column:

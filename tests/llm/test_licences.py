@@ -1,3 +1,4 @@
+import random
 import re
 import textwrap
 
@@ -13,9 +14,17 @@ def model():
     return licences.fit([])
 
 
-def test_every_template_holds_a_key_and_a_word_pair():
-    for texts in licences.all_templates().values():
-        assert all(re.search(licences.KEYS, t) and licences.grams(licences.tokens(t), (2,)) for t in texts)
+def test_every_template_is_worth_scoring_and_what_is_not_agrees_with_none():
+    texts = [t for ts in licences.all_templates().values() for t in ts]
+    assert all(licences.worth(licences.tokens(t)) for t in texts)
+    rng = random.Random(4)
+    words = sorted({w for t in texts for w in licences.tokens(t)})
+    for _ in range(3000):  # parts of templates, thinned and mixed: what agrees with one is worth scoring
+        t = licences.tokens(rng.choice(texts))
+        at = rng.randrange(len(t))
+        piece = [w if rng.random() < 0.9 else rng.choice(words) for w in t[at : at + rng.randrange(1, 14)]]
+        if max(licences.agreement(" ".join(piece), x) for x in texts) >= licences.AGREEMENT:
+            assert licences.worth(piece), piece
 
 
 def plain_piece(words, model):
@@ -35,10 +44,16 @@ def plain(text, model):
     scored, named = 0, set()
     for i, part in enumerate(parts):
         for sentence in re.split(r"(?<=[.!?;])\s+", part):
-            if not re.search(licences.KEYS, sentence):
-                continue
             words = re.findall("[a-z0-9]+", sentence.lower())
-            pieces = [words] if len(words) <= 96 else [w for w in (words[k : k + 96] for k in range(0, len(words) - 96 + 32, 32)) if re.search(licences.KEYS, " ".join(w))]
+            if not licences.worth(words):
+                continue
+            label = re.search(licences.LABEL, sentence)
+            parts_of = re.split(licences.ALTERNATIVES, label[2] if label else sentence)
+            more = [re.findall("[a-z0-9]+", f"{label[1] if label else ''} {x}".lower()) for x in parts_of] if len(parts_of) > 1 and len(words) <= licences.CHOICE_WORDS else []
+            pieces = []
+            for w in [words, *more]:
+                pieces += [w] if len(w) <= 96 else [w[k : k + 96] for k in range(0, len(w) - 96 + 32, 32)]
+            pieces = [w for w in pieces if licences.worth(w)]
             scored += len(pieces)
             named |= {(i, v[0]) for w in pieces if (v := plain_piece(w, model))}
     return len(parts), scored, len(named), ",".join(sorted({f for _, f in named}))
@@ -81,6 +96,21 @@ UNKNOWN = [
 ]
 
 
+#: Texts that name several families, or none of those known.
+CHOICES = {
+    "Code: GPL-3.0 or MIT, at your option.": "gpl,mit", "SPDX-License-Identifier: MIT OR Apache-2.0": "apache,mit", "SPDX-License-Identifier: (LGPL-2.1-or-later AND BSD-3-Clause)": "bsd,lgpl",
+    "This program is distributed under the terms of the Eclipse Public License 2.0.": "", "Distributed under the Boost Software License, Version 1.0.": "", "Licensed under the EUPL.": "",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "public-domain",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "mit",
+}
+
+
+def test_choices_other_licences_and_bodies_of_notices(spark, model):
+    got = scan(spark, list(CHOICES), model)
+    assert [x[3] for x in got] == list(CHOICES.values()) and got == [plain(t, model) for t in CHOICES]
+
+
 def test_short_forms_and_unknowns(spark, model):
     texts = [*SHORT, *UNKNOWN]
     got = scan(spark, texts, model)
