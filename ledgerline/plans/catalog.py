@@ -11,6 +11,7 @@ from ledgerline.operators import evaluate as evaluation
 from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
 from ledgerline.operators import reports
+from ledgerline.operators.candidates import CandidateIndex
 from ledgerline.operators.components import new_path, written
 from ledgerline.operators.concepts import encoded
 from ledgerline.operators.linking import link
@@ -23,6 +24,7 @@ from ledgerline.sources.keyed import KeyedTable
 from ledgerline.streaming.incremental import stored, sync, sync_mailbox
 from ledgerline.streaming.linked import LinkStream, linkable
 from ledgerline.streaming.readmodel import TOLD, ReadModel, follow
+from ledgerline.streaming.silence import SilenceStream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,6 +128,20 @@ def ghosted_apps(spark, sf_dir):
     return _folded(spark, sf_dir).filter("status = 'ghosted'").select("application_id", micros("last_event_at"))
 
 
+@query("silence_timers", "SELECT application_id, epoch_us(last_event_at) AS last_event_at FROM model WHERE status = 'ghosted'")
+def silence_timers(spark, sf_dir):
+    """The ghosted applications as timers tell them, from three batches of effective events and a tick of the clock."""
+    t, folder = log(spark, sf_dir), new_path(spark, "silence")
+    eff = written(ev.effective_events(t["events"], t["messages"], t["classifications"], t["overrides"]).select("application_id", "event_id", "event_type", "occurred_at"), "effective")
+    for n in range(3):
+        eff.filter(F.least(F.lit(2), F.floor((F.dayofmonth("occurred_at") - 1) / 10)) == n).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    stream = SilenceStream(spark, folder, GHOST_DAYS, buckets=8)
+    stream.follow(f"{folder}/inbox", most=1)
+    eff.limit(1).select(F.lit(None).cast("string").alias("application_id"), F.lit(-1).cast("long").alias("event_id"), F.lit("unknown").alias("event_type"), (now() + F.expr("INTERVAL 1 MILLISECOND")).alias("occurred_at")).write.mode("append").parquet(f"{folder}/inbox")
+    stream.follow(f"{folder}/inbox")
+    return stream.ghosted().select("application_id", micros("last_event_at"))
+
+
 @query("latest_terminal", "SELECT application_id, last_terminal FROM model WHERE last_terminal IS NOT NULL")
 def latest_terminal(spark, sf_dir):
     return _folded(spark, sf_dir).filter("last_terminal IS NOT NULL").select("application_id", "last_terminal")
@@ -194,18 +210,31 @@ def upsert_latest(spark, sf_dir):
     return ov.upsert(held, e.filter("event_id % 2 = 1"), ["application_id"], *order).select("application_id", "event_id", "event_type")
 
 
-@query(
-    "candidate_search",
-    """SELECT p.probe_id, c.application_id, epoch_us(l.last_event_at) AS last_event_at FROM (SELECT min(event_id) AS probe_id, concat('company ', user_id % 40) AS company_key, concat('t', event_id % 97) AS thread_id FROM ev GROUP BY 2, 3) p
+_CANDIDATES = """SELECT p.probe_id, c.application_id, epoch_us(l.last_event_at) AS last_event_at FROM (SELECT min(event_id) AS probe_id, concat('company ', user_id % 40) AS company_key, concat('t', event_id % 97) AS thread_id FROM ev GROUP BY 2, 3) p
     JOIN (SELECT DISTINCT a.application_id, a.company_key, m.thread_id FROM app a JOIN ev e USING (application_id) JOIN msg m USING (message_id)) c ON c.company_key = p.company_key OR c.thread_id = p.thread_id
-    JOIN (SELECT application_id, max(occurred_at) AS last_event_at FROM ev GROUP BY 1) l ON l.application_id = c.application_id GROUP BY ALL""",
-)
+    JOIN (SELECT application_id, max(occurred_at) AS last_event_at FROM ev GROUP BY 1) l ON l.application_id = c.application_id GROUP BY ALL"""
+
+
+@query("candidate_search", _CANDIDATES)
 def candidate_search(spark, sf_dir):
     """Every distinct company key and thread asks once, under its first event's id: messages of equal ones have equal candidates."""
     t = log(spark, sf_dir)
+    return ov.candidates(t["applications"], t["events"], t["messages"], _probes(spark, sf_dir)).select("probe_id", "application_id", micros("last_event_at"))
+
+
+def _probes(spark, sf_dir) -> DataFrame:
     keys = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("company "), (F.col("user_id") % 40).cast("string")).alias("company_key"), F.concat(F.lit("t"), (F.col("event_id") % 97).cast("string")).alias("thread_id"))
-    probes = keys.groupBy("company_key", "thread_id").agg(F.min("event_id").alias("probe_id"))
-    return ov.candidates(t["applications"], t["events"], t["messages"], probes).select("probe_id", "application_id", micros("last_event_at"))
+    return keys.groupBy("company_key", "thread_id").agg(F.min("event_id").alias("probe_id"))
+
+
+@query("candidate_index", _CANDIDATES)
+def candidate_index(spark, sf_dir):
+    """The same candidates from an index that three batches of events have built, the second of which came twice."""
+    t, index = log(spark, sf_dir), CandidateIndex(spark, new_path(spark, "candidates"), buckets=8)
+    for n in (0, 1, 1, 2):
+        some = t["events"].filter(F.pmod("event_id", F.lit(3)) == n)
+        index.add(t["applications"].join(some.select("application_id"), "application_id", "left_semi"), some, t["messages"], n)
+    return index.search(_probes(spark, sf_dir)).select("probe_id", "application_id", micros("last_event_at"))
 
 
 @query("application_threads", "SELECT DISTINCT application_id, thread_id FROM ev JOIN msg USING (message_id)")

@@ -79,3 +79,29 @@ def test_linking_batches_gives_the_links_of_a_full_recompute(spark, tmp_path):
     assert apps.count() == len({v[0] for v in got.values()})  # applications that no link names are gone
     full = linking.link(m, c, NOW, segment=25)
     assert {r.message_id: r.application_id for r in full.collect() if r.application_id} == {k: v[0] for k, v in got.items()}
+
+
+def test_timers_tell_who_is_silent_at_several_clocks(spark, tmp_path):
+    from datetime import datetime
+
+    from ledgerline.streaming.silence import SilenceStream
+
+    d = lambda day, hour=0: datetime(2024, 1, day, hour)
+    events = [("a", 1, "interview", d(1)), ("b", 2, "application_received", d(2)), ("b", 3, "rejection", d(3)), ("c", 4, "interview", d(4)), ("a", 5, "assessment", d(14)), ("c", 6, "offer", d(16)), ("d", 7, "unknown", d(16, 5))]
+    clocks = [d(5), d(11, 1), d(12), d(15), d(20), d(26, 5), d(28)]
+    stream = SilenceStream(spark, str(tmp_path / "silence"), ghost_days=7, buckets=2)
+    done = 0
+    for clock in clocks:
+        now_heard = [e for e in events[done:] if e[3] <= clock]
+        done += len(now_heard)
+        # the tick comes a millisecond behind the clock, as a timer fires once the watermark has passed it
+        tick = (None, -1, "unknown", clock.replace(microsecond=1000))
+        for part in ([now_heard] if now_heard else []) + [[tick]]:
+            spark.createDataFrame(part, "application_id string, event_id long, event_type string, occurred_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "inbox"))
+            stream.follow(str(tmp_path / "inbox"))
+        last, terminal = {}, set()
+        for app, _, kind, at in events[:done]:
+            last[app] = max(at, last.get(app, at))
+            terminal |= {app} if kind in ("rejection", "offer", "withdrawn") else set()
+        want = {(a, at) for a, at in last.items() if a not in terminal and (clock - at).total_seconds() > 7 * 86400}
+        assert {tuple(r) for r in stream.ghosted().collect()} == want, clock
