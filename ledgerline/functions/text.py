@@ -58,8 +58,9 @@ def casefold(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Typographic characters folded, case folded, blanks collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(casefold(F.translate(text, FOLD_FROM, FOLD_TO)), "(?U)\\s+", " "))
+    """Typographic characters folded, case folded, blanks collapsed, ends trimmed. A text of ASCII alone needs no table of characters."""
+    other = lambda t: F.regexp_replace(casefold(F.translate(t, FOLD_FROM, FOLD_TO)), "(?U)\\s+", " ")
+    return F.trim(let(text, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), other(t)).otherwise(F.regexp_replace(F.lower(t), "\\s+", " "))))
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -10,7 +10,7 @@ from ledgerline.functions import sender, text
 from ledgerline.operators import evaluate as evaluation
 from ledgerline.operators import events as ev
 from ledgerline.operators import overrides as ov
-from ledgerline.operators import reports
+from ledgerline.operators import reports, rules
 from ledgerline.operators.candidates import CandidateIndex
 from ledgerline.operators.components import new_path, written
 from ledgerline.operators.concepts import encoded
@@ -58,7 +58,7 @@ def _folded(spark, sf_dir, by: str = "day") -> DataFrame:
     return ev.folded(ev.effective_events(t["events"], t["messages"], t["classifications"], t["overrides"]), now(), GHOST_DAYS)
 
 
-_EXPORT = "application_id, company, NULL::VARCHAR AS role, NULL::VARCHAR AS location, NULL::VARCHAR AS ats, status, epoch_us(applied_at) AS applied_at, epoch_us(last_event_at) AS last_event_at, last_event_type, event_count, days_to_first_response, days_since_last_event, needs_review"
+_EXPORT = "application_id, company, role, NULL::VARCHAR AS location, NULL::VARCHAR AS ats, status, epoch_us(applied_at) AS applied_at, epoch_us(last_event_at) AS last_event_at, last_event_type, event_count, days_to_first_response, days_since_last_event, needs_review"
 
 
 @query("app_status", "SELECT application_id, status FROM model")
@@ -152,9 +152,9 @@ def furthest_stage(spark, sf_dir):
     return _folded(spark, sf_dir).select("application_id", "best_rank")
 
 
-@query("latest_correction", "SELECT application_id, company_correction FROM fold WHERE company_correction IS NOT NULL")
+@query("latest_correction", "SELECT application_id, company_correction, role_correction FROM fold WHERE company_correction IS NOT NULL OR role_correction IS NOT NULL")
 def latest_correction(spark, sf_dir):
-    return _folded(spark, sf_dir).filter("company_correction IS NOT NULL").select("application_id", "company_correction")
+    return _folded(spark, sf_dir).filter("company_correction IS NOT NULL OR role_correction IS NOT NULL").select("application_id", "company_correction", "role_correction")
 
 
 @query("needs_review_any", "SELECT application_id, needs_review FROM model")
@@ -318,14 +318,14 @@ def stats_by_status(spark, sf_dir):
 @query(
     "eval_metrics",
     """plain WITH p AS (SELECT CASE WHEN toxic = 1 THEN 'rejection' ELSE 'application_received' END AS label_type, CASE WHEN d.n_chars % 3 = 0 THEN 'rejection' ELSE 'application_received' END AS event_type,
-      d.source AS label_key, CASE WHEN d.doc_id % 5 = 0 THEN 'other' ELSE d.source END AS key, (d.doc_id % 4) / 4.0::DOUBLE AS confidence, d.n_chars::DOUBLE AS latency FROM labels l JOIN documents d USING (doc_id))
-    SELECT count(*) AS n, avg((confidence > 0)::INT) AS schema_compliance, avg((label_type = event_type)::INT) AS event_type_accuracy, avg((label_type = event_type)::INT) AS confusable_pair_accuracy, avg((label_key = key)::INT) AS company_accuracy, 0.0::DOUBLE AS role_accuracy, median(latency) AS median_latency FROM p""",
+      d.source AS label_key, CASE WHEN d.doc_id % 5 = 0 THEN 'other' ELSE d.source END AS key, CASE WHEN d.doc_id % 3 <> 0 THEN d.lang END AS label_role, CASE WHEN d.doc_id % 7 = 0 THEN NULL WHEN d.doc_id % 11 = 0 THEN 'other' ELSE d.lang END AS role,
+      (d.doc_id % 4) / 4.0::DOUBLE AS confidence, d.n_chars::DOUBLE AS latency FROM labels l JOIN documents d USING (doc_id))
+    SELECT count(*) AS n, avg((confidence > 0)::INT) AS schema_compliance, avg((label_type = event_type)::INT) AS event_type_accuracy, avg((label_type = event_type)::INT) AS confusable_pair_accuracy, avg((label_key = key)::INT) AS company_accuracy, avg(coalesce(label_role = role, false)::INT) FILTER (label_role IS NOT NULL) AS role_accuracy, median(latency) AS median_latency FROM p""",
 )
 def eval_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").drop("text"), "doc_id")
     kind = lambda c: F.when(c, "rejection").otherwise("application_received")
-    none = F.lit(None).cast("string")
-    pairs = rows.select(kind(F.col("toxic") == 1).alias("label_type"), kind(F.col("n_chars") % 3 == 0).alias("event_type"), F.col("source").alias("label_company_key"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("source")).alias("company_key"), none.alias("label_role_key"), none.alias("role_key"), ((F.col("doc_id") % 4) / 4.0).alias("confidence"), F.col("n_chars").cast("double").alias("latency"))
+    pairs = rows.select(kind(F.col("toxic") == 1).alias("label_type"), kind(F.col("n_chars") % 3 == 0).alias("event_type"), F.col("source").alias("label_company_key"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("source")).alias("company_key"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("label_role_key"), F.when(F.col("doc_id") % 7 != 0, F.when(F.col("doc_id") % 11 == 0, "other").otherwise(F.col("lang"))).alias("role_key"), ((F.col("doc_id") % 4) / 4.0).alias("confidence"), F.col("n_chars").cast("double").alias("latency"))
     return evaluation.evaluate(pairs)
 
 
@@ -449,10 +449,14 @@ def confidence_score(spark, sf_dir):
     return rows.select("doc_id", confidence(F.col("event_type"), F.col("ids"), F.col("ranks"), F.lit(None).cast("string"), F.lit(False), GENERIC_RULES).alias("confidence"))
 
 
-@query("extraction_chain", "plain SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?:Licensed|licensed) under (?:the )?([A-Za-z0-9. -]+)', 1), ''), nullif(regexp_extract(text, 'Released under the ([A-Z]+)', 1), ''), nullif(regexp_extract(text, '@([a-z0-9.]+[a-z])', 1), '')) AS value FROM documents")
+@query("extraction_chain", mails.extraction_sql())
 def extraction_chain(spark, sf_dir):
-    found = [F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ("(?:Licensed|licensed) under (?:the )?([A-Za-z0-9. -]+)", "Released under the ([A-Z]+)", "@([a-z0-9.]+[a-z])")]
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(*found).alias("value"))
+    """Company, role and location of a mail around the words of each document that has enough of them; SQL knows what was put where."""
+    rows, none = mails.extraction_texts(table(spark, sf_dir, "documents")), F.lit(None).cast("string")
+    heard = encoded(F.array(text.normalize_text(F.col("subject")), text.normalize_text(F.col("body"))))
+    rows = rows.withColumn("heard", heard)
+    company = rules.extract_company(F.col("subject"), F.col("body"), none, none, none, F.col("heard")[0], F.col("heard")[1])
+    return rows.select("doc_id", company["value"].alias("company"), rules.extract_role(F.col("subject"), F.col("body"), none)["value"].alias("role"), rules.extract_location(F.col("subject"), F.col("body"))["value"].alias("location"))
 
 
 @query("application_ids", "plain SELECT c_custkey, concat('app_', substr(sha256(concat_ws(chr(31), lower(c_name), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, concat('m', c_custkey))), 1, 16)) AS application_id FROM customer")
@@ -551,7 +555,7 @@ FROM seen s LEFT JOIN (SELECT message_id, home FROM linkable JOIN homes USING (t
 def relink_after_override(spark, sf_dir):
     """Links with corrections folded in. Without roles, all threads that a company opens share one application, which SQL can say."""
     messages, classes = _link_input(spark, sf_dir)
-    return link(messages, classes, NOW, overrides=log(spark, sf_dir)["overrides"]).select("message_id", "application_id", "created")
+    return link(messages, classes, NOW, overrides=log(spark, sf_dir)["overrides"].withColumn("role", F.lit(None).cast("string"))).select("message_id", "application_id", "created")
 
 
 @query(

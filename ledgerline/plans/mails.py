@@ -115,6 +115,40 @@ def rules_sql() -> str:
     FROM documents WHERE text IS NOT NULL"""
 
 
+#: Mails around a company, a role and a place ({c}, {r}, {p}): subject, body; then what is to be found.
+FRAMES = [
+    ("Thanks for applying to {c}", "We have your application for the {r} role and will write soon.", "{c}", "{r}", None),
+    ("{r} at {c}", "Good news.\nLocation: {p}, and elsewhere\n", "{c}", "{r}", "{p}"),
+    ("Hello", "Your application to {c} was received. We liked your interest in the {r} position, and more.", "{c}", "{r}", None),
+    ("Interview with {c}", "Our office in {p} is open.\nPosition: {r}\nBye", "{c}", "{r}", "{p}"),
+    ("Update ({p}, TX)", "Nothing new so far.\n\nThe {c} Talent Team\n", "{c}", None, "{p}, TX"),
+]
+
+
+def extraction_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, subject, body): a frame filled with the first words of six to twelve small letters of each document that has four of them."""
+    words = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{6,12}$"))
+    rows = documents.select("doc_id", F.transform(words, F.initcap).alias("w")).filter(F.size("w") >= 4)
+    values = {"{c}": F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), "{r}": F.concat_ws(" ", F.col("w")[2], F.lit("Engineer")), "{p}": F.col("w")[3]}
+
+    def field(i: int) -> Column:
+        text = _pick([x[i] for x in FRAMES], F.col("doc_id") % len(FRAMES))
+        for mark, value in values.items():
+            text = F.replace(text, F.lit(mark), value)
+        return text
+
+    return rows.select("doc_id", field(0).alias("subject"), field(1).alias("body"))
+
+
+def extraction_sql() -> str:
+    """What was put into the frames."""
+    cap = lambda i: f"upper(w[{i}][1:1]) || w[{i}][2:]"
+    at = f"doc_id % {len(FRAMES)}"
+    field = lambda i: f"replace(replace(replace({_sql_pick([x[i] for x in FRAMES], at)}, '{{c}}', {cap(1)} || ' ' || {cap(2)}), '{{r}}', {cap(3)} || ' Engineer'), '{{p}}', {cap(4)})"
+    return f"""plain WITH d AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[a-z]{{6,12}}')) AS w FROM documents)
+    SELECT doc_id, {field(2)} AS company, {field(3)} AS role, {field(4)} AS location FROM d WHERE len(w) >= 4"""
+
+
 def vendor_mails(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey") % len(VENDOR_MAILS)
     reply = _pick([m[1] for m in VENDOR_MAILS], k)

@@ -36,7 +36,7 @@ def log(spark: SparkSession, sf_dir: str, by: str = "day") -> dict[str, DataFram
         msg.alias("message_id"),
         F.when(corrected, F.when(n % 3 == 0, "rejection").when(n % 3 == 1, "offer").otherwise("unknown")).alias("event_type"),
         F.when(corrected, F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("Corrected "), (n % 5).cast("string")))).alias("company"),
-        F.lit(None).cast("string").alias("role"),
+        F.when(corrected & (n % 4 == 0), F.concat(F.lit("Role "), (n % 6).cast("string"))).alias("role"),
         (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("corrected_at"),
         F.lit(None).cast("string").alias("note"),
     )
@@ -57,13 +57,13 @@ msg AS (SELECT message_id, concat('t', event_id % 97) AS thread_id, occurred_at
 cls AS (SELECT message_id, (event_id * 37 % 101) / 100.0::DOUBLE AS confidence, (event_id * 37 % 101) / 100.0::DOUBLE < 0.6 AS needs_review FROM ev WHERE event_id % 13 <> 0),
 ovr AS (SELECT message_id,
     CASE WHEN event_id % 34 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'rejection' WHEN 1 THEN 'offer' ELSE 'unknown' END END AS event_type,
-    CASE WHEN event_id % 34 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('Corrected ', event_id % 5) END END AS company,
+    CASE WHEN event_id % 34 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('Corrected ', event_id % 5) END END AS company, CASE WHEN event_id % 34 <> 0 AND event_id % 4 = 0 THEN concat('Role ', event_id % 6) END AS role,
     occurred_at + INTERVAL 1 DAY AS corrected_at
   FROM ev WHERE event_id % 17 = 0),
 app AS (SELECT DISTINCT application_id, concat('Company ', user_id % 40) AS company, concat('company ', user_id % 40) AS company_key FROM ev),
 eff AS (SELECT e.event_id, e.application_id, e.message_id, coalesce(o.event_type, e.event_type) AS event_type, e.occurred_at,
     coalesce(c.confidence, 0.0) AS confidence, coalesce(c.needs_review, true) AND o.message_id IS NULL AS needs_review,
-    o.event_type IS NOT NULL OR o.company IS NOT NULL AS is_overridden, m.subject, m.thread_id, o.company AS o_company, o.corrected_at,
+    o.event_type IS NOT NULL OR o.company IS NOT NULL AS is_overridden, m.subject, m.thread_id, o.company AS o_company, o.role AS o_role, o.corrected_at,
     epoch_us(e.occurred_at)::HUGEINT * 10000000000 + e.event_id AS place,
     CASE coalesce(o.event_type, e.event_type) WHEN 'withdrawn' THEN 0 WHEN 'rejection' THEN 1 WHEN 'offer' THEN 2 WHEN 'interview' THEN 3 WHEN 'assessment' THEN 4 WHEN 'application_received' THEN 5 WHEN 'recruiter_outreach' THEN 6 ELSE 7 END AS rank
   FROM ev e JOIN msg m USING (message_id) LEFT JOIN cls c USING (message_id) LEFT JOIN ovr o USING (message_id)),
@@ -71,9 +71,10 @@ fold AS (SELECT application_id, min(occurred_at) AS applied_at, max(occurred_at)
     min(occurred_at) FILTER (event_type <> 'application_received') AS responded_at,
     arg_max(event_type, place) FILTER (event_type IN ('rejection', 'offer', 'withdrawn')) AS last_terminal, min(rank) AS best_rank,
     bool_or(needs_review AND NOT is_overridden) AS needs_review, string_agg(DISTINCT thread_id, ',' ORDER BY thread_id) AS threads,
-    arg_max(o_company, epoch_us(corrected_at)::HUGEINT * 10000000000 + event_id) FILTER (o_company <> '') AS company_correction
+    arg_max(o_company, epoch_us(corrected_at)::HUGEINT * 10000000000 + event_id) FILTER (o_company <> '') AS company_correction,
+    arg_max(o_role, epoch_us(corrected_at)::HUGEINT * 10000000000 + event_id) FILTER (o_role <> '') AS role_correction
   FROM eff GROUP BY application_id),
-model AS (SELECT f.application_id, coalesce(f.company_correction, a.company) AS company, a.company_key, f.applied_at, f.last_event_at, f.last_event_type, f.event_count, f.needs_review, f.threads, f.last_terminal, f.best_rank,
+model AS (SELECT f.application_id, coalesce(f.company_correction, a.company) AS company, f.role_correction AS role, a.company_key, f.applied_at, f.last_event_at, f.last_event_type, f.event_count, f.needs_review, f.threads, f.last_terminal, f.best_rank,
     CASE WHEN f.last_terminal = 'rejection' THEN 'rejected' WHEN f.last_terminal IS NOT NULL THEN f.last_terminal
       WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(f.last_event_at) > {GHOST_DAYS} * 86400000000 THEN 'ghosted'
       WHEN f.best_rank = 3 THEN 'interviewing' WHEN f.best_rank = 4 THEN 'assessment' ELSE 'applied' END AS status,
