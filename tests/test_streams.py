@@ -105,3 +105,18 @@ def test_timers_tell_who_is_silent_at_several_clocks(spark, tmp_path):
             terminal |= {app} if kind in ("rejection", "offer", "withdrawn") else set()
         want = {(a, at) for a, at in last.items() if a not in terminal and (clock - at).total_seconds() > 7 * 86400}
         assert {tuple(r) for r in stream.ghosted().collect()} == want, clock
+
+
+def test_many_silent_applications_are_few_groups_of_state(spark, tmp_path):
+    """A group costs milliseconds a batch, so applications share one; all are told by its one timer, whatever their own times."""
+    from ledgerline.streaming.silence import SilenceStream
+
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60)
+    events = spark.range(400).select(F.concat(F.lit("a"), "id").alias("application_id"), F.col("id").alias("event_id"), F.lit("interview").alias("event_type"), at.alias("occurred_at"))
+    tick = lambda day: spark.sql(f"SELECT string(null) AS application_id, bigint(-1) AS event_id, 'unknown' AS event_type, timestamp'2024-01-{day}' AS occurred_at")
+    stream = SilenceStream(spark, str(tmp_path / "silence"), ghost_days=7, buckets=2, shards=4)
+    for part, silent in ((events, 0), (tick("08 03:00:00"), 180), (tick("20 00:00:00"), 400)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "inbox"))
+        query = stream.follow(str(tmp_path / "inbox"))
+        assert stream.ghosted().count() == silent
+        assert all(x.stateOperators[0].numRowsTotal <= 3 * 5 for x in query.recentProgress)
