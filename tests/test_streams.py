@@ -120,3 +120,16 @@ def test_many_silent_applications_are_few_groups_of_state(spark, tmp_path):
         query = stream.follow(str(tmp_path / "inbox"))
         assert stream.ghosted().count() == silent
         assert all(x.stateOperators[0].numRowsTotal <= 3 * 5 for x in query.recentProgress)
+
+
+def test_many_threads_are_few_groups_of_state(spark, tmp_path):
+    """A group, and each read and write of its state, costs milliseconds a batch: threads share groups and entries share packs."""
+    m = spark.range(600).select(F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("message_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("thread_id"), F.timestamp_seconds(F.col("id") + 1704067200).alias("received_at"))
+    company = F.concat(F.lit("c"), F.substring("message_id", 5, 1))
+    none = F.lit(None).cast("string")
+    c = m.select("message_id", F.lit("interview").alias("event_type"), company.alias("company"), company.alias("company_key"), none.alias("role"), none.alias("location"), none.alias("ats"))
+    linkable(m, c).coalesce(1).write.parquet(str(tmp_path / "inbox"))
+    stream = LinkStream(spark, str(tmp_path / "links"), NOW, buckets=2, shards=4)
+    query = stream.follow(str(tmp_path / "inbox"))
+    assert stream.links.read().count() == 600 and stream.apps.read().count() == 300  # none is in the window
+    assert all(x.numRowsTotal <= 4 * 10 for p in query.recentProgress for x in p.stateOperators)
