@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.components import written
+from ledgerline.operators.overrides import asked_of, pairs_of, small
 from ledgerline.sources.keyed import KeyedTable
 
 SHARDS = 8
@@ -34,10 +36,11 @@ class CandidateIndex:
 
     def search(self, probes: DataFrame) -> DataFrame:
         """(probe_id, application_id, last_event_at): applications with events that share the company key or the thread of probes(probe_id, company_key, thread_id)."""
-        wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("token")) for k, c in (("key", "company_key"), ("thread", "thread_id"))]))
-        asked = probes.select("probe_id", wanted.alias("t")).select("probe_id", "t.*").filter("token IS NOT NULL")
-        asked = asked.select("probe_id", "kind", "token", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))).alias("shard"))
-        found = asked.join(self.postings.read_buckets(asked), ["kind", "token", "shard"])
-        # a pair comes from one shard only, so one shuffle by application serves both what follows
-        pairs = found.repartition("application_id").select("probe_id", "application_id").distinct()
-        return pairs.join(self.active.read(), "application_id").select("probe_id", "application_id", "last_event_at")
+        asked = asked_of(probes)
+        tokens = asked.select("kind", "token").distinct()
+        sharded = tokens.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))).alias("shard"))
+        found = self.postings.read_buckets(sharded).join(small(written(tokens, "tokens")), ["kind", "token"], "left_semi")
+        # what is found is put together by application, before it is told to each probe that asks
+        of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("token")))
+        apps = found.groupBy("application_id").agg(of("key").alias("keys"), of("thread").alias("threads"))
+        return pairs_of(apps.join(self.active.read(), "application_id"), asked)

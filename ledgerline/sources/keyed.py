@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ledgerline.operators.overrides import latest_by
 
 
+#: Rows of a bucket that one task writes; a bucket of more is written by several, each a file.
+FILE_ROWS = 500_000
+
+
 class Conflict(RuntimeError):
     """Another change was committed first."""
 
@@ -98,7 +102,9 @@ class KeyedTable:
         folder = f"{before['version'] + 1:012d}-{uuid.uuid4().hex[:12]}"
         if touched:
             rows = make(held).select(*self.columns).withColumn("bucket", self._bucket())
-            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+            most = held.count() + touching.count()  # the first by the files' footers
+            part = F.pmod(F.xxhash64(*self.keys, F.lit(7)), F.lit(-(-most // (len(touched) * FILE_ROWS)) or 1))
+            rows.repartition("bucket", part).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         made = {x.removeprefix("bucket="): f"{folder}/{x}" for x in self._names(f"data/{folder}") if x.startswith("bucket=")}
         if not set(map(int, made)) <= set(touched):
             raise ValueError("a change made rows of buckets that it doesn't touch")

@@ -28,3 +28,24 @@ def test_a_hot_token_lies_in_several_shards(spark, tmp_path):
     index.add(apps, events, spark.createDataFrame([("m", "t")], "message_id string, thread_id string"), 0)
     shards = index.postings.read().filter("kind = 'key'").groupBy("shard").count().collect()
     assert len(shards) == 8 and max(r["count"] for r in shards) < 100
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_told_once_without_making_them_distinct(spark, tmp_path):
+    """Probes of several rows, applications of several keys and threads: each pair once, and nothing is aggregated behind the join with probes."""
+    app, stamp = "application_id string", F.lit("2024-01-01").cast("timestamp").alias("occurred_at")
+    apps = spark.createDataFrame([("a", "k1"), ("a", "k2"), ("b", "k2"), ("c", None)], f"{app}, company_key string")
+    linked = [("a", "m1"), ("a", "m2"), ("b", "m2"), ("c", "m3"), ("c", "m4"), ("d", "m4"), ("e", "gone")]
+    events = spark.createDataFrame(linked, f"{app}, message_id string").select("*", stamp)
+    messages = spark.createDataFrame([("m1", "t1"), ("m2", "t2"), ("m3", "t3"), ("m4", "t4"), ("m5", None)], "message_id string, thread_id string")
+    probes = spark.createDataFrame([(1, "k1", "t1"), (1, "k2", "t2"), (2, None, "t2"), (2, None, "t1"), (3, "k2", "t4"), (4, None, None)], "probe_id long, company_key string, thread_id string")
+    want = sorted([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (3, "d")])
+    index = CandidateIndex(spark, str(tmp_path / "index"), shards=3, buckets=4)
+    index.add(apps, events, messages, 0)
+    for found in (ov.candidates(apps, events, messages, probes), index.search(probes)):
+        assert sorted((r.probe_id, r.application_id) for r in found.collect()) == want
+        plan = plan_of(found)
+        assert "Aggregate" not in plan[: plan.index("Join")] and "Repartition" not in plan

@@ -76,3 +76,17 @@ def test_only_touched_buckets_are_written_and_few_files_stay(spark, table):
     assert sum(first[b] != now[b] for b in now) == 1 and len(first) == len(now) == 4
     assert len(table.read().inputFiles()) == 4
     assert KeyedTable(spark, table.path, SCHEMA, ["k"], buckets=99).buckets == 4  # a table keeps its number of buckets
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from ledgerline.sources import keyed
+
+    monkeypatch.setattr(keyed, "FILE_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put such small parts together again
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k long, v long", ["k"], buckets=2)
+    for n in range(2):
+        table.upsert(spark.range(n * 500, 1000).selectExpr("id AS k", f"{n}L AS v"), name="rows", number=n)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r[1] for r in table.read().groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 400
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(k, int(k >= 500)) for k in range(1000)]
