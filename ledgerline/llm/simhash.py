@@ -7,8 +7,8 @@ there. Every key's members are joined into a forest, so a group of n near copies
 and not all pairs. A key of many members is split by the bits outside its segment, of which one part in max_distance + 1 agrees, and
 what is large even then is dealt out as pairs of blocks.
 
-``keep_one_each``, the stage of a corpus pipeline, links texts by the exact similarity of their sets of shingles. At 0.8 fingerprints
-are too far apart for segments as keys, so candidates share a band of least hashes there, and wide fingerprints tell which to verify.
+``keep_one_each``, the stage of a corpus pipeline, links texts by the exact similarity of their sets of shingles. At 0.8 fingerprints of 64 bits are too
+far apart, so candidates come from wide ones of 2,048 bits: they agree in one of 128 segments, complete distances are verified, and then the texts.
 
 Cases: a null or empty text (or one of blanks) has fingerprint zero and is linked like any other; texts of fewer words than a
 shingle give one shingle; rows with equal texts share a fingerprint; a row with a null id keeps its place in a
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import connected_components, materialize, text_slices
+from ledgerline.operators.components import written
 
 BITS = 64
 SEED = 42
@@ -37,17 +37,24 @@ BLOCK = 4096
 HOT_SAMPLE = 64
 #: Most large keys that are broadcast; more are joined by a shuffle.
 HOT_BROADCAST = 100_000
-#: Bits of the wide fingerprint, which tells candidates of the similarity 0.8 (38.7 bits apart on average, deviation 5.7).
-WIDE = 256
-#: Bits within which candidates are verified, and within which a first round looks for sure ones.
-RADIUS, SURE = 60, 30
+#: Bits of the wide fingerprint and of its segments, each of which is a key. Texts of similarity 0.8 differ in 15.1 % of the bits at most, 310 on average
+#: (deviation 16), so they agree in a segment with probability 0.073, and in one of the 128 with 0.9999.
+WIDE, SEGMENT = 2048, 16
+#: Bits within which candidates are verified.
+RADIUS = 460
+#: 64-bit words of the wide fingerprint that go along with a key; bits of these within which a pair is met, and within which a pair is a sure one.
+SHORT, SHORT_RADIUS, SURE = 2, 40, 18
+#: Pairs for each member from which on a key's members are joined by few pairs first, and by all that are left in a second round.
+DENSE = 4
+#: Of the pairs that join large groups, met in many keys, as many are verified for a member in the first round (with the least others).
+JOINS = 4
+#: Kinds of rows of the first round.
+PAIR, JOIN, MEMBER = range(3)
 #: Bins of the fine sketch: a byte of the least hash of each, 0 where a bin is empty. Texts of similarity s agree in about that share of
 #: the bins that either fills, and pairs more than MARGIN deviations below the wanted share aren't verified.
 BINS, MARGIN = 512, 3.9
-#: Bands and least hashes in each: texts of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, 0.9999 at 0.8.
-BANDS, BAND_ROWS = 24, 5
-_WORDS, _ROWS = (np.random.default_rng(n).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (WIDE // 64, BANDS * BAND_ROWS))
-
+_WORDS = np.random.default_rng(WIDE // 64).integers(1 << 63, size=WIDE // 64, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 def shingles(text: bytes, size: int) -> list[bytes]:
     """Shingles of the lower-cased (A-Z) words, repeats included; fewer words give their whole sequence."""
@@ -219,25 +226,27 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(text: str | None, size: int) -> tuple[int, list[int], list[int], bytes]:
-    """(node, wide, keys, fine) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its band keys, its fine sketch."""
-    parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
-    counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1 << 10):
-        part = hashes[at : at + (1 << 10), None]
-        words = part * _WORDS
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The WIDE bits, in words of 64, that are set in over half of what the hashes are stretched to; eight counters are added up in a word."""
+    counts = np.zeros((WIDE // 64, 8, 8), dtype=np.int64)  # word, byte, bit
+    for at in range(0, len(hashes), 255):
+        words = hashes[None, at : at + 255] * _WORDS
         words = (words ^ (words >> np.uint64(32))) * _WORDS
         words ^= words >> np.uint64(29)
-        counts += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-        least = np.minimum(least, (part * _ROWS).min(axis=0))
-    wide = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+        for bit in range(8):
+            counts[:, :, bit] += ((words >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    return np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view(np.uint64)
+
+
+def sketch(text: str | None, size: int) -> tuple[int, list[int], int, bytes]:
+    """(node, wide, n, fine) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its size, its fine sketch."""
+    parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
     fine = np.zeros(BINS, np.uint8)
     bins = hashes >> np.uint64(64 - (BINS - 1).bit_length())
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])[: len(bins)]  # the hashes are sorted
     fine[bins[first]] = (hashes[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), wide.tolist(), keys, fine.tobytes()
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), majority(hashes).tolist(), len(hashes), fine.tobytes()
 
 
 def text_hash(text_col: str):
@@ -245,35 +254,35 @@ def text_hash(text_col: str):
 
 
 def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hash, node, wide, keys, fine): one row for each row of docs, hash telling its text."""
-    names, schema = ["doc_id", "hash", "node", "wide", "keys", "fine"], "doc_id long, hash long, node long, wide array<long>, keys array<long>, fine binary"
-    signed = lambda x, shape: np.array(x, np.uint64).reshape(shape).view(np.int64)
+    """(doc_id, hash, node, wide, size, fine): one row for each row of docs, hash telling its text."""
+    names, schema = ["doc_id", "hash", "node", "wide", "size", "fine"], "doc_id long, hash long, node long, wide array<long>, size long, fine binary"
+    signed = lambda x: np.array(x, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             found = [sketch(x, shingle_words) for x in part.column(2).to_pylist()]
-            node, wide, keys = (signed([x[i] for x in found], shape) for i, shape in enumerate([-1, (-1, WIDE // 64), (-1, BANDS)]))
-            lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (wide, keys)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), *lists, pa.array([x[3] for x in found], pa.binary())], names=names)
+            node, wide, size, fine = ([x[i] for x in found] for i in range(4))
+            wide = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (WIDE // 64), pa.array(signed(wide).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signed(node)), wide, pa.array(size, pa.int64()), pa.array(fine, pa.binary())], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _near_pairs(node: np.ndarray, wide: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs within radius, as few as join what all join, the sure ones first and then the closest."""
+def _near_pairs(node: np.ndarray, bits: np.ndarray, label: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs within radius, as few as join what all join, the sure ones first and then the closest; and what they join, by labels."""
     label, pairs = label.copy(), []
     for most in (SURE, radius):
         for i in range(len(node)):
             if (label == label[0]).all():
-                return pairs
-            distance = np.bitwise_count(wide ^ wide[i]).sum(axis=1, dtype=np.int64)
+                return pairs, label
+            distance = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
             near = np.flatnonzero((distance <= most) & (label != label[i]))
             if len(near):
                 near = near[np.argsort(distance[near], kind="stable")]
                 near = near[np.unique(label[near], return_index=True)[1]]
                 label[np.isin(label, label[near])] = label[i]
             pairs += [(int(node[i]), int(node[j])) for j in near]
-    return pairs
+    return pairs, label
 
 
 def may_be_similar(fine: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
@@ -289,109 +298,133 @@ def may_be_similar(fine: np.ndarray, other: np.ndarray, similarity: float) -> np
     return same >= similarity * filled - MARGIN * np.sqrt(similarity * (1 - similarity) * filled * undrawn) - 1
 
 
-def _all_pairs(rows: Members, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Every pair of differing roots within radius whose fine sketches allow the similarity, in the first of the keys that both have.
+def _close(place: np.ndarray, short: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: all pairs of rows of one place (sorted) within radius."""
+    words = [np.ascontiguousarray(x) for x in short.T]
+    found, step, at = [], 1, np.arange(max(len(place) - 1, 0))
+    while True:
+        at = at[: np.searchsorted(at, len(place) - step)]
+        at = at[place[at] == place[at + step]]
+        if not len(at):
+            break
+        near = at[sum(np.bitwise_count(x[at] ^ x[at + step]).astype(np.int16) for x in words) <= radius]
+        found.append((near, near + step))
+        step += 1
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(2))
 
-    Of two blocks of a key only pairs across are taken, as those inside one meet where the block is paired with itself.
+
+def _segments(nodes: DataFrame) -> DataFrame:
+    """(key, node, s0, s1 ...): nodes by each segment of their wide fingerprints."""
+    short = [F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)]
+    words = nodes.select("node", *short, F.posexplode("wide").alias("at", "word"))
+    count, full = 64 // SEGMENT, (1 << SEGMENT) - 1
+    keys = [((F.col("at") * count + k) * (full + 1)).cast("long") + F.shiftrightunsigned("word", k * SEGMENT).bitwiseAND(F.lit(full).cast("long")) for k in range(count)]
+    return words.select(F.explode(F.array(*keys)).alias("key"), "node", *[f"s{k}" for k in range(SHORT)])
+
+
+def _first_round(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b, kind): PAIR for nodes that share a key and are close. Of a key with many such pairs only as few as join them, as JOIN, and its members
+    as (node, group) of kind MEMBER, so that the second round can take the rest.
+
+    The members of a large key are dealt to blocks with one member in common, so that a group of copies of any size is joined by
+    about as many pairs as it has members; the second round takes the whole key again.
     """
-    pairs, across = [], rows.place[0, 1] != rows.place[0, 2]
-    for i in range(len(rows.node) - 1):
-        rest = slice(i + 1, None)
-        meet = (rows.root[rest] != rows.root[i]) & (np.bitwise_count(rows.wide[rest] ^ rows.wide[i]).sum(axis=1, dtype=np.int64) <= radius)
-        near = i + 1 + np.flatnonzero(meet & (rows.block[rest] != rows.block[i]) if across else meet)
-        if len(near):
-            near = near[may_be_similar(rows.fine[near], rows.fine[i], similarity)]
-        if len(near):
-            first = (rows.keys[near] == rows.keys[i]).argmax(axis=1)
-            near = near[rows.keys[i][first] == rows.place[0, 0]]
-        pairs += [(int(rows.node[i]), int(rows.node[j])) for j in near]
-    return pairs
-
-
-class Members(NamedTuple):
-    """Rows of members, sorted by place (key, i, j): what a task compares."""
-
-    place: np.ndarray
-    node: np.ndarray
-    root: np.ndarray
-    wide: np.ndarray
-    block: np.ndarray
-    fine: np.ndarray
-    keys: np.ndarray
-
-    @classmethod
-    def of(cls, rows: np.ndarray, every: bool) -> Members:
-        n = 5 + WIDE // 64
-        wide = np.ascontiguousarray(rows[:, 5:n]).view(np.uint64)
-        if not every:
-            rows = np.pad(rows, ((0, 0), (0, 1)))
-        fine = np.ascontiguousarray(rows[:, n + 1 : n + 1 + BINS // 8]).view(np.uint8)
-        return cls(rows[:, :3], rows[:, 3], rows[:, 4], wide, rows[:, n], fine, rows[:, n + 1 + BINS // 8 :])
-
-    def part(self, at: int, size: int) -> Members:
-        return Members(*[x[at : at + size] for x in self])
-
-
-def _candidates(members: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: candidate pairs of differing roots of members(key, i, j, node, root, wide), group by group of (key, i, j); members
-    with block, fine and keys give every pair that the sketches allow, once; others as few as join a group."""
-    every = "fine" in members.columns
+    short = [f"s{k}" for k in range(SHORT)]
+    blocks = F.ceil(F.col("n") / BLOCK)
+    place = lambda block: (F.col("key") * (1 << 32) + block).alias("place")
+    dealt = members.join(hot, "key", "left").select(place(F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), blocks) + 1, F.lit(0))), "node", *short)
+    leaders = members.join(hot, "key").groupBy("key").agg(F.min(F.struct("node", *short)).alias("lead"), F.first("n").alias("n"))
+    leaders = leaders.select("key", F.explode(F.sequence(F.lit(1).cast("long"), blocks)).alias("block"), "lead.*").select(place(F.col("block")), "node", *short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, 1):
+            starts, sizes = _groups(rows, 1)
+            node, bits = rows[:, 1], rows[:, 2:].view(np.uint64)
+            group = np.repeat(np.arange(len(starts)), sizes)
+            i, j = _close(group, bits, SHORT_RADIUS)
+            dense = np.bincount(group[i], minlength=len(starts)) > DENSE * sizes
+            few = ~dense[group[i]] & (node[i] != node[j])
+            out = {PAIR: [np.stack([node[i[few]], node[j[few]]], axis=1)], JOIN: [], MEMBER: []}
+            for g in np.flatnonzero(dense):
+                at = slice(starts[g], starts[g] + sizes[g])
+                joined, label = _near_pairs(node[at], bits[at], node[at], SHORT_RADIUS)
+                out[JOIN].append(np.array(joined, np.int64).reshape(-1, 2))
+                if rows[at.start, 0] & ((1 << 32) - 1) == 0:  # all of a large key's members meet again
+                    of, back, n = np.unique(label, return_inverse=True, return_counts=True)
+                    ids = np.array([xxhash.xxh64_intdigest(np.array([rows[at.start, 0], x]).tobytes()) for x in of], np.uint64).view(np.int64)
+                    out[MEMBER].append(np.stack([node[at], ids[back]], axis=1)[n[back] > 1])
+            for kind, parts in out.items():
+                both = np.concatenate([np.zeros((0, 2), np.int64), *parts])
+                both = both if kind == MEMBER else np.unique(np.sort(both, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), kind, np.int32))], names=["a", "b", "kind"])
+
+    rows = dealt.unionByName(leaders)
+    return rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(run, "a long, b long, kind int")
+
+
+def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs of differing roots that share a key of groups(key, node) and are close. Large keys are dealt out as pairs of blocks; a root of many
+    members has blocks of its own, which do not meet each other."""
+    short = [f"s{k}" for k in range(SHORT)]
+    members = groups.join(roots, "node").join(nodes.select("node", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)]), "node")
+    members = materialize(members, "near-members")
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
+    mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
+    members = members.join(mixed, "key")
+    dealt = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("block"), *short)
+    large = mixed.filter(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        whole = lambda n: F.ceil(n / BLOCK).cast("int")
+        own = materialize(sizes.filter(F.col("size") > BLOCK).join(large, "key").select("key", "root", whole(F.col("size")).alias("mine"), whole(F.col("small")).alias("first")), "near-large")
+        order = Window.partitionBy("key").orderBy("root")  # as many rows as the key has roots of over BLOCK members
+        own = own.withColumn("low", F.col("first") + F.sum("mine").over(order) - F.col("mine"))
+        total = own.groupBy("key").agg(F.sum("mine").alias("owned"))
+        parts = members.filter(F.col("n") > BLOCK).join(own.select("key", "root", "mine", "low"), ["key", "root"], "left").join(total, "key", "left")
+        blocks = whole(F.col("small")) + F.coalesce("owned", F.lit(0))
+        block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
+        parts = parts.withColumns({"block": block, "blocks": blocks})
+        partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
+        parts = parts.select("key", "node", "root", "block", F.explode(partners).alias("other"), *short)
+        dealt = dealt.unionByName(parts.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", *short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
             starts, sizes = _groups(rows, 3)
-            found, pairs = Members.of(rows, every), []
-            for at, size in zip(starts[sizes > 1], sizes[sizes > 1]):
-                group = found.part(at, size)
-                if (group.root != group.root[0]).any():
-                    pairs += _all_pairs(group, radius, similarity) if every else _near_pairs(group.node, group.wide, group.root, radius)
-            both = np.unique(np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1), axis=0)
+            node, root, block, bits = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6:].view(np.uint64)
+            across = rows[:, 1] != rows[:, 2]  # those inside one block meet where it is paired with itself
+            pairs = []
+            for at, size in zip(starts, sizes):
+                part = slice(at, at + size)
+                if (root[part] == root[at]).all():
+                    continue
+                for k in range(at, at + size - 1):
+                    rest = slice(k + 1, at + size)
+                    meet = (root[rest] != root[k]) & (np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64) <= SHORT_RADIUS)
+                    near = k + 1 + np.flatnonzero(meet & (block[rest] != block[k]) if across[at] else meet)
+                    pairs.append(np.stack([np.full(len(near), node[k]), node[near]], axis=1))
+            both = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     place = ["key", "i", "j"]
-    more = ["block", "fine", *[F.col("keys")[k].alias(f"k{k}") for k in range(BANDS)]] if every else []
-    rows = members.select(*place, "node", "root", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE // 64)], *more)
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*place, "node", "root", "block", *short).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
 
 
-def _first_round(nodes: DataFrame) -> DataFrame:
-    """(key, i, j, node, root, wide): members by key. Those of a large key are dealt to blocks with one member in common, so
-    that a group of copies of any size is joined by about as many candidates as it has members."""
-    members = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"), "wide")
-    hot = _hot(members, ["key"], "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(hot, "key", "left")
-    dealt = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), blocks), F.lit(0)).cast("int").alias("i"), F.lit(0).alias("j"), "node", "root", "wide")
-    leaders = members.join(hot, "key").groupBy("key").agg(F.min(F.struct("node", "wide")).alias("lead"), F.first("n").alias("n"))
-    leaders = leaders.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(0).alias("j"), F.col("lead.node").alias("node"), F.col("lead.node").alias("root"), F.col("lead.wide").alias("wide"))
-    return dealt.unionByName(leaders)
+def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose complete fingerprints are within RADIUS, and whose sizes and fine sketches allow the similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = [batch.column(k).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for k in (2, 3)]
+            fine = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5)]
+            may = (np.bitwise_count(wide[0] ^ wide[1]).sum(axis=1, dtype=np.int64) <= RADIUS) & may_be_similar(*fine, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may))
 
-def _second_round(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, i, j, node, root, wide, block, fine, keys): members of keys with two roots or more. Large keys are dealt out as pairs of blocks; a root of many
-    members has blocks of its own, which do not meet each other."""
-    rooted = nodes.join(roots, "node")
-    members = rooted.select(F.explode("keys").alias("key"), "node", "root", "wide", "fine", "keys")
-    sizes = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
-    mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
-    members = members.join(mixed, "key")
-    plain = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "wide", F.lit(0).alias("block"), "fine", "keys")
-    large = mixed.filter(F.col("n") > BLOCK)
-    if large.isEmpty():
-        return plain
-    whole = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = materialize(sizes.filter(F.col("size") > BLOCK).join(large, "key").select("key", "root", whole(F.col("size")).alias("mine"), whole(F.col("small")).alias("first")), "near-large")
-    order = Window.partitionBy("key").orderBy("root")  # as many rows as the key has roots of over BLOCK members
-    own = own.withColumn("low", F.col("first") + F.sum("mine").over(order) - F.col("mine"))
-    total = own.groupBy("key").agg(F.sum("mine").alias("owned"))
-    dealt = members.filter(F.col("n") > BLOCK).join(own.select("key", "root", "mine", "low"), ["key", "root"], "left").join(total, "key", "left")
-    blocks = whole(F.col("small")) + F.coalesce("owned", F.lit(0))
-    block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
-    dealt = dealt.withColumns({"block": block, "blocks": blocks})
-    partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-    dealt = dealt.select("key", "node", "root", "wide", "fine", "keys", "block", F.explode(partners).alias("other"))
-    return plain.unionByName(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "wide", "block", "fine", "keys"))
+    left, right = (nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("wide", "size", "fine")]) for x in "ab")
+    rows = pairs.distinct().join(left, "a").join(right, "b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 0.5)
+    return rows.select("a", "b", "wide_a", "wide_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -418,15 +451,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash, root): rows of docs of one root are joined by links of a Jaccard similarity of at least similarity.
 
-    A first round joins each key's members by as few candidates as can join them; a second takes every candidate pair that
+    Candidates come by multi-index hashing: their wide fingerprints agree in a segment and are within RADIUS of each other. A first round joins the members of a
+    key with many close pairs by as few as can join them; a second takes every pair of such a key that
     verification has left in different groups, so a group costs pairs in proportion to its members.
     """
     rows = materialize(sketches(docs, shingle_words, id_col, text_col), "near-sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.first("fine").alias("fine")), "near-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), *[F.first(x).alias(x) for x in ("wide", "size", "fine")]), "near-nodes")
     roots, links = nodes.select("node", F.col("node").alias("root")), None
-    for every in (False, True):
-        members = _second_round(nodes, roots) if every else _first_round(nodes)
-        pairs = materialize(_candidates(members, RADIUS, similarity), "near-pairs")
+    members = _segments(nodes)
+    hot = _hot(members, ["key"], "node")
+    met = written(_first_round(members, hot), "near-met")  # narrow rows, in batches of the usual size
+    groups = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("key"), F.col("a").alias("node")).unionByName(members.join(hot, "key").select("key", "node"))
+    joins = met.filter(F.col("kind") == JOIN).groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, JOINS).alias("least"))
+    for again in (False, True):
+        pairs = _second_round(groups, nodes, roots) if again else met.filter(F.col("kind") == PAIR).select("a", "b").union(joins.select(F.explode("least"), "b"))
+        pairs = materialize(_candidates(pairs, nodes, similarity), "near-pairs")
         if pairs.isEmpty():
             continue
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -443,8 +482,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
 def keep_one_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays, once; a null id comes after all others.
 
-    Links are of an exact Jaccard similarity of the sets of shingles of at least similarity. Candidates share a band of
-    least hashes and have wide fingerprints within RADIUS bits, so a link is missed only by chance (see the README). Rows are told apart by
+    Links are of an exact Jaccard similarity of the sets of shingles of at least similarity. Candidates agree in a segment
+    of their wide fingerprints and are within RADIUS bits, so a link is missed only by chance (see the README). Rows are told apart by
     id and text: of one id, rows of other texts stay or go by their own groups.
     """
     found = materialize(similar_groups(docs, shingle_words, similarity, id_col, text_col), "near-found")

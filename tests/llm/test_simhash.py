@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
 from tests.llm.helpers import awkward, by_id, empty
@@ -203,3 +204,44 @@ def test_fine_sketches_let_pairs_of_the_contract_through_and_few_others(n):
         fine = [np.frombuffer(simhash.sketch(x, 1)[3], np.uint8) for x in texts]
         passed[share] += bool(simhash.may_be_similar(fine[0][None], fine[1], 0.8)[0])
     assert passed[0.81] == 200 and passed[0.6] < (60 if n < 100 else 5)
+
+
+def test_candidates_are_those_that_agree_in_a_segment_of_the_wide_fingerprint(spark, monkeypatch):
+    """With fingerprints that have no segment in common there are no candidates, however alike the texts are; with those of the texts all are met."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dense in (4, 0):  # pairs all at once, or few first and the rest in the second round
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        assert simhash.keep_one_each(docs).count() == 1
+    sketches = simhash.sketches
+
+    def apart(*args):
+        own = (F.monotonically_increasing_id() % 65536).cast("int")
+        word = F.conv(F.repeat(F.lpad(F.hex(own), 4, "0"), 4), 16, -10).cast("long")
+        return sketches(*args).withColumn("wide", F.array_repeat(word, simhash.WIDE // 64))
+
+    monkeypatch.setattr(simhash, "sketches", apart)
+    kept = simhash.keep_one_each(docs.coalesce(1)).count()
+    assert kept == len(texts)
+
+
+def test_similarity_at_the_bound_is_met_at_any_size():
+    """Sets of an exact similarity of 0.8: fingerprints stay within the radius and agree in a segment, as calculated."""
+    rng, missed = np.random.default_rng(12), 0
+    for n, m in [(8, 1), (80, 10), (320, 40), (1600, 200)] * 25:
+        x = rng.integers(0, 1 << 63, n + 2 * m, dtype=np.uint64)
+        a, b = simhash.majority(x[: n + m]), simhash.majority(np.r_[x[:n], x[n + m :]])
+        assert np.bitwise_count(a ^ b).sum() <= simhash.RADIUS and np.bitwise_count(a[: simhash.SHORT] ^ b[: simhash.SHORT]).sum() <= simhash.SHORT_RADIUS
+        missed += not (a.view(np.uint16) == b.view(np.uint16)).any()
+    assert missed == 0
+
+
+def test_close_pairs_are_those_of_brute_force():
+    rng = np.random.default_rng(13)
+    place = np.sort(rng.integers(0, 12, 80))
+    bits = rng.integers(0, 1 << 63, (80, 2), dtype=np.uint64)
+    i, j = simhash._close(place, bits, 62)
+    want = {(x, y) for y in range(80) for x in range(y) if place[x] == place[y] and int(np.bitwise_count(bits[x] ^ bits[y]).sum()) <= 62}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 0
