@@ -362,17 +362,19 @@ def _first_round(members: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(run, "a long, b long, kind int")
 
 
-def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all pairs of differing roots that share a key of groups(key, node) and are close. Large keys are dealt out as pairs of blocks; a root of many
+def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of differing roots that share a key of groups(key, node), are close and have fine sketches that allow the similarity. Pairs are told where
+    the members meet, so that of a group whose texts are too far apart no pairs are sent on, however many there are. Large keys are dealt out as pairs of blocks; a root of many
     members has blocks of its own, which do not meet each other."""
     short = [f"s{k}" for k in range(SHORT)]
-    members = groups.join(roots, "node").join(nodes.select("node", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)]), "node")
-    members = materialize(members, "near-members")
+    keys = groups.groupBy("node").agg(F.collect_list("key").alias("keys"))  # of each segment one at most; joined once a node, not once a key
+    members = keys.join(roots, "node").join(nodes.select("node", "fine", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)]), "node")
+    members = materialize(members.select(F.explode("keys").alias("key"), "node", "root", *short, "fine"), "near-members")
     sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
     mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
     members = members.join(mixed, "key")
-    dealt = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("block"), *short)
+    dealt = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("block"), *short, "fine")
     large = mixed.filter(F.col("n") > BLOCK)
     if not large.isEmpty():
         whole = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -385,13 +387,14 @@ def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame) -> Data
         block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
         parts = parts.withColumns({"block": block, "blocks": blocks})
         partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-        parts = parts.select("key", "node", "root", "block", F.explode(partners).alias("other"), *short)
-        dealt = dealt.unionByName(parts.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", *short))
+        parts = parts.select("key", "node", "root", "block", F.explode(partners).alias("other"), *short, "fine")
+        dealt = dealt.unionByName(parts.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", *short, "fine"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
             starts, sizes = _groups(rows, 3)
-            node, root, block, bits = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6:].view(np.uint64)
+            node, root, block, bits = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6 : 6 + SHORT].view(np.uint64)
+            fine = np.ascontiguousarray(rows[:, 6 + SHORT :]).view(np.uint8)
             across = rows[:, 1] != rows[:, 2]  # those inside one block meet where it is paired with itself
             pairs = []
             for at, size in zip(starts, sizes):
@@ -402,12 +405,13 @@ def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame) -> Data
                     rest = slice(k + 1, at + size)
                     meet = (root[rest] != root[k]) & (np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64) <= SHORT_RADIUS)
                     near = k + 1 + np.flatnonzero(meet & (block[rest] != block[k]) if across[at] else meet)
+                    near = near[may_be_similar(fine[near], fine[k], similarity)]
                     pairs.append(np.stack([np.full(len(near), node[k]), node[near]], axis=1))
             both = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     place = ["key", "i", "j"]
-    return dealt.select(*place, "node", "root", "block", *short).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    return dealt.select(*place, "node", "root", "block", *short, "fine").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -417,14 +421,13 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            wide = [batch.column(k).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for k in (2, 3)]
-            fine = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5)]
-            may = (np.bitwise_count(wide[0] ^ wide[1]).sum(axis=1, dtype=np.int64) <= RADIUS) & may_be_similar(*fine, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may))
+            fine = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_be_similar(*fine, similarity)))
 
     left, right = (nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("wide", "size", "fine")]) for x in "ab")
-    rows = pairs.distinct().join(left, "a").join(right, "b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 0.5)
-    return rows.select("a", "b", "wide_a", "wide_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
+    distance = sum(F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(WIDE // 64))
+    rows = pairs.distinct().join(left, "a").join(right, "b").filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 0.5).filter(distance <= RADIUS)
+    return rows.select("a", "b", "fine_a", "fine_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -464,7 +467,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     groups = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("key"), F.col("a").alias("node")).unionByName(members.join(hot, "key").select("key", "node"))
     joins = met.filter(F.col("kind") == JOIN).groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, JOINS).alias("least"))
     for again in (False, True):
-        pairs = _second_round(groups, nodes, roots) if again else met.filter(F.col("kind") == PAIR).select("a", "b").union(joins.select(F.explode("least"), "b"))
+        pairs = _second_round(groups, nodes, roots, similarity) if again else met.filter(F.col("kind") == PAIR).select("a", "b").union(joins.select(F.explode("least"), "b"))
         pairs = materialize(_candidates(pairs, nodes, similarity), "near-pairs")
         if pairs.isEmpty():
             continue

@@ -245,3 +245,33 @@ def test_close_pairs_are_those_of_brute_force():
     i, j = simhash._close(place, bits, 62)
     want = {(x, y) for y in range(80) for x in range(y) if place[x] == place[y] and int(np.bitwise_count(bits[x] ^ bits[y]).sum()) <= 62}
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 0
+
+
+def joined_rows(spark, run):
+    """Rows that the joins of the queries that run makes give out by node, as Spark counts them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    before, total = set(listed()), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in set(listed()) - before:
+        values = {int(x._1()): x._2() for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.executionMetrics(k).toSeq())}
+        nodes = store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+            if "Join" in node.name() and "[node" in node.desc():
+                total += sum(int(values[m.accumulatorId()].replace(",", "")) for m in metrics if m.name() == "number of output rows" and m.accumulatorId() in values)
+    return total
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_the_second_round_joins_once_a_node(spark, n):
+    """Members of many keys: what is joined by node grows with the nodes and not with their keys, and all pairs of differing roots that may be similar are told, no others."""
+    keys = 128
+    nodes = spark.createDataFrame([(i, [1 << i % 8, 0], bytes([1 + i % 2]) * simhash.BINS) for i in range(n)], "node long, wide array<long>, fine binary")
+    roots = nodes.select("node", F.when(F.col("node") % 20 == 0, F.col("node")).otherwise(F.lit(1)).alias("root"))
+    groups = nodes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(keys - 1).cast("long"))).alias("key"), "node")
+    found = []
+    assert 0 < joined_rows(spark, lambda: found.extend(simhash._second_round(groups, nodes, roots, 0.8).distinct().collect())) <= 4 * n
+    root = {r.node: r.root for r in roots.collect()}
+    assert {(r.a, r.b) for r in found} == {(a, b) for b in range(n) for a in range(b) if root[a] != root[b] and (a - b) % 2 == 0}  # sketches of the others have nothing in common
