@@ -70,9 +70,15 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def dealt(customer: DataFrame) -> DataFrame:
+    """customer, in two tasks a core at least: a small file is one task, however long the mails made of it take."""
+    tasks = 2 * customer.sparkSession.sparkContext.defaultParallelism
+    return customer if customer.rdd.getNumPartitions() >= tasks else customer.repartition(tasks, "c_custkey")
+
+
 def messages(customer: DataFrame) -> DataFrame:
     """A message for each customer, by its number."""
-    k = F.col("c_custkey")
+    customer, k = dealt(customer), F.col("c_custkey")
     company, role = _pick(COMPANIES, k % len(COMPANIES)), _pick(ROLES, k % 7 % len(ROLES))
     host = F.replace(F.lower(company), F.lit(" "), F.lit("-"))
 

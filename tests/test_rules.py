@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import concepts, rules
 from ledgerline.operators.concepts import encoded
+from ledgerline.plans import mails
 from ledgerline.plans.mails import PROBES
 from ledgerline.schemas import EVENT_TYPES, MESSAGE
 from tests.mails import rows
@@ -101,3 +102,9 @@ def test_composite_takes_a_strictly_more_confident_fallback(spark):
     make = lambda xs: spark.createDataFrame(xs, "message_id string, confidence double, company string")
     primary, fallback = make([("a", 0.9, "p"), ("b", 0.4, "p"), ("c", 0.4, "p"), ("d", 0.1, "p")]), make([("a", 1.0, "f"), ("b", 0.5, "f"), ("c", 0.4, "f")])
     assert {r.message_id: r.company for r in rules.composite(primary, fallback).collect()} == {"a": "p", "b": "f", "c": "p", "d": "p"}
+
+
+def test_messages_of_one_file_are_dealt_to_many_tasks(spark):
+    customers = spark.range(200).withColumnRenamed("id", "c_custkey").coalesce(1)
+    found = rules.classify(mails.messages(customers)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) == 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in found) == 200
