@@ -45,11 +45,13 @@ RADIUS = 460
 #: 64-bit words of the wide fingerprint that go along with a key; bits of these within which a pair is met, and within which a pair is a sure one.
 SHORT, SHORT_RADIUS, SURE = 2, 40, 18
 #: Pairs for each member from which on a key's members are joined by few pairs first, and by all that are left in a second round.
-DENSE = 4
+DENSE = 1
 #: Of the pairs that join large groups, met in many keys, as many are verified for a member in the first round (with the least others).
 JOINS = 4
-#: Kinds of rows of the first round.
-PAIR, JOIN, MEMBER = range(3)
+#: Hashes of shingles of a block where whole sets are compared; a node counts as HASHES // BLOCK at least.
+HASHES = 1 << 20
+#: Kinds of rows of the rounds: a pair, one of the few that join what all pairs join (of a key, or of a large key's block), a node that meets others.
+PAIR, JOIN, WHOLE, MEMBER = range(4)
 #: Bins of the fine sketch: a byte of the least hash of each, 0 where a bin is empty. Texts of similarity s agree in about that share of
 #: the bins that either fills, and pairs more than MARGIN deviations below the wanted share aren't verified.
 BINS, MARGIN = 512, 3.9
@@ -238,10 +240,15 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view(np.uint64)
 
 
+def set_hashes(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
+
+
 def sketch(text: str | None, size: int) -> tuple[int, list[int], int, bytes]:
     """(node, wide, n, fine) of a text's set of shingles: a hash of the set, its fingerprint of WIDE bits, its size, its fine sketch."""
-    parts = set(shingles((text or "").encode("utf-8", "surrogatepass"), size))
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64))
+    hashes = set_hashes(text, size)
     fine = np.zeros(BINS, np.uint8)
     bins = hashes >> np.uint64(64 - (BINS - 1).bit_length())
     first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])[: len(bins)]  # the hashes are sorted
@@ -323,8 +330,8 @@ def _segments(nodes: DataFrame) -> DataFrame:
 
 
 def _first_round(members: DataFrame, hot: DataFrame) -> DataFrame:
-    """(a, b, kind): PAIR for nodes that share a key and are close. Of a key with many such pairs only as few as join them, as JOIN, and its members
-    as (node, group) of kind MEMBER, so that the second round can take the rest.
+    """(a, b, kind, centre): PAIR for nodes that share a key and are close. Of a key with many such pairs only as few as join them, as JOIN, with the least node of what
+    they join as centre; the second round takes the rest, by centres, as a group has fewer of them than keys.
 
     The members of a large key are dealt to blocks with one member in common, so that a group of copies of any size is joined by
     about as many pairs as it has members; the second round takes the whole key again.
@@ -344,51 +351,69 @@ def _first_round(members: DataFrame, hot: DataFrame) -> DataFrame:
             i, j = _close(group, bits, SHORT_RADIUS)
             dense = np.bincount(group[i], minlength=len(starts)) > DENSE * sizes
             few = ~dense[group[i]] & (node[i] != node[j])
-            out = {PAIR: [np.stack([node[i[few]], node[j[few]]], axis=1)], JOIN: [], MEMBER: []}
+            out = {PAIR: [np.stack([node[i[few]], node[j[few]], node[i[few]]], axis=1)], JOIN: [], WHOLE: []}
             for g in np.flatnonzero(dense):
                 at = slice(starts[g], starts[g] + sizes[g])
                 joined, label = _near_pairs(node[at], bits[at], node[at], SHORT_RADIUS)
-                out[JOIN].append(np.array(joined, np.int64).reshape(-1, 2))
-                if rows[at.start, 0] & ((1 << 32) - 1) == 0:  # all of a large key's members meet again
-                    of, back, n = np.unique(label, return_inverse=True, return_counts=True)
-                    ids = np.array([xxhash.xxh64_intdigest(np.array([rows[at.start, 0], x]).tobytes()) for x in of], np.uint64).view(np.int64)
-                    out[MEMBER].append(np.stack([node[at], ids[back]], axis=1)[n[back] > 1])
+                joined = np.array(joined, np.int64).reshape(-1, 2)
+                of, back = np.unique(label, return_inverse=True)
+                least = np.full(len(of), np.iinfo(np.int64).max)
+                np.minimum.at(least, back, node[at])
+                centre = least[back[np.searchsorted(node[at], joined[:, 0])]]  # nodes are sorted
+                large = rows[at.start, 0] & ((1 << 32) - 1) > 0  # all of a large key's members meet again
+                out[WHOLE if large else JOIN].append(np.column_stack([joined, centre]))
             for kind, parts in out.items():
-                both = np.concatenate([np.zeros((0, 2), np.int64), *parts])
-                both = both if kind == MEMBER else np.unique(np.sort(both, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), kind, np.int32))], names=["a", "b", "kind"])
+                found = np.concatenate([np.zeros((0, 3), np.int64), *parts])
+                found[:, :2].sort(axis=1)
+                found = np.unique(found, axis=0)
+                columns = [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), kind, np.int32)), pa.array(found[:, 2], mask=np.full(len(found), kind != JOIN))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "kind", "centre"])
 
     rows = dealt.unionByName(leaders)
-    return rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(run, "a long, b long, kind int")
+    return rows.repartition("place").sortWithinPartitions("place", "node").mapInArrow(run, "a long, b long, kind int, centre long")
 
 
-def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of differing roots that share a key of groups(key, node), are close and have fine sketches that allow the similarity. Pairs are told where
-    the members meet, so that of a group whose texts are too far apart no pairs are sent on, however many there are. Large keys are dealt out as pairs of blocks; a root of many
-    members has blocks of its own, which do not meet each other."""
-    short = [f"s{k}" for k in range(SHORT)]
-    keys = groups.groupBy("node").agg(F.collect_list("key").alias("keys"))  # of each segment one at most; joined once a node, not once a key
-    members = keys.join(roots, "node").join(nodes.select("node", "fine", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)]), "node")
-    members = materialize(members.select(F.explode("keys").alias("key"), "node", "root", *short, "fine"), "near-members")
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("small"))
+def _places(members: DataFrame, most: int) -> DataFrame:
+    """(key, i, j, node, root, block): where the members(key, node, root, weight) of keys of more than one root meet. Keys of more weight than most are dealt out as pairs of
+    blocks; a root of more weight than that has blocks of its own, which do not meet each other."""
+    sizes = members.groupBy("key", "root").agg(F.sum("weight").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("n"), F.sum(F.when(F.col("size") <= most, F.col("size")).otherwise(0)).alias("small"))
     mixed = materialize(mixed.filter("roots > 1").drop("roots"), "near-mixed")
-    members = members.join(mixed, "key")
-    dealt = members.filter(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("block"), *short, "fine")
-    large = mixed.filter(F.col("n") > BLOCK)
+    members = members.drop("weight").join(mixed, "key")
+    dealt = members.filter(F.col("n") <= most).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", F.lit(0).alias("block"))
+    large = mixed.filter(F.col("n") > most)
     if not large.isEmpty():
-        whole = lambda n: F.ceil(n / BLOCK).cast("int")
-        own = materialize(sizes.filter(F.col("size") > BLOCK).join(large, "key").select("key", "root", whole(F.col("size")).alias("mine"), whole(F.col("small")).alias("first")), "near-large")
-        order = Window.partitionBy("key").orderBy("root")  # as many rows as the key has roots of over BLOCK members
+        whole = lambda n: F.ceil(n / most).cast("int")
+        own = materialize(sizes.filter(F.col("size") > most).join(large, "key").select("key", "root", whole(F.col("size")).alias("mine"), whole(F.col("small")).alias("first")), "near-large")
+        order = Window.partitionBy("key").orderBy("root")  # as many rows as the key has roots of over so much weight
         own = own.withColumn("low", F.col("first") + F.sum("mine").over(order) - F.col("mine"))
         total = own.groupBy("key").agg(F.sum("mine").alias("owned"))
-        parts = members.filter(F.col("n") > BLOCK).join(own.select("key", "root", "mine", "low"), ["key", "root"], "left").join(total, "key", "left")
+        parts = members.filter(F.col("n") > most).join(own.select("key", "root", "mine", "low"), ["key", "root"], "left").join(total, "key", "left")
         blocks = whole(F.col("small")) + F.coalesce("owned", F.lit(0))
         block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), whole(F.col("small")))).otherwise(F.col("low") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
         parts = parts.withColumns({"block": block, "blocks": blocks})
         partners = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("mine").isNull() | (j < F.col("low")) | (j >= F.col("low") + F.col("mine")))
-        parts = parts.select("key", "node", "root", "block", F.explode(partners).alias("other"), *short, "fine")
-        dealt = dealt.unionByName(parts.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", *short, "fine"))
+        parts = parts.select("key", "node", "root", "block", F.explode(partners).alias("other"))
+        dealt = dealt.unionByName(parts.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block"))
+    return dealt
+
+
+def _brought(dealt: DataFrame, features: DataFrame) -> DataFrame:
+    """dealt with the features(node, ...) of its nodes, joined once a node and not once a place."""
+    places = dealt.groupBy("node", "root").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("places"))
+    names = [c for c in features.columns if c != "node"]
+    rows = places.join(features, "node").select(F.explode("places").alias("p"), "node", "root", *names)
+    return rows.select("p.key", "p.i", "p.j", "node", "root", "p.block", *names)
+
+
+def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, pairs: bool = True) -> DataFrame:
+    """Of the nodes of differing roots that share a key of groups(key, node), are close and have fine sketches that allow the similarity: all pairs (a, b), or,
+    however many pairs there are, rows in proportion to the members: as (a, b, kind) the nodes that have such a partner with their roots, kind MEMBER, and of the pairs of
+    roots as few as join what all join, kind JOIN."""
+    keys = groups.groupBy("node").agg(F.collect_list("key").alias("keys"))  # of each segment one at most, or its group's centre; joined once a node, not once a key
+    members = keys.join(roots, "node").select(F.explode("keys").alias("key"), "node", "root", F.lit(1).alias("weight"))
+    features = nodes.select("node", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)], "fine")
+    dealt = _brought(_places(materialize(members, "near-members"), BLOCK), features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
@@ -396,7 +421,8 @@ def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame, similar
             node, root, block, bits = rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6 : 6 + SHORT].view(np.uint64)
             fine = np.ascontiguousarray(rows[:, 6 + SHORT :]).view(np.uint8)
             across = rows[:, 1] != rows[:, 2]  # those inside one block meet where it is paired with itself
-            pairs = []
+            label, partnered = root.copy(), np.zeros(len(rows), bool)
+            found: dict[int, list[np.ndarray]] = {PAIR: [], JOIN: []}
             for at, size in zip(starts, sizes):
                 part = slice(at, at + size)
                 if (root[part] == root[at]).all():
@@ -406,12 +432,80 @@ def _second_round(groups: DataFrame, nodes: DataFrame, roots: DataFrame, similar
                     meet = (root[rest] != root[k]) & (np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64) <= SHORT_RADIUS)
                     near = k + 1 + np.flatnonzero(meet & (block[rest] != block[k]) if across[at] else meet)
                     near = near[may_be_similar(fine[near], fine[k], similarity)]
-                    pairs.append(np.stack([np.full(len(near), node[k]), node[near]], axis=1))
-            both = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                    if pairs:
+                        found[PAIR].append(np.stack([np.full(len(near), node[k]), node[near]], axis=1))
+                    elif len(near):
+                        partnered[k] = partnered[near] = True
+                        other = _newly_joined(label[part], near - at, k - at) + at
+                        found[JOIN].append(np.stack([np.full(len(other), root[k]), root[other]], axis=1))
+            found[MEMBER] = [] if pairs else [np.stack([node[partnered], root[partnered]], axis=1)]
+            for kind, parts in found.items():
+                both = np.concatenate([np.zeros((0, 2), np.int64), *parts])
+                both = np.unique(both if kind == MEMBER else np.sort(both, axis=1), axis=0)
+                out = [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), kind, np.int32))]
+                yield pa.RecordBatch.from_arrays(out, names=["a", "b", "kind"])
 
     place = ["key", "i", "j"]
-    return dealt.select(*place, "node", "root", "block", *short, "fine").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long")
+    told = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long, kind int")
+    return told.select("a", "b") if pairs else told
+
+
+def _newly_joined(label: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Of near one for each label other than k's; label, changed in place, has these joined with k's afterwards."""
+    others, first = np.unique(label[near], return_index=True)
+    new = others != label[k]
+    if new.any():
+        label[np.isin(label, others[new])] = label[k]
+    return near[first[new]]
+
+
+def _linked_where_met(told: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, shingle_words: int, similarity: float, text_col: str) -> DataFrame:
+    """(a, b): links that join all similar nodes of differing roots that the second round has told of, as few as do in each place.
+
+    Roots that candidates join are a group. Its nodes meet with their whole sets of shingles (hashes of 64 bits), and pairs are compared there, so that no row is made for
+    a pair that is no link; a group of more hashes than HASHES, or of more nodes than BLOCK, is dealt out as pairs of blocks.
+    """
+    group = connected_components(told.filter(F.col("kind") == JOIN).select("a", "b")).toDF("root", "key")
+    wanted = told.filter(F.col("kind") == MEMBER).select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+    wanted = materialize(wanted.join(nodes.select("node", "hash", "size"), "node").join(group, "root"), "near-wanted")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices([batch]):
+                sets = [set_hashes(x, shingle_words).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    sets = materialize(_texts(docs, wanted, text_col).mapInArrow(hashed, "node long, set binary"), "near-sets")
+    features = nodes.select("node", *[F.col("wide")[k].alias(f"s{k}") for k in range(SHORT)], "fine").join(sets, "node")
+    dealt = _brought(_places(wanted.select("key", "node", "root", F.greatest("size", F.lit(HASHES // BLOCK)).alias("weight")), HASHES), features)
+
+    def run(place: pa.Table) -> pa.Table:
+        names = ["i", "j", "node", "root", "block", *[f"s{k}" for k in range(SHORT)]]
+        i, j, node, label, block, *short = (place.column(x).to_numpy().astype(np.int64) for x in names)
+        bits = np.stack(short, axis=1).view(np.uint64)
+        fine, packed = (place.column(x).to_pylist() for x in ("fine", "set"))
+        fine = np.frombuffer(b"".join(fine), np.uint8).reshape(len(node), -1)
+        size = np.array([len(x) // 8 for x in packed])
+        _, number = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)
+        of = np.split(number, np.cumsum(size)[:-1])
+        mine, links = np.zeros(len(number), np.int64), []
+        for k in range(len(node) - 1):
+            rest = slice(k + 1, None)
+            meet = (label[rest] != label[k]) & (np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64) <= SHORT_RADIUS)
+            near = k + 1 + np.flatnonzero(meet & (block[rest] != block[k]) if i[0] != j[0] else meet)
+            near = near[(np.minimum(size[near], size[k]) >= similarity * np.maximum(size[near], size[k]) - 0.5) & (size[near] > 0)]
+            near = near[may_be_similar(fine[near], fine[k], similarity)]
+            if not len(near):
+                continue
+            mine[of[k]] = 1
+            both = np.add.reduceat(mine[np.concatenate([of[x] for x in near])], np.r_[0, np.cumsum(size[near])[:-1]])
+            mine[of[k]] = 0
+            other = _newly_joined(label, near[both >= similarity * (size[k] + size[near] - both)], k)
+            links.append(np.stack([np.full(len(other), node[k]), node[other]], axis=1))
+        both = np.concatenate([np.zeros((0, 2), np.int64), *links])
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -451,34 +545,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, text): a text of each of the nodes(node, hash ...)."""
+    texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).join(nodes.select("node", "hash"), "hash")
+    return texts.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node is joined with by links."""
+    joined = connected_components(links).toDF("node", "up")
+    return materialize(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("up", "node").alias("root")), "near-roots")
+
+
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash, root): rows of docs of one root are joined by links of a Jaccard similarity of at least similarity.
 
     Candidates come by multi-index hashing: their wide fingerprints agree in a segment and are within RADIUS of each other. A first round joins the members of a
-    key with many close pairs by as few as can join them; a second takes every pair of such a key that
-    verification has left in different groups, so a group costs pairs in proportion to its members.
+    key with many close pairs by as few as can join them; a second compares every pair of such a key that verification has left in different groups,
+    where its members meet, and makes rows for the links alone, so a group costs rows in proportion to its members.
     """
     rows = materialize(sketches(docs, shingle_words, id_col, text_col), "near-sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min("hash").alias("hash"), *[F.first(x).alias(x) for x in ("wide", "size", "fine")]), "near-nodes")
-    roots, links = nodes.select("node", F.col("node").alias("root")), None
     members = _segments(nodes)
     hot = _hot(members, ["key"], "node")
     met = written(_first_round(members, hot), "near-met")  # narrow rows, in batches of the usual size
-    groups = met.filter(F.col("kind") == MEMBER).select(F.col("b").alias("key"), F.col("a").alias("node")).unionByName(members.join(hot, "key").select("key", "node"))
-    joins = met.filter(F.col("kind") == JOIN).groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, JOINS).alias("least"))
-    for again in (False, True):
-        pairs = _second_round(groups, nodes, roots, similarity) if again else met.filter(F.col("kind") == PAIR).select("a", "b").union(joins.select(F.explode("least"), "b"))
-        pairs = materialize(_candidates(pairs, nodes, similarity), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(ends, "node").select("node", "hash")
-        texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).join(wanted, "hash")
-        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-        found = materialize(_verified(pairs, texts, shingle_words, similarity), "near-links")
-        links = found if links is None else links.union(found)
-        joined = connected_components(links).toDF("node", "up")
-        roots = materialize(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("up", "node").alias("root")), "near-roots")
+    joined = met.filter(F.col("kind") == JOIN)
+    groups = joined.select(F.col("centre").alias("key"), F.col("a").alias("node")).union(joined.select("centre", "b")).distinct()
+    groups = groups.unionByName(members.join(hot, "key").select("key", "node"))
+    joins = met.filter(F.col("kind").isin(JOIN, WHOLE)).groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, JOINS).alias("least"))
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").union(joins.select(F.explode("least"), "b"))
+    pairs = materialize(_candidates(pairs, nodes, similarity), "near-pairs")
+    ends = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+    texts = materialize(_texts(docs, ends, text_col), "near-texts")
+    links = materialize(_verified(pairs, texts, shingle_words, similarity), "near-links")
+    roots = _roots(nodes, links)
+    told = materialize(_second_round(groups, nodes, roots, similarity, pairs=False), "near-told")
+    if not told.isEmpty():
+        links = links.union(materialize(_linked_where_met(told, nodes, roots, docs, shingle_words, similarity, text_col), "near-links"))
+        roots = _roots(nodes, links)
     return rows.select("doc_id", "hash", "node").join(roots, "node").select("doc_id", "hash", "root")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -275,3 +276,72 @@ def test_the_second_round_joins_once_a_node(spark, n):
     assert 0 < joined_rows(spark, lambda: found.extend(simhash._second_round(groups, nodes, roots, 0.8).distinct().collect())) <= 4 * n
     root = {r.node: r.root for r in roots.collect()}
     assert {(r.a, r.b) for r in found} == {(a, b) for b in range(n) for a in range(b) if root[a] != root[b] and (a - b) % 2 == 0}  # sketches of the others have nothing in common
+
+
+def rows_made(spark, run):
+    """The most rows that a join or a Python step of the queries that run makes gave out, by name, all queries added up."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    before, made = set(listed()), {}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for k in set(listed()) - before:
+        values = {int(x._1()): x._2() for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.executionMetrics(k).toSeq())}
+        nodes = store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() or "Arrow" in node.name():
+                name = re.sub(r"#\d+L?|^\w+ |, Build\w+", "", node.desc())[:60]
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and m.accumulatorId() in values:
+                        made[name] = made.get(name, 0) + int(values[m.accumulatorId()].replace(",", ""))
+    return {k: v for k, v in made.items() if "run(place" not in k}  # the first round's: so many a member and key
+
+
+def about_as_similar_as_the_bound(n, seed=14):
+    """Texts with edits of their own, most pairs of which are a little less similar than 0.8, and some more."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    return [" ".join(edited(rng, words, rng.choice([3, 8, 8, 8, 8, 8, 9, 9]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [150, 450])
+def test_texts_about_as_similar_as_the_bound_make_no_row_a_pair(spark, n):
+    """Neither joins nor Python steps give out rows for pairs that are no links: so many a text at most, and not the square of their number."""
+    docs = spark.createDataFrame(list(enumerate(about_as_similar_as_the_bound(n))), "doc_id long, text string").localCheckpoint()
+    made = rows_made(spark, lambda: simhash.keep_one_each(docs).count())
+    assert max(made.values()) <= 100 * n, made
+
+
+@pytest.mark.parametrize("block, hashes", [(4096, 1 << 20), (64, 1 << 14), (8, 1 << 11)])
+def test_groups_that_meet_with_their_sets_are_those_of_brute_force(spark, monkeypatch, block, hashes):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HASHES", hashes)
+    monkeypatch.setattr(simhash, "JOINS", 1)  # most is left to the second round
+    texts = about_as_similar_as_the_bound(120) + ["", "one two", "one two three four five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one_each(docs).collect())
+    assert kept == sorted(set(slow_similar(texts, 5, 0.8))) and len(kept) > 3
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_the_second_round_tells_nodes_and_joined_roots(spark, monkeypatch, block):
+    """Without pairs: the nodes that have a partner of another root, and as few pairs of roots as join what all pairs join."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    n = 60
+    nodes = spark.createDataFrame([(i, [1 << i % 8, 0], bytes([1 + i % 2 if i < 50 else i]) * simhash.BINS) for i in range(n)], "node long, wide array<long>, fine binary")
+    roots = nodes.select("node", (F.col("node") - F.col("node") % 4 % 2).alias("root"))
+    groups = nodes.select(F.explode(F.array(F.lit(7).cast("long"), F.lit(9).cast("long"))).alias("key"), "node")
+    told = simhash._second_round(groups, nodes, roots, 0.8, pairs=False).distinct().collect()
+    root = {r.node: r.root for r in roots.collect()}
+    assert {(r.a, r.b) for r in told if r.kind == simhash.MEMBER} == {(i, root[i]) for i in range(50)}
+    label = {x: x for x in root.values()}
+    for r in told:
+        if r.kind == simhash.JOIN:
+            label = {x: label[r.a] if y == label[r.b] else y for x, y in label.items()}
+    want = {x: x for x in root.values()}
+    for a in range(50):
+        for b in range(a):
+            if (a - b) % 2 == 0:
+                want = {x: want[root[a]] if y == want[root[b]] else y for x, y in want.items()}
+    alike = lambda of: {frozenset(x for x in of if of[x] == y) for y in set(of.values())}
+    assert alike(label) == alike(want)
